@@ -5,6 +5,8 @@ All JVM-side built-ins; no Python per row.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,9 +43,16 @@ def truncate_label(col: str | Column, width: int = 15) -> Column:
                   F.concat(F.substring(c, 1, width), F.lit("…"))).otherwise(c)
 
 
+def _scaled(c: Column, step: int) -> Column:
+    """c / step done exactly: decimal(30,4) times the decimal reciprocal of a
+    power of ten fits decimal(38,11), so the one rounding is in ``fixed1``."""
+    digits = len(str(step)) - 1
+    return c.cast("decimal(30,4)") * F.lit(Decimal(1).scaleb(-digits))
+
+
 def thousands_cr(col: str | Column) -> Column:
     """Crore amounts in thousands of crore ("K Cr"), one decimal text."""
-    return F.concat(fixed1(_c(col).cast("decimal(38,4)") / 1000), F.lit("K Cr"))
+    return F.concat(fixed1(_scaled(_c(col), 1000)), F.lit("K Cr"))
 
 
 # The mobile client's short-number ladder (amount in rupees).
@@ -53,10 +62,10 @@ COMPACT_STEPS = [(10_000_000, "Cr"), (100_000, "L"), (1_000, "T")]
 def compact_amount(col: str | Column) -> Column:
     """X11: compact Indian number: >= 1e7 as Cr, >= 1e5 as L, >= 1e3 as T,
     one decimal; smaller values as whole numbers."""
-    c = _c(col).cast("decimal(38,4)")
+    c = _c(col).cast("decimal(30,4)")
     expr = None
     for step, unit in COMPACT_STEPS:
-        text = F.concat(fixed1(c / step), F.lit(unit))
+        text = F.concat(fixed1(_scaled(c, step)), F.lit(unit))
         cond = F.abs(c) >= step
         expr = F.when(cond, text) if expr is None else expr.when(cond, text)
     return expr.otherwise(c.cast("decimal(38,0)").cast("string"))

@@ -352,3 +352,86 @@ FROM (
   FROM facts
 ) WHERE rk <= 5
 """)
+
+ORACLES["anomaly_gate"] = _q("""
+SELECT Department, CAST(COUNT(*) AS BIGINT) AS total_records,
+       COUNT(*) >= 10 AS eligible,
+       CASE WHEN COUNT(*) < 10 THEN 'Not enough data for ML detection' END AS message
+FROM facts GROUP BY Department
+""")
+
+RISK_SCORE = f"""
+  (CAST(0.5 AS DOUBLE) * coalesce(least(greatest((CAST(30.0 AS DOUBLE)
+       - CAST(Utilization_Percentage AS DOUBLE)) / CAST(30.0 AS DOUBLE), 0.0::DOUBLE),
+       1.0::DOUBLE), 0.0::DOUBLE)
+   + CAST(0.3 AS DOUBLE) * coalesce(least(greatest(CAST(Delay_Days AS DOUBLE)
+       / CAST(180.0 AS DOUBLE), 0.0::DOUBLE), 1.0::DOUBLE), 0.0::DOUBLE))
+   + CAST(0.2 AS DOUBLE) * (CASE WHEN {TAGGED} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)
+"""
+
+ORACLES["risk_score"] = _q(f"""
+, s AS (SELECT Department, Project_ID, {RISK_SCORE} AS risk_score FROM facts)
+SELECT Department, Project_ID, risk_score,
+       CASE WHEN risk_score > 0.7 THEN 'high' WHEN risk_score > 0.4 THEN 'medium'
+            ELSE 'low' END AS risk_band
+FROM s
+""")
+
+ORACLES["flag_by_contamination"] = _q(f"""
+, s AS (SELECT Department, Project_ID, {RISK_SCORE} AS risk_score FROM facts)
+, t AS (SELECT Department, quantile_cont(risk_score, 0.9) AS thr FROM s GROUP BY Department)
+SELECT s.Department AS Department, s.Project_ID AS Project_ID, s.risk_score AS risk_score
+FROM s JOIN t ON s.Department = t.Department
+WHERE s.risk_score > t.thr
+""")
+
+ORACLES["bands"] = _q("""
+SELECT Project_ID,
+       CASE WHEN Utilization_Percentage < 50 THEN 'low'
+            WHEN Utilization_Percentage > 120 THEN 'high'
+            WHEN Utilization_Percentage IS NOT NULL THEN 'ok' END AS utilization_band,
+       CASE WHEN Delay_Days > 90 THEN 'late'
+            WHEN Delay_Days IS NOT NULL THEN 'on_time' END AS delay_band
+FROM facts
+""")
+
+ORACLES["risk_level"] = _q("""
+, c AS (
+  SELECT Project_ID,
+         coalesce(Utilization_Percentage > 150 OR Utilization_Percentage < 30, false) AS money,
+         coalesce(Delay_Days > 90, false) AS late
+  FROM facts
+)
+SELECT Project_ID, CASE WHEN money AND late THEN 'High' WHEN money OR late THEN 'Medium'
+                        ELSE 'Low' END AS risk_level
+FROM c
+""")
+
+ORACLES["label_truncate"] = _q("""
+, n AS (SELECT DISTINCT concat_ws(' / ', Department, Scheme_Name) AS name FROM facts)
+SELECT name, CASE WHEN length(name) > 15 THEN substr(name, 1, 15) || '…' ELSE name END
+         AS label
+FROM n
+""")
+
+
+def _compact_sql(x: str) -> str:
+    c = f"CAST({x} AS DECIMAL(30,4))"
+    arms = []
+    for step, unit, recip in ((10_000_000, "Cr", "0.0000001"), (100_000, "L", "0.00001"),
+                              (1_000, "T", "0.001")):
+        scaled = f"{c} * CAST('{recip}' AS DECIMAL({len(recip) - 2},{len(recip) - 2}))"
+        arms.append(f"WHEN abs({c}) >= {step} THEN {fixed1(scaled)} || '{unit}'")
+    return ("CASE " + " ".join(arms) +
+            f" ELSE CAST(CAST({c} AS DECIMAL(38,0)) AS VARCHAR) END")
+
+
+ORACLES["compact_amount"] = _q(f"""
+, g AS (SELECT State, SUM(Allocated_Budget_Cr) AS cr, COUNT(*) AS n FROM facts GROUP BY State)
+SELECT State,
+       {_compact_sql('cr * 10000000')} AS total_text,
+       {_compact_sql('n')} AS projects_text,
+       {fixed1("CAST(cr AS DECIMAL(30,4)) * CAST('0.001' AS DECIMAL(3,3))")} || 'K Cr'
+         AS total_k_cr
+FROM g
+""")

@@ -9,8 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from budgetlens.functions.bands import (delay_band, risk_level, risk_score,
+                                        risk_score_band, utilization_band)
 from budgetlens.functions.numeric import to_output
+from budgetlens.functions.text import compact_amount, thousands_cr, truncate_label
+from budgetlens.operators import anomalies as AN
 from budgetlens.operators import aggregates as A
 from budgetlens.operators import filters as FL
 from budgetlens.operators import lists as L
@@ -169,3 +174,76 @@ def _reallocate(spark, d):
 @register("reallocate_within_department")
 def _reallocate_within_department(spark, d):
     return R.reallocate_within_department(facts(spark, d))
+
+
+# --- M anomalies (forest: rows-only check; gate, flag rule and risk score exact) --
+
+@register("anomaly_gate")
+def _anomaly_gate(spark, d):
+    return AN.anomaly_gate(facts(spark, d))
+
+
+@register("ml_anomalies")
+def _ml_anomalies(spark, d):
+    return AN.ml_anomalies(facts(spark, d))
+
+
+@register("anomaly_kpis")
+def _anomaly_kpis(spark, d):
+    return AN.anomaly_kpis(facts(spark, d))
+
+
+@register("all_anomalies")
+def _all_anomalies(spark, d):
+    return AN.all_anomalies(facts(spark, d))
+
+
+def _scored(spark, d):
+    f = facts(spark, d)
+    return f.select("Department", "Project_ID", risk_score().alias("risk_score"))
+
+
+@register("risk_score")
+def _risk_score(spark, d):
+    return _scored(spark, d).withColumn("risk_band", risk_score_band("risk_score"))
+
+
+@register("flag_by_contamination")
+def _flag_by_contamination(spark, d):
+    flagged = AN.flag_by_contamination(_scored(spark, d), ["Department"], "risk_score", 0.1)
+    return flagged.filter("is_anomaly").select("Department", "Project_ID", "risk_score")
+
+
+# --- F7-F9 bands, X text -------------------------------------------------------
+
+@register("bands")
+def _bands(spark, d):
+    f = facts(spark, d)
+    return f.select("Project_ID", utilization_band("Utilization_Percentage")
+                    .alias("utilization_band"), delay_band("Delay_Days").alias("delay_band"))
+
+
+@register("risk_level")
+def _risk_level(spark, d):
+    return facts(spark, d).select("Project_ID", risk_level().alias("risk_level"))
+
+
+@register("label_truncate")
+def _label_truncate(spark, d):
+    # department labels of the web client's chart, over the distinct Scheme names
+    f = facts(spark, d)
+    return (f.select(F.concat_ws(" / ", "Department", "Scheme_Name").alias("name"))
+            .distinct().select("name", truncate_label("name").alias("label")))
+
+
+@register("compact_amount")
+def _compact_amount(spark, d):
+    # mobile client's short amounts, over each state's allocation in rupees
+    # (1 crore = 1e7 rupees) and its project count
+    f = facts(spark, d)
+    g = f.groupBy("State").agg(F.sum("Allocated_Budget_Cr").alias("cr"),
+                               F.count(F.lit(1)).alias("n"))
+    rupees = F.col("cr") * F.lit(10_000_000)
+    return g.select("State", compact_amount(rupees).alias("total_text"),
+                    compact_amount(F.col("n")).alias("projects_text"),
+                    thousands_cr("cr").alias("total_k_cr"))
