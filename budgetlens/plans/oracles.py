@@ -435,3 +435,73 @@ SELECT State,
          AS total_k_cr
 FROM g
 """)
+
+# S1, S3, S4 round trips return the fact table itself
+ORACLES["ingest_csv"] = ORACLES["budget_facts"]
+ORACLES["clean_columns"] = ORACLES["budget_facts"]
+ORACLES["ingest_roundtrip"] = ORACLES["budget_facts"]
+
+ORACLES["ingest_stats"] = _q("""
+SELECT CAST(COUNT(*) AS BIGINT) AS records,
+       CAST(COUNT(DISTINCT State) AS BIGINT) AS states,
+       CAST(COUNT(DISTINCT District) AS BIGINT) AS districts,
+       CAST(COUNT(DISTINCT Ministry) AS BIGINT) AS ministries,
+       MIN(Year) AS min_year, MAX(Year) AS max_year,
+       CAST(SUM(Allocated_Budget_Cr) AS DOUBLE) AS total_budget
+FROM facts
+""")
+
+ORACLES["quarantine"] = _q("""
+, d AS (SELECT Project_ID FROM facts WHERE Project_ID IS NOT NULL
+        GROUP BY Project_ID HAVING COUNT(*) > 1)
+, r AS (
+  SELECT list_filter([
+      CASE WHEN f.Project_ID IS NULL THEN 'missing Project_ID' END,
+      CASE WHEN Allocated_Budget_Cr < 0 THEN 'negative Allocated_Budget_Cr' END,
+      CASE WHEN Revised_Budget_Cr < 0 THEN 'negative Revised_Budget_Cr' END,
+      CASE WHEN Actual_Spending_Cr < 0 THEN 'negative Actual_Spending_Cr' END,
+      CASE WHEN Utilization_Percentage < 0 THEN 'negative Utilization_Percentage' END,
+      CASE WHEN Year < 1900 OR Year > 2100 THEN 'Year out of range' END,
+      CASE WHEN d.Project_ID IS NOT NULL THEN 'duplicate Project_ID' END
+    ], lambda x: x IS NOT NULL) AS reasons
+  FROM facts f LEFT JOIN d ON f.Project_ID = d.Project_ID
+)
+SELECT 'ok' AS reason, CAST(COUNT(*) AS BIGINT) AS records FROM r WHERE len(reasons) = 0
+UNION ALL
+SELECT reason, CAST(COUNT(*) AS BIGINT) AS records
+FROM (SELECT unnest(reasons) AS reason FROM r) GROUP BY reason
+""")
+
+_PROFILE_COLUMNS = ["Year", "Month", "Allocated_Budget_Cr", "Revised_Budget_Cr",
+                    "Actual_Spending_Cr", "Remaining_Budget_Cr", "Utilization_Percentage",
+                    "Population_Covered", "Beneficiary_Count", "District_Development_Index",
+                    "Delay_Days"]
+_LONG = " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", CAST({c} AS DECIMAL(18,4)) AS value FROM facts"
+    for c in _PROFILE_COLUMNS)
+
+ORACLES["profile_numeric"] = _q(f"""
+, long AS ({_LONG})
+, m AS (
+  SELECT "column", COUNT(value) AS cnt, SUM(value) AS s1, SUM(CAST(value AS DECIMAL(38,4)) * CAST(value AS DECIMAL(38,4))) AS s2,
+         CAST(MIN(value) AS DOUBLE) AS mn, CAST(MAX(value) AS DOUBLE) AS mx
+  FROM long GROUP BY "column"
+)
+, q AS (
+  SELECT "column", quantile_cont(CAST(value AS DOUBLE), 0.25) AS p25,
+         quantile_cont(CAST(value AS DOUBLE), 0.5) AS p50,
+         quantile_cont(CAST(value AS DOUBLE), 0.75) AS p75
+  FROM long GROUP BY "column"
+)
+SELECT m."column" AS "column", CAST(cnt AS BIGINT) AS count,
+       CAST(s1 AS DOUBLE) / CAST(cnt AS DOUBLE) AS mean,
+       sqrt((CAST(s2 AS DOUBLE) - CAST(s1 AS DOUBLE) * CAST(s1 AS DOUBLE) / CAST(cnt AS DOUBLE))
+            / (CAST(cnt AS DOUBLE) - 1.0)) AS std,
+       mn AS min, p25, p50, p75, mx AS max
+FROM m LEFT JOIN q ON m."column" = q."column"
+""")
+
+ORACLES["health"] = _q("""
+SELECT 'healthy' AS status, CAST(COUNT(*) AS BIGINT) AS records, true AS table_exists
+FROM facts
+""")

@@ -21,7 +21,11 @@ from budgetlens.operators import filters as FL
 from budgetlens.operators import lists as L
 from budgetlens.operators import ranking as RK
 from budgetlens.operators import reallocate as R
-from budgetlens.sources.star import budget_facts, facts
+from budgetlens.operators import quality as Q
+from budgetlens.session import scratch_path
+from budgetlens.sources.csv import clean_columns, raw_name, read_budget, write_budget_csv
+from budgetlens.sources.sinks import to_records, write_facts
+from budgetlens.sources.star import budget_facts, facts, read_facts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -247,3 +251,53 @@ def _compact_amount(spark, d):
     return g.select("State", compact_amount(rupees).alias("total_text"),
                     compact_amount(F.col("n")).alias("projects_text"),
                     thousands_cr("cr").alias("total_k_cr"))
+
+
+# --- S ingest, quality, sinks ----------------------------------------------------
+
+@register("ingest_csv")
+def _ingest_csv(spark, d):
+    # facts written as the source CSV would look (raw headers, 'NA' cells),
+    # read back through the CSV reader with its cleaning and casts
+    path = scratch_path(spark, "budget-csv")
+    write_budget_csv(facts(spark, d), path)
+    return to_output(read_budget(spark, path))
+
+
+@register("clean_columns")
+def _clean_columns(spark, d):
+    f = facts(spark, d)
+    raw = f.toDF(*[raw_name(c) for c in f.columns])
+    return to_output(clean_columns(raw))
+
+
+@register("ingest_roundtrip")
+def _ingest_roundtrip(spark, d):
+    path = scratch_path(spark, "facts-copy")
+    write_facts(budget_facts(spark, d), path)
+    return to_output(read_facts(spark, path))
+
+
+@register("ingest_stats")
+def _ingest_stats(spark, d):
+    return Q.ingest_stats(facts(spark, d))
+
+
+@register("quarantine")
+def _quarantine(spark, d):
+    return Q.quarantine_summary(facts(spark, d))
+
+
+@register("profile_numeric")
+def _profile_numeric(spark, d):
+    return Q.profile_numeric(facts(spark, d))
+
+
+@register("health")
+def _health(spark, d):
+    return Q.health(spark, facts(spark, d))
+
+
+@register("json_records")
+def _json_records(spark, d):
+    return to_records(A.leakage(facts(spark, d)))
