@@ -505,3 +505,33 @@ ORACLES["health"] = _q("""
 SELECT 'healthy' AS status, CAST(COUNT(*) AS BIGINT) AS records, true AS table_exists
 FROM facts
 """)
+
+_ALERTS = """
+  SELECT Project_ID, 'critical_underspend' AS type, 'high' AS severity,
+         'Critical Underspend: ' || coalesce(District, 'None') AS title,
+         coalesce(Department, 'None') || ' in ' || coalesce(District, 'None') || ', ' ||
+           coalesce(State, 'None') || ' — allocated ₹' ||
+           coalesce(CAST(CAST(Allocated_Budget_Cr AS DECIMAL(38,1)) AS VARCHAR), 'None') ||
+           'Cr but spent only ₹' ||
+           coalesce(CAST(CAST(Actual_Spending_Cr AS DECIMAL(38,1)) AS VARCHAR), 'None') ||
+           'Cr' AS message,
+         CAST(make_date(Year, Month, 1) AS TIMESTAMP) AS ts
+  FROM facts WHERE Utilization_Percentage < 30
+"""
+
+ORACLES["alert_candidates"] = _q(f"""
+, a AS ({_ALERTS})
+SELECT Project_ID, type, severity, title, message FROM a
+""")
+
+ORACLES["alert_view"] = _q(f"""
+, a AS ({_ALERTS})
+SELECT Project_ID, type, severity, title, message,
+       strftime(ts, '%Y-%m-%dT%H:%M:%S') AS timestamp, Project_ID AS alert_id
+FROM a ORDER BY ts DESC NULLS LAST, Project_ID LIMIT 50
+""")
+
+ORACLES["alert_unread"] = _q(f"""
+, a AS ({_ALERTS})
+SELECT CAST(COUNT(*) AS BIGINT) AS unread, CAST(COUNT(*) AS BIGINT) AS alerts FROM a
+""")

@@ -26,6 +26,7 @@ from budgetlens.session import scratch_path
 from budgetlens.sources.csv import clean_columns, raw_name, read_budget, write_budget_csv
 from budgetlens.sources.sinks import to_records, write_facts
 from budgetlens.sources.star import budget_facts, facts, read_facts
+from budgetlens.streaming import alerts as ST
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -301,3 +302,40 @@ def _health(spark, d):
 @register("json_records")
 def _json_records(spark, d):
     return to_records(A.leakage(facts(spark, d)))
+
+
+# --- T alerts ----------------------------------------------------------------------
+
+@register("alert_candidates")
+def _alert_candidates(spark, d):
+    return ST.alert_candidates(facts(spark, d))
+
+
+def _period_alerts(spark, d):
+    # batch alerts stamped with the project's period (first day of its month)
+    # instead of the wall clock, so the view is repeatable
+    c = ST.alert_candidates(facts(spark, d), keep=["Year", "Month"])
+    return (c.withColumn("timestamp", F.make_date("Year", "Month", F.lit(1)).cast("timestamp"))
+            .withColumn("alert_id", F.col("Project_ID")).drop("Year", "Month"))
+
+
+@register("alert_view")
+def _alert_view(spark, d):
+    v = ST.alert_view(_period_alerts(spark, d))
+    return v.withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss"))
+
+
+@register("alert_unread")
+def _alert_unread(spark, d):
+    return ST.alert_unread(_period_alerts(spark, d))
+
+
+@register("alert_stream")
+def _alert_stream(spark, d):
+    # facts arrive as files; the job runs to the end of the available input
+    src = scratch_path(spark, "alert-source")
+    facts(spark, d).write.parquet(src)
+    sink, ckpt = scratch_path(spark, "alerts"), scratch_path(spark, "alerts-ckpt")
+    q = ST.alert_stream(ST.read_fact_stream(spark, src), sink, ckpt, available_now=True)
+    q.awaitTermination()
+    return ST.read_alerts(spark, sink).drop("timestamp")
