@@ -535,3 +535,106 @@ ORACLES["alert_unread"] = _q(f"""
 , a AS ({_ALERTS})
 SELECT CAST(COUNT(*) AS BIGINT) AS unread, CAST(COUNT(*) AS BIGINT) AS alerts FROM a
 """)
+
+_SLUG = "lower(regexp_replace({c}, '[^A-Za-z0-9]+', '_', 'g'))"
+_USERS = f"""
+, users AS (
+  SELECT {_SLUG.format(c='Department')} || '_dept' AS username,
+         {_SLUG.format(c='Department')} || '_dept@gov.in' AS email,
+         upper(substr(lower(Department), 1, 1)) || substr(lower(Department), 2) || ' Officer'
+           AS full_name,
+         'department' AS role, Department AS department, false AS disabled
+  FROM (SELECT DISTINCT Department FROM facts WHERE Department IS NOT NULL)
+  UNION ALL SELECT 'admin', 'admin@gov.in', 'Admin User', 'admin', NULL, false
+  UNION ALL SELECT 'public_user', 'public@citizen.in', 'Public User', 'public', NULL, false
+  UNION ALL SELECT 'retired_admin', NULL, 'Retired Admin', 'admin', NULL, true
+)
+"""
+
+ORACLES["scoped_rows"] = _q("""
+SELECT Project_ID, Department, State,
+       CAST(Utilization_Percentage AS DOUBLE) AS Utilization_Percentage
+FROM facts WHERE Department = (SELECT min(Department) FROM facts)
+""")
+
+ORACLES["scope_counts"] = _q(_USERS + """
+, per AS (SELECT Department, COUNT(*) AS n FROM facts GROUP BY Department)
+SELECT u.username AS username, CAST(coalesce(SUM(p.n), 0) AS BIGINT) AS visible_rows
+FROM users u LEFT JOIN per p
+  ON NOT coalesce(u.disabled, false) AND (u.role = 'admin' OR
+     (u.role = 'department' AND u.department = p.Department))
+GROUP BY u.username
+""")
+
+ORACLES["dim_upsert"] = _q(_USERS + f"""
+, ch AS (
+  SELECT username, email,
+         upper(substr(lower(department), 1, 1)) || substr(lower(department), 2) || ' Head'
+           AS full_name, role, department, disabled
+  FROM users WHERE role = 'department'
+  UNION ALL
+  SELECT {_SLUG.format(c='Ministry')} || '_min', NULL, Ministry, 'public', NULL, false
+  FROM (SELECT DISTINCT Ministry FROM facts)
+)
+SELECT coalesce(t.username, c.username) AS username,
+       CASE WHEN t.username IS NOT NULL THEN t.email ELSE c.email END AS email,
+       CASE WHEN c.username IS NOT NULL THEN c.full_name ELSE t.full_name END AS full_name,
+       CASE WHEN t.username IS NOT NULL THEN t.role ELSE c.role END AS role,
+       CASE WHEN t.username IS NOT NULL THEN t.department ELSE c.department END AS department,
+       CASE WHEN t.username IS NOT NULL THEN t.disabled ELSE c.disabled END AS disabled
+FROM users t FULL OUTER JOIN ch c ON t.username = c.username
+""")
+
+ORACLES["dim_update"] = _q(_USERS + f"""
+, k AS (SELECT {_SLUG.format(c='Department')} || '_dept' AS username FROM facts
+        GROUP BY Department HAVING SUM(Remaining_Budget_Cr) < 0)
+SELECT u.username, u.email, u.full_name, u.role, u.department,
+       CASE WHEN k.username IS NOT NULL THEN true ELSE u.disabled END AS disabled
+FROM users u LEFT JOIN k ON u.username = k.username
+""")
+
+_ORDER_ALL = ("username NULLS FIRST, email NULLS FIRST, full_name NULLS FIRST, "
+              "role NULLS FIRST, department NULLS FIRST, disabled NULLS FIRST")
+
+ORACLES["dim_append"] = _q(_USERS + f"""
+, nw AS (
+  SELECT {_SLUG.format(c='Ministry')} || '_min' AS username,
+         {_SLUG.format(c='Ministry')} || '.' || {_SLUG.format(c='Scheme_Name')} || '@gov.in'
+           AS email,
+         Ministry AS full_name, 'public' AS role, CAST(NULL AS VARCHAR) AS department,
+         false AS disabled
+  FROM (SELECT DISTINCT Ministry, Scheme_Name FROM facts)
+  UNION ALL
+  SELECT {_SLUG.format(c='Department')} || '_dept', NULL, Department, 'department',
+         Department, false
+  FROM (SELECT DISTINCT Department FROM facts)
+  UNION ALL
+  SELECT {_SLUG.format(c='State')} || '_public', 'public@citizen.in', State, 'public',
+         NULL, false
+  FROM (SELECT DISTINCT State FROM facts)
+)
+, c AS (
+  SELECT nw.*,
+    list_filter([
+      CASE WHEN nw.username IN (SELECT username FROM users WHERE username IS NOT NULL)
+           THEN 'username already registered' END,
+      CASE WHEN nw.username IS NOT NULL AND row_number() OVER
+           (PARTITION BY nw.username ORDER BY {_ORDER_ALL}) > 1
+           THEN 'username repeated in batch' END,
+      CASE WHEN nw.email IN (SELECT email FROM users WHERE email IS NOT NULL)
+           THEN 'email already registered' END,
+      CASE WHEN nw.email IS NOT NULL AND row_number() OVER
+           (PARTITION BY nw.email ORDER BY {_ORDER_ALL}) > 1
+           THEN 'email repeated in batch' END
+    ], lambda x: x IS NOT NULL) AS reasons
+  FROM nw
+)
+SELECT username, email, full_name, role, department, disabled,
+       CAST(NULL AS VARCHAR) AS reason FROM users
+UNION ALL
+SELECT username, email, full_name, role, department, disabled, NULL FROM c
+WHERE len(reasons) = 0
+UNION ALL
+SELECT username, email, full_name, role, department, disabled,
+       array_to_string(reasons, '; ') FROM c WHERE len(reasons) > 0
+""")

@@ -16,6 +16,7 @@ from budgetlens.functions.bands import (delay_band, risk_level, risk_score,
 from budgetlens.functions.numeric import to_output
 from budgetlens.functions.text import compact_amount, thousands_cr, truncate_label
 from budgetlens.operators import anomalies as AN
+from budgetlens.operators import dims as DM
 from budgetlens.operators import aggregates as A
 from budgetlens.operators import filters as FL
 from budgetlens.operators import lists as L
@@ -339,3 +340,79 @@ def _alert_stream(spark, d):
     q = ST.alert_stream(ST.read_fact_stream(spark, src), sink, ckpt, available_now=True)
     q.awaitTermination()
     return ST.read_alerts(spark, sink).drop("timestamp")
+
+
+# --- F5 scope, D4-D6 user dimension (derived from the facts' departments) ----------
+
+def _first_department_user(f):
+    first = L.list_values(f.filter(F.col("Department").isNotNull()), "Department").first()
+    return None if first is None else first["Department"]
+
+
+@register("scoped_rows")
+def _scoped_rows(spark, d):
+    f = facts(spark, d)
+    ents = DM.entitlements_from_facts(f)
+    dept = _first_department_user(f)
+    user = (ents.filter(F.col("department") == F.lit(dept)).select("username").first()
+            if dept is not None else None)
+    rows = FL.scope_rows(f, ents, user["username"] if user else None, "anomalies")
+    return to_output(rows.select("Project_ID", "Department", "State",
+                                 "Utilization_Percentage"))
+
+
+@register("scope_counts")
+def _scope_counts(spark, d):
+    f = facts(spark, d)
+    return FL.scope_counts(f, DM.entitlements_from_facts(f), "anomalies")
+
+
+@register("dim_upsert")
+def _dim_upsert(spark, d):
+    f = facts(spark, d)
+    target = DM.entitlements_from_facts(f)
+    renamed = target.filter(F.col("role") == "department").withColumn(
+        "full_name", F.concat(F.initcap("department"), F.lit(" Head")))
+    ministries = f.select("Ministry").distinct().select(
+        F.concat(F.lower(F.regexp_replace("Ministry", "[^A-Za-z0-9]+", "_")), F.lit("_min"))
+        .alias("username"),
+        F.lit(None).cast("string").alias("email"), F.col("Ministry").alias("full_name"),
+        F.lit("public").alias("role"), F.lit(None).cast("string").alias("department"),
+        F.lit(False).alias("disabled"))
+    return DM.upsert(target, renamed.unionByName(ministries), ["username"], ["full_name"])
+
+
+@register("dim_update")
+def _dim_update(spark, d):
+    f = facts(spark, d)
+    ents = DM.entitlements_from_facts(f)
+    overspent = (f.groupBy("Department").agg(F.sum("Remaining_Budget_Cr").alias("r"))
+                 .filter(F.col("r") < 0)
+                 .select(DM.department_username("Department").alias("username")))
+    return DM.update_where_in(ents, "username", overspent, "disabled", True)
+
+
+@register("dim_append")
+def _dim_append(spark, d):
+    f = facts(spark, d)
+    target = DM.entitlements_from_facts(f)
+    slug = lambda c: F.lower(F.regexp_replace(c, "[^A-Za-z0-9]+", "_"))
+    by_scheme = f.select("Ministry", "Scheme_Name").distinct().select(
+        F.concat(slug("Ministry"), F.lit("_min")).alias("username"),
+        F.concat(slug("Ministry"), F.lit("."), slug("Scheme_Name"), F.lit("@gov.in"))
+        .alias("email"),
+        F.col("Ministry").alias("full_name"), F.lit("public").alias("role"),
+        F.lit(None).cast("string").alias("department"), F.lit(False).alias("disabled"))
+    again = f.select("Department").distinct().select(
+        DM.department_username("Department").alias("username"),
+        F.lit(None).cast("string").alias("email"), F.col("Department").alias("full_name"),
+        F.lit("department").alias("role"), F.col("Department").alias("department"),
+        F.lit(False).alias("disabled"))
+    by_state = f.select("State").distinct().select(
+        F.concat(slug("State"), F.lit("_public")).alias("username"),
+        F.lit("public@citizen.in").alias("email"), F.col("State").alias("full_name"),
+        F.lit("public").alias("role"), F.lit(None).cast("string").alias("department"),
+        F.lit(False).alias("disabled"))
+    snapshot, rejected = DM.append_new(target, by_scheme.unionByName(again)
+                                       .unionByName(by_state))
+    return snapshot.withColumn("reason", F.lit(None).cast("string")).unionByName(rejected)
