@@ -5,11 +5,12 @@ driver's TPC-H-like tables (``FIXTURES.md`` section 4 gives the mapping):
 one fact per line item, joined to its order, customer, nation and part.
 
 Plan shape at scale: the order-level dimension (orders ⋈ customer ⋈ nation) is
-built first, so the line-item side joins once on ``o_orderkey`` and once on
-``p_partkey``. Only ``nation`` is broadcast explicitly (25 rows by the TPC-H
-definition); customer and part are left to the optimizer, which broadcasts
-them only when their measured size is under ``autoBroadcastJoinThreshold``
-and otherwise plans a sort-merge join (AQE splits skewed partitions).
+built first, so the line-item side joins once on ``o_orderkey`` (shuffled hash
+join, see below) and once on ``p_partkey``. Only ``nation`` is broadcast
+explicitly (25 rows by the TPC-H definition); customer and part are left to
+the optimizer, which broadcasts them only when their measured size is under
+``autoBroadcastJoinThreshold`` and otherwise plans a sort-merge join (AQE
+splits skewed partitions).
 """
 
 from __future__ import annotations
@@ -46,8 +47,13 @@ def facts_from_tables(lineitem: DataFrame, orders: DataFrame, customer: DataFram
     )
     items = lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
                             "l_quantity", "l_extendedprice", "l_tax", "l_shipdate")
+    # Line items to orders is the big-big join (orders is a quarter of the line
+    # items at any scale), so it is a shuffled hash join on the order key,
+    # whatever the size estimate says: the build side (orders) has unique
+    # keys, so each task's hash table is bounded by its partition, and the
+    # wide projection below runs in parallel after the shuffle.
     joined = (
-        items.join(order_dim, F.col("l_orderkey") == F.col("o_orderkey"))
+        items.join(order_dim.hint("shuffle_hash"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(part.select("p_partkey", "p_brand", "p_type", "p_size"),
               F.col("l_partkey") == F.col("p_partkey"))
     )
