@@ -188,7 +188,7 @@ def feature_rows(f: DataFrame) -> DataFrame:
 
 
 def fit_forest(rows: DataFrame, counts: DataFrame, trees: int = 100,
-               max_samples: int = 256, seed: int = 42, trees_per_block: int = 10,
+               max_samples: int = 256, seed: int = 42, trees_per_block: int = 25,
                partitions: int | None = None) -> DataFrame:
     """Model DataFrame (MODEL_SCHEMA) for every department in ``counts``.
 
@@ -228,8 +228,14 @@ def fit_forest(rows: DataFrame, counts: DataFrame, trees: int = 100,
 
 
 def score_points(points: DataFrame, model: DataFrame,
-                 points_per_bucket: int = 1_000_000) -> DataFrame:
-    """Score distinct points (Department, x0, x1, n) with ``model``."""
+                 points_per_bucket: int = 250_000, partitions: int | None = None) -> DataFrame:
+    """Score distinct points (Department, x0, x1, n) with ``model``.
+
+    Both cogroup sides are hash-partitioned explicitly on (Department, bucket)
+    with the same partition count, so the cogroup needs no further exchange
+    and AQE cannot merge the CPU-heavy groups into a few tasks.
+    """
+    parts = partitions or int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     per_dept = points.groupBy("Department").agg(F.count(F.lit(1)).alias("_p"))
     nb = per_dept.select("Department", F.greatest(
         F.lit(1), F.ceil(F.col("_p") / F.lit(points_per_bucket)).cast("int")).alias("_nb"))
@@ -240,6 +246,8 @@ def score_points(points: DataFrame, model: DataFrame,
     mdl = (model.join(nb, "Department")
            .withColumn("bucket", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
            .drop("_nb"))
+    pts = pts.repartition(parts, "Department", "bucket")
+    mdl = mdl.repartition(parts, "Department", "bucket")
     return (pts.groupBy("Department", "bucket")
             .cogroup(mdl.groupBy("Department", "bucket"))
             .applyInPandas(score_bucket, SCORE_SCHEMA))

@@ -17,19 +17,42 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+# Distinct values one window task may sort for one group; beyond it a group's
+# values are cut into buckets of about BUCKET_VALUES values each.
+MAX_VALUES_PER_TASK = 1_000_000
+BUCKET_VALUES = 250_000
+MAX_BUCKETS = 4096
+
+
+def choose_buckets(df: DataFrame, group_cols: list[str], value_col: str) -> int:
+    """Size check: the largest estimated number of distinct values in a group
+    decides how many buckets a group's values are spread over (1 = none)."""
+    est = (df.groupBy(*group_cols).agg(F.approx_count_distinct(value_col).alias("_d"))
+           .agg(F.max("_d")).first()[0]) if group_cols else \
+        df.agg(F.approx_count_distinct(value_col)).first()[0]
+    if not est or est <= MAX_VALUES_PER_TASK:
+        return 1
+    return int(min(MAX_BUCKETS, -(-est // BUCKET_VALUES)))
+
+
 def exact_percentiles(df: DataFrame, group_cols: list[str], value_col: str,
                       quantiles: list[float], weight_col: str | None = None,
-                      buckets: int = 64, accuracy: int = 10_000) -> DataFrame:
+                      buckets: int | None = None, accuracy: int = 10_000) -> DataFrame:
     """One row per group: ``group_cols`` + ``p_<i>`` (double) per quantile + ``n``.
 
     NULL values are ignored (as SQL does); weights are row counts (>= 0).
+    ``buckets=None`` runs ``choose_buckets`` first (one extra pass).
     """
     g = list(group_cols)
+    if buckets is None:
+        buckets = choose_buckets(df, g, value_col)
     v = F.col(value_col).cast("double")
     w = F.col(weight_col).cast("bigint") if weight_col else F.lit(1).cast("bigint")
     # 1. distinct values with their weights (map-side combined)
     d = (df.select(*g, v.alias("v"), w.alias("w")).filter(F.col("v").isNotNull())
          .groupBy(*g, "v").agg(F.sum("w").alias("w")).filter(F.col("w") > 0))
+    if buckets <= 1:
+        return _pick(_positions_single(d, g), g, quantiles)
     # 2. bucket bounds per group from approximate quantiles of the distinct values
     cuts = [i / buckets for i in range(1, buckets)]
     bounds = d.groupBy(*g).agg(
@@ -49,7 +72,20 @@ def exact_percentiles(df: DataFrame, group_cols: list[str], value_col: str,
           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     d = d.withColumn("_hi", F.col("_off") + F.sum("w").over(wb)) \
          .withColumn("_lo", F.col("_hi") - F.col("w"))
-    # 5. pick x[floor(k)] and x[floor(k)+1] for each quantile, interpolate
+    return _pick(d, g, quantiles)
+
+
+def _positions_single(d: DataFrame, g: list[str]) -> DataFrame:
+    """Cumulative positions with one ordered window per group (size-checked)."""
+    wg = Window.partitionBy(*g) if g else Window.partitionBy()
+    wc = wg.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (d.withColumn("_hi", F.sum("w").over(wc))
+            .withColumn("_n", F.sum("w").over(wg))
+            .withColumn("_lo", F.col("_hi") - F.col("w")))
+
+
+def _pick(d: DataFrame, g: list[str], quantiles: list[float]) -> DataFrame:
+    """Pick x[floor(k)] and x[floor(k)+1] for each quantile and interpolate."""
     aggs = [F.max("_n").alias("n")]
     for i, q in enumerate(quantiles):
         k = F.lit(float(q)) * (F.col("_n") - 1).cast("double")
