@@ -118,6 +118,7 @@ def profile_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFram
         "column", "count", F.try_divide(s1, n).alias("mean"),
         F.sqrt(F.try_divide(s2 - s1 * s1 / n, n - F.lit(1.0))).alias("std"),
         "min", "max")
+    # quartiles on the decimal values: exact interpolation, one rounding
     q = exact_percentiles(long, ["column"], "value", [0.25, 0.5, 0.75]).select(
         "column", F.col("p_0").alias("p25"), F.col("p_1").alias("p50"),
         F.col("p_2").alias("p75"))

@@ -6,14 +6,17 @@ Here a group's distinct values are cut into ``buckets`` ranges by approximate
 quantile bounds, cumulative counts run per (group, bucket) window, and bucket
 offsets come from a small per-group table. The result is the exact value of
 the linear-interpolation definition (numpy ``linear``, SQL
-``percentile_cont``): index k = q * (N - 1) over the N weighted rows, value =
-x[floor(k)] + (x[floor(k) + 1] - x[floor(k)]) * (k - floor(k)).
+``percentile_cont``): index k = q * (N - 1) over the N weighted rows, value
+between x[floor(k)] and x[floor(k) + 1] at fraction k - floor(k).
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
@@ -46,13 +49,14 @@ def exact_percentiles(df: DataFrame, group_cols: list[str], value_col: str,
     g = list(group_cols)
     if buckets is None:
         buckets = choose_buckets(df, g, value_col)
-    v = F.col(value_col).cast("double")
+    is_decimal = isinstance(df.schema[value_col].dataType, T.DecimalType)
+    v = F.col(value_col) if is_decimal else F.col(value_col).cast("double")
     w = F.col(weight_col).cast("bigint") if weight_col else F.lit(1).cast("bigint")
     # 1. distinct values with their weights (map-side combined)
     d = (df.select(*g, v.alias("v"), w.alias("w")).filter(F.col("v").isNotNull())
          .groupBy(*g, "v").agg(F.sum("w").alias("w")).filter(F.col("w") > 0))
     if buckets <= 1:
-        return _pick(_positions_single(d, g), g, quantiles)
+        return _pick(_positions_single(d, g), g, quantiles, is_decimal)
     # 2. bucket bounds per group from approximate quantiles of the distinct values
     cuts = [i / buckets for i in range(1, buckets)]
     bounds = d.groupBy(*g).agg(
@@ -72,7 +76,7 @@ def exact_percentiles(df: DataFrame, group_cols: list[str], value_col: str,
           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     d = d.withColumn("_hi", F.col("_off") + F.sum("w").over(wb)) \
          .withColumn("_lo", F.col("_hi") - F.col("w"))
-    return _pick(d, g, quantiles)
+    return _pick(d, g, quantiles, is_decimal)
 
 
 def _positions_single(d: DataFrame, g: list[str]) -> DataFrame:
@@ -84,11 +88,21 @@ def _positions_single(d: DataFrame, g: list[str]) -> DataFrame:
             .withColumn("_lo", F.col("_hi") - F.col("w")))
 
 
-def _pick(d: DataFrame, g: list[str], quantiles: list[float]) -> DataFrame:
-    """Pick x[floor(k)] and x[floor(k)+1] for each quantile and interpolate."""
+def _pick(d: DataFrame, g: list[str], quantiles: list[float],
+          is_decimal: bool = False) -> DataFrame:
+    """Pick x[floor(k)] and x[floor(k)+1] for each quantile and interpolate.
+
+    Decimal values interpolate in exact decimal arithmetic (k and its
+    fraction too) and are cast to double once, so the result is the correctly
+    rounded value. Double values use numpy's two-sided linear interpolation
+    (x0 + d t below t = 0.5, x1 - d (1 - t) from there), bit for bit.
+    """
     aggs = [F.max("_n").alias("n")]
     for i, q in enumerate(quantiles):
-        k = F.lit(float(q)) * (F.col("_n") - 1).cast("double")
+        if is_decimal:
+            k = F.lit(Decimal(repr(float(q)))) * (F.col("_n") - 1).cast("decimal(20,0)")
+        else:
+            k = F.lit(float(q)) * (F.col("_n") - 1).cast("double")
         i0 = F.floor(k)
         i1 = F.least(i0 + 1, F.col("_n") - 1)
         aggs.append(F.max(F.when((F.col("_lo") <= i0) & (i0 < F.col("_hi")), F.col("v")))
@@ -100,5 +114,10 @@ def _pick(d: DataFrame, g: list[str], quantiles: list[float]) -> DataFrame:
     outs = []
     for i in range(len(quantiles)):
         x0, x1, t = F.col(f"_x0_{i}"), F.col(f"_x1_{i}"), F.col(f"_t_{i}")
-        outs.append((x0 + (x1 - x0) * t).alias(f"p_{i}"))
+        if is_decimal:
+            val = (x0 + (x1 - x0) * t).cast("double")
+        else:
+            diff = x1 - x0
+            val = F.when(t < 0.5, x0 + diff * t).otherwise(x1 - diff * (F.lit(1.0) - t))
+        outs.append(val.alias(f"p_{i}"))
     return res.select(*g, *outs, "n")

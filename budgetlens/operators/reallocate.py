@@ -30,39 +30,53 @@ def _reason(u_util: Column, o_util: Column) -> Column:
                     F.lit("%) to overburdened ("), fixed1(o_util), F.lit("%) scheme"))
 
 
+def _ranked(groups: DataFrame, under_threshold: float, over_threshold: float,
+            partition: list[str], n: int) -> DataFrame:
+    """Both candidate lists from one pass over the grouped rows: each group is
+    'under' or 'over' (never both), ranked inside (partition, side) by surplus
+    or deficit, top ``n`` kept. ``row_number() <= n`` plans as a
+    ``WindowGroupLimit`` before the shuffle, so only ``n`` rows per side (and
+    partition key) per map task move."""
+    side = (F.when(F.col("utilization") < F.lit(float(under_threshold)), F.lit("under"))
+            .when(F.col("utilization") > F.lit(float(over_threshold)), F.lit("over")))
+    key = F.when(F.col("side") == "under", F.col("surplus")).otherwise(F.col("deficit"))
+    others = [k for k in SCHEME_KEYS if k not in partition]
+    w = Window.partitionBy(*partition, "side").orderBy(F.col("_key").desc_nulls_last(), *others)
+    return (groups.withColumn("side", side).filter(F.col("side").isNotNull())
+            .withColumn("_key", key)
+            .withColumn("rank", F.row_number().over(w))
+            .filter(F.col("rank") <= n))
+
+
+def _pairs(ranked: DataFrame, partition: list[str]) -> DataFrame:
+    """Zip the two lists on rank (within ``partition``): one group-by on the
+    rank, one struct per side; ranks missing on either side drop out."""
+    fields = ["State", "District", "Department", "Scheme_Name", "utilization",
+              "surplus", "deficit"]
+    pick = {s: F.max(F.when(F.col("side") == s, F.struct(*fields))).alias(s)
+            for s in ("under", "over")}
+    return (ranked.groupBy(*partition, "rank").agg(pick["under"], pick["over"])
+            .filter(F.col("under").isNotNull() & F.col("over").isNotNull()))
+
+
 def reallocate(f: DataFrame, under_threshold: float = S.UNDER_UTILIZATION,
                over_threshold: float = S.OVER_UTILIZATION,
                n: int = S.REALLOCATION_CANDIDATES) -> DataFrame:
     """The reference's pairing: rank i of the top-``n`` under-utilised list
     with rank i of the top-``n`` over-utilised list, kept only when both are
-    the same Department (J1). Both lists come from one shared grouping.
-
-    ``row_number`` without a partition runs only after each ``limit(n)``, on at
-    most ``n`` rows.
-    """
-    groups = scheme_groups(f)
-    under = (groups.filter(F.col("utilization") < F.lit(float(under_threshold)))
-             .orderBy(F.col("surplus").desc_nulls_last(), *SCHEME_KEYS).limit(n))
-    over = (groups.filter(F.col("utilization") > F.lit(float(over_threshold)))
-            .orderBy(F.col("deficit").desc_nulls_last(), *SCHEME_KEYS).limit(n))
-    w_u = Window.orderBy(F.col("surplus").desc_nulls_last(), *SCHEME_KEYS)
-    w_o = Window.orderBy(F.col("deficit").desc_nulls_last(), *SCHEME_KEYS)
-    u = under.select(*[F.col(c).alias(f"u_{c}") for c in under.columns],
-                     F.row_number().over(w_u).alias("rank"))
-    o = over.select(*[F.col(c).alias(f"o_{c}") for c in over.columns],
-                    F.row_number().over(w_o).alias("rank"))
-    pairs = u.join(o, (u["rank"] == o["rank"]) &
-                   (F.col("u_Department") == F.col("o_Department"))).drop(o["rank"])
-    return pairs.select(
+    the same Department (J1). One aggregation, one ranking, no join."""
+    pairs = _pairs(_ranked(scheme_groups(f), under_threshold, over_threshold, [], n), [])
+    u, o = F.col("under"), F.col("over")
+    return pairs.filter(u["Department"] == o["Department"]).select(
         F.col("rank").cast("int").alias("rank"),
-        location("u_District", "u_State").alias("from_location"),
-        location("o_District", "o_State").alias("to_location"),
-        F.col("u_Department").alias("department"),
-        F.col("u_Scheme_Name").alias("scheme"),
-        F.concat(fixed1("u_utilization"), F.lit("%")).alias("current_utilization_from"),
-        F.concat(fixed1("o_utilization"), F.lit("%")).alias("current_utilization_to"),
-        _amount(F.col("u_surplus"), F.col("o_deficit")).alias("suggested_amount_cr"),
-        _reason(F.col("u_utilization"), F.col("o_utilization")).alias("reason"),
+        location(u["District"], u["State"]).alias("from_location"),
+        location(o["District"], o["State"]).alias("to_location"),
+        u["Department"].alias("department"),
+        u["Scheme_Name"].alias("scheme"),
+        F.concat(fixed1(u["utilization"]), F.lit("%")).alias("current_utilization_from"),
+        F.concat(fixed1(o["utilization"]), F.lit("%")).alias("current_utilization_to"),
+        _amount(u["surplus"], o["deficit"]).alias("suggested_amount_cr"),
+        _reason(u["utilization"], o["utilization"]).alias("reason"),
     ).orderBy("rank")
 
 
@@ -71,33 +85,16 @@ def reallocate_within_department(f: DataFrame, k: int = S.REALLOCATION_CANDIDATE
                                  over_threshold: float = S.OVER_UTILIZATION) -> DataFrame:
     """Rank under- and over-utilised schemes inside each Department and
     pair equal ranks, so no pair is lost to a rank mismatch across
-    departments. ``row_number() <= k`` per department plans as a
-    ``WindowGroupLimit`` before the shuffle."""
-    groups = scheme_groups(f)
-    w_u = Window.partitionBy("Department").orderBy(
-        F.col("surplus").desc_nulls_last(), "State", "District", "Scheme_Name")
-    w_o = Window.partitionBy("Department").orderBy(
-        F.col("deficit").desc_nulls_last(), "State", "District", "Scheme_Name")
-    under = (groups.filter(F.col("utilization") < F.lit(float(under_threshold)))
-             .withColumn("rank", F.row_number().over(w_u))
-             .filter(F.col("rank") <= k))
-    over = (groups.filter(F.col("utilization") > F.lit(float(over_threshold)))
-            .withColumn("rank", F.row_number().over(w_o))
-            .filter(F.col("rank") <= k))
-    u = under.select("Department", "rank",
-                     *[F.col(c).alias(f"u_{c}") for c in
-                       ("State", "District", "Scheme_Name", "utilization", "surplus")])
-    o = over.select("Department", "rank",
-                    *[F.col(c).alias(f"o_{c}") for c in
-                      ("State", "District", "Scheme_Name", "utilization", "deficit")])
-    pairs = u.join(o, ["Department", "rank"])
-    return pairs.select(
+    departments."""
+    ranked = _ranked(scheme_groups(f), under_threshold, over_threshold, ["Department"], k)
+    u, o = F.col("under"), F.col("over")
+    return _pairs(ranked, ["Department"]).select(
         "Department", F.col("rank").cast("int").alias("rank"),
-        F.col("u_District").alias("from_district"), F.col("u_State").alias("from_state"),
-        F.col("o_District").alias("to_district"), F.col("o_State").alias("to_state"),
-        F.col("u_Scheme_Name").alias("from_scheme"), F.col("o_Scheme_Name").alias("to_scheme"),
-        F.col("u_utilization").alias("from_utilization"),
-        F.col("o_utilization").alias("to_utilization"),
-        _amount(F.col("u_surplus"), F.col("o_deficit")).alias("suggested_amount"),
-        _reason(F.col("u_utilization"), F.col("o_utilization")).alias("reason"),
+        u["District"].alias("from_district"), u["State"].alias("from_state"),
+        o["District"].alias("to_district"), o["State"].alias("to_state"),
+        u["Scheme_Name"].alias("from_scheme"), o["Scheme_Name"].alias("to_scheme"),
+        u["utilization"].alias("from_utilization"),
+        o["utilization"].alias("to_utilization"),
+        _amount(u["surplus"], o["deficit"]).alias("suggested_amount"),
+        _reason(u["utilization"], o["utilization"]).alias("reason"),
     ).orderBy("Department", "rank")

@@ -487,11 +487,37 @@ ORACLES["profile_numeric"] = _q(f"""
          CAST(MIN(value) AS DOUBLE) AS mn, CAST(MAX(value) AS DOUBLE) AS mx
   FROM long GROUP BY "column"
 )
+-- quartiles by their definition (linear interpolation between order
+-- statistics) in exact decimal arithmetic, cast to DOUBLE once
+, r AS (
+  SELECT "column", value,
+         row_number() OVER (PARTITION BY "column" ORDER BY value) - 1 AS i,
+         COUNT(*) OVER (PARTITION BY "column") AS cnt
+  FROM long WHERE value IS NOT NULL
+)
+, k AS (
+  SELECT DISTINCT "column", cnt,
+         CAST(0.25 AS DECIMAL(3,2)) * (cnt - 1) AS k25,
+         CAST(0.50 AS DECIMAL(3,2)) * (cnt - 1) AS k50,
+         CAST(0.75 AS DECIMAL(3,2)) * (cnt - 1) AS k75
+  FROM r
+)
 , q AS (
-  SELECT "column", quantile_cont(CAST(value AS DOUBLE), 0.25) AS p25,
-         quantile_cont(CAST(value AS DOUBLE), 0.5) AS p50,
-         quantile_cont(CAST(value AS DOUBLE), 0.75) AS p75
-  FROM long GROUP BY "column"
+  SELECT r."column",
+    CAST(max(CASE WHEN i = floor(k25) THEN value END)
+         + (max(CASE WHEN i = least(floor(k25) + 1, k.cnt - 1) THEN value END)
+            - max(CASE WHEN i = floor(k25) THEN value END)) * max(k25 - floor(k25))
+         AS DOUBLE) AS p25,
+    CAST(max(CASE WHEN i = floor(k50) THEN value END)
+         + (max(CASE WHEN i = least(floor(k50) + 1, k.cnt - 1) THEN value END)
+            - max(CASE WHEN i = floor(k50) THEN value END)) * max(k50 - floor(k50))
+         AS DOUBLE) AS p50,
+    CAST(max(CASE WHEN i = floor(k75) THEN value END)
+         + (max(CASE WHEN i = least(floor(k75) + 1, k.cnt - 1) THEN value END)
+            - max(CASE WHEN i = floor(k75) THEN value END)) * max(k75 - floor(k75))
+         AS DOUBLE) AS p75
+  FROM r JOIN k ON r."column" = k."column"
+  GROUP BY r."column"
 )
 SELECT m."column" AS "column", CAST(cnt AS BIGINT) AS count,
        CAST(s1 AS DOUBLE) / CAST(cnt AS DOUBLE) AS mean,
