@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 USER_COLUMNS = ["username", "email", "full_name", "role", "department", "disabled"]
 USER_DDL = ("username string, email string, full_name string, role string, "
@@ -43,9 +42,13 @@ def entitlements_from_facts(f: DataFrame) -> DataFrame:
     return users.unionByName(standing)
 
 
-def _dedupe(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_k", F.row_number().over(w)).filter("_k = 1").drop("_k")
+def _first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """One row per key: the smallest by ``order``. A grouped ``min`` of a
+    struct, combined map-side, so a key repeated on many rows is no hot task."""
+    first = F.min(F.struct(*order, *[c for c in df.columns if c not in keys and c not in order]))
+    picked = df.groupBy(*keys).agg(first.alias("_first"))
+    return picked.select(*keys, *[F.col(f"_first.{c}").alias(c)
+                                  for c in df.columns if c not in keys]).select(*df.columns)
 
 
 def upsert(target: DataFrame, changes: DataFrame, keys: list[str],
@@ -57,7 +60,7 @@ def upsert(target: DataFrame, changes: DataFrame, keys: list[str],
     first (the smallest by all its columns), so a repeated key cannot fan out.
     """
     cols = target.columns
-    changes = _dedupe(changes.select(*cols), keys, [c for c in cols if c not in keys])
+    changes = _first_per_key(changes.select(*cols), keys, [c for c in cols if c not in keys])
     t = target.select(*keys, *[F.col(c).alias(f"_t_{c}") for c in cols if c not in keys],
                       F.lit(True).alias("_in_t"))
     c = changes.select(*keys, *[F.col(x).alias(f"_c_{x}") for x in cols if x not in keys],
@@ -101,20 +104,25 @@ def append_new(target: DataFrame, new: DataFrame, unique: list[str] | None = Non
 
     A row is rejected when any unique column (NULL never clashes) is already in
     ``target``, or repeats inside ``new`` (the first by ``order`` is kept).
-    Each check is a join on one column: existing values by a left join,
-    repeats by ``row_number`` per value.
+    Each check is a join on one column: existing values by a left join on the
+    distinct taken values, repeats by the grouped first row per value joined
+    back (AQE splits a hot value on the probe side).
     """
     unique = unique or ["username", "email"]
     order = order or [c for c in new.columns]
     cand = new.select(*target.columns)
+    rank = F.struct(*order)
+    cand = cand.withColumn("_rank", rank)
     reasons = []
     for col in unique:
         taken = (target.select(F.col(col).alias("_v")).filter(F.col("_v").isNotNull())
                  .distinct().withColumn(f"_taken_{col}", F.lit(True)))
         cand = cand.join(taken, cand[col] == taken["_v"], "left").drop("_v")
-        w = Window.partitionBy(col).orderBy(*order)
-        cand = cand.withColumn(f"_rep_{col}", F.when(
-            F.col(col).isNotNull(), F.row_number().over(w) > 1).otherwise(F.lit(False)))
+        firsts = (cand.filter(F.col(col).isNotNull()).groupBy(col)
+                  .agg(F.min("_rank").alias(f"_first_{col}")))
+        cand = cand.join(firsts, col, "left")
+        cand = cand.withColumn(f"_rep_{col}", F.coalesce(
+            F.col("_rank") != F.col(f"_first_{col}"), F.lit(False)))
         reasons.append(F.when(F.coalesce(F.col(f"_taken_{col}"), F.lit(False)),
                               F.lit(f"{col} already registered")))
         reasons.append(F.when(F.col(f"_rep_{col}"), F.lit(f"{col} repeated in batch")))

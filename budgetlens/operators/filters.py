@@ -105,24 +105,29 @@ def scope_counts(f: DataFrame, entitlements: DataFrame,
                  dataset: str = "anomalies") -> DataFrame:
     """F5 for every user at once: how many rows each user may read.
 
-    Facts are reduced to one row per department first; the entitlement rule is
-    then a join of two small tables (departments x users).
+    Facts are reduced to one row per department first. Department users get
+    their department's count by an equi-join; users who see everything get the
+    total as a scalar subquery (one value), so no user is paired with every
+    department.
     """
     access = DATASET_ACCESS.get(dataset, "admin")
     per_dept = f.groupBy("Department").agg(F.count(F.lit(1)).alias("n"))
+    total = f.agg(F.count(F.lit(1))).scalar()
     users = entitlements.select("username", "role", F.col("department").alias("user_dept"),
                                 F.coalesce(F.col("disabled"), F.lit(False)).alias("disabled"))
+    active = ~F.col("disabled")
     if access == "public":
-        rule = F.lit(True)
+        sees_all, sees_dept = F.lit(True), F.lit(False)
     elif access == "any user":
-        rule = ~F.col("disabled")
+        sees_all, sees_dept = active, F.lit(False)
     elif access == "department":
-        rule = ~F.col("disabled") & (
-            (F.col("role") == "admin") |
-            ((F.col("role") == "department") & (F.col("user_dept") == F.col("Department"))))
+        sees_all = active & (F.col("role") == "admin")
+        sees_dept = active & (F.col("role") == "department")
     else:
-        rule = ~F.col("disabled") & (F.col("role") == "admin")
-    visible = users.join(per_dept, rule, "left")
-    return (visible.groupBy("username").agg(
-        F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("visible_rows"))
-        .orderBy("username"))
+        sees_all, sees_dept = active & (F.col("role") == "admin"), F.lit(False)
+    joined = users.join(per_dept, users["user_dept"] == per_dept["Department"], "left")
+    visible = (F.when(sees_all, total)
+               .when(sees_dept, F.coalesce(F.col("n"), F.lit(0)))
+               .otherwise(F.lit(0)))
+    return (joined.select("username", visible.cast("bigint").alias("visible_rows"))
+            .orderBy("username"))

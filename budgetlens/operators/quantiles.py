@@ -61,7 +61,8 @@ def exact_percentiles(df: DataFrame, group_cols: list[str], value_col: str,
     cuts = [i / buckets for i in range(1, buckets)]
     bounds = d.groupBy(*g).agg(
         F.percentile_approx("v", cuts, accuracy).alias("_b"))
-    d = (d.join(bounds, g) if g else d.crossJoin(bounds))
+    # one bounds row per group: a join on the keys, or one scalar without keys
+    d = d.join(bounds, g) if g else d.withColumn("_b", bounds.select("_b").scalar())
     d = d.withColumn("_bucket", F.size(F.filter("_b", lambda x: x < F.col("v")))) \
          .drop("_b")
     # 3. per-bucket totals -> offsets (at most ``buckets`` rows per group)
