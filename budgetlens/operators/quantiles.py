@@ -13,12 +13,15 @@ between x[floor(k)] and x[floor(k) + 1] at fraction k - floor(k).
 from __future__ import annotations
 
 from decimal import Decimal
+from fractions import Fraction
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from budgetlens.session import checkpoint_dir
+
 
 # Distinct values one window task may sort for one group; beyond it a group's
 # values are cut into buckets of about BUCKET_VALUES values each.
@@ -27,15 +30,15 @@ BUCKET_VALUES = 250_000
 MAX_BUCKETS = 4096
 
 
-def choose_buckets(df: DataFrame, group_cols: list[str], value_col: str) -> int:
-    """Size check: the largest estimated number of distinct values in a group
-    decides how many buckets a group's values are spread over (1 = none)."""
-    est = (df.groupBy(*group_cols).agg(F.approx_count_distinct(value_col).alias("_d"))
-           .agg(F.max("_d")).first()[0]) if group_cols else \
-        df.agg(F.approx_count_distinct(value_col)).first()[0]
-    if not est or est <= MAX_VALUES_PER_TASK:
+def choose_buckets(distinct: DataFrame, group_cols: list[str]) -> int:
+    """Size check on the distinct-value table: the largest number of distinct
+    values in a group decides how many buckets its values are spread over
+    (1 = one sorted window per group)."""
+    most = (distinct.groupBy(*group_cols).count().agg(F.max("count")).first()[0]
+            if group_cols else distinct.count())
+    if not most or most <= MAX_VALUES_PER_TASK:
         return 1
-    return int(min(MAX_BUCKETS, -(-est // BUCKET_VALUES)))
+    return int(min(MAX_BUCKETS, -(-most // BUCKET_VALUES)))
 
 
 def exact_percentiles(df: DataFrame, group_cols: list[str], value_col: str,
@@ -44,17 +47,20 @@ def exact_percentiles(df: DataFrame, group_cols: list[str], value_col: str,
     """One row per group: ``group_cols`` + ``p_<i>`` (double) per quantile + ``n``.
 
     NULL values are ignored (as SQL does); weights are row counts (>= 0).
-    ``buckets=None`` runs ``choose_buckets`` first (one extra pass).
+    With ``buckets=None`` the distinct-value table is checkpointed to the
+    shared folder (computed once, lineage cut) and sized by ``choose_buckets``.
     """
     g = list(group_cols)
-    if buckets is None:
-        buckets = choose_buckets(df, g, value_col)
     is_decimal = isinstance(df.schema[value_col].dataType, T.DecimalType)
     v = F.col(value_col) if is_decimal else F.col(value_col).cast("double")
     w = F.col(weight_col).cast("bigint") if weight_col else F.lit(1).cast("bigint")
     # 1. distinct values with their weights (map-side combined)
     d = (df.select(*g, v.alias("v"), w.alias("w")).filter(F.col("v").isNotNull())
          .groupBy(*g, "v").agg(F.sum("w").alias("w")).filter(F.col("w") > 0))
+    if buckets is None:
+        checkpoint_dir(df.sparkSession)
+        d = d.checkpoint(eager=True)
+        buckets = choose_buckets(d, g)
     if buckets <= 1:
         return _pick(_positions_single(d, g), g, quantiles, is_decimal)
     # 2. bucket bounds per group from approximate quantiles of the distinct values
@@ -81,7 +87,9 @@ def exact_percentiles(df: DataFrame, group_cols: list[str], value_col: str,
 
 
 def _positions_single(d: DataFrame, g: list[str]) -> DataFrame:
-    """Cumulative positions with one ordered window per group (size-checked)."""
+    """Cumulative positions with one ordered window per group. The size check
+    bounds a group to MAX_VALUES_PER_TASK distinct values, so the group total's
+    unbounded frame buffers at most that many rows."""
     wg = Window.partitionBy(*g) if g else Window.partitionBy()
     wc = wg.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (d.withColumn("_hi", F.sum("w").over(wc))
@@ -99,18 +107,30 @@ def _pick(d: DataFrame, g: list[str], quantiles: list[float],
     (x0 + d t below t = 0.5, x1 - d (1 - t) from there), bit for bit.
     """
     aggs = [F.max("_n").alias("n")]
+    covers = F.lit(False)
+    m = F.col("_n") - 1
     for i, q in enumerate(quantiles):
         if is_decimal:
-            k = F.lit(Decimal(repr(float(q)))) * (F.col("_n") - 1).cast("decimal(20,0)")
+            # k = q (n - 1) exactly: with q = num / den, floor(k) and the
+            # fraction are integer arithmetic, the fraction an exact decimal
+            frac = Fraction(Decimal(repr(float(q))))
+            num, den = frac.numerator, frac.denominator
+            i0 = F.expr(f"(_n - 1) * {num} div {den}")
+            t = (F.expr(f"pmod((_n - 1) * {num}, {den})").cast("decimal(20,0)")
+                 / F.lit(Decimal(den)))
         else:
-            k = F.lit(float(q)) * (F.col("_n") - 1).cast("double")
-        i0 = F.floor(k)
-        i1 = F.least(i0 + 1, F.col("_n") - 1)
-        aggs.append(F.max(F.when((F.col("_lo") <= i0) & (i0 < F.col("_hi")), F.col("v")))
-                    .alias(f"_x0_{i}"))
-        aggs.append(F.max(F.when((F.col("_lo") <= i1) & (i1 < F.col("_hi")), F.col("v")))
-                    .alias(f"_x1_{i}"))
-        aggs.append(F.max(k - i0).alias(f"_t_{i}"))
+            k = F.lit(float(q)) * m.cast("double")
+            i0 = F.floor(k).cast("bigint")
+            t = k - i0
+        i1 = F.least(i0 + 1, m)
+        has0 = (F.col("_lo") <= i0) & (i0 < F.col("_hi"))
+        has1 = (F.col("_lo") <= i1) & (i1 < F.col("_hi"))
+        covers = covers | has0 | has1
+        aggs.append(F.max(F.when(has0, F.col("v"))).alias(f"_x0_{i}"))
+        aggs.append(F.max(F.when(has1, F.col("v"))).alias(f"_x1_{i}"))
+        aggs.append(F.max(t).alias(f"_t_{i}"))
+    # only the rows holding a wanted position reach the aggregation
+    d = d.filter(covers)
     res = d.groupBy(*g).agg(*aggs) if g else d.agg(*aggs)
     outs = []
     for i in range(len(quantiles)):
