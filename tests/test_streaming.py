@@ -63,3 +63,24 @@ def test_alert_view_and_unread(spark):
     assert view == ["a3", "a2"]                  # newest, then higher severity
     u = ST.alert_unread(rows).first()
     assert u["unread"] == 2 and u["alerts"] == 3
+
+
+def test_watermark_drops_repeat_alerts(spark):
+    src, sink, ckpt = (scratch_path(spark, n) for n in ("src", "sink", "ckpt"))
+    for k in range(2):  # the same projects arrive in two files
+        rows = [{"Project_ID": f"P{i}", "Utilization_Percentage": Decimal("10.00")}
+                for i in range(2)]
+        make_facts(spark, rows).withColumn(
+            "ingested_at", F.to_timestamp(F.lit(f"2024-01-0{k + 1} 00:00:00"))) \
+            .coalesce(1).write.mode("append").parquet(src)
+    from pyspark.sql import types as T
+
+    from budgetlens.schema import FACT_SCHEMA
+    schema = T.StructType(FACT_SCHEMA.fields + [T.StructField("ingested_at", T.TimestampType())])
+    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src))
+    q = ST.alert_stream(stream, sink, ckpt, available_now=True, event_time="ingested_at",
+                        dedup_delay="7 days")
+    q.awaitTermination()
+    got = ST.read_alerts(spark, sink)
+    assert got.count() == 2                     # second file repeats both projects
+    assert got.select("Project_ID").distinct().count() == 2
