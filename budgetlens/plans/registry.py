@@ -333,9 +333,13 @@ def _alert_unread(spark, d):
 
 @register("alert_stream")
 def _alert_stream(spark, d):
-    # facts arrive as files; the job runs to the end of the available input
+    # facts arrive as files of about 50,000 rows (so the number of
+    # micro-batches depends on the data, not on the session's parallelism);
+    # the job runs to the end of the available input
+    f = facts(spark, d)
+    files = max(1, -(-f.count() // 50_000))
     src = scratch_path(spark, "alert-source")
-    facts(spark, d).write.parquet(src)
+    f.repartitionByRange(files, "Project_ID").write.parquet(src)
     sink, ckpt = scratch_path(spark, "alerts"), scratch_path(spark, "alerts-ckpt")
     q = ST.alert_stream(ST.read_fact_stream(spark, src), sink, ckpt, available_now=True)
     q.awaitTermination()

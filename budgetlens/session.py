@@ -57,6 +57,17 @@ def apply_defaults(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def size_shuffle_partitions(spark: SparkSession, input_bytes: int,
+                            target_bytes: int = 128 << 20, minimum: int | None = None) -> int:
+    """Set ``spark.sql.shuffle.partitions`` so a full shuffle of ``input_bytes``
+    lands near ``target_bytes`` per partition (AQE then coalesces what is
+    smaller and splits skew). Returns the value set."""
+    cores = spark.sparkContext.defaultParallelism
+    n = max(minimum or 2 * cores, -(-int(input_bytes) // int(target_bytes)))
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    return n
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
