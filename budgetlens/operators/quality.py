@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from budgetlens.operators.quantiles import exact_percentiles
 from budgetlens.schema import EXPECTED_COLUMNS
+from budgetlens.session import checkpoint_dir
 
 
 def ingest_stats(f: DataFrame) -> DataFrame:
@@ -99,19 +100,33 @@ def profile_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFram
     """Per numeric column: count, mean, stddev (sample), min, exact
     quartiles (linear interpolation, as pandas ``describe``) and max.
 
-    One pass in long format (column, value). Sums of x and x^2 are exact
-    decimals, so mean and stddev do not depend on partition order; the
-    quartiles come from ``exact_percentiles`` (no single task per column).
+    One scan: the columns are stacked to (column, value) and reduced to one row
+    per distinct value with its count and exact sums (map-side combined),
+    checkpointed to the shared folder. Moments come from that table as exact
+    decimal sums (independent of partition order); the quartiles from
+    ``exact_percentiles`` on the same table (no single task per column beyond
+    the size check).
     """
     columns = columns or numeric_columns(df)
     stack = ", ".join(f"'{c}', CAST(`{c}` AS DECIMAL(18,4))" for c in columns)
     long = df.selectExpr(f"stack({len(columns)}, {stack}) AS (column, value)")
-    moments = long.groupBy("column").agg(
-        F.count("value").alias("count"),
-        F.sum("value").alias("s1"),
-        F.sum(F.col("value") * F.col("value")).alias("s2"),
+    checkpoint_dir(df.sparkSession)
+    # per distinct value: its count and the exact sums of x and x^2 over its
+    # rows (w * x * x would need more than 38 digits and be rounded)
+    distinct = (long.filter(F.col("value").isNotNull()).groupBy("column", "value")
+                .agg(F.count(F.lit(1)).alias("w"), F.sum("value").alias("sx"),
+                     F.sum(F.col("value") * F.col("value")).alias("sxx"))
+                .checkpoint(eager=True))
+    moments = distinct.groupBy("column").agg(
+        F.sum("w").alias("count"),
+        F.sum("sx").alias("s1"),
+        F.sum("sxx").alias("s2"),
         F.min("value").cast("double").alias("min"),
         F.max("value").cast("double").alias("max"))
+    # columns that are NULL everywhere still get their row (count 0)
+    names = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    moments = names.join(moments, "column", "left").withColumn(
+        "count", F.coalesce(F.col("count"), F.lit(0)).cast("bigint"))
     n = F.col("count").cast("double")
     s1, s2 = F.col("s1").cast("double"), F.col("s2").cast("double")
     moments = moments.select(
@@ -119,7 +134,8 @@ def profile_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFram
         F.sqrt(F.try_divide(s2 - s1 * s1 / n, n - F.lit(1.0))).alias("std"),
         "min", "max")
     # quartiles on the decimal values: exact interpolation, one rounding
-    q = exact_percentiles(long, ["column"], "value", [0.25, 0.5, 0.75]).select(
+    q = exact_percentiles(distinct, ["column"], "value", [0.25, 0.5, 0.75],
+                          weight_col="w", prepared=True).select(
         "column", F.col("p_0").alias("p25"), F.col("p_1").alias("p50"),
         F.col("p_2").alias("p75"))
     return (moments.join(q, "column", "left")

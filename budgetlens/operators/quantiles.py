@@ -43,21 +43,29 @@ def choose_buckets(distinct: DataFrame, group_cols: list[str]) -> int:
 
 def exact_percentiles(df: DataFrame, group_cols: list[str], value_col: str,
                       quantiles: list[float], weight_col: str | None = None,
-                      buckets: int | None = None, accuracy: int = 10_000) -> DataFrame:
+                      buckets: int | None = None, accuracy: int = 10_000,
+                      prepared: bool = False) -> DataFrame:
     """One row per group: ``group_cols`` + ``p_<i>`` (double) per quantile + ``n``.
 
     NULL values are ignored (as SQL does); weights are row counts (>= 0).
     With ``buckets=None`` the distinct-value table is checkpointed to the
     shared folder (computed once, lineage cut) and sized by ``choose_buckets``.
+    ``prepared=True`` says ``df`` already is that table (one row per group and
+    value, positive weights, materialised), so both steps are skipped.
     """
     g = list(group_cols)
     is_decimal = isinstance(df.schema[value_col].dataType, T.DecimalType)
     v = F.col(value_col) if is_decimal else F.col(value_col).cast("double")
     w = F.col(weight_col).cast("bigint") if weight_col else F.lit(1).cast("bigint")
     # 1. distinct values with their weights (map-side combined)
-    d = (df.select(*g, v.alias("v"), w.alias("w")).filter(F.col("v").isNotNull())
-         .groupBy(*g, "v").agg(F.sum("w").alias("w")).filter(F.col("w") > 0))
-    if buckets is None:
+    if prepared:
+        d = df.select(*g, v.alias("v"), w.alias("w")).filter(F.col("v").isNotNull())
+    else:
+        d = (df.select(*g, v.alias("v"), w.alias("w")).filter(F.col("v").isNotNull())
+             .groupBy(*g, "v").agg(F.sum("w").alias("w")).filter(F.col("w") > 0))
+    if buckets is None and prepared:
+        buckets = choose_buckets(d, g)
+    elif buckets is None:
         checkpoint_dir(df.sparkSession)
         d = d.checkpoint(eager=True)
         buckets = choose_buckets(d, g)
