@@ -15,7 +15,7 @@ from budgetlens.functions.bands import tagged
 from budgetlens.functions.numeric import to_output
 from budgetlens.operators.forest import feature_rows, fit_forest, score_points
 from budgetlens.operators.quantiles import exact_percentiles
-from budgetlens.session import checkpoint_dir
+from budgetlens.session import materialize
 
 GATE_MESSAGE = "Not enough data for ML detection"
 
@@ -55,16 +55,15 @@ def scored_points(f: DataFrame, contamination: float = S.FOREST_CONTAMINATION,
     """M1 + M3 + M4 on distinct points: (Department, x0, x1, n, anomaly_score,
     threshold, is_anomaly) for every eligible department.
 
-    The scored points are checkpointed to the shared folder: the percentile and
-    the flag both read them, and the Python scoring should not run twice.
+    The scored points are written to the shared folder and read back: the
+    percentile and the flag both read them, and the Python scoring runs once.
     """
     rows = feature_rows(f)
     counts = department_counts(f).filter(F.col("total") >= min_rows)
     model = fit_forest(rows, counts, trees=trees, max_samples=max_samples, seed=seed)
     points = (rows.groupBy("Department", "x0", "x1").agg(F.count(F.lit(1)).alias("n"))
               .join(counts.select("Department"), "Department", "left_semi"))
-    checkpoint_dir(f.sparkSession)
-    scored = score_points(points, model).checkpoint(eager=True)
+    scored = materialize(score_points(points, model), "forest-scores")
     return flag_by_contamination(scored, ["Department"], "anomaly_score",
                                  contamination, weight_col="n")
 

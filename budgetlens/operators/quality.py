@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from budgetlens.operators.quantiles import exact_percentiles
 from budgetlens.schema import EXPECTED_COLUMNS
-from budgetlens.session import checkpoint_dir
+from budgetlens.session import materialize
 
 
 def ingest_stats(f: DataFrame) -> DataFrame:
@@ -102,7 +102,7 @@ def profile_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFram
 
     One scan: the columns are stacked to (column, value) and reduced to one row
     per distinct value with its count and exact sums (map-side combined),
-    checkpointed to the shared folder. Moments come from that table as exact
+    written to the shared folder. Moments come from that table as exact
     decimal sums (independent of partition order); the quartiles from
     ``exact_percentiles`` on the same table (no single task per column beyond
     the size check).
@@ -110,13 +110,12 @@ def profile_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFram
     columns = columns or numeric_columns(df)
     stack = ", ".join(f"'{c}', CAST(`{c}` AS DECIMAL(18,4))" for c in columns)
     long = df.selectExpr(f"stack({len(columns)}, {stack}) AS (column, value)")
-    checkpoint_dir(df.sparkSession)
     # per distinct value: its count and the exact sums of x and x^2 over its
     # rows (w * x * x would need more than 38 digits and be rounded)
-    distinct = (long.filter(F.col("value").isNotNull()).groupBy("column", "value")
-                .agg(F.count(F.lit(1)).alias("w"), F.sum("value").alias("sx"),
-                     F.sum(F.col("value") * F.col("value")).alias("sxx"))
-                .checkpoint(eager=True))
+    distinct = materialize(
+        long.filter(F.col("value").isNotNull()).groupBy("column", "value")
+        .agg(F.count(F.lit(1)).alias("w"), F.sum("value").alias("sx"),
+             F.sum(F.col("value") * F.col("value")).alias("sxx")), "profile-values")
     moments = distinct.groupBy("column").agg(
         F.sum("w").alias("count"),
         F.sum("sx").alias("s1"),

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from budgetlens.session import checkpoint_dir
+from budgetlens.session import materialize
 
 
 # Distinct values one window task may sort for one group; beyond it a group's
@@ -48,8 +48,8 @@ def exact_percentiles(df: DataFrame, group_cols: list[str], value_col: str,
     """One row per group: ``group_cols`` + ``p_<i>`` (double) per quantile + ``n``.
 
     NULL values are ignored (as SQL does); weights are row counts (>= 0).
-    With ``buckets=None`` the distinct-value table is checkpointed to the
-    shared folder (computed once, lineage cut) and sized by ``choose_buckets``.
+    With ``buckets=None`` the distinct-value table is written to the shared
+    folder (computed once, lineage cut) and sized by ``choose_buckets``.
     ``prepared=True`` says ``df`` already is that table (one row per group and
     value, positive weights, materialised), so both steps are skipped.
     """
@@ -66,8 +66,7 @@ def exact_percentiles(df: DataFrame, group_cols: list[str], value_col: str,
     if buckets is None and prepared:
         buckets = choose_buckets(d, g)
     elif buckets is None:
-        checkpoint_dir(df.sparkSession)
-        d = d.checkpoint(eager=True)
+        d = materialize(d, "distinct-values")
         buckets = choose_buckets(d, g)
     if buckets <= 1:
         return _pick(_positions_single(d, g), g, quantiles, is_decimal)

@@ -90,3 +90,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique path under the shared checkpoint folder."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df, name: str):
+    """Cut lineage by writing ``df`` as Parquet under the shared checkpoint
+    folder and reading it back: one job (``checkpoint()`` on an unpersisted
+    plan computes it twice), executor loss after this point never recomputes
+    the inputs, and later reads get Parquet statistics and column pruning."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
