@@ -11,15 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def dsum(col: str | Column) -> Column:
-    """Exact decimal sum (kept decimal for later arithmetic)."""
-    return F.sum(col)
-
-
-def as_double(col: str | Column) -> Column:
-    return (F.col(col) if isinstance(col, str) else col).cast("double")
-
-
 def mean(sum_col: Column, count_col: Column) -> Column:
     """Row mean from an exact sum and a non-null count; NULL when count is 0."""
     return F.try_divide(sum_col.cast("double"), count_col.cast("double"))

@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-USER_COLUMNS = ["username", "email", "full_name", "role", "department", "disabled"]
 USER_DDL = ("username string, email string, full_name string, role string, "
             "department string, disabled boolean")
 

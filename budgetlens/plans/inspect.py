@@ -22,12 +22,6 @@ def plan_text(df: DataFrame, mode: str = "formatted") -> str:
     return buf.getvalue()
 
 
-def final_plan_text(df: DataFrame) -> str:
-    """The adaptive plan after execution (runs the query once)."""
-    df.write.format("noop").mode("overwrite").save()
-    return plan_text(df)
-
-
 def pushed_filters(df: DataFrame) -> list[str]:
     return re.findall(r"PushedFilters: \[(.*)\]", plan_text(df))
 

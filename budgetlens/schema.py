@@ -35,8 +35,6 @@ FACT_COLUMNS = [f.name for f in FACT_SCHEMA.fields]
 # Columns the CSV profiler expects, in its order.
 EXPECTED_COLUMNS = ["Year", "Quarter", "Month", "State", "District", "Ministry",
                     "Department", "Scheme_Name", "Allocated_Budget_Cr"]
-# Anomaly tag values named by the reference's dataset description.
-ANOMALY_TAGS = ["Normal", "Underspending", "Overspending", "Delayed Release", "High Risk"]
 # The tag that means "no anomaly" in the SQL reports (case-sensitive compare).
 NORMAL_TAG = "Normal"
 # Report thresholds and caps, as the reference's endpoints default them.

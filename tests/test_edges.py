@@ -199,3 +199,14 @@ def test_department_filter_on_layout_is_a_partition_filter(spark, small_facts):
     plan = small_facts.filter(F.col("Department") == "PROMO")._jdf.queryExecution() \
         .executedPlan().toString()
     assert "PartitionFilters: [isnotnull(Department" in plan
+
+
+def test_session_sizing_helpers(spark):
+    from budgetlens.session import apply_defaults, size_shuffle_partitions
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        assert size_shuffle_partitions(spark, 10 * (128 << 20)) >= 10
+        assert size_shuffle_partitions(spark, 1) == 2 * spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert apply_defaults(spark).conf.get("spark.sql.adaptive.enabled") == "true"
