@@ -101,3 +101,12 @@ def materialize(df, name: str):
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def broadcast_if_small(df, max_rows: int = 100_000):
+    """``broadcast(df)`` only when a count proves it has at most ``max_rows``
+    rows; otherwise ``df`` unchanged, and the planner picks the join (a
+    sort-merge or shuffled hash join beyond the broadcast threshold)."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -7,10 +7,10 @@ one fact per line item, joined to its order, customer, nation and part.
 Plan shape at scale: the order-level dimension (orders ⋈ customer ⋈ nation) is
 built first, so the line-item side joins once on ``o_orderkey`` (shuffled hash
 join, see below) and once on ``p_partkey``. Only ``nation`` is broadcast
-explicitly (25 rows by the TPC-H definition); customer and part are left to
-the optimizer, which broadcasts them only when their measured size is under
-``autoBroadcastJoinThreshold`` and otherwise plans a sort-merge join (AQE
-splits skewed partitions).
+explicitly (25 rows by the TPC-H definition, and a count checks it before the
+hint); customer and part are left to the optimizer, which broadcasts them only
+when their measured size is under ``autoBroadcastJoinThreshold`` and otherwise
+plans a sort-merge join (AQE splits skewed partitions).
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from budgetlens.schema import FACT_COLUMNS, FACT_SCHEMA
-from budgetlens.session import scratch_path
+from budgetlens.session import broadcast_if_small, scratch_path
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,7 +40,7 @@ def facts_from_tables(lineitem: DataFrame, orders: DataFrame, customer: DataFram
         orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
         .join(customer.select("c_custkey", "c_nationkey"),
               F.col("o_custkey") == F.col("c_custkey"))
-        .join(F.broadcast(nation.select("n_nationkey", "n_name")),
+        .join(broadcast_if_small(nation.select("n_nationkey", "n_name"), 10_000),
               F.col("c_nationkey") == F.col("n_nationkey"))
         .select("o_orderkey", "o_orderdate", "o_orderpriority", "n_name",
                 (F.col("c_custkey") % 7).cast("int").alias("k7"))
