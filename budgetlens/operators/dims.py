@@ -109,22 +109,22 @@ def append_new(target: DataFrame, new: DataFrame, unique: list[str] | None = Non
     """
     unique = unique or ["username", "email"]
     order = order or [c for c in new.columns]
-    cand = new.select(*target.columns)
-    rank = F.struct(*order)
-    cand = cand.withColumn("_rank", rank)
+    base = new.select(*target.columns).withColumn("_rank", F.struct(*order))
+    cand = base
     reasons = []
+    # every check is derived from the same base batch and joined once, so the
+    # plan holds one copy of the batch per check, not one per earlier check
     for col in unique:
-        taken = (target.select(F.col(col).alias("_v")).filter(F.col("_v").isNotNull())
+        taken = (target.select(F.col(col).alias(col)).filter(F.col(col).isNotNull())
                  .distinct().withColumn(f"_taken_{col}", F.lit(True)))
-        cand = cand.join(taken, cand[col] == taken["_v"], "left").drop("_v")
-        firsts = (cand.filter(F.col(col).isNotNull()).groupBy(col)
+        firsts = (base.filter(F.col(col).isNotNull()).groupBy(col)
                   .agg(F.min("_rank").alias(f"_first_{col}")))
-        cand = cand.join(firsts, col, "left")
-        cand = cand.withColumn(f"_rep_{col}", F.coalesce(
-            F.col("_rank") != F.col(f"_first_{col}"), F.lit(False)))
+        cand = cand.join(taken, col, "left").join(firsts, col, "left")
         reasons.append(F.when(F.coalesce(F.col(f"_taken_{col}"), F.lit(False)),
                               F.lit(f"{col} already registered")))
-        reasons.append(F.when(F.col(f"_rep_{col}"), F.lit(f"{col} repeated in batch")))
+        reasons.append(F.when(F.coalesce(F.col("_rank") != F.col(f"_first_{col}"),
+                                         F.lit(False)),
+                              F.lit(f"{col} repeated in batch")))
     cand = cand.withColumn("reasons", F.filter(F.array(*reasons), lambda x: x.isNotNull()))
     accepted = cand.filter(F.size("reasons") == 0).select(*target.columns)
     rejected = cand.filter(F.size("reasons") > 0).select(
