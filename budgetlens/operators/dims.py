@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from budgetlens.session import materialize
+
 USER_DDL = ("username string, email string, full_name string, role string, "
             "department string, disabled boolean")
 
@@ -105,7 +107,8 @@ def append_new(target: DataFrame, new: DataFrame, unique: list[str] | None = Non
     ``target``, or repeats inside ``new`` (the first by ``order`` is kept).
     Each check is a join on one column: existing values by a left join on the
     distinct taken values, repeats by the grouped first row per value joined
-    back (AQE splits a hot value on the probe side).
+    back (AQE splits a hot value on the probe side). The checked batch is
+    written once to the shared folder; both outputs read it.
     """
     unique = unique or ["username", "email"]
     order = order or [c for c in new.columns]
@@ -125,7 +128,10 @@ def append_new(target: DataFrame, new: DataFrame, unique: list[str] | None = Non
         reasons.append(F.when(F.coalesce(F.col("_rank") != F.col(f"_first_{col}"),
                                          F.lit(False)),
                               F.lit(f"{col} repeated in batch")))
-    cand = cand.withColumn("reasons", F.filter(F.array(*reasons), lambda x: x.isNotNull()))
+    # two outputs from one checked batch: write it once, split the written rows
+    cand = materialize(cand.withColumn("reasons", F.filter(F.array(*reasons),
+                                                           lambda x: x.isNotNull()))
+                       .drop("_rank"), "append-checked")
     accepted = cand.filter(F.size("reasons") == 0).select(*target.columns)
     rejected = cand.filter(F.size("reasons") > 0).select(
         *target.columns, F.array_join("reasons", "; ").alias("reason"))

@@ -78,10 +78,10 @@ def validate_rows(f: DataFrame, min_year: int = 1900,
     negative; utilization not negative; Year in range; Project_ID unique.
     Duplicates are found by a grouped count (map-side combined, so a key
     repeated on a third of the rows is no hot task) joined back on the key.
-    To write both outputs, ``materialize`` the checked rows first so they are
-    computed once.
+    The checked rows are written once to the shared folder; both outputs read
+    them.
     """
-    checked = _checked(f, min_year, max_year)
+    checked = materialize(_checked(f, min_year, max_year), "checked-facts")
     good = checked.filter(F.size("reasons") == 0).drop("reasons")
     bad = checked.filter(F.size("reasons") > 0)
     return good, bad
