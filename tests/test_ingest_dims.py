@@ -137,3 +137,20 @@ def test_entitlements_from_facts(spark, small_facts):
     roles = {r["role"]: r["n"] for r in ents.groupBy("role").agg(F.count("*").alias("n"))
              .collect()}
     assert roles == {"department": 6, "admin": 2, "public": 1}
+
+
+def test_read_budget_many_files_and_globs(spark):
+    import os
+    path = _csv(spark, "Project_ID,Year\nA1,2021\nA2,2022\n")
+    local = path[len("file:"):] if path.startswith("file:") else path
+    with open(f"{local}/more.csv", "w") as fh:
+        fh.write("Project_ID,Year\nB1,2023\n")
+    with open(f"{local}/notes.txt", "w") as fh:          # not a CSV: skipped
+        fh.write("Project_ID,Year\nX,1\n")
+    os.makedirs(f"{local}/sub")
+    with open(f"{local}/sub/late.csv", "w") as fh:
+        fh.write("Project_ID,Year\nC1,2024\n")
+    df = read_budget(spark, [path, f"{path}/sub/*.csv"], with_source=True)
+    got = {r["Project_ID"]: (r["Year"], r["Source_File"]) for r in df.collect()}
+    assert got == {"A1": (2021, "budget.csv"), "A2": (2022, "budget.csv"),
+                   "B1": (2023, "more.csv"), "C1": (2024, "late.csv")}
