@@ -69,6 +69,7 @@ def c_factor(n):
 def grow_tree(X: np.ndarray, rng: np.random.Generator, max_depth: int):
     """One isolation tree over the rows of X; returns node arrays."""
     feature, threshold, left, right, value = [], [], [], [], []
+    c_of = c_factor(np.arange(X.shape[0] + 1)).tolist()   # leaf sizes <= rows
 
     def new_node():
         feature.append(-1)
@@ -84,13 +85,13 @@ def grow_tree(X: np.ndarray, rng: np.random.Generator, max_depth: int):
         node, idx, depth = stack.pop()
         n = idx.shape[0]
         if depth >= max_depth or n <= 1:
-            value[node] = depth + float(c_factor(n))
+            value[node] = depth + c_of[n]
             continue
         sub = X[idx]
         lo, hi = sub.min(axis=0), sub.max(axis=0)
         candidates = np.flatnonzero(hi > lo)
         if candidates.size == 0:
-            value[node] = depth + float(c_factor(n))
+            value[node] = depth + c_of[n]
             continue
         f = int(candidates[rng.integers(candidates.size)])
         t = float(rng.uniform(lo[f], hi[f]))
