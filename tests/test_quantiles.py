@@ -49,3 +49,17 @@ def test_property_unweighted(spark, values, q):
     df = spark.createDataFrame([(float(v),) for v in values], "v double")
     r = exact_percentiles(df, [], "v", [q], buckets=3).first()
     assert r["p_0"] == pytest.approx(float(np.percentile(values, q * 100)), abs=1e-9)
+
+
+def test_size_check_switches_to_buckets(spark, monkeypatch):
+    from budgetlens.operators import quantiles as QQ
+    monkeypatch.setattr(QQ, "MAX_VALUES_PER_TASK", 10)
+    monkeypatch.setattr(QQ, "BUCKET_VALUES", 8)
+    rng = np.random.default_rng(5)
+    vals = rng.integers(0, 500, size=300).astype(float)
+    df = spark.createDataFrame([("g", float(v)) for v in vals], "g string, v double")
+    d = df.groupBy("g", "v").count()
+    assert QQ.choose_buckets(d, ["g"]) > 1
+    r = exact_percentiles(df, ["g"], "v", [0.1, 0.5, 0.9]).first()
+    for i, q in enumerate([0.1, 0.5, 0.9]):
+        assert r[f"p_{i}"] == pytest.approx(float(np.percentile(vals, q * 100)), abs=1e-12)
