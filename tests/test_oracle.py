@@ -1,6 +1,7 @@
 """Every registered query against its DuckDB oracle (values and types), and the
-rows-only keys for a stable schema. Runs at sf0.001 for speed; tools/compare.py
-runs the same check at sf0.01."""
+rows-only keys for a stable schema. Runs at sf0.001 for speed; set
+BUDGETLENS_ORACLE_DIR=/root/testdata/sf0.01 for the driver's scale
+(tools/compare.py runs the same check as a script)."""
 
 from __future__ import annotations
 
@@ -10,9 +11,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
-from tests.conftest import SF_SMALL
+from tests.conftest import SF_SMALL as _SF_DEFAULT
 from tools.compare import TABLES, rows_of, type_class
 
+SF_SMALL = os.environ.get("BUDGETLENS_ORACLE_DIR", _SF_DEFAULT)
 QUERIES = E.queries()
 ORACLES = E.oracle_sql()
 
