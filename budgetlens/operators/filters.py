@@ -112,7 +112,7 @@ def scope_counts(f: DataFrame, entitlements: DataFrame,
     """
     access = DATASET_ACCESS.get(dataset, "admin")
     per_dept = f.groupBy("Department").agg(F.count(F.lit(1)).alias("n"))
-    total = f.agg(F.count(F.lit(1))).scalar()
+    total = per_dept.agg(F.sum("n")).scalar()   # shares the per-department exchange
     users = entitlements.select("username", "role", F.col("department").alias("user_dept"),
                                 F.coalesce(F.col("disabled"), F.lit(False)).alias("disabled"))
     active = ~F.col("disabled")
