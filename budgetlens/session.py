@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -68,11 +69,32 @@ def size_shuffle_partitions(spark: SparkSession, input_bytes: int,
     return n
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers once per application (a zip
+    through ``addPyFile``), so that functions that run there can import it
+    even where only the driver's ``sys.path`` names it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_budgetlens_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    # the driver's file server hands the zip to each executor
+    path = os.path.join(tempfile.mkdtemp(prefix="budgetlens-src-"), "budgetlens-src.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(path)
+    sc._budgetlens_shipped = True
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Read from the session; only when it is unset (local tests) a fresh local
-    folder is created and registered.
+    Read from the session. Where it is unset, a ``local[...]`` master (tests)
+    gets a fresh local folder; any other master raises, because a machine-local
+    folder is not shared between driver and executors.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -80,10 +102,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
-    if conf_dir:
-        sc.setCheckpointDir(conf_dir)
-        return sc.getCheckpointDir()
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="budgetlens-ckpt-"))
+    if not conf_dir:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all "
+                               "executors share")
+        conf_dir = tempfile.mkdtemp(prefix="budgetlens-ckpt-")
+    sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir()
 
 
