@@ -3,12 +3,13 @@ DuckDB SQL where SQL expresses them."""
 
 from __future__ import annotations
 
-from budgetlens.llm import chat
+from budgetlens.llm import chat, editcount
 from budgetlens.llm.bpe import op8_byte_bpe
 
 LLM_QUERIES = {
     "op5_chat_format": chat.op5_chat_format,
     "op8_byte_bpe": op8_byte_bpe,
+    "op10_edit_counts": editcount.op10_edit_counts,
 }
 LLM_ORACLES: dict[str, str] = {
     "op5_chat_format": chat.ORACLE,
