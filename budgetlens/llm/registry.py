@@ -3,12 +3,13 @@ DuckDB SQL where SQL expresses them."""
 
 from __future__ import annotations
 
-from budgetlens.llm import chat, editcount, mixing
+from budgetlens.llm import chat, editcount, langid, mixing
 from budgetlens.llm.bpe import op8_byte_bpe
 
 LLM_QUERIES = {
     "op5_chat_format": chat.op5_chat_format,
     "op4_mixing": mixing.op4_mixing,
+    "op6_language_id": langid.op6_language_id,
     "op8_byte_bpe": op8_byte_bpe,
     "op10_edit_counts": editcount.op10_edit_counts,
 }
