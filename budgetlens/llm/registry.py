@@ -3,17 +3,19 @@ DuckDB SQL where SQL expresses them."""
 
 from __future__ import annotations
 
-from budgetlens.llm import chat, editcount, langid, mixing
+from budgetlens.llm import chat, editcount, langid, mixing, superminhash
 from budgetlens.llm.bpe import op8_byte_bpe
 
 LLM_QUERIES = {
     "op5_chat_format": chat.op5_chat_format,
+    "op3_superminhash": superminhash.op3_superminhash,
     "op4_mixing": mixing.op4_mixing,
     "op6_language_id": langid.op6_language_id,
     "op8_byte_bpe": op8_byte_bpe,
     "op10_edit_counts": editcount.op10_edit_counts,
 }
 LLM_ORACLES: dict[str, str] = {
+    "op3_superminhash": superminhash.op3_superminhash,
     "op4_mixing": mixing.ORACLE,
     "op5_chat_format": chat.ORACLE,
 }
