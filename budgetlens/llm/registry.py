@@ -3,11 +3,12 @@ DuckDB SQL where SQL expresses them."""
 
 from __future__ import annotations
 
-from budgetlens.llm import chat, editcount, langid, mixing, superminhash
+from budgetlens.llm import anntree, chat, editcount, langid, mixing, superminhash
 from budgetlens.llm.bpe import op8_byte_bpe
 
 LLM_QUERIES = {
     "op5_chat_format": chat.op5_chat_format,
+    "op2_ann_tree": anntree.op2_ann_tree,
     "op3_superminhash": superminhash.op3_superminhash,
     "op4_mixing": mixing.op4_mixing,
     "op6_language_id": langid.op6_language_id,
@@ -15,6 +16,7 @@ LLM_QUERIES = {
     "op10_edit_counts": editcount.op10_edit_counts,
 }
 LLM_ORACLES: dict[str, str] = {
+    "op2_ann_tree": anntree.op2_ann_tree,
     "op3_superminhash": superminhash.op3_superminhash,
     "op4_mixing": mixing.ORACLE,
     "op5_chat_format": chat.ORACLE,
