@@ -14,8 +14,8 @@ force, and visits widen until ``RECALL`` of them lie in visited leaves.
 Rows are dealt by leaf into bins of about ``BIN`` rows (neighbouring leaves
 share a bin, a large leaf is split by a hash of the id) and queries go to the
 bins of their leaves; a hot bin's queries are split into blocks. A task
-compares one block of queries with one bin and returns the best of it; scores
-are sums in double precision in the order of the components.
+compares one block of queries with the leaves of one bin that they visit and
+returns the best; scores are sums in double precision in the order of the components.
 
 Defined cases: rows whose id or vector is null, whose vector is zero, holds a
 null or non-finite component or has another length than most (ties: the
@@ -257,27 +257,45 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec
         for b in batches:
             if not b.num_rows:
                 continue
-            walks = tree.best_bins(_matrix(b.column("v"), d), visits)
-            to = [sorted({first + i for leaf in w if leaf in bins for first, m in [bins[leaf]] for i in range(m)}) for w in walks]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(to, pa.list_(pa.int64()))], ["query_id", "v", "bins"])
-
-    asked = table(queries.mapInArrow(walk, "query_id long, v array<float>, bins array<long>"), "walks")
-    asked = asked.select("query_id", "v", F.explode("bins").alias("bin"))
+            to = []
+            for leaves in tree.best_bins(_matrix(b.column("v"), d), visits):
+                of_bin: dict[int, list[int]] = {}
+                for leaf in leaves:
+                    first, m = bins.get(leaf, (0, 0))
+                    for i in range(first, first + m):
+                        of_bin.setdefault(i, []).append(leaf)
+                to.append([{"bin": i, "leaves": x} for i, x in of_bin.items()])
+            kind = pa.list_(pa.struct([("bin", pa.int64()), ("leaves", pa.list_(pa.int64()))]))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(to, kind)], ["query_id", "v", "bins"])
+
+    asked = table(queries.mapInArrow(walk, "query_id long, v array<float>, "
+                                           "bins array<struct<bin:long,leaves:array<long>>>"), "walks")
+    asked = asked.select("query_id", "v", F.explode("bins").alias("b")).select("query_id", "v", "b.bin", "b.leaves")
     blocks = asked.groupBy("bin").agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("blocks"))
     left = (asked.join(blocks, "bin").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")))
-            .select("bin", "block", "query_id", "v"))
+            .select("bin", "block", "query_id", "v", "leaves"))
     right = (indexed.join(plan, "leaf")
              .withColumn("bin", F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("n_bins")))
              .join(blocks, "bin").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-             .select("bin", "block", "vec_id", "v"))
+             .select("bin", "block", "vec_id", "leaf", "v"))
 
     def compare(key, q, x):
         if not q.num_rows or not x.num_rows:
             return _packed(*(np.zeros(0, t) for t in (np.int64, np.int64, np.float64)))
-        q_ids = q.column("query_id").to_numpy()
-        row, vec, score = _best(q_ids, _matrix(q.column("v"), d)[:, :d], x.column("vec_id").to_numpy(),
-                                _matrix(x.column("v"), d)[:, :d], k)
-        return _packed(*_pruned(q_ids[row], vec, score, k))
+        q_ids, qv = q.column("query_id").to_numpy(), _matrix(q.column("v"), d)[:, :d]
+        x_ids, xv, at = x.column("vec_id").to_numpy(), _matrix(x.column("v"), d)[:, :d], x.column("leaf").to_numpy()
+        visited = q.column("leaves").combine_chunks()
+        owner = np.repeat(np.arange(len(q_ids)), visited.value_lengths().to_numpy(zero_copy_only=False))
+        leaves = visited.flatten().to_numpy()
+        parts = []
+        for leaf in np.unique(at):  # only queries that visit a leaf see its rows
+            asks, rows = owner[leaves == leaf], np.flatnonzero(at == leaf)
+            if len(asks):
+                row, vec, score = _best(q_ids[asks], qv[asks], x_ids[rows], xv[rows], k)
+                parts.append((q_ids[asks[row]], vec, score))
+        if not parts:
+            return _packed(*(np.zeros(0, t) for t in (np.int64, np.int64, np.float64)))
+        return _packed(*_pruned(*(np.concatenate(p) for p in zip(*parts)), k))
 
     found = (left.groupBy("bin", "block").cogroup(right.groupBy("bin", "block"))
              .applyInArrow(compare, _PACKED))
