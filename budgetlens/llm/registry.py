@@ -3,7 +3,7 @@ DuckDB SQL where SQL expresses them."""
 
 from __future__ import annotations
 
-from budgetlens.llm import anntree, chat, editcount, langid, mixing, superminhash
+from budgetlens.llm import anntree, chat, editcount, langid, mixing, spotsigs, superminhash
 from budgetlens.llm.bpe import op8_byte_bpe
 
 LLM_QUERIES = {
@@ -12,6 +12,7 @@ LLM_QUERIES = {
     "op3_superminhash": superminhash.op3_superminhash,
     "op4_mixing": mixing.op4_mixing,
     "op6_language_id": langid.op6_language_id,
+    "op7_spotsigs": spotsigs.op7_spotsigs,
     "op8_byte_bpe": op8_byte_bpe,
     "op10_edit_counts": editcount.op10_edit_counts,
 }
