@@ -3,7 +3,7 @@ DuckDB SQL where SQL expresses them."""
 
 from __future__ import annotations
 
-from budgetlens.llm import anntree, chat, editcount, langid, mixing, spotsigs, superminhash
+from budgetlens.llm import anntree, chat, editcount, langid, mixing, passages, spotsigs, superminhash
 from budgetlens.llm.bpe import op8_byte_bpe
 
 LLM_QUERIES = {
@@ -14,6 +14,7 @@ LLM_QUERIES = {
     "op6_language_id": langid.op6_language_id,
     "op7_spotsigs": spotsigs.op7_spotsigs,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_chained_passages": passages.op9_chained_passages,
     "op10_edit_counts": editcount.op10_edit_counts,
 }
 LLM_ORACLES: dict[str, str] = {
