@@ -3,11 +3,12 @@ DuckDB SQL where SQL expresses them."""
 
 from __future__ import annotations
 
-from budgetlens.llm import anntree, chat, editcount, langid, mixing, passages, spotsigs, superminhash
+from budgetlens.llm import anntree, chat, editcount, kneserney, langid, mixing, passages, spotsigs, superminhash
 from budgetlens.llm.bpe import op8_byte_bpe
 
 LLM_QUERIES = {
     "op5_chat_format": chat.op5_chat_format,
+    "op1_kneser_ney": kneserney.op1_kneser_ney,
     "op2_ann_tree": anntree.op2_ann_tree,
     "op3_superminhash": superminhash.op3_superminhash,
     "op4_mixing": mixing.op4_mixing,
@@ -18,6 +19,7 @@ LLM_QUERIES = {
     "op10_edit_counts": editcount.op10_edit_counts,
 }
 LLM_ORACLES: dict[str, str] = {
+    "op1_kneser_ney": kneserney.op1_kneser_ney,
     "op2_ann_tree": anntree.op2_ann_tree,
     "op3_superminhash": superminhash.op3_superminhash,
     "op4_mixing": mixing.ORACLE,
