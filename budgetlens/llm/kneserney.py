@@ -15,16 +15,18 @@ texts of all trusted documents.
    A block asks the shards for its distinct n-grams only (``_asks``); a shard
    joins what the blocks ask with its counts and answers log probabilities.
 3. Answers are joined with the packed blocks: perplexity per document.
-4. A tenth of the trusted documents (by a hash of their text) is held out of
-   training. Per language, the quantiles ``LOW`` and ``HIGH`` of their bits
-   per character (rounded to ``STEP``), widened by ``SLACK``, bound what is kept.
+4. A fifth of the trusted documents (by a hash of their text) is held out of
+   training. Per language and length class, the quantile ``HIGH`` of their bits
+   per character (rounded to ``STEP``), widened by ``SLACK``, bounds what is
+   kept; with fewer than ``ENOUGH`` of them the bound of the language holds,
+   then that of all.
 
 Short texts: the bits of a text are averaged with ``PRIOR`` characters at the
 language's mean, so that a few characters do not decide alone.
 
 Defined cases: null and empty texts (no character) have null perplexity and
 are rejected; a null language is a language of its own; a language without
-held-out documents takes the bounds of all together; without trusted text all
+held-out documents takes the bound of all together; without trusted text all
 documents with text are kept (perplexity is that of a uniform model). Repeated
 rows each get their row; extra columns are ignored by ``scores`` and kept by
 ``keep_good``.
@@ -44,9 +46,11 @@ from budgetlens.session import broadcast_if_small
 
 ORDER, BITS = 5, 12
 MASK = (1 << BITS) - 1
-LOW, HIGH, STEP, SLACK = 0.001, 0.999, 0.001, 0.05
+HIGH, STEP, SLACK = 0.999, 0.001, 0.02
 PRIOR = 50
-HELD = 10
+HELD = 5
+#: Held-out documents that a bound of its own needs, and the sizes (characters) between the length classes.
+ENOUGH, LENGTHS = 40, (256, 1024, 4096)
 #: Bytes of text per block and characters worked on at once.
 BLOCK_BYTES, PIECE = 16 << 20, 1 << 20
 _codec = pa.Codec("zstd", compression_level=6)
@@ -374,7 +378,7 @@ def scores(docs: DataFrame, model: DataFrame, common: dict, blocks: int, shards:
 
 
 def classify(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """doc_id, h (hash of the text), lang, perplexity, low, high and ``keep`` of every row of
+    """doc_id, h (hash of the text), lang, perplexity, bits_per_char, bound and ``keep`` of every row of
     ``docs`` (doc_id, text, lang); ``trusted`` has the doc_ids of trusted text."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
                        F.col("lang").cast("string").alias("lang")).withColumn("h", F.xxhash64("text"))
@@ -387,37 +391,40 @@ def classify(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     texts = rows.where(~held & F.col("text").isNotNull() & (F.col("text") != "")).join(broadcast_if_small(good, 1_000_000), "doc_id", "left_semi")
     model, common = fit(texts.select("text"), shards)
     made = table(scores(rows, model, common, blocks, shards), "scores")
-    flagged = made.join(good.withColumn("good", F.lit(True)), "doc_id", "left").where("good and chars > 0").where(held)
-    means = flagged.groupBy("lang").agg((F.sum("bits") / F.sum("chars")).alias("mean"), F.count("*").alias("n"))
-    everyone = flagged.agg((F.sum("bits") / F.sum("chars")).alias("mean"))
-    mean_all = everyone.first()[0]
-    rate = lambda mean: (F.col("bits") + PRIOR * mean) / (F.col("chars") + PRIOR)
-    means = means.select(F.col("lang").alias("l"), "mean")
+    sized = made.withColumn("length", sum((F.col("chars") >= x).cast("int") for x in LENGTHS))
+    flagged = table(sized.where("chars > 0").where(held).join(good, "doc_id", "left_semi"), "held")
+    mean = lambda df: df.agg((F.sum("bits") / F.sum("chars")).alias("mean"))
+    overall = mean(flagged).first()[0]
+    # one row per language: smoothing is towards its mean
+    means = mean(flagged.groupBy("lang")).select(F.col("lang").alias("l"), "mean")
 
     def smoothed(df):
-        return (df.join(means, F.col("lang").eqNullSafe(F.col("l")), "left").drop("l")
-                .withColumn("rate", rate(F.coalesce("mean", F.lit(mean_all), F.lit(0.0)))).drop("mean"))
-
-    steps = smoothed(flagged).groupBy("lang", F.round(F.col("rate") / STEP).cast("long").alias("step")).count()
-    bounds = quantile_bounds(steps, "lang")
-    total = quantile_bounds(steps.withColumn("lang", F.lit("")), "lang").first()
-    low, high = (total["low"], total["high"]) if total else (None, None)
-    found = (smoothed(made).join(bounds.withColumnRenamed("lang", "l"), F.col("lang").eqNullSafe(F.col("l")), "left").drop("l")
-             .withColumn("low", F.coalesce("low", F.lit(low).cast("double"))).withColumn("high", F.coalesce("high", F.lit(high).cast("double"))))
-    inside = F.coalesce(F.col("rate").between(F.col("low"), F.col("high")), F.lit(True))
+        m = F.coalesce("mean", F.lit(overall), F.lit(0.0))
+        return (df.join(means, F.col("lang").eqNullSafe(F.col("l")), "left")
+                .withColumn("rate", (F.col("bits") + PRIOR * m) / (F.col("chars") + PRIOR)).drop("l", "mean"))
+
+    steps = table(smoothed(flagged).groupBy("lang", "length", F.ceil(F.col("rate") / STEP).cast("long").alias("step")).count(), "steps")
+    fine = quantile_bounds(steps, ["lang", "length"]).where(F.col("n") >= ENOUGH).select(F.col("lang").alias("l1"), F.col("length").alias("s1"), F.col("high").alias("h1"))
+    by_lang = quantile_bounds(steps, ["lang"]).where(F.col("n") >= ENOUGH).select(F.col("lang").alias("l2"), F.col("high").alias("h2"))
+    every = quantile_bounds(steps.withColumn("all", F.lit(1)), ["all"]).first()
+    largest = every["high"] if every else None
+    found = (smoothed(sized)
+             .join(fine, F.col("lang").eqNullSafe(F.col("l1")) & (F.col("length") == F.col("s1")), "left")
+             .join(by_lang, F.col("lang").eqNullSafe(F.col("l2")), "left")
+             .withColumn("bound", F.coalesce("h1", "h2", F.lit(largest).cast("double"))))
+    inside = F.coalesce(F.col("rate") <= F.col("bound"), F.lit(True))
     return found.select("doc_id", "h", "lang", F.when(F.col("chars") > 0, F.pow(2.0, F.col("bits") / F.col("chars"))).alias("perplexity"),
-                        F.col("rate").alias("bits_per_char"), "low", "high", ((F.col("chars") > 0) & inside).alias("keep"))
-
-
-def quantile_bounds(steps: DataFrame, by: str) -> DataFrame:
-    """(by, low, high) from (by, step, count): quantiles of the stepped values,
-    widened by SLACK. A group has as many rows as distinct steps."""
-    w = Window.partitionBy(by).orderBy("step")
-    whole = Window.partitionBy(by)
-    steps = steps.groupBy(by, "step").agg(F.sum("count").alias("count"))
-    run = steps.withColumn("run", F.sum("count").over(w)).withColumn("all", F.sum("count").over(whole))
-    return (run.groupBy(by).agg((F.max(F.when(F.col("run") - F.col("count") <= F.col("all") * LOW, F.col("step"))) * STEP * (1 - SLACK)).alias("low"),
-                                (F.min(F.when(F.col("run") >= F.col("all") * HIGH, F.col("step"))) * STEP * (1 + SLACK)).alias("high")))
+                        F.col("rate").alias("bits_per_char"), "bound", ((F.col("chars") > 0) & inside).alias("keep"))
+
+
+def quantile_bounds(steps: DataFrame, by: list[str]) -> DataFrame:
+    """(by, n, high) from rows with step and count: the HIGH quantile of the
+    stepped values, widened by SLACK. A group has as many rows as distinct steps."""
+    steps = steps.groupBy(*by, "step").agg(F.sum("count").alias("count"))
+    w = Window.partitionBy(*by)
+    run = steps.withColumn("run", F.sum("count").over(w.orderBy("step"))).withColumn("total", F.sum("count").over(w))
+    return run.groupBy(*by).agg(F.max("total").alias("n"), (F.min(F.when(F.col("run") >= F.col("total") * HIGH, F.col("step")))
+                                                            * STEP * (1 + SLACK)).alias("high"))
 
 
 def trusted_of(labels: DataFrame) -> DataFrame:
