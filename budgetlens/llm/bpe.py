@@ -11,7 +11,7 @@ to bytes.
 
 Defined cases: null and empty texts have no ids and decode to nothing; whole
 texts of any length are encoded; repeated rows each get their row; other
-columns are untouched (name clashes with new columns raise).
+columns are untouched (but one with the name of a new column is replaced).
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from budgetlens.llm.common import read_table, slices
+from budgetlens.llm.common import read_table, with_made
 
 #: Entries of a task's pre-token cache; when full it starts anew.
 CACHE = 400_000
@@ -125,19 +125,6 @@ def default_vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-def _with_columns(df: DataFrame, column: str, made: list[T.StructField], compute) -> DataFrame:
-    names = [f.name for f in made]
-    if clash := set(names) & set(df.columns):
-        raise ValueError(f"columns exist already: {sorted(clash)}")
-
-    def run(batches):
-        for part in slices(batches, column):
-            more = compute(part)
-            yield pa.RecordBatch.from_arrays([*part.columns, *more], [*part.schema.names, *names])
-
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, *made]))
-
-
 def encode(docs: DataFrame, text: str = "text", path: str | None = None,
            pattern: str | None = None) -> DataFrame:
     """``docs`` with ``ids`` (binary, little-endian unsigned 32-bit) and
@@ -149,7 +136,7 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None,
         packed = [c.encode_packed(t) if t else b"" for t in part.column(text).to_pylist()]
         return [pa.array(packed, pa.binary()), pa.array([len(p) // 4 for p in packed], pa.int64())]
 
-    return _with_columns(docs, text, [T.StructField("ids", T.BinaryType()),
+    return with_made(docs, text, [T.StructField("ids", T.BinaryType()),
                                       T.StructField("n_tokens", T.LongType())], compute)
 
 
@@ -162,7 +149,7 @@ def decode(encoded: DataFrame, ids: str = "ids", path: str | None = None,
         c = codec(where, split)
         return [pa.array([c.decode_packed(p or b"") for p in part.column(ids).to_pylist()], pa.binary())]
 
-    return _with_columns(encoded, ids, [T.StructField("decoded", T.BinaryType())], compute)
+    return with_made(encoded, ids, [T.StructField("decoded", T.BinaryType())], compute)
 
 
 def sha256_hex(column: str):

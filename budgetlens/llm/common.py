@@ -8,6 +8,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from budgetlens.session import materialize, ship_package
 
@@ -58,6 +59,31 @@ def slices(batches, column: str, max_bytes: int = SLICE_BYTES):
             yield batch.slice(start)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, made longer where ``df`` has columns of that name."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def with_made(df: DataFrame, column: str, made: list[T.StructField], compute, max_bytes: int = SLICE_BYTES) -> DataFrame:
+    """``df`` with the columns ``made``, whose arrays ``compute(slice)`` returns
+    for slices bounded by the bytes of ``column``; columns of ``df`` that have
+    the name of a made one are replaced. A narrow map."""
+    names = [f.name for f in made]
+    kept = [f for f in df.schema.fields if f.name.lower() not in {n.lower() for n in names}]
+
+    def run(batches):
+        for part in slices(batches, column, max_bytes):
+            yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in kept], *compute(part)], [*[f.name for f in kept], *names])
+
+    return df.mapInArrow(run, T.StructType([*kept, *made]))
+
+
 def texts_of(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes per row; null is empty."""
     return [x or b"" for x in pc.cast(column, pa.binary()).to_pylist()]
@@ -166,6 +192,20 @@ def distinct_per_text(values: np.ndarray, first: np.ndarray):
     return v, np.searchsorted(o, np.arange(len(first)))
 
 
+def one_per_id(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` without the rows that repeat a doc_id (the one with the smallest
+    text stays, null last); rows without doc_id stay. Texts are shuffled only
+    where a doc_id repeats."""
+    twice = table(docs.where("doc_id is not null").groupBy(F.col("doc_id")).count().where("count > 1").select("doc_id"), "twice")
+    if twice.isEmpty():
+        return docs
+    row, = fresh(docs, "__row")
+    again = docs.join(twice, "doc_id", "left_semi")
+    first = F.min_by(F.struct(*again.columns), F.struct(F.col(text).isNull(), F.col(text))).alias(row)
+    return (docs.join(twice, "doc_id", "left_anti").select(*docs.columns)
+            .unionByName(again.groupBy(F.col("doc_id").alias("__of")).agg(first).select(f"{row}.*")))
+
+
 def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges`` (two long columns): (node, component),
     component the smallest node reachable. Union-find by alternating stars:

@@ -15,7 +15,7 @@ falls on an old one behind the edit, all that follows stays.
 Defined cases: null and empty texts have no tokens; an edit's start and length
 are clamped to the text, null numbers count as 0, a null replacement as empty;
 edits apply in the order of the array, each to the text that the one before
-left; a null array is no edit. Repeated rows each get their row.
+left; a null array is no edit. Columns with the name of a new one are replaced. Repeated rows each get their row.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from budgetlens.llm.bpe import CACHE, default_vocabulary, read_ranks
-from budgetlens.llm.common import read_table, slices
+from budgetlens.llm.common import read_table, with_made
 
 LEAF = 32
 CONTEXT = 3
@@ -168,26 +168,21 @@ def count_with_edits(docs: DataFrame, text: str = "text", edits: str = "edits",
     edits had encoded again. A narrow map over the documents; an edit log is
     grouped by document with ``edits_of`` and joined first."""
     where, split = (path, pattern) if path and pattern else default_vocabulary()
-    names = [f.name for f in MADE]
-    if clash := set(names) & set(docs.columns):
-        raise ValueError(f"columns exist already: {sorted(clash)}")
 
-    def run(batches):
+    def compute(part):
         c = counter(where, split)
-        for part in slices(batches, text):
-            out = ([], [], [], [])
-            for t, log in zip(part.column(text).to_pylist(), part.column(edits).to_pylist()):
-                tree = CountTree(t or "", c)
-                out[0].append(tree.n_tokens)
-                for e in log or ():
-                    tree.edit(e["start"] or 0, e["length"] or 0, e["text"] or "")
-                out[1].append(tree.text)
-                out[2].append(tree.n_tokens)
-                out[3].append(tree.encoded)
-            made = [pa.array(v, pa.string() if f.name == "edited_text" else pa.int64()) for f, v in zip(MADE, out)]
-            yield pa.RecordBatch.from_arrays([*part.columns, *made], [*part.schema.names, *names])
-
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *MADE]))
+        out = ([], [], [], [])
+        for t, log in zip(part.column(text).to_pylist(), part.column(edits).to_pylist()):
+            tree = CountTree(t or "", c)
+            out[0].append(tree.n_tokens)
+            for e in log or ():
+                tree.edit(e["start"] or 0, e["length"] or 0, e["text"] or "")
+            out[1].append(tree.text)
+            out[2].append(tree.n_tokens)
+            out[3].append(tree.encoded)
+        return [pa.array(v, pa.string() if f.name == "edited_text" else pa.int64()) for f, v in zip(MADE, out)]
+
+    return with_made(docs, text, MADE, compute)
 
 
 def edits_of(log: DataFrame) -> DataFrame:

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from budgetlens.llm.common import mix64, read_table, slices, table
+from budgetlens.llm.common import fresh, mix64, read_table, slices, table
 from budgetlens.session import broadcast_if_small
 
 ORDER, BITS = 5, 12
@@ -435,8 +435,9 @@ def trusted_of(labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier keeps, with their columns."""
-    bad = table(classify(docs, trusted).where("not keep").select(F.col("doc_id").alias("__id"), F.col("h").alias("__hash")).distinct(), "rejected")
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.xxhash64("text").eqNullSafe(F.col("__hash"))
+    of, hashed = fresh(docs, "__id", "__hash")
+    bad = table(classify(docs, trusted).where("not keep").select(F.col("doc_id").alias(of), F.col("h").alias(hashed)).distinct(), "rejected")
+    same = F.col("doc_id").eqNullSafe(F.col(of)) & F.xxhash64("text").eqNullSafe(F.col(hashed))
     return docs.join(broadcast_if_small(bad, 500_000), same, "left_anti")
 
 

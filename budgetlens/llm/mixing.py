@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from budgetlens.llm.common import read_table, table
+from budgetlens.session import broadcast_if_small
 
 #: Bits of hash per refinement and number of refinements.
 BITS, LEVELS = 12, 5
@@ -83,12 +84,9 @@ def targets(sources: DataFrame, share: float = SHARE, ceiling: float = CEILING)
     return sources.withColumn("target", F.least(F.col("weight") * F.lit(float(level)), cap))
 
 
-def mix(docs: DataFrame, share: float = SHARE, ceiling: float = CEILING) -> DataFrame:
-    """doc key, size, source_size, target and ``times`` (how often the mix takes
-    the document) per row of ``docs`` (doc_id, text, source)."""
-    # sizes are counted once and written; all passes below read this small table
-    base = table(docs.select("doc_id", F.col("source").cast("string").alias("source"), size_of("text").alias("size"),
-                             hash_of("doc_id", "text").alias("h")), "sizes")
+def source_plan(base: DataFrame, share: float = SHARE, ceiling: float = CEILING) -> DataFrame:
+    """Per source: source_size, target, full (passes over all of it) and cut
+    (hashes below it are taken once more). ``base``: (source, size, h) of every document."""
     goal = table(targets(ranked_sources(base), share, ceiling)
                  .withColumn("full", F.when(F.col("source_size") > 0,
                                             F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
@@ -118,11 +116,36 @@ def mix(docs: DataFrame, share: float = SHARE, ceiling: float = CEILING) -> Data
                     .join(edge, F.col("source").eqNullSafe(F.col("s")), "left")
                     .select(F.col("s").alias("source"), F.coalesce(found + whole, "old").alias("cut"),
                             F.coalesce(rest, "open").alias("left")), f"cut{level}")
-    plan = (goal.withColumnRenamed("source", "s")
-            .join(cut.select(F.col("source").alias("c"), "cut"), F.col("s").eqNullSafe(F.col("c"))).drop("c"))
-    times = F.when(F.col("size") > 0, F.col("full") + (F.col("h") < F.col("cut")).cast("long")).otherwise(F.col("full"))
-    return (base.join(plan, F.col("source").eqNullSafe(F.col("s")))
-            .select("doc_id", "source", "h", "size", "source_size", "target", times.cast("long").alias("times")))
+    return table(goal.withColumnRenamed("source", "s")
+                 .join(cut.select(F.col("source").alias("c"), "cut"), F.col("s").eqNullSafe(F.col("c")))
+                 .select(F.col("s").alias("source"), "source_size", "target", "full", "cut"), "plan")
+
+
+def with_times(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """``rows`` (source, size, h, ...) with source_size, target and ``times``."""
+    times = F.col("full") + ((F.col("size") > 0) & (F.col("h") < F.col("cut"))).cast("long")
+    # one row per source; beyond a million sources the join is shuffled
+    plan = broadcast_if_small(plan.withColumnRenamed("source", "__s"), 1_000_000)
+    return (rows.join(plan, F.col("source").eqNullSafe(F.col("__s")))
+            .withColumn("times", times.cast("long")).drop("__s", "full", "cut"))
+
+
+def _keyed(docs: DataFrame, *more) -> DataFrame:
+    return docs.select(*more, F.col("source").cast("string").alias("source"), size_of("text").alias("size"), hash_of("doc_id", "text").alias("h"))
+
+
+def mix(docs: DataFrame, share: float = SHARE, ceiling: float = CEILING) -> DataFrame:
+    """doc_id, source, size, h, source_size, target and ``times`` (how often the
+    mix takes the document) per row of ``docs`` (doc_id, text, source)."""
+    base = table(_keyed(docs, "doc_id"), "sizes")  # words are counted once; all passes read this small table
+    return with_times(base, source_plan(base.select("source", "size", "h"), share, ceiling))
+
+
+def mixed_documents(docs: DataFrame, share: float = SHARE, ceiling: float = CEILING) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, as often as it takes them."""
+    plan = source_plan(table(_keyed(docs), "sizes"), share, ceiling)
+    rows = with_times(_keyed(docs, F.struct(*docs.columns).alias("__row")), plan).where("times > 0")
+    return rows.select("__row", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).select("__row.*")
 
 
 def op4_mixing(spark, sf_dir):

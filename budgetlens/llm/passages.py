@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from budgetlens.llm.common import mix64, read_table, shingle_hashes, slices, table, texts_of, word_hashes
+from budgetlens.llm.common import fresh, mix64, one_per_id, read_table, shingle_hashes, slices, table, texts_of, with_made, word_hashes
 from budgetlens.session import broadcast_if_small
 
 K, WINDOW = 8, 16
@@ -202,14 +202,10 @@ def align(a: np.ndarray, b: np.ndarray, p: np.ndarray, q: np.ndarray):
 
 
 def participants(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc, text): rows with a doc_id, one per doc_id (the smallest text)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col(text).cast("string").alias("text")).where(
-        "doc is not null and text is not null")
-    twice = table(rows.groupBy("doc").count().where("count > 1").select("doc"), "twice")
-    if twice.isEmpty():
-        return rows
-    again = rows.join(twice, "doc", "left_semi").groupBy("doc").agg(F.min("text").alias("text"))
-    return rows.join(twice, "doc", "left_anti").unionByName(again)
+    """(doc, text): rows with a doc_id and a text, one per doc_id."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where(
+        "doc_id is not null and text is not null")
+    return one_per_id(rows).withColumnRenamed("doc_id", "doc")
 
 
 def repeated_passages(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -283,24 +279,16 @@ def remove_passages(docs: DataFrame, passages: DataFrame, text: str = "text") ->
     follows the new text."""
     spans = passages.groupBy("doc_id", "text_hash").agg(
         F.collect_list(F.struct(F.col("start_word").alias("s"), F.col("end_word").alias("e"))).alias("spans"))
-    fresh = [n for n in ("__id", "__hash", "__spans") if n not in docs.columns]
-    if len(fresh) < 3:
-        raise ValueError("columns __id, __hash and __spans are reserved")
+    of, hashed, cut = fresh(docs, "__id", "__hash", "__spans")
     # passages are proportional to the documents that repeat: broadcast only when a count shows few
-    spans = broadcast_if_small(table(spans.toDF("__id", "__hash", "__spans"), "spans"), 500_000)
-    joined = docs.join(spans, (F.col("doc_id") == F.col("__id")) & (F.xxhash64(text) == F.col("__hash")), "left")
+    spans = broadcast_if_small(table(spans.toDF(of, hashed, cut), "spans"), 500_000)
+    joined = docs.join(spans, (F.col("doc_id") == F.col(of)) & (F.xxhash64(text) == F.col(hashed)), "left").drop(of, hashed)
 
-    def run(batches):
-        for part in slices(batches, text):
-            column = part.schema.get_field_index(text)
-            new = [t if not x or t is None else cut_words(t, [(s["s"], s["e"]) for s in x])
-                   for t, x in zip(part.column(column).to_pylist(), part.column("__spans").to_pylist())]
-            arrays = [*part.columns]
-            arrays[column] = pa.array(new, pa.string())
-            keep = [i for i, n in enumerate(part.schema.names) if not n.startswith("__spans")]
-            yield pa.RecordBatch.from_arrays([arrays[i] for i in keep], [part.schema.names[i] for i in keep])
-
-    out = joined.drop("__id", "__hash").mapInArrow(run, T.StructType(docs.schema.fields)).select(*docs.columns)
+    def compute(part):
+        return [pa.array([t if not x or t is None else cut_words(t, [(s["s"], s["e"]) for s in x])
+                          for t, x in zip(part.column(text).to_pylist(), part.column(cut).to_pylist())], pa.string())]
+
+    out = with_made(joined, text, [T.StructField(text, T.StringType())], compute).select(*docs.columns)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.char_length(text), F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out

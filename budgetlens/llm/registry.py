@@ -3,10 +3,12 @@ DuckDB SQL where SQL expresses them."""
 
 from __future__ import annotations
 
+import corpus_pipeline
 from budgetlens.llm import anntree, chat, editcount, kneserney, langid, mixing, passages, spotsigs, superminhash
 from budgetlens.llm.bpe import op8_byte_bpe
 
 LLM_QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op5_chat_format": chat.op5_chat_format,
     "op1_kneser_ney": kneserney.op1_kneser_ney,
     "op2_ann_tree": anntree.op2_ann_tree,
@@ -24,4 +26,5 @@ LLM_ORACLES: dict[str, str] = {
     "op3_superminhash": superminhash.op3_superminhash,
     "op4_mixing": mixing.ORACLE,
     "op5_chat_format": chat.ORACLE,
+    **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}),
 }
