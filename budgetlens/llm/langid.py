@@ -27,11 +27,15 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from budgetlens.llm.common import mix64, read_table, slices, table
+from budgetlens.llm.common import mix64, read_table, table, with_made
+from budgetlens.session import broadcast_if_small
 
 SAMPLE = 1000
 DIM = 1 << 14
+#: Characters whose features are made at once (bounds a task's memory).
+PIECE = 1 << 18
 ORDERS = (1, 2, 3)
 EPOCHS, COST = 12, 10.0
 #: Slope of the logistic curve that turns a margin into a score.
@@ -97,6 +101,19 @@ def _shares(texts: list[str]):
     return [(col[a:b], value[a:b].astype(np.float32)) for a, b in zip(cuts, cuts[1:])]
 
 
+def _parts(texts: list[str], chars: int = PIECE):
+    """The texts in lists of at most ``chars`` characters (or one longer text)."""
+    held, size = [], 0
+    for t in texts:
+        if held and size + len(t) > chars:
+            yield held
+            held, size = [], 0
+        held.append(t)
+        size += len(t)
+    if held:
+        yield held
+
+
 def train_svm(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, seed: int = 7):
     """Linear machine with hinge loss, balanced cost: (weights, bias)."""
     w, alpha = np.zeros(DIM + 1), np.zeros(len(rows))
@@ -127,7 +144,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", sample: int =
     top = (labelled.select("lang", F.xxhash64("text").alias("h")).distinct()
            .withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample)
            .groupBy("lang").agg(F.max("h").alias("top")))
-    chosen = table(labelled.withColumn("h", F.xxhash64("text")).join(top, "lang").where("h <= top")
+    chosen = table(labelled.withColumn("h", F.xxhash64("text")).join(broadcast_if_small(top, 10_000), "lang").where("h <= top")
                    .dropDuplicates(["lang", "h"]).select("lang", "text", "h"), "sample")
     langs = sorted(r[0] for r in chosen.select("lang").distinct().collect())  # one row per language
     families = sorted({family_of(x) for x in langs})
@@ -145,7 +162,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", sample: int =
         kind, a, b = key
         pdf = pdf.sort_values(["lang", "h"], kind="stable")
         y = np.where((pdf["lang"].map(family_of) == a) if kind == "family" else (pdf["lang"] == a), 1, -1)
-        w, bias = train_svm(_shares(pdf["text"].tolist()), y)
+        w, bias = train_svm([r for part in _parts(pdf["text"].tolist()) for r in _shares(part)], y)
         return pd.DataFrame({"kind": [kind], "a": [a], "b": [b], "bias": [bias], "w": [w.tobytes()]})
 
     rows = (chosen.join(F.broadcast(wanted), "lang").groupBy("kind", "a", "b")
@@ -214,23 +231,21 @@ class Predictor:
         return langs, scores
 
 
+_predictors: dict = {}
+
+
 def predict(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``; the model travels as a broadcast."""
-    names = ["lang_pred", "score"]
-    if clash := set(names) & set(docs.columns):
-        raise ValueError(f"columns exist already: {sorted(clash)}")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches):
-        p = Predictor(shared.value)
-        for part in slices(batches, text, 2 << 20):
-            langs, scores = p.predict([t or "" for t in part.column(text).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-                                             [*part.schema.names, *names])
+    def compute(part):
+        if not (p := _predictors.get(id(shared))):
+            _predictors.clear()
+            p = _predictors[id(shared)] = Predictor(shared.value)
+        langs, scores = p.predict([t or "" for t in part.column(text).to_pylist()])
+        return [pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
 
-    from pyspark.sql import types as T
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()),
-                                              T.StructField("score", T.DoubleType())]))
+    return with_made(docs, text, [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())], compute, PIECE)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
