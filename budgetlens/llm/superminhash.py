@@ -13,9 +13,9 @@ together and the document stops after the step that leaves no slot empty.
    member is compared with the smallest one; verified links are joined by
    union-find.
 3. In buckets whose members are still in several components, the members are
-   dealt into blocks and all pairs of blocks are compared by their signatures;
-   pairs that may reach the threshold and lie in different components are
-   verified too. No bucket meets in one task, and nothing is capped.
+   dealt into blocks; a task compares two blocks, first by signatures, then by
+   full sets, and returns links between different components only. No bucket
+   meets in one task, nothing is capped, no list of pairs is written.
 4. Verification is exact: the intersection of the full shingle sets.
 
 A pair of similarity 0.75 shares no band with probability below 1e-5 and its
@@ -23,8 +23,9 @@ signature estimate is more than 5 standard deviations above ``FLOOR``.
 
 Defined cases: null or empty texts and texts without words have no shingles
 and are linked with nothing; shorter texts have one shingle, all their words;
-rows that repeat a doc_id count as one document holding the texts' first
-(smallest by text); a null doc_id takes no part in grouping and is kept;
+of rows that repeat a doc_id with different texts one set (smallest digest)
+stands for the document, and all its rows get its component; a null doc_id
+takes no part in grouping and is kept;
 extra columns are ignored; empty input gives empty output.
 """
 
@@ -37,8 +38,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from budgetlens.llm.common import (components, distinct_per_text, mix64, read_table, shingle_hashes,
-                                   slices, table, texts_of, word_hashes)
+from budgetlens.llm.common import (components, distinct_per_text, fresh, mix64, one_per_id, read_table,
+                                   shingle_hashes, slices, table, texts_of, word_hashes)
 from budgetlens.session import broadcast_if_small
 
 SHINGLE = 5
@@ -101,6 +102,12 @@ def shingle_sets(texts: list[bytes], k: int = SHINGLE):
     return distinct_per_text(*shingle_hashes(*word_hashes(texts), k))
 
 
+def digests(values: np.ndarray, first: np.ndarray) -> list[bytes | None]:
+    """128-bit digest of each set; None for an empty one."""
+    cut = first.tolist()
+    return [hashlib.blake2b(values[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(cut, cut[1:])]
+
+
 def sketch(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, n_shingles, digest (of the set; null when empty), bands (array
     of bucket keys), sig (one byte per slot)."""
@@ -116,11 +123,8 @@ def sketch(docs: DataFrame, text: str = "text") -> DataFrame:
                 keys = mix64(keys + sig.reshape(len(n), BANDS, ROWS)[:, :, i])
             keys = mix64(keys + np.arange(BANDS, dtype=np.uint64)).astype(np.int64)
             small = (mix64(sig) & np.uint64(0xFF)).astype(np.uint8)
-            cut = first.tolist()
-            digest = [hashlib.blake2b(values[a:b].tobytes(), digest_size=16).digest() if b > a else None
-                      for a, b in zip(cut, cut[1:])]
             yield pa.RecordBatch.from_arrays([
-                part.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()),
+                part.column("doc_id"), pa.array(n, pa.int64()), pa.array(digests(values, first), pa.binary()),
                 pa.array([k if c else None for k, c in zip(keys, n)], pa.list_(pa.int64())),
                 pa.array([s.tobytes() if c else None for s, c in zip(small, n)], pa.binary()),
             ], ["doc_id", "n_shingles", "digest", "bands", "sig"])
@@ -129,19 +133,20 @@ def sketch(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, shingles: sorted array of long) of the documents in ``ids``."""
+    """(doc_id, shingles: sorted array of long) of the documents in ``ids``
+    (doc_id, digest): their texts with that digest."""
     def run(batches):
         for part in slices(batches, text, 2 << 20):
             values, first = shingle_sets(texts_of(part.column(text)))
-            yield pa.RecordBatch.from_arrays([
-                part.column("doc_id"),
-                pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(values.astype(np.int64)))],
-                ["doc_id", "shingles"])
+            keep = pa.array([a == b for a, b in zip(digests(values, first), part.column("digest").to_pylist())])
+            sets = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(values.astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").filter(keep), sets.filter(keep)], ["doc_id", "shingles"])
 
     # up to a million ids (8 MB) the texts are filtered where they are read; beyond, they are shuffled
     wanted = (docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string").alias(text))
-              .join(broadcast_if_small(ids, 1_000_000), "doc_id", "left_semi"))
-    return wanted.mapInArrow(run, "doc_id long, shingles array<long>")
+              .join(broadcast_if_small(ids, 1_000_000), "doc_id"))
+    # rows that repeat a doc_id and text give the same set
+    return wanted.mapInArrow(run, "doc_id long, shingles array<long>").dropDuplicates(["doc_id"])
 
 
 def likely(pairs: DataFrame) -> DataFrame:
@@ -160,10 +165,11 @@ def likely(pairs: DataFrame) -> DataFrame:
     return pairs.where(sizes).select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def verified(docs: DataFrame, pairs: DataFrame, known: DataFrame) -> DataFrame:
     """The pairs (a, b) linked by their full shingle sets. Sets are made anew
-    from the texts of the documents in ``pairs`` only."""
-    ids = table(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+    from the texts of the documents in ``pairs`` only; ``known`` has their
+    digests."""
+    ids = table(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(known, "doc_id"), "ids")
     sets = table(sets_of(docs, ids), "sets")
     left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
     both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
@@ -171,43 +177,58 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.where(common * 100 >= (F.size("x") + F.size("y") - common) * THRESHOLD).select("a", "b")
 
 
-def block_pairs(members: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Pairs of members of one bucket in different components whose sizes and
-    signatures allow the threshold. ``members``: (key, doc_id, component, n,
-    sig). Each bucket is dealt into blocks by a hash; a task compares two
-    blocks and returns few pairs."""
+def block_links(members: DataFrame, sets: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Verified links (a, b) between members of one bucket that lie in
+    different components; one link per member and other component is enough
+    and returned. ``members``: (key, doc_id, component, n, sig). Each bucket is
+    dealt into blocks by a hash; a task compares two blocks: sizes, then
+    signatures, then the full sets."""
     counts = members.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     dealt = (members.join(counts, "key")
              .withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")))
     both = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = both.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
-                       "mine", "doc_id", "component", "n", "sig")
+    rows = (both.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
+                        "mine", "doc_id", "component", "n", "sig").join(sets, "doc_id"))
     low = int(FLOOR * SLOTS)
 
     def compare(key, batch):
         i, j = key[1].as_py(), key[2].as_py()
+        batch = batch.combine_chunks()
         ids, comp, n, mine = (batch.column(c).to_numpy() for c in ("doc_id", "component", "n", "mine"))
         sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8).reshape(-1, SLOTS)
+        lists = batch.column("shingles").combine_chunks()
+        values = lists.flatten().to_numpy().view(np.uint64)
+        first = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))))
         left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
         a, b = [], []
         for k in left.tolist():
             to = right[right > k] if i == j else right
             to = to[(comp[to] != comp[k]) & (np.minimum(n[to], n[k]) * 100 >= np.maximum(n[to], n[k]) * THRESHOLD)]
             to = to[(sig[to] == sig[k]).sum(axis=1) >= low]
+            if not len(to):
+                continue
+            own = values[first[k]:first[k + 1]]
+            theirs = np.concatenate([values[first[x]:first[x + 1]] for x in to.tolist()])
+            hit = own[np.minimum(np.searchsorted(own, theirs), len(own) - 1)] == theirs
+            common = np.add.reduceat(hit, np.concatenate(([0], np.cumsum(n[to])[:-1])), dtype=np.int64)
+            to = to[common * 100 >= (n[to] + n[k] - common) * THRESHOLD]
+            to = to[np.unique(comp[to], return_index=True)[1]]
             a += [ids[k]] * len(to)
             b += ids[to].tolist()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    found = rows.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return rows.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept, one row per row of ``docs``."""
     made = table(sketch(docs, text), "sketch")
-    classes = made.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    reps = table(made.where("digest is not null").join(classes, ["digest"]).where("doc_id = rep")
-                 .dropDuplicates(["rep"]).select("rep", "n_shingles", "bands", "sig"), "reps")
+    # one set per doc_id, one class per set, named by its smallest doc_id
+    one = made.where("digest is not null and doc_id is not null").groupBy("doc_id").agg(F.min("digest").alias("digest"))
+    classes = table(one.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
+    known = classes.select(F.col("rep").alias("doc_id"), "digest")
+    reps = table(made.select("doc_id", "digest", "n_shingles", "bands", "sig").join(known, ["doc_id", "digest"])
+                 .dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "n_shingles", "bands", "sig"), "reps")
     keyed = reps.select("rep", F.explode("bands").alias("key"))
     first = keyed.groupBy("key").agg(F.min("rep").alias("low"), F.count("*").alias("members")).where("members > 1")
     shared = table(keyed.join(first, "key"), "buckets")  # only buckets with two members and more
@@ -217,7 +238,7 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
         return (pairs.join(sig.toDF("a", "na", "sa"), "a").join(sig.toDF("b", "nb", "sb"), "b"))
 
     stars = shared.where("rep <> low").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct()
-    links = table(verified(docs.select("doc_id", text), table(likely(with_signatures(stars)), "pairs")), "links")
+    links = table(verified(docs.select("doc_id", text), table(likely(with_signatures(stars)), "pairs"), known), "links")
     found = table(components(links, "a", "b"), "components")
     # buckets of three and more whose members are not in one component yet
     placed = (shared.where("members > 2").join(found.toDF("rep", "c"), "rep", "left")
@@ -226,15 +247,26 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
              .where("x <> y").select("key"))
     members = (placed.join(split, "key").join(sig, "rep")
                .select("key", F.col("rep").alias("doc_id"), "component", F.col("n_shingles").alias("n"), "sig"))
-    rest = table(block_pairs(members), "rest")
-    more = table(verified(docs.select("doc_id", text), rest), "links")
+    members = table(members, "members")
+    sets = table(sets_of(docs.select("doc_id", text), table(members.select("doc_id").distinct().join(known, "doc_id"), "ids")), "sets")
+    more = table(block_links(members, sets), "links")
     final = components(links.unionByName(more), "a", "b")
-    named = classes.join(final.toDF("rep", "component"), "rep", "left").select(
-        "digest", F.coalesce("component", "rep").alias("component"))
-    return (made.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
+    named = (one.join(classes.join(final.toDF("rep", "component"), "rep", "left")
+                      .select("digest", F.coalesce("component", "rep").alias("component")), "digest")
+             .select(F.col("doc_id").alias("id"), "component"))
+    return (made.select("doc_id", "n_shingles").join(named, F.col("doc_id") == F.col("id"), "left")
             .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
 
 
+def deduplicated(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with one document of each group of near-duplicates (the one
+    with the smallest doc_id) and one row of each doc_id."""
+    found = near_duplicates(docs, text)
+    gone, = fresh(docs, "__gone")
+    out = table(found.where("not kept").select(F.col("doc_id").alias(gone)).distinct(), "gone")
+    return one_per_id(docs, text).join(broadcast_if_small(out, 1_000_000), F.col("doc_id") == F.col(gone), "left_anti")
+
+
 def op3_superminhash(spark, sf_dir):
     return near_duplicates(read_table(spark, sf_dir, "documents"))
