@@ -20,12 +20,22 @@ def bigint(col: str | Column) -> Column:
     return (F.col(col) if isinstance(col, str) else col).cast("bigint")
 
 
+def nan_to_null(df: DataFrame) -> DataFrame:
+    """NaN and infinities of double and float columns become NULL."""
+    odd = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
+    if not odd:
+        return df
+    return df.select(*[F.when(F.abs(F.col(f"`{c}`")) < float("inf"), F.col(f"`{c}`")).alias(c) if c in odd
+                       else F.col(f"`{c}`") for c in df.columns])
+
+
 def to_output(df: DataFrame) -> DataFrame:
-    """Cast decimal columns to double: the result types every report returns."""
+    """The result types every report returns: decimals as doubles, and no NaN
+    or infinity (X12: NULL instead)."""
     cols = []
     for field in df.schema.fields:
         if isinstance(field.dataType, T.DecimalType):
             cols.append(F.col(field.name).cast("double").alias(field.name))
         else:
             cols.append(F.col(field.name))
-    return df.select(*cols)
+    return nan_to_null(df.select(*cols))

@@ -103,36 +103,43 @@ def append_new(target: DataFrame, new: DataFrame, unique: list[str] | None = Non
     """Insert rows whose unique columns are not taken; return
     (snapshot, rejected-with-reason).
 
-    A row is rejected when any unique column (NULL never clashes) is already in
-    ``target``, or repeats inside ``new`` (the first by ``order`` is kept).
-    Each check is a join on one column: existing values by a left join on the
-    distinct taken values, repeats by the grouped first row per value joined
-    back (AQE splits a hot value on the probe side). The checked batch is
-    written once to the shared folder; both outputs read it.
+    The rows of ``new`` are inserted one after another by ``order`` (rows that
+    are equal there, one after another too): a row is rejected for the first
+    unique column (in the order given) whose value is in ``target`` or was
+    taken by an earlier row that was itself accepted; NULL never clashes.
+
+    Round by round over the open rows: a row whose value is taken by an
+    accepted row is rejected, a row that is the first open one for each of its
+    values is accepted. Every round decides the first open row at least, and
+    chains of clashes are as long as the rounds. Each check is a grouped
+    minimum joined back on one column (AQE splits a hot value); each round is
+    written once to the shared folder.
     """
     unique = unique or ["username", "email"]
     order = order or [c for c in new.columns]
-    base = new.select(*target.columns).withColumn("_rank", F.struct(*order))
-    cand = base
-    reasons = []
-    # every check is derived from the same base batch and joined once, so the
-    # plan holds one copy of the batch per check, not one per earlier check
-    for col in unique:
-        taken = (target.select(F.col(col).alias(col)).filter(F.col(col).isNotNull())
-                 .distinct().withColumn(f"_taken_{col}", F.lit(True)))
-        firsts = (base.filter(F.col(col).isNotNull()).groupBy(col)
-                  .agg(F.min("_rank").alias(f"_first_{col}")))
-        cand = cand.join(taken, col, "left").join(firsts, col, "left")
-        reasons.append(F.when(F.coalesce(F.col(f"_taken_{col}"), F.lit(False)),
-                              F.lit(f"{col} already registered")))
-        reasons.append(F.when(F.coalesce(F.col("_rank") != F.col(f"_first_{col}"),
-                                         F.lit(False)),
-                              F.lit(f"{col} repeated in batch")))
-    # two outputs from one checked batch: write it once, split the written rows
-    cand = materialize(cand.withColumn("reasons", F.filter(F.array(*reasons),
-                                                           lambda x: x.isNotNull()))
-                       .drop("_rank"), "append-checked")
-    accepted = cand.filter(F.size("reasons") == 0).select(*target.columns)
-    rejected = cand.filter(F.size("reasons") > 0).select(
-        *target.columns, F.array_join("reasons", "; ").alias("reason"))
+    # equal rows get places of their own; the written table fixes them
+    work = materialize(new.select(*target.columns, F.struct(*order, F.monotonically_increasing_id()).alias("_place"))
+                       .withColumn("_why", F.lit(None).cast("string")).withColumn("_in", F.lit(False)), "append")
+    for col in unique:  # values that the target holds
+        taken = target.select(F.col(col)).where(F.col(col).isNotNull()).distinct().withColumn("_t", F.lit(True))
+        work = work.join(taken, col, "left").withColumn(
+            "_why", F.coalesce("_why", F.when(F.col("_t"), F.lit(f"{col} already registered")))).drop("_t")
+    work = materialize(work, "append")
+    while not work.where("_why is null and not _in").isEmpty():
+        is_first = F.lit(True)
+        for col in unique:
+            by_value = work.where((F.col("_why").isNull()) & F.col(col).isNotNull()).groupBy(F.col(col).alias("_v")).agg(
+                F.max("_in").alias(f"_got_{col}"), F.min(F.when(~F.col("_in"), F.col("_place"))).alias(f"_next_{col}"))
+            work = work.join(by_value, F.col(col) == F.col("_v"), "left").drop("_v")
+            is_first = is_first & (F.col(col).isNull() | (F.col(f"_next_{col}") == F.col("_place")))
+        open_ = F.col("_why").isNull() & ~F.col("_in")
+        # a column counts once the earlier ones are settled: the row is the first open one there
+        why, settled = F.lit(None).cast("string"), F.lit(True)
+        for c in unique:
+            why = F.coalesce(why, F.when(settled & F.col(f"_got_{c}"), F.lit(f"{c} repeated in batch")))
+            settled = settled & (F.col(c).isNull() | (F.col(f"_next_{c}") == F.col("_place")))
+        work = materialize(work.select(*target.columns, "_place", F.when(open_, why).otherwise(F.col("_why")).alias("_why"),
+                                       (F.col("_in") | (open_ & why.isNull() & is_first)).alias("_in")), "append")
+    accepted = work.where("_in").select(*target.columns)
+    rejected = work.where("not _in").select(*target.columns, F.col("_why").alias("reason"))
     return target.unionByName(accepted), rejected

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -103,47 +106,76 @@ def numeric_columns(df: DataFrame) -> list[str]:
                      T.DoubleType, T.FloatType))]
 
 
+def _exact(df: DataFrame, columns: list[str]) -> dict[str, str]:
+    """The decimal type that holds a column exactly; none for floating columns."""
+    out = {}
+    for f in df.schema.fields:
+        if f.name in columns and isinstance(f.dataType, T.DecimalType):
+            out[f.name] = f"decimal({max(f.dataType.precision, f.dataType.scale + 1)},{f.dataType.scale})"
+        elif f.name in columns and not isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+            out[f.name] = "decimal(20,0)"
+    return out
+
+
+#: Spread of a column up to which squares are summed as exact decimals.
+EXACT_SPREAD = 10**11
+
+
 def profile_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Per numeric column: count, mean, stddev (sample), min, exact
     quartiles (linear interpolation, as pandas ``describe``) and max.
 
-    One scan: the columns are stacked to (column, value) and reduced to one row
-    per distinct value with its count and exact sums (map-side combined),
-    written to the shared folder. Moments come from that table as exact
-    decimal sums (independent of partition order); the quartiles from
-    ``exact_percentiles`` on the same table (no single task per column beyond
-    the size check).
+    One aggregate over the columns gives count, sum, min and max; a second one
+    the squared deviations from the mean's integer part (exact decimals for
+    decimal and integer columns, so large means lose nothing and the order of
+    rows does not matter; ``stddev_samp`` for floating columns). Quartiles come
+    from ``exact_percentiles``. NaN counts as missing.
     """
     columns = columns or numeric_columns(df)
-    stack = ", ".join(f"'{c}', CAST(`{c}` AS DECIMAL(18,4))" for c in columns)
-    long = df.selectExpr(f"stack({len(columns)}, {stack}) AS (column, value)")
-    # per distinct value: its count and the exact sums of x and x^2 over its
-    # rows (w * x * x would need more than 38 digits and be rounded)
-    distinct = materialize(
-        long.filter(F.col("value").isNotNull()).groupBy("column", "value")
-        .agg(F.count(F.lit(1)).alias("w"), F.sum("value").alias("sx"),
-             F.sum(F.col("value") * F.col("value")).alias("sxx")), "profile-values")
-    moments = distinct.groupBy("column").agg(
-        F.sum("w").alias("count"),
-        F.sum("sx").alias("s1"),
-        F.sum("sxx").alias("s2"),
-        F.min("value").cast("double").alias("min"),
-        F.max("value").cast("double").alias("max"))
-    # columns that are NULL everywhere still get their row (count 0)
-    names = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
-    moments = names.join(moments, "column", "left").withColumn(
-        "count", F.coalesce(F.col("count"), F.lit(0)).cast("bigint"))
-    n = F.col("count").cast("double")
-    s1, s2 = F.col("s1").cast("double"), F.col("s2").cast("double")
-    moments = moments.select(
-        "column", "count", F.try_divide(s1, n).alias("mean"),
-        F.sqrt(F.try_divide(s2 - s1 * s1 / n, n - F.lit(1.0))).alias("std"),
-        "min", "max")
-    # quartiles on the decimal values: exact interpolation, one rounding
-    q = exact_percentiles(distinct, ["column"], "value", [0.25, 0.5, 0.75],
-                          weight_col="w", prepared=True).select(
-        "column", F.col("p_0").alias("p25"), F.col("p_1").alias("p50"),
-        F.col("p_2").alias("p75"))
+    exact = _exact(df, columns)
+    value = {c: F.col(f"`{c}`").cast(exact[c]) if c in exact else
+             F.when(~F.isnan(F.col(f"`{c}`")), F.col(f"`{c}`")).cast("double") for c in columns}
+    first = df.agg(*[x for i, c in enumerate(columns) for x in (
+        F.count(value[c]).alias(f"n{i}"), F.sum(value[c]).alias(f"s{i}"), F.min(value[c]).alias(f"lo{i}"),
+        F.max(value[c]).alias(f"hi{i}"))]).first()
+    base, second = {}, []
+    for i, c in enumerate(columns):
+        if not first[f"n{i}"]:
+            continue
+        if c in exact and first[f"hi{i}"] - first[f"lo{i}"] < EXACT_SPREAD:
+            base[c] = math.floor(float(first[f"s{i}"]) / first[f"n{i}"])
+            away = (value[c] - F.lit(Decimal(base[c]))).cast("decimal(18,4)" if exact[c] != "decimal(20,0)" else "decimal(18,0)")
+            second += [F.sum(away).alias(f"a{i}"), F.sum(away * away).alias(f"b{i}")]
+        else:
+            second.append(F.stddev_samp(value[c]).alias(f"d{i}"))
+    more = df.agg(*second).first().asDict() if second else {}
+    rows = []
+    for i, c in enumerate(columns):
+        n = first[f"n{i}"]
+        if not n:
+            rows.append((c, 0, None, None, None, None))
+            continue
+        if c in base:
+            a, b = float(more[f"a{i}"]), float(more[f"b{i}"])
+            std = math.sqrt((b - a * a / n) / (n - 1)) if n > 1 else None
+        else:
+            std = more[f"d{i}"]
+        rows.append((c, n, float(first[f"s{i}"]) / n, std, float(first[f"lo{i}"]), float(first[f"hi{i}"])))
+    spark = df.sparkSession
+    # one row per column
+    moments = spark.createDataFrame(rows, "column string, count long, mean double, std double, min double, max double")
+    quartiles = None
+    for kind in ("decimal", "double"):
+        own = [c for c in columns if (c in exact) == (kind == "decimal")]
+        if not own:
+            continue
+        scale = max((int(exact[c].rstrip(")").split(",")[1]) for c in own), default=0) if kind == "decimal" else 0
+        to = f"decimal(38,{scale})" if kind == "decimal" else "double"
+        long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), value[c].cast(to).alias("value"))
+                                             for c in own])).alias("x")).select("x.*")
+        q = exact_percentiles(long, ["column"], "value", [0.25, 0.5, 0.75])
+        quartiles = q if quartiles is None else quartiles.unionByName(q)
+    q = quartiles.select("column", F.col("p_0").alias("p25"), F.col("p_1").alias("p50"), F.col("p_2").alias("p75"))
     return (moments.join(q, "column", "left")
             .select("column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
             .orderBy("column"))
@@ -162,10 +194,16 @@ def head(df: DataFrame, n: int = 5, order: str = "Project_ID") -> DataFrame:
     return df.orderBy(order).limit(n)
 
 
-def health(spark: SparkSession, f: DataFrame | None) -> DataFrame:
-    """Status, record count and whether the table is there."""
-    if f is None:
-        return spark.createDataFrame(
-            [("unhealthy", None, False)], "status string, records bigint, table_exists boolean")
-    return f.agg(F.count(F.lit(1)).alias("records")).select(
-        F.lit("healthy").alias("status"), "records", F.lit(True).alias("table_exists"))
+def health(spark: SparkSession, table: DataFrame | str | None) -> DataFrame:
+    """Status, record count, whether the table is there, and the error.
+    ``table`` is a path of Parquet facts (read here, so a missing or broken
+    table is found) or a DataFrame; None is no table."""
+    schema = "status string, records bigint, table_exists boolean, error string"
+    try:
+        if table is None:
+            raise FileNotFoundError("no table")
+        f = spark.read.parquet(table) if isinstance(table, str) else table
+        row = ("healthy", f.count(), True, None)
+    except Exception as e:  # noqa: BLE001  whatever the probe meets is its result
+        row = ("unhealthy", None, False, f"{type(e).__name__}: {str(e).splitlines()[0][:200] if str(e) else ''}")
+    return spark.createDataFrame([row], schema)

@@ -2,10 +2,13 @@
 
 ``percentile`` keeps every distinct value of a group in one aggregation
 buffer; for a money column or a model score that is as many values as rows.
-Here a group's distinct values are cut into ``buckets`` ranges by approximate
-quantile bounds, cumulative counts run per (group, bucket) window, and bucket
-offsets come from a small per-group table. The result is the exact value of
-the linear-interpolation definition (numpy ``linear``, SQL
+Here the values that hold the wanted positions are bracketed instead: a group's
+range is cut into ``STEPS`` equal parts, the weights per part are summed
+(map-side combined), and the part that holds a position becomes its new
+range, tightened to the smallest and largest value in it. Only values inside
+a bracket are read on, until each bracket is one value. One path at every
+size; a pass shuffles at most STEPS rows per task and group. The result is the
+exact value of the linear-interpolation definition (numpy ``linear``, SQL
 ``percentile_cont``): index k = q * (N - 1) over the N weighted rows, value
 between x[floor(k)] and x[floor(k) + 1] at fraction k - floor(k).
 """
@@ -20,132 +23,91 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from budgetlens.session import materialize
+from budgetlens.session import broadcast_if_small, materialize
 
-
-# Distinct values one window task may sort for one group; beyond it a group's
-# values are cut into buckets of about BUCKET_VALUES values each.
-MAX_VALUES_PER_TASK = 1_000_000
-BUCKET_VALUES = 250_000
-MAX_BUCKETS = 4096
-
-
-def choose_buckets(distinct: DataFrame, group_cols: list[str]) -> int:
-    """Size check on the distinct-value table: the largest number of distinct
-    values in a group decides how many buckets its values are spread over
-    (1 = one sorted window per group)."""
-    most = (distinct.groupBy(*group_cols).count().agg(F.max("count")).first()[0]
-            if group_cols else distinct.count())
-    if not most or most <= MAX_VALUES_PER_TASK:
-        return 1
-    return int(min(MAX_BUCKETS, -(-most // BUCKET_VALUES)))
+STEPS = 1024
 
 
 def exact_percentiles(df: DataFrame, group_cols: list[str], value_col: str,
-                      quantiles: list[float], weight_col: str | None = None,
-                      buckets: int | None = None, accuracy: int = 10_000,
-                      prepared: bool = False) -> DataFrame:
+                      quantiles: list[float], weight_col: str | None = None) -> DataFrame:
     """One row per group: ``group_cols`` + ``p_<i>`` (double) per quantile + ``n``.
 
-    NULL values are ignored (as SQL does); weights are row counts (>= 0).
-    With ``buckets=None`` the distinct-value table is written to the shared
-    folder (computed once, lineage cut) and sized by ``choose_buckets``.
-    ``prepared=True`` says ``df`` already is that table (one row per group and
-    value, positive weights, materialised), so both steps are skipped.
+    NULL values are ignored (as SQL does), NaN too; weights are row counts
+    (>= 0). ``df`` is read once per pass (two passes for spread-out values), so
+    a costly ``df`` should be a written table.
     """
     g = list(group_cols)
     is_decimal = isinstance(df.schema[value_col].dataType, T.DecimalType)
     v = F.col(value_col) if is_decimal else F.col(value_col).cast("double")
     w = F.col(weight_col).cast("bigint") if weight_col else F.lit(1).cast("bigint")
-    # 1. distinct values with their weights (map-side combined)
-    if prepared:
-        d = df.select(*g, v.alias("v"), w.alias("w")).filter(F.col("v").isNotNull())
-    else:
-        d = (df.select(*g, v.alias("v"), w.alias("w")).filter(F.col("v").isNotNull())
-             .groupBy(*g, "v").agg(F.sum("w").alias("w")).filter(F.col("w") > 0))
-    if buckets is None and prepared:
-        buckets = choose_buckets(d, g)
-    elif buckets is None:
-        d = materialize(d, "distinct-values")
-        buckets = choose_buckets(d, g)
-    if buckets <= 1:
-        return _pick(_positions_single(d, g), g, quantiles, is_decimal)
-    # 2. bucket bounds per group from approximate quantiles of the distinct values
-    cuts = [i / buckets for i in range(1, buckets)]
-    bounds = d.groupBy(*g).agg(
-        F.percentile_approx("v", cuts, accuracy).alias("_b"))
-    # one bounds row per group: a join on the keys, or one scalar without keys
-    d = d.join(bounds, g) if g else d.withColumn("_b", bounds.select("_b").scalar())
-    d = d.withColumn("_bucket", F.size(F.filter("_b", lambda x: x < F.col("v")))) \
-         .drop("_b")
-    # 3. per-bucket totals -> offsets (at most ``buckets`` rows per group)
-    bt = d.groupBy(*g, "_bucket").agg(F.sum("w").alias("_bw"))
-    wg = Window.partitionBy(*g).orderBy("_bucket") if g else Window.orderBy("_bucket")
-    bt = (bt.withColumn("_off", F.sum("_bw").over(wg) - F.col("_bw"))
-          .withColumn("_n", F.sum("_bw").over(Window.partitionBy(*g) if g
-                                              else Window.partitionBy())))
-    # 4. cumulative position inside each bucket
-    d = d.join(bt.select(*g, "_bucket", "_off", "_n"), g + ["_bucket"])
-    wb = (Window.partitionBy(*g, "_bucket").orderBy("v")
-          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    d = d.withColumn("_hi", F.col("_off") + F.sum("w").over(wb)) \
-         .withColumn("_lo", F.col("_hi") - F.col("w"))
-    return _pick(d, g, quantiles, is_decimal)
-
-
-def _positions_single(d: DataFrame, g: list[str]) -> DataFrame:
-    """Cumulative positions with one ordered window per group. The size check
-    bounds a group to MAX_VALUES_PER_TASK distinct values, so the group total's
-    unbounded frame buffers at most that many rows."""
-    wg = Window.partitionBy(*g) if g else Window.partitionBy()
-    wc = wg.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (d.withColumn("_hi", F.sum("w").over(wc))
-            .withColumn("_n", F.sum("w").over(wg))
-            .withColumn("_lo", F.col("_hi") - F.col("w")))
-
-
-def _pick(d: DataFrame, g: list[str], quantiles: list[float],
-          is_decimal: bool = False) -> DataFrame:
-    """Pick x[floor(k)] and x[floor(k)+1] for each quantile and interpolate.
+    d = df.select(*g, v.alias("v"), w.alias("w")).filter(F.col("v").isNotNull() & (F.col("w") > 0))
+    if not is_decimal:
+        d = d.filter(~F.isnan("v"))
+    n = materialize(d.groupBy(*g).agg(F.sum("w").alias("_n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+                    .where("_n > 0"), "quantile-groups")
+    # the wanted positions: two per group and quantile
+    wanted = []
+    for q in quantiles:
+        i0, _ = _position(q, is_decimal)
+        wanted += [i0, F.least(i0 + 1, F.col("_n") - 1)]
+    targets = n.select(*g, "_n", "lo", "hi", F.posexplode(F.array(*wanted)).alias("target", "k"),
+                       F.lit(0).cast("bigint").alias("before"))
+    state = materialize(targets.withColumn("done", F.col("lo") == F.col("hi")), "quantile-brackets")
+    keys = [F.col(c).alias(f"_g{i}") for i, c in enumerate(g)]
+    same = F.lit(True)
+    for i, c in enumerate(g):
+        same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    while not state.where("not done").isEmpty():
+        # brackets that several positions share are read once; as many rows as groups x positions
+        open_ = state.where("not done").select(*keys, "lo", "hi").distinct()
+        inside = d.join(broadcast_if_small(open_, 1_000_000), same & F.col("v").between(F.col("lo"), F.col("hi")))
+        share = ((F.col("v") - F.col("lo")).cast("double") / (F.col("hi") - F.col("lo")).cast("double"))
+        # the largest value has a part of its own, so every pass makes a bracket smaller
+        part = F.when(F.col("v") == F.col("hi"), STEPS).otherwise(F.least(F.floor(share * STEPS), F.lit(STEPS - 1)))
+        parts = inside.groupBy(*[f"_g{i}" for i in range(len(g))], "lo", "hi", part.alias("part")).agg(
+            F.sum("w").alias("w"), F.min("v").alias("lo2"), F.max("v").alias("hi2"))
+        run = Window.partitionBy(*[f"_g{i}" for i in range(len(g))], "lo", "hi").orderBy("part")
+        parts = parts.withColumn("upto", F.sum("w").over(run)).withColumnsRenamed({"lo": "l", "hi": "h"})
+        found = (state.where("not done").join(parts, same & (F.col("lo") == F.col("l")) & (F.col("hi") == F.col("h")))
+                 .where((F.col("k") < F.col("before") + F.col("upto"))
+                        & (F.col("k") >= F.col("before") + F.col("upto") - F.col("w")))
+                 .select(*g, "_n", F.col("lo2").alias("lo"), F.col("hi2").alias("hi"), "target", "k",
+                         (F.col("before") + F.col("upto") - F.col("w")).alias("before"),
+                         (F.col("lo2") == F.col("hi2")).alias("done")))
+        state = materialize(state.where("done").unionByName(found), "quantile-brackets")
+    return _pick(state, g, quantiles, is_decimal)
+
+
+def _position(q: float, is_decimal: bool):
+    """(floor(k), k - floor(k)) of k = q (n - 1); exact for decimals."""
+    if is_decimal:
+        # with q = num / den, floor(k) and the fraction are integer arithmetic
+        frac = Fraction(Decimal(repr(float(q))))
+        num, den = frac.numerator, frac.denominator
+        return (F.expr(f"(_n - 1) * {num} div {den}"),
+                F.expr(f"pmod((_n - 1) * {num}, {den})").cast("decimal(20,0)") / F.lit(Decimal(den)))
+    k = F.lit(float(q)) * (F.col("_n") - 1).cast("double")
+    i0 = F.floor(k).cast("bigint")
+    return i0, k - i0
+
+
+def _pick(state: DataFrame, g: list[str], quantiles: list[float], is_decimal: bool) -> DataFrame:
+    """Interpolate between x[floor(k)] and x[floor(k)+1] of each quantile.
 
     Decimal values interpolate in exact decimal arithmetic (k and its
     fraction too) and are cast to double once, so the result is the correctly
     rounded value. Double values use numpy's two-sided linear interpolation
     (x0 + d t below t = 0.5, x1 - d (1 - t) from there), bit for bit.
     """
-    aggs = [F.max("_n").alias("n")]
-    covers = F.lit(False)
-    m = F.col("_n") - 1
-    for i, q in enumerate(quantiles):
-        if is_decimal:
-            # k = q (n - 1) exactly: with q = num / den, floor(k) and the
-            # fraction are integer arithmetic, the fraction an exact decimal
-            frac = Fraction(Decimal(repr(float(q))))
-            num, den = frac.numerator, frac.denominator
-            i0 = F.expr(f"(_n - 1) * {num} div {den}")
-            t = (F.expr(f"pmod((_n - 1) * {num}, {den})").cast("decimal(20,0)")
-                 / F.lit(Decimal(den)))
-        else:
-            k = F.lit(float(q)) * m.cast("double")
-            i0 = F.floor(k).cast("bigint")
-            t = k - i0
-        i1 = F.least(i0 + 1, m)
-        has0 = (F.col("_lo") <= i0) & (i0 < F.col("_hi"))
-        has1 = (F.col("_lo") <= i1) & (i1 < F.col("_hi"))
-        covers = covers | has0 | has1
-        aggs.append(F.max(F.when(has0, F.col("v"))).alias(f"_x0_{i}"))
-        aggs.append(F.max(F.when(has1, F.col("v"))).alias(f"_x1_{i}"))
-        aggs.append(F.max(t).alias(f"_t_{i}"))
-    # only the rows holding a wanted position reach the aggregation
-    d = d.filter(covers)
-    res = d.groupBy(*g).agg(*aggs) if g else d.agg(*aggs)
+    at = [F.max(F.when(F.col("target") == i, F.col("lo"))).alias(f"_x{i}") for i in range(2 * len(quantiles))]
+    res = state.groupBy(*g).agg(F.max("_n").alias("_n"), *at)
     outs = []
-    for i in range(len(quantiles)):
-        x0, x1, t = F.col(f"_x0_{i}"), F.col(f"_x1_{i}"), F.col(f"_t_{i}")
+    for i, q in enumerate(quantiles):
+        x0, x1, (_, t) = F.col(f"_x{2 * i}"), F.col(f"_x{2 * i + 1}"), _position(q, is_decimal)
         if is_decimal:
             val = (x0 + (x1 - x0) * t).cast("double")
         else:
             diff = x1 - x0
             val = F.when(t < 0.5, x0 + diff * t).otherwise(x1 - diff * (F.lit(1.0) - t))
         outs.append(val.alias(f"p_{i}"))
-    return res.select(*g, *outs, "n")
+    return res.select(*g, *outs, F.col("_n").alias("n"))

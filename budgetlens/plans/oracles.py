@@ -483,10 +483,17 @@ _LONG = " UNION ALL ".join(
 ORACLES["profile_numeric"] = _q(f"""
 , long AS ({_LONG})
 , m AS (
-  SELECT "column", COUNT(value) AS cnt, SUM(value) AS s1, SUM(CAST(value AS DECIMAL(38,4)) * CAST(value AS DECIMAL(38,4))) AS s2,
+  SELECT "column", COUNT(value) AS cnt, SUM(value) AS s1,
          CAST(MIN(value) AS DOUBLE) AS mn, CAST(MAX(value) AS DOUBLE) AS mx
   FROM long GROUP BY "column"
 )
+-- deviations from the mean's integer part, as exact decimals
+, dev AS (
+  SELECT "column", SUM(x) AS a, SUM(CAST(x AS DECIMAL(38,4)) * CAST(x AS DECIMAL(38,4))) AS b
+  FROM (SELECT "column", CAST(value - CAST(floor(CAST(s1 AS DOUBLE) / CAST(cnt AS DOUBLE)) AS DECIMAL(18,0)) AS DECIMAL(18,4)) AS x
+        FROM long JOIN m USING ("column") WHERE value IS NOT NULL)
+  GROUP BY "column"
+)
 -- quartiles by their definition (linear interpolation between order
 -- statistics) in exact decimal arithmetic, cast to DOUBLE once
 , r AS (
@@ -521,14 +528,15 @@ ORACLES["profile_numeric"] = _q(f"""
 )
 SELECT m."column" AS "column", CAST(cnt AS BIGINT) AS count,
        CAST(s1 AS DOUBLE) / CAST(cnt AS DOUBLE) AS mean,
-       sqrt((CAST(s2 AS DOUBLE) - CAST(s1 AS DOUBLE) * CAST(s1 AS DOUBLE) / CAST(cnt AS DOUBLE))
+       sqrt((CAST(dev.b AS DOUBLE) - CAST(dev.a AS DOUBLE) * CAST(dev.a AS DOUBLE) / CAST(cnt AS DOUBLE))
             / (CAST(cnt AS DOUBLE) - 1.0)) AS std,
        mn AS min, p25, p50, p75, mx AS max
-FROM m LEFT JOIN q ON m."column" = q."column"
+FROM m LEFT JOIN q ON m."column" = q."column" LEFT JOIN dev ON m."column" = dev."column"
 """)
 
 ORACLES["health"] = _q("""
-SELECT 'healthy' AS status, CAST(COUNT(*) AS BIGINT) AS records, true AS table_exists
+SELECT 'healthy' AS status, CAST(COUNT(*) AS BIGINT) AS records, true AS table_exists,
+       CAST(NULL AS VARCHAR) AS error
 FROM facts
 """)
 
@@ -559,9 +567,20 @@ FROM a ORDER BY ts DESC NULLS LAST, Project_ID LIMIT 50
 
 ORACLES["alert_unread"] = _q(f"""
 , a AS ({_ALERTS})
-SELECT CAST(COUNT(*) AS BIGINT) AS unread, CAST(COUNT(*) AS BIGINT) AS alerts FROM a
+SELECT CAST(COUNT(*) AS BIGINT) AS unread, CAST(COUNT(*) AS BIGINT) AS alerts FROM (SELECT * FROM a LIMIT 50)
+""")
+
+ORACLES["alert_stream"] = _q(f"""
+, a AS ({_ALERTS})
+, b AS (SELECT *, ('0x' || substr(md5(Project_ID), 1, 8))::BIGINT % 4 AS batch_id FROM a)
+, r AS (SELECT *, row_number() OVER (PARTITION BY batch_id
+                                     ORDER BY md5('42-' || batch_id || '-' || Project_ID), Project_ID) AS k FROM b)
+SELECT Project_ID, type, severity, title, message, batch_id || '-' || Project_ID AS alert_id, batch_id
+FROM r WHERE k <= 3
 """)
 
+ORACLES["json_records"] = ORACLES["leakage"]
+
 _SLUG = "lower(regexp_replace({c}, '[^A-Za-z0-9]+', '_', 'g'))"
 _USERS = f"""
 , users AS (
@@ -638,29 +657,31 @@ ORACLES["dim_append"] = _q(_USERS + f"""
   SELECT {_SLUG.format(c='State')} || '_public', 'public@citizen.in', State, 'public',
          NULL, false
   FROM (SELECT DISTINCT State FROM facts)
+  UNION ALL SELECT * FROM (VALUES
+    ('zz_twin', 'twin@gov.in', 'Twin', 'public', NULL, false), ('zz_twin', 'twin@gov.in', 'Twin', 'public', NULL, false),
+    ('admin', 'chain@gov.in', 'Chain', 'public', NULL, false), ('zz_chain', 'chain@gov.in', 'Chain', 'public', NULL, false),
+    ('zz_late', 'twin@gov.in', 'Late', 'public', NULL, false))
 )
-, c AS (
-  SELECT nw.*,
-    list_filter([
-      CASE WHEN nw.username IN (SELECT username FROM users WHERE username IS NOT NULL)
-           THEN 'username already registered' END,
-      CASE WHEN nw.username IS NOT NULL AND row_number() OVER
-           (PARTITION BY nw.username ORDER BY {_ORDER_ALL}) > 1
-           THEN 'username repeated in batch' END,
-      CASE WHEN nw.email IN (SELECT email FROM users WHERE email IS NOT NULL)
-           THEN 'email already registered' END,
-      CASE WHEN nw.email IS NOT NULL AND row_number() OVER
-           (PARTITION BY nw.email ORDER BY {_ORDER_ALL}) > 1
-           THEN 'email repeated in batch' END
-    ], lambda x: x IS NOT NULL) AS reasons
-  FROM nw
+-- one row after another: what is taken so far decides on the next row
+, numbered AS (SELECT *, row_number() OVER (ORDER BY {_ORDER_ALL}) AS i FROM nw)
+, ins AS (
+  SELECT 0::BIGINT AS i, (SELECT list(username) FROM users WHERE username IS NOT NULL) AS u0,
+         (SELECT list(email) FROM users WHERE email IS NOT NULL) AS e0,
+         []::VARCHAR[] AS u, []::VARCHAR[] AS e, NULL::VARCHAR AS reason
+  UNION ALL
+  SELECT i, u0, e0,
+         CASE WHEN why IS NULL AND username IS NOT NULL THEN list_append(u, username) ELSE u END,
+         CASE WHEN why IS NULL AND email IS NOT NULL THEN list_append(e, email) ELSE e END, why
+  FROM (SELECT n.i, u0, e0, u, e, n.username, n.email,
+          CASE WHEN list_contains(u0, n.username) THEN 'username already registered'
+               WHEN list_contains(e0, n.email) THEN 'email already registered'
+               WHEN list_contains(u, n.username) THEN 'username repeated in batch'
+               WHEN list_contains(e, n.email) THEN 'email repeated in batch' END AS why
+        FROM ins JOIN numbered n ON n.i = ins.i + 1)
 )
 SELECT username, email, full_name, role, department, disabled,
        CAST(NULL AS VARCHAR) AS reason FROM users
 UNION ALL
-SELECT username, email, full_name, role, department, disabled, NULL FROM c
-WHERE len(reasons) = 0
-UNION ALL
-SELECT username, email, full_name, role, department, disabled,
-       array_to_string(reasons, '; ') FROM c WHERE len(reasons) > 0
-""")
+SELECT n.username, n.email, n.full_name, n.role, n.department, n.disabled, ins.reason
+FROM ins JOIN numbered n ON n.i = ins.i
+""").replace("WITH ", "WITH RECURSIVE ", 1)

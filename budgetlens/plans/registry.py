@@ -26,7 +26,7 @@ from budgetlens.operators import quality as Q
 from budgetlens.session import scratch_path
 from budgetlens.sources.csv import clean_columns, raw_name, read_budget, write_budget_csv
 from budgetlens.sources.sinks import to_records, write_facts
-from budgetlens.sources.star import budget_facts, facts, read_facts
+from budgetlens.sources.star import budget_facts, facts, facts_path, read_facts
 from budgetlens.streaming import alerts as ST
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -297,12 +297,14 @@ def _profile_numeric(spark, d):
 
 @register("health")
 def _health(spark, d):
-    return Q.health(spark, facts(spark, d))
+    return Q.health(spark, facts_path(spark, d))
 
 
 @register("json_records")
 def _json_records(spark, d):
-    return to_records(A.leakage(facts(spark, d)))
+    # the JSON text read back with the declared schema
+    report = A.leakage(facts(spark, d))
+    return to_records(report).select(F.from_json("record", report.schema).alias("r")).select("r.*")
 
 
 # --- T alerts ----------------------------------------------------------------------
@@ -331,18 +333,20 @@ def _alert_unread(spark, d):
     return ST.alert_unread(_period_alerts(spark, d))
 
 
+#: Deliveries of fact files in which the alert job sees the facts.
+DELIVERIES = 4
+
+
 @register("alert_stream")
 def _alert_stream(spark, d):
-    # facts arrive as files of about 50,000 rows (so the number of
-    # micro-batches depends on the data, not on the session's parallelism);
-    # the job runs to the end of the available input
+    # the facts arrive in deliveries (by md5 of the project), and the job runs
+    # to the end of what is there after each: delivery i is micro-batch i
     f = facts(spark, d)
-    files = max(1, -(-f.count() // 50_000))
-    src = scratch_path(spark, "alert-source")
-    f.repartitionByRange(files, "Project_ID").write.parquet(src)
-    sink, ckpt = scratch_path(spark, "alerts"), scratch_path(spark, "alerts-ckpt")
-    q = ST.alert_stream(ST.read_fact_stream(spark, src), sink, ckpt, available_now=True)
-    q.awaitTermination()
+    src, sink, ckpt = (scratch_path(spark, n) for n in ("alert-source", "alerts", "alerts-ckpt"))
+    delivery = F.pmod(F.conv(F.substring(F.md5("Project_ID"), 1, 8), 16, 10).cast("bigint"), F.lit(DELIVERIES))
+    for i in range(DELIVERIES):
+        f.where(delivery == i).write.mode("append").parquet(src)
+        ST.alert_stream(ST.read_fact_stream(spark, src), sink, ckpt, available_now=True).awaitTermination()
     return ST.read_alerts(spark, sink).drop("timestamp")
 
 
@@ -417,6 +421,10 @@ def _dim_append(spark, d):
         F.lit("public@citizen.in").alias("email"), F.col("State").alias("full_name"),
         F.lit("public").alias("role"), F.lit(None).cast("string").alias("department"),
         F.lit(False).alias("disabled"))
-    snapshot, rejected = DM.append_new(target, by_scheme.unionByName(again)
-                                       .unionByName(by_state))
+    # identical rows, and a row whose e-mail stands in a rejected one
+    odd = spark.createDataFrame([
+        ("zz_twin", "twin@gov.in", "Twin", "public", None, False), ("zz_twin", "twin@gov.in", "Twin", "public", None, False),
+        ("admin", "chain@gov.in", "Chain", "public", None, False), ("zz_chain", "chain@gov.in", "Chain", "public", None, False),
+        ("zz_late", "twin@gov.in", "Late", "public", None, False)], DM.USER_DDL)
+    snapshot, rejected = DM.append_new(target, by_scheme.unionByName(again).unionByName(by_state).unionByName(odd))
     return snapshot.withColumn("reason", F.lit(None).cast("string")).unionByName(rejected)

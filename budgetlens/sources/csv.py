@@ -8,10 +8,12 @@ a failed job. S7 then decides which rows are good.
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from budgetlens.schema import FACT_SCHEMA, NA_TOKENS
 
@@ -36,10 +38,24 @@ def raw_name(name: str) -> str:
     return " ".join(parts)
 
 
-def null_tokens(col: str, tokens: Iterable[str] = NA_TOKENS) -> Column:
-    """A text cell that is a missing-value token (after trimming) becomes NULL."""
+def null_tokens(col: str, tokens: Iterable[str] = NA_TOKENS, trim: bool = False) -> Column:
+    """A text cell that is blank or a missing-value token becomes NULL. ``trim``
+    (for columns that are not text) ignores white space around the token."""
     c = F.col(f"`{col}`")
-    return F.when(F.trim(c).isin(list(tokens)), F.lit(None).cast("string")).otherwise(c)
+    cell = F.trim(c) if trim else c
+    return F.when(cell.isin(list(tokens)) | (F.trim(c) == ""), F.lit(None).cast("string")).otherwise(c)
+
+
+def typed(cell: Column, kind: T.DataType) -> Column:
+    """A text cell as ``kind``, NULL where it cannot be read. Integer columns
+    also take whole numbers written with a fraction (``45.0``)."""
+    if isinstance(kind, T.StringType):
+        return cell
+    direct = F.trim(cell).try_cast(kind)
+    if not isinstance(kind, (T.IntegerType, T.LongType, T.ShortType)):
+        return direct
+    wide = F.trim(cell).try_cast("decimal(38,10)")
+    return F.coalesce(direct, F.when(wide == F.floor(wide), F.floor(wide).try_cast(kind)))
 
 
 def first_existing(spark: SparkSession, candidates: Iterable[str]) -> str | None:
@@ -55,29 +71,69 @@ def first_existing(spark: SparkSession, candidates: Iterable[str]) -> str | None
     return None
 
 
+def csv_headers(spark: SparkSession, paths: Iterable[str]) -> dict[tuple[str, ...], list[str]]:
+    """Files (``*.csv`` of folders, globs) by their header. The first line of
+    each file is read through the Hadoop file system of its path; a file
+    without a line has no rows and is left out."""
+    sc = spark.sparkContext
+    jvm, conf = sc._jvm, sc._jsc.hadoopConfiguration()
+    out: dict[tuple[str, ...], list[str]] = {}
+    for name in paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        fs = path.getFileSystem(conf)
+        for found in fs.globStatus(path) or []:
+            files = fs.listStatus(found.getPath()) if found.isDirectory() else [found]
+            for f in files:
+                at = f.getPath()
+                if f.isDirectory() or not at.getName().endswith(".csv"):
+                    continue
+                lines = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(at), "UTF-8"))
+                first = lines.readLine()
+                lines.close()
+                if first:
+                    out.setdefault(tuple(next(csv.reader([first.removeprefix("\ufeff")]))), []).append(at.toString())
+    return out
+
+
 def read_budget(spark: SparkSession, paths: str | list[str], *,
                 with_source: bool = False, na_tokens: Iterable[str] = NA_TOKENS,
-                keep_extra: bool = False) -> DataFrame:
+                keep_extra: bool = False, multi_line: bool = True) -> DataFrame:
     """S1 + S2: read every CSV matched by ``paths`` (files, folders or globs;
     folders contribute their ``*.csv`` files) into FACT_SCHEMA.
 
-    Declared columns missing from the files are NULL; undeclared columns are
-    dropped unless ``keep_extra``. ``with_source`` adds the file name each row
-    came from (``Source_File``).
+    Files are read per header and united by column name, so column order and
+    missing columns may differ between files. Declared columns that no file
+    has are NULL; undeclared columns are dropped unless ``keep_extra``.
+    ``with_source`` adds the file name each row came from (``Source_File``).
+    Quotes are doubled inside quoted cells; with ``multi_line`` (the default)
+    a quoted cell may hold line breaks, and a file is then read by one task:
+    large inputs should be many files, or ``multi_line=False``.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    raw = (spark.read.option("header", True).option("inferSchema", False)
-           .option("pathGlobFilter", "*.csv").option("mode", "PERMISSIVE")
-           .csv(paths))
-    if with_source:
-        raw = raw.withColumn("_source_file", F.col("_metadata.file_name"))
-    raw = clean_columns(raw)
+    parts = []
+    for header, files in csv_headers(spark, paths).items():
+        raw = (spark.read.option("header", True).option("inferSchema", False).option("escape", '"')
+               .option("multiLine", multi_line).option("mode", "PERMISSIVE").option("nullValue", "")
+               .schema(T.StructType([T.StructField(c, T.StringType()) for c in header])).csv(files))
+        if with_source:
+            raw = raw.withColumn("_source_file", F.col("_metadata.file_name"))
+        parts.append(_declared(clean_columns(raw), na_tokens, keep_extra, with_source))
+    if not parts:
+        empty = spark.createDataFrame([], FACT_SCHEMA)
+        return empty.withColumn("Source_File", F.lit(None).cast("string")) if with_source else empty
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more, allowMissingColumns=True)
+    return out
+
+
+def _declared(raw: DataFrame, na_tokens, keep_extra: bool, with_source: bool) -> DataFrame:
     present = set(raw.columns)
     cols = []
     for field in FACT_SCHEMA.fields:
+        text = isinstance(field.dataType, T.StringType)
         if field.name in present:
-            cols.append(null_tokens(field.name, na_tokens).try_cast(field.dataType)
-                        .alias(field.name))
+            cols.append(typed(null_tokens(field.name, na_tokens, trim=not text), field.dataType).alias(field.name))
         else:
             cols.append(F.lit(None).cast(field.dataType).alias(field.name))
     if keep_extra:
@@ -93,5 +149,5 @@ def write_budget_csv(df: DataFrame, path: str, null_token: str = "NA") -> str:
     trips and hand-offs); NULL is written as ``null_token``."""
     out = df.toDF(*[raw_name(c) for c in df.columns])
     (out.write.mode("overwrite").option("header", True)
-        .option("nullValue", null_token).csv(path))
+        .option("escape", '"').option("nullValue", null_token).csv(path))
     return path

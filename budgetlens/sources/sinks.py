@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from budgetlens.functions.numeric import nan_to_null
+
 # The reference indexes State, District, Ministry, Department, Year and
 # Utilization for lookups. On Parquet the same lookups are served by layout:
 # directory partitions on Department (partition pruning) and rows sorted by
@@ -33,12 +35,12 @@ def write_facts(df: DataFrame, path: str, mode: str = "overwrite",
 
 
 def to_records(df: DataFrame) -> DataFrame:
-    """One JSON object per row, NULL kept as ``null``."""
-    return df.select(F.to_json(F.struct(*df.columns),
+    """One JSON object per row, NULL (and NaN, X12) kept as ``null``."""
+    return nan_to_null(df).select(F.to_json(F.struct(*df.columns),
                                {"ignoreNullFields": "false"}).alias("record"))
 
 
 def write_records(df: DataFrame, path: str, mode: str = "overwrite") -> str:
-    """S9 at the sink: JSON lines, nulls kept."""
-    df.write.mode(mode).option("ignoreNullFields", "false").json(path)
+    """S9 at the sink: JSON lines, nulls kept, NaN as null."""
+    nan_to_null(df).write.mode(mode).option("ignoreNullFields", "false").json(path)
     return path

@@ -5,8 +5,8 @@ driver's TPC-H-like tables (``FIXTURES.md`` section 4 gives the mapping):
 one fact per line item, joined to its order, customer, nation and part.
 
 Plan shape at scale: the order-level dimension (orders ⋈ customer ⋈ nation) is
-built first, so the line-item side joins once on ``o_orderkey`` (shuffled hash
-join, see below) and once on ``p_partkey``. Only ``nation`` is broadcast
+built first, so the line-item side joins once on ``o_orderkey`` and once on
+``p_partkey``. Only ``nation`` is broadcast
 explicitly (25 rows by the TPC-H definition, and a count checks it before the
 hint); customer and part are left to the optimizer, which broadcasts them only
 when their measured size is under ``autoBroadcastJoinThreshold`` and otherwise
@@ -15,7 +15,6 @@ plans a sort-merge join (AQE splits skewed partitions).
 
 from __future__ import annotations
 
-import os
 import threading
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,12 +47,10 @@ def facts_from_tables(lineitem: DataFrame, orders: DataFrame, customer: DataFram
     items = lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
                             "l_quantity", "l_extendedprice", "l_tax", "l_shipdate")
     # Line items to orders is the big-big join (orders is a quarter of the line
-    # items at any scale), so it is a shuffled hash join on the order key,
-    # whatever the size estimate says: the build side (orders) has unique
-    # keys, so each task's hash table is bounded by its partition, and the
-    # wide projection below runs in parallel after the shuffle.
+    # items at any scale): a sort-merge join can spill, and AQE replaces it by a
+    # hash join where the measured partitions are small enough.
     joined = (
-        items.join(order_dim.hint("shuffle_hash"), F.col("l_orderkey") == F.col("o_orderkey"))
+        items.join(order_dim, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(part.select("p_partkey", "p_brand", "p_type", "p_size"),
               F.col("l_partkey") == F.col("p_partkey"))
     )
@@ -111,26 +108,24 @@ _MATERIALISED: dict[tuple, str] = {}
 _LOCK = threading.Lock()
 
 
-def _input_signature(sf_dir: str) -> tuple:
+def _input_signature(spark: SparkSession, sf_dir: str) -> tuple:
+    """Length and modification time of every input file, through the Hadoop
+    file system of the path (any store), so that rewritten tables are noticed."""
+    sc = spark.sparkContext
+    jvm, conf = sc._jvm, sc._jsc.hadoopConfiguration()
     sig = []
     for t in ("lineitem", "orders", "customer", "nation", "part"):
-        p = f"{sf_dir.rstrip('/')}/{t}.parquet"
-        try:
-            st = os.stat(p)
-            sig.append((t, st.st_size, st.st_mtime_ns))
-        except OSError:  # remote store: key by path only
-            sig.append((t, p))
+        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{t}.parquet")
+        fs = path.getFileSystem(conf)
+        found = fs.listStatus(path) if fs.exists(path) else []
+        sig.append((t, tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in found))))
     return tuple(sig)
 
 
-def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facts for reports: written once to the shared checkpoint folder with the
-    S5 layout (partitioned by Department, sorted by State and utilization inside
-    files), then read back with the declared schema so every report gets
-    partition pruning, pushed filters and column pruning at the scan.
-    """
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir),
-           _input_signature(sf_dir))
+def facts_path(spark: SparkSession, sf_dir: str) -> str:
+    """Where the facts of ``sf_dir`` are written (once per application and
+    state of the input) in the shared checkpoint folder, with the S5 layout."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), _input_signature(spark, sf_dir))
     with _LOCK:
         path = _MATERIALISED.get(key)
         if path is None:
@@ -138,7 +133,15 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
             path = scratch_path(spark, "facts")
             write_facts(budget_facts(spark, sf_dir), path)
             _MATERIALISED[key] = path
-    return read_facts(spark, path)
+    return path
+
+
+def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts for reports: the stored table read back with the declared schema,
+    so every report gets partition pruning, pushed filters and column pruning
+    at the scan.
+    """
+    return read_facts(spark, facts_path(spark, sf_dir))
 
 
 def read_facts(spark: SparkSession, path: str) -> DataFrame:

@@ -49,19 +49,22 @@ def alert_candidates(f: DataFrame, threshold: float = S.ALERT_THRESHOLD,
 def pick_alerts(candidates: DataFrame, batch_id: int, n: int = S.ALERT_ROWS,
                 seed: int = S.FOREST_SEED) -> DataFrame:
     """``n`` candidates in a repeatable pseudo-random order for this batch
-    (a hash of seed, batch id and Project_ID), stamped with the batch id and the
+    (md5 of seed, batch id and Project_ID), stamped with the batch id and the
     current time (X8)."""
-    order = F.xxhash64(F.lit(seed), F.lit(batch_id), F.col("Project_ID"))
+    order = F.md5(F.concat(F.lit(f"{seed}-{batch_id}-"), F.col("Project_ID")))
     return (candidates.orderBy(order, "Project_ID").limit(n)
             .withColumn("timestamp", F.current_timestamp())
             .withColumn("batch_id", F.lit(batch_id).cast("long"))
             .withColumn("alert_id", F.concat(F.lit(f"{batch_id}-"), F.col("Project_ID"))))
 
 
-def read_fact_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
-    """Facts arriving as Parquet files in ``path``."""
-    return (spark.readStream.schema(S.FACT_SCHEMA)
-            .option("maxFilesPerTrigger", files_per_trigger).parquet(path))
+def read_fact_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
+    """Facts arriving as Parquet files in ``path``; ``files_per_trigger``
+    limits a micro-batch (no limit by default)."""
+    reader = spark.readStream.schema(S.FACT_SCHEMA)
+    if files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.parquet(path)
 
 
 def alert_stream(stream: DataFrame, sink_path: str, checkpoint_path: str,
@@ -74,6 +77,9 @@ def alert_stream(stream: DataFrame, sink_path: str, checkpoint_path: str,
     replay). With ``event_time`` a watermark on that column drops repeat
     alerts for the same Project_ID (``dropDuplicatesWithinWatermark``)."""
     if event_time is not None:
+        # the filter comes first: state holds alerts only, and a project that
+        # was fine when first seen still alerts when it drops
+        stream = stream.filter(F.col("Utilization_Percentage") < F.lit(threshold))
         stream = (stream.withWatermark(event_time, dedup_delay)
                   .dropDuplicatesWithinWatermark(["Project_ID"]))
     candidates = alert_candidates(stream, threshold)
@@ -92,8 +98,16 @@ def alert_stream(stream: DataFrame, sink_path: str, checkpoint_path: str,
     return writer.start()
 
 
+ALERT_SCHEMA = ("Project_ID string, type string, severity string, title string, message string, "
+                "timestamp timestamp, alert_id string, batch_id long")
+
+
 def read_alerts(spark: SparkSession, sink_path: str) -> DataFrame:
-    return spark.read.parquet(sink_path)
+    """The alerts written so far; none where nothing was written yet."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(sink_path)
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], ALERT_SCHEMA)
+    return spark.read.schema(ALERT_SCHEMA).parquet(sink_path)
 
 
 def alert_view(alerts: DataFrame, n: int = S.ALERT_VIEW_ROWS) -> DataFrame:
@@ -103,8 +117,10 @@ def alert_view(alerts: DataFrame, n: int = S.ALERT_VIEW_ROWS) -> DataFrame:
             .limit(n))
 
 
-def alert_unread(alerts: DataFrame) -> DataFrame:
-    """Alerts not marked read (a missing ``read`` flag means unread)."""
+def alert_unread(alerts: DataFrame, n: int = S.ALERT_VIEW_ROWS) -> DataFrame:
+    """Alerts not marked read (a missing ``read`` flag means unread) among
+    the newest ``n``, which are what a client holds."""
+    alerts = alert_view(alerts, n)
     read = F.col("read") if "read" in alerts.columns else F.lit(None).cast("boolean")
     return alerts.agg(F.count(F.when(~F.coalesce(read, F.lit(False)), 1))
                       .alias("unread"), F.count(F.lit(1)).alias("alerts"))

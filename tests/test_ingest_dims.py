@@ -154,3 +154,78 @@ def test_read_budget_many_files_and_globs(spark):
     got = {r["Project_ID"]: (r["Year"], r["Source_File"]) for r in df.collect()}
     assert got == {"A1": (2021, "budget.csv"), "A2": (2022, "budget.csv"),
                    "B1": (2023, "more.csv"), "C1": (2024, "late.csv")}
+
+
+def _file(text):
+    import os
+    import tempfile
+    folder = tempfile.mkdtemp(prefix="budgetlens-csv-")
+    with open(os.path.join(folder, "a.csv"), "w") as fh:
+        fh.write(text)
+    return folder
+
+
+def test_csv_whole_numbers_quotes_and_line_breaks(spark):
+    path = _file('Project_ID,Year,Delay_Days,Population_Covered,District,State\n'
+                 'P1,2022.0,45.0,1000.0,"Say ""hi"", ok", NA \n'
+                 'P2, 2023 ,4.5,1e3,"two\nlines",NA\n')
+    rows = {r["Project_ID"]: r for r in read_budget(spark, path).collect()}
+    assert set(rows) == {"P1", "P2"}
+    assert (rows["P1"]["Year"], rows["P1"]["Delay_Days"], rows["P1"]["Population_Covered"]) == (2022, 45, 1000)
+    assert rows["P1"]["District"] == 'Say "hi", ok' and rows["P1"]["State"] == " NA "
+    assert (rows["P2"]["Year"], rows["P2"]["Delay_Days"], rows["P2"]["Population_Covered"]) == (2023, None, 1000)
+    assert rows["P2"]["District"] == "two\nlines" and rows["P2"]["State"] is None
+
+
+def test_csv_files_with_other_column_order(spark):
+    a, b = _file("Project_ID,State,Year\nP1,North,2020\n"), _file("State,Project_ID\nSouth,P2\n")
+    empty = _file("")
+    got = {r["Project_ID"]: (r["State"], r["Year"]) for r in read_budget(spark, [a, b, empty]).collect()}
+    assert got == {"P1": ("North", 2020), "P2": ("South", None)}
+    assert read_budget(spark, empty, with_source=True).collect() == []
+
+
+def test_append_is_one_row_after_another(spark):
+    t = spark.createDataFrame([("admin", "admin@x", None, "admin", None, False)], USERS)
+    row = lambda u, e, n: (u, e, n, "public", None, False)
+    new = spark.createDataFrame([row("u0", "z@x", "0"), row("u0", "z@x", "0"),          # identical
+                                 row("u1", "a@x", "1"), row("u1", "b@x", "2"),          # username repeated
+                                 row("u2", "b@x", "3"),                                 # its e-mail was in a rejected row
+                                 row("u3", "a@x", "4")], USERS)
+    snap, rej = DM.append_new(t, new, order=["full_name"])
+    assert sorted(r["username"] for r in snap.collect()) == ["admin", "u0", "u1", "u2"]
+    assert sorted((r["username"], r["reason"]) for r in rej.collect()) == [
+        ("u0", "username repeated in batch"), ("u1", "username repeated in batch"), ("u3", "email repeated in batch")]
+
+
+def test_profile_types_and_large_means(spark):
+    df = spark.createDataFrame([(0.000012, 10**15, 10**9, float("nan")), (0.000049, 10**15 + 2, 10**9 + 1, 1.0), (0.000031, None, 10**9 + 2, 3.0)],
+                               "small double, big long, far long, holes double")
+    p = {r["column"]: r for r in Q.profile_numeric(df).collect()}
+    assert p["small"]["min"] == 0.000012 and p["small"]["p50"] == 0.000031
+    assert p["big"]["max"] == 10**15 + 2 and p["big"]["std"] == pytest.approx(2**0.5)
+    assert p["far"]["std"] == 1.0 and p["far"]["mean"] == 10**9 + 1
+    assert p["holes"]["count"] == 2 and p["holes"]["p50"] == 2.0
+    none = Q.profile_numeric(df.where("small > 1")).collect()
+    assert all(r["count"] == 0 and r["p50"] is None for r in none)
+
+
+def test_health_probe_can_fail(spark, tmp_path):
+    ok = Q.health(spark, spark.range(3).toDF("x")).first()
+    assert (ok["status"], ok["records"], ok["table_exists"], ok["error"]) == ("healthy", 3, True, None)
+    for bad in (None, str(tmp_path / "nothing")):
+        r = Q.health(spark, bad).first()
+        assert r["status"] == "unhealthy" and not r["table_exists"] and r["error"]
+
+
+def test_nan_is_null_in_output_and_records(spark):
+    from budgetlens.functions.numeric import to_output
+    from budgetlens.sources.sinks import to_records
+    df = spark.createDataFrame([(float("nan"), 1.5, float("inf"))], "a double, b double, c double")
+    assert tuple(to_output(df).first()) == (None, 1.5, None)
+    assert to_records(df).first()["record"] == '{"a":null,"b":1.5,"c":null}'
+
+
+def test_head_is_ordered(spark):
+    f = make_facts(spark, [{"Project_ID": x} for x in ("c", "a", "b")])
+    assert [r["Project_ID"] for r in Q.head(f, 2).collect()] == ["a", "b"]

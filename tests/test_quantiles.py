@@ -7,6 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from budgetlens.operators import quantiles as QQ
 from budgetlens.operators.quantiles import exact_percentiles
 
 QS = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
@@ -16,8 +17,9 @@ def _numpy(values, weights, q):
     return float(np.percentile(np.repeat(values, weights), q * 100))
 
 
-@pytest.mark.parametrize("buckets", [1, 4, 16])
-def test_matches_numpy_weighted(spark, buckets):
+@pytest.mark.parametrize("steps", [2, 16, 1024])
+def test_matches_numpy_weighted(spark, monkeypatch, steps):
+    monkeypatch.setattr(QQ, "STEPS", steps)
     rng = np.random.default_rng(3)
     rows = []
     for g in ("a", "b", "c"):
@@ -25,8 +27,7 @@ def test_matches_numpy_weighted(spark, buckets):
         wts = rng.integers(1, 5, size=200)
         rows += [(g, float(v), int(w)) for v, w in zip(vals, wts)]
     df = spark.createDataFrame(rows, "g string, v double, w long")
-    got = {r["g"]: r for r in exact_percentiles(df, ["g"], "v", QS, "w", buckets=buckets)
-           .collect()}
+    got = {r["g"]: r for r in exact_percentiles(df, ["g"], "v", QS, "w").collect()}
     for g in ("a", "b", "c"):
         sub = [(v, w) for gg, v, w in rows if gg == g]
         vals = np.array([v for v, _ in sub])
@@ -47,19 +48,23 @@ def test_global_and_nulls(spark):
        st.sampled_from([0.1, 0.5, 0.9]))
 def test_property_unweighted(spark, values, q):
     df = spark.createDataFrame([(float(v),) for v in values], "v double")
-    r = exact_percentiles(df, [], "v", [q], buckets=3).first()
+    r = exact_percentiles(df, [], "v", [q]).first()
     assert r["p_0"] == pytest.approx(float(np.percentile(values, q * 100)), abs=1e-9)
 
 
-def test_size_check_switches_to_buckets(spark, monkeypatch):
-    from budgetlens.operators import quantiles as QQ
-    monkeypatch.setattr(QQ, "MAX_VALUES_PER_TASK", 10)
-    monkeypatch.setattr(QQ, "BUCKET_VALUES", 8)
-    rng = np.random.default_rng(5)
-    vals = rng.integers(0, 500, size=300).astype(float)
-    df = spark.createDataFrame([("g", float(v)) for v in vals], "g string, v double")
-    d = df.groupBy("g", "v").count()
-    assert QQ.choose_buckets(d, ["g"]) > 1
-    r = exact_percentiles(df, ["g"], "v", [0.1, 0.5, 0.9]).first()
+def test_a_million_distinct_values_without_a_group_window(spark):
+    df = spark.range(1_000_000).selectExpr("'g' AS g", "cast((id * 7919) % 1000003 as double) / 7 AS v")
+    plan = exact_percentiles(df, ["g"], "v", [0.1, 0.5, 0.9])
+    values = np.sort((np.arange(1_000_000) * 7919) % 1000003 / 7)
+    r = plan.first()
     for i, q in enumerate([0.1, 0.5, 0.9]):
-        assert r[f"p_{i}"] == pytest.approx(float(np.percentile(vals, q * 100)), abs=1e-12)
+        assert r[f"p_{i}"] == pytest.approx(float(np.percentile(values, q * 100)), abs=1e-9)
+    assert "Window" not in plan._jdf.queryExecution().toString()
+
+
+def test_decimals_null_groups_and_nothing(spark):
+    df = spark.createDataFrame([(None, "1.25"), (None, "2.50"), ("a", None), ("b", "7.00")], "g string, t string").selectExpr(
+        "g", "cast(t as decimal(10,2)) AS v")
+    got = {r["g"]: r["p_0"] for r in exact_percentiles(df, ["g"], "v", [0.5]).collect()}
+    assert got == {None: 1.875, "b": 7.0}
+    assert exact_percentiles(df.where("g = 'a'"), ["g"], "v", [0.5]).collect() == []

@@ -22,7 +22,7 @@ def _write_files(spark, src, files=3, per_file=10):
 def test_available_now_alerts_per_batch_and_restart(spark):
     src, sink, ckpt = (scratch_path(spark, n) for n in ("src", "sink", "ckpt"))
     _write_files(spark, src)
-    q = ST.alert_stream(ST.read_fact_stream(spark, src), sink, ckpt, available_now=True)
+    q = ST.alert_stream(ST.read_fact_stream(spark, src, 1), sink, ckpt, available_now=True)
     q.awaitTermination()
     alerts = ST.read_alerts(spark, sink)
     per_batch = {r["batch_id"]: r["n"] for r in
@@ -84,3 +84,23 @@ def test_watermark_drops_repeat_alerts(spark):
     got = ST.read_alerts(spark, sink)
     assert got.count() == 2                     # second file repeats both projects
     assert got.select("Project_ID").distinct().count() == 2
+
+
+def test_project_that_drops_later_alerts_and_empty_sink(spark):
+    from pyspark.sql import types as T
+
+    from budgetlens.schema import FACT_SCHEMA
+    src, sink, ckpt = (scratch_path(spark, n) for n in ("src", "sink", "ckpt"))
+    assert ST.read_alerts(spark, sink).count() == 0 and ST.alert_unread(ST.read_alerts(spark, sink)).first()["unread"] == 0
+    schema = T.StructType(FACT_SCHEMA.fields + [T.StructField("ingested_at", T.TimestampType())])
+    for day, used in ((1, "90.00"), (2, "10.00")):
+        make_facts(spark, [{"Project_ID": "P", "Utilization_Percentage": Decimal(used)}]).withColumn(
+            "ingested_at", F.to_timestamp(F.lit(f"2024-01-0{day} 00:00:00"))).coalesce(1).write.mode("append").parquet(src)
+        ST.alert_stream(spark.readStream.schema(schema).parquet(src), sink, ckpt, available_now=True, event_time="ingested_at").awaitTermination()
+    assert ST.read_alerts(spark, sink).count() == 1
+
+
+def test_unread_counts_the_newest_only(spark):
+    rows = spark.range(80).selectExpr("cast(id as string) AS alert_id", "'high' AS severity", "timestamp_seconds(id) AS timestamp", "id >= 75 AS read")
+    u = ST.alert_unread(rows).first()
+    assert (u["unread"], u["alerts"]) == (45, 50)
