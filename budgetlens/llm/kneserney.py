@@ -17,8 +17,8 @@ texts of all trusted documents.
 3. Answers are joined with the packed blocks: perplexity per document.
 4. A fifth of the trusted documents (by a hash of their text) is held out of
    training. Per language and length class, the quantile ``HIGH`` of their bits
-   per character (rounded to ``STEP``), widened by ``SLACK``, bounds what is
-   kept; with fewer than ``ENOUGH`` of them the bound of the language holds,
+   per character (rounded to ``STEP``), widened by ``WIDEN`` of its distance
+   from the median, bounds what is kept; with fewer than ``ENOUGH`` of them the bound of the language holds,
    then that of all.
 
 Short texts: the bits of a text are averaged with ``PRIOR`` characters at the
@@ -46,7 +46,7 @@ from budgetlens.session import broadcast_if_small
 
 ORDER, BITS = 5, 12
 MASK = (1 << BITS) - 1
-HIGH, STEP, SLACK = 0.999, 0.001, 0.02
+HIGH, STEP, WIDEN = 0.999, 0.001, 0.5
 PRIOR = 50
 HELD = 5
 #: Held-out documents that a bound of its own needs, and the sizes (characters) between the length classes.
@@ -419,12 +419,14 @@ def classify(docs: DataFrame, trusted: DataFrame) -> DataFrame:
 
 def quantile_bounds(steps: DataFrame, by: list[str]) -> DataFrame:
     """(by, n, high) from rows with step and count: the HIGH quantile of the
-    stepped values, widened by SLACK. A group has as many rows as distinct steps."""
+    stepped values, widened by WIDEN of its distance from the median (few
+    documents do not show how far good text reaches). A group has as many rows
+    as distinct steps."""
     steps = steps.groupBy(*by, "step").agg(F.sum("count").alias("count"))
     w = Window.partitionBy(*by)
     run = steps.withColumn("run", F.sum("count").over(w.orderBy("step"))).withColumn("total", F.sum("count").over(w))
-    return run.groupBy(*by).agg(F.max("total").alias("n"), (F.min(F.when(F.col("run") >= F.col("total") * HIGH, F.col("step")))
-                                                            * STEP * (1 + SLACK)).alias("high"))
+    at = lambda q: F.min(F.when(F.col("run") >= F.col("total") * q, F.col("step")))
+    return run.groupBy(*by).agg(F.max("total").alias("n"), ((at(HIGH) + (at(HIGH) - at(0.5)) * WIDEN) * STEP).alias("high"))
 
 
 def trusted_of(labels: DataFrame) -> DataFrame:
