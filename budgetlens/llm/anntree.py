@@ -138,10 +138,13 @@ def _augment(x: np.ndarray, top: float) -> np.ndarray:
     return x
 
 
-def _best(q_ids, q, x_ids, x, k: int):
-    """(query row, vec_id, score) of the ``k`` best per query, exact scores."""
+def _best(q_ids, q, x_ids, x, k: int, hidden=None):
+    """(query row, vec_id, score) of the ``k`` best per query, exact scores;
+    pairs that are ``hidden`` (queries x rows) do not count."""
     s = q @ x.T
     s[q_ids[:, None] == x_ids[None, :]] = -np.inf
+    if hidden is not None:
+        s[hidden] = -np.inf
     if s.shape[1] > k:
         edge = -np.partition(-s, k - 1, axis=1)[:, k - 1]
     else:
@@ -287,15 +290,13 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec
         visited = q.column("leaves").combine_chunks()
         owner = np.repeat(np.arange(len(q_ids)), visited.value_lengths().to_numpy(zero_copy_only=False))
         leaves = visited.flatten().to_numpy()
-        parts = []
-        for leaf in np.unique(at):  # only queries that visit a leaf see its rows
-            asks, rows = owner[leaves == leaf], np.flatnonzero(at == leaf)
-            if len(asks):
-                row, vec, score = _best(q_ids[asks], qv[asks], x_ids[rows], xv[rows], k)
-                parts.append((q_ids[asks[row]], vec, score))
-        if not parts:
-            return _packed(*(np.zeros(0, t) for t in (np.int64, np.int64, np.float64)))
-        return _packed(*_pruned(*(np.concatenate(p) for p in zip(*parts)), k))
+        # only queries that visit a leaf see its rows
+        own, of_row = np.unique(at, return_inverse=True)
+        here = np.isin(leaves, own)
+        visits_here = np.zeros((len(q_ids), len(own)), dtype=bool)
+        visits_here[owner[here], np.searchsorted(own, leaves[here])] = True
+        row, vec, score = _best(q_ids, qv, x_ids, xv, k, ~visits_here[:, of_row])
+        return _packed(*_pruned(q_ids[row], vec, score, k))
 
     found = (left.groupBy("bin", "block").cogroup(right.groupBy("bin", "block"))
              .applyInArrow(compare, _PACKED))
