@@ -164,7 +164,7 @@ def with_next(docs: DataFrame, text: str = "text", range_bytes: int = RANGE_BYTE
     else:
         at = F.explode(F.array(here))
     return (rows.select("doc_id", "text", at.alias("at")).select("at.part", "at.ghost", "doc_id", "text")
-            .repartition("part").sortWithinPartitions("part", "ghost", "doc_id", "text"))
+            .repartition(n, "part").sortWithinPartitions("part", "ghost", "doc_id", "text"))
 
 
 SCHEMA = ("doc_id long, n_chars long, edited_text string, fingerprint string, edited_fingerprint string, "
