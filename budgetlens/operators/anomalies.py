@@ -15,7 +15,7 @@ from budgetlens.functions.bands import tagged
 from budgetlens.functions.numeric import to_output
 from budgetlens.operators.forest import feature_rows, fit_forest, score_points
 from budgetlens.operators.quantiles import exact_percentiles
-from budgetlens.session import materialize
+from budgetlens.session import broadcast_if_small, materialize
 
 GATE_MESSAGE = "Not enough data for ML detection"
 
@@ -43,7 +43,8 @@ def flag_by_contamination(df: DataFrame, group_cols: list[str], score_col: str,
     thr = exact_percentiles(df, group_cols, score_col, [1.0 - contamination],
                             weight_col=weight_col).select(
         *group_cols, F.col("p_0").alias("threshold"))
-    out = df.join(thr, group_cols, "left")
+    # one row per group: broadcast behind a row check
+    out = df.join(broadcast_if_small(thr), group_cols, "left")
     return out.withColumn("is_anomaly", F.coalesce(
         F.col(score_col) > F.col("threshold"), F.lit(False)))
 
@@ -68,10 +69,12 @@ def scored_points(f: DataFrame, contamination: float = S.FOREST_CONTAMINATION,
                                  contamination, weight_col="n")
 
 
-def ml_anomalies(f: DataFrame, **kw) -> DataFrame:
-    """M1: the fact rows the forest flags, with their anomaly score (M4)."""
-    flagged = scored_points(f, **kw).filter("is_anomaly").select(
+def ml_anomalies(f: DataFrame, scored: DataFrame | None = None, **kw) -> DataFrame:
+    """M1: the fact rows the forest flags, with their anomaly score (M4).
+    ``scored``: points scored before (``scored_points``), to share one fit."""
+    flagged = (scored if scored is not None else scored_points(f, **kw)).filter("is_anomaly").select(
         "Department", "x0", "x1", "anomaly_score")
+    flagged = broadcast_if_small(flagged, 500_000)
     rows = f.select("Department", "Project_ID", "State", "District",
                     "Utilization_Percentage", "Delay_Days",
                     F.coalesce(F.col("Utilization_Percentage").cast("double"),
@@ -81,9 +84,9 @@ def ml_anomalies(f: DataFrame, **kw) -> DataFrame:
     return to_output(out)
 
 
-def anomaly_kpis(f: DataFrame, **kw) -> DataFrame:
+def anomaly_kpis(f: DataFrame, scored: DataFrame | None = None, **kw) -> DataFrame:
     """Per department total rows, ML anomalies, tagged anomalies, rate."""
-    ml = (scored_points(f, **kw).groupBy("Department")
+    ml = ((scored if scored is not None else scored_points(f, **kw)).groupBy("Department")
           .agg(F.sum(F.when(F.col("is_anomaly"), F.col("n")).otherwise(0))
                .cast("bigint").alias("ml_anomalies_found")))
     base = f.groupBy("Department").agg(
@@ -99,11 +102,11 @@ def anomaly_kpis(f: DataFrame, **kw) -> DataFrame:
     return out.orderBy("Department")
 
 
-def all_anomalies(f: DataFrame, n: int = S.ANOMALY_LIMIT, **kw) -> DataFrame:
+def all_anomalies(f: DataFrame, n: int = S.ANOMALY_LIMIT, scored: DataFrame | None = None, **kw) -> DataFrame:
     """D3: ML anomalies then tagged anomalies, duplicates kept, first ``n`` per
     department by (source, Project_ID). The per-department limit is a
     ``WindowGroupLimit`` before the shuffle."""
-    ml = ml_anomalies(f, **kw).select(
+    ml = ml_anomalies(f, scored, **kw).select(
         "Department", "Project_ID", F.lit(0).alias("source"), "anomaly_score")
     tg = (f.filter(tagged("Anomaly_Tag"))
           .select("Department", "Project_ID", F.lit(1).alias("source"),

@@ -9,12 +9,15 @@ ceil(log2 psi); path length of a leaf = depth + c(leaf size); score
 - 2 (n - 1) / n, c(2) = 1, c(1) = 0.
 
 Spark plan:
-  fit   - one pool of at most ``trees * psi`` rows per department, chosen by the
-          smallest hashes of Project_ID (a hash-fraction filter first, so a huge
-          department is not shuffled whole), copied to blocks of trees, then
-          ``groupBy(Department, block).applyInPandas`` grows the trees with
-          numpy. The model is a DataFrame: one row per (department, tree) with
-          node arrays.
+  fit   - every tree draws its own ``psi`` rows from all rows of its department:
+          the rows with the smallest keys, a tree's key of a row being integer
+          arithmetic on two lanes of one md5 of its Project_ID. The department
+          counts (broadcast behind a row check) turn into a bound per department,
+          so a row is tested for all trees where it is read, and only rows
+          that are candidates of a tree are shuffled (about 2 psi per tree);
+          the exact ``psi`` smallest are kept per (department, tree). Trees are
+          grown in blocks by ``applyInPandas`` (numpy). The model is a
+          DataFrame: one row per (department, tree) with node arrays.
   score - the score depends only on the (department, features) point, so the
           distinct points are scored, not the rows. Points are split into
           hash buckets sized from each department's point count; the model rows
@@ -33,6 +36,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from budgetlens.session import broadcast_if_small, ship_package
+
 EULER_GAMMA = 0.5772156649015329
 
 MODEL_SCHEMA = T.StructType([
@@ -111,26 +116,20 @@ def _department_seed(seed: int, department) -> list[int]:
     return [int(seed), zlib.crc32(str(department).encode("utf-8"))]
 
 
-def fit_department(pool: pd.DataFrame, trees: int, max_samples: int, seed: int,
-                   tree_ids=None) -> pd.DataFrame:
-    """Grow isolation trees for one department's pool.
+def fit_trees(drawn: pd.DataFrame, seed: int) -> pd.DataFrame:
+    """Grow the trees of one department whose drawn rows are in ``drawn``.
 
-    Tree ``t`` draws its rows and splits from an RNG seeded by (seed,
-    department, t) over the pool in hash order, so the model does not depend
-    on how trees are spread over tasks.
+    Tree ``t`` splits by an RNG seeded by (seed, department, t) over its rows in
+    key order, so the model does not depend on how trees are spread over tasks.
     """
-    pool = pool.sort_values(["h", "Project_ID"], kind="mergesort")
-    department = pool["Department"].iloc[0]
-    X = pool[["x0", "x1"]].to_numpy(dtype=np.float64)
-    n = X.shape[0]
-    psi = int(min(max_samples, n))
-    max_depth = int(math.ceil(math.log2(max(psi, 2))))
     rows = []
-    for t in (range(trees) if tree_ids is None else tree_ids):
+    for t, own in drawn.groupby("tree"):
+        own = own.sort_values(["key", "Project_ID", "x0", "x1"], kind="mergesort")
+        department = own["Department"].iloc[0]
+        X = own[["x0", "x1"]].to_numpy(dtype=np.float64)
+        psi = X.shape[0]
         rng = np.random.default_rng(_department_seed(seed, department) + [int(t)])
-        pick = rng.choice(n, size=psi, replace=False) if psi < n else np.arange(n)
-        feat, thr, le, ri, val = grow_tree(X[pick], rng, max_depth)
-        rows.append((department, int(t), psi, feat, thr, le, ri, val))
+        rows.append((department, int(t), psi, *grow_tree(X, rng, int(math.ceil(math.log2(max(psi, 2)))))))
     return pd.DataFrame(rows, columns=[f.name for f in MODEL_SCHEMA.fields])
 
 
@@ -188,42 +187,51 @@ def feature_rows(f: DataFrame) -> DataFrame:
         F.coalesce(F.col("Delay_Days").cast("double"), F.lit(0.0)).alias("x1"))
 
 
+#: Keys of the trees lie in [0, SPAN); candidates per tree in units of its rows.
+SPAN, HEADROOM = 2**52 - 47, 2
+
+
+def drawn_rows(rows: DataFrame, counts: DataFrame, trees: int, max_samples: int, seed: int) -> DataFrame:
+    """(Department, tree, key, Project_ID, x0, x1): each tree's rows, the
+    ``max_samples`` smallest keys of all rows of its department (all rows of a
+    smaller one). With HEADROOM 2 a tree of 256 has fewer candidates than it
+    needs with probability below 1e-30."""
+    digest = F.md5(F.concat(F.lit(f"{seed}-"), F.col("Project_ID")))
+    lane = [F.conv(F.substring(digest, at, 13), 16, 10).cast("bigint") for at in (1, 14)]
+    bound = F.when(F.col("total") <= HEADROOM * max_samples, F.lit(SPAN)).otherwise(
+        F.floor(F.lit(float(SPAN)) * HEADROOM * max_samples / F.col("total")))
+    small = broadcast_if_small(counts.select("Department", "total"))
+    tested = rows.join(small, "Department").select(
+        "Department", "Project_ID", "x0", "x1", bound.cast("bigint").alias("bound"), lane[0].alias("a"), lane[1].alias("b"))
+    key = lambda t: F.pmod(F.col("a") + t * F.col("b"), F.lit(SPAN))
+    # plain expressions, one per tree: they stay in generated code
+    mine = F.array_compact(F.array(*[F.when(key(F.lit(t)) < F.col("bound"), F.lit(t)) for t in range(trees)]))
+    cand = (tested.withColumn("tree", F.explode(mine))
+            .select("Department", "tree", key(F.col("tree")).alias("key"), "Project_ID", "x0", "x1"))
+    from pyspark.sql.window import Window
+    w = Window.partitionBy("Department", "tree").orderBy("key", "Project_ID", "x0", "x1")
+    return cand.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= max_samples).drop("_r")
+
+
 def fit_forest(rows: DataFrame, counts: DataFrame, trees: int = 100,
                max_samples: int = 256, seed: int = 42, trees_per_block: int = 25,
                partitions: int | None = None) -> DataFrame:
     """Model DataFrame (MODEL_SCHEMA) for every department in ``counts``.
 
     ``rows``: Department, Project_ID, x0, x1. ``counts``: Department, total
-    (only eligible departments). The pool per department is the
-    ``trees * max_samples`` rows with the smallest hash; a hash-fraction filter
-    with 1.5x headroom keeps the shuffle near that size.
+    (only eligible departments).
     """
-    pool_size = trees * max_samples
-    span = 1 << 30
-    h = F.xxhash64(F.lit(seed), F.col("Project_ID"))
-    keep = F.least(F.lit(1.0), F.lit(1.5 * pool_size) / F.col("total"))
-    cand = (rows.join(counts.select("Department", "total"), "Department")
-            .withColumn("h", h)
-            .filter(F.pmod(F.col("h"), F.lit(span)) < keep * F.lit(float(span))))
-    from pyspark.sql.window import Window
-    w = Window.partitionBy("Department").orderBy("h", "Project_ID")
-    pool = (cand.withColumn("_r", F.row_number().over(w))
-            .filter(F.col("_r") <= pool_size)
-            .select("Department", "Project_ID", "x0", "x1", "h"))
-
-    # Trees are grown in blocks: the pool (bounded) is copied to each block of
-    # ``trees_per_block`` trees, and the explicit repartition keeps the
-    # CPU-heavy groups spread over tasks (AQE would merge them by byte size).
-    blocks = max(1, math.ceil(trees / trees_per_block))
-    spread = (pool.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    ship_package(rows.sparkSession)
+    drawn = drawn_rows(rows, counts, trees, max_samples, seed)
+    # the explicit repartition keeps the CPU-heavy groups spread over tasks
+    # (AQE would merge them by byte size)
+    spread = (drawn.withColumn("block", F.floor(F.col("tree") / trees_per_block).cast("int"))
               .repartition(partitions or
-                           int(pool.sparkSession.conf.get("spark.sql.shuffle.partitions")),
+                           int(drawn.sparkSession.conf.get("spark.sql.shuffle.partitions")),
                            "Department", "block"))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        b = int(pdf["block"].iloc[0])
-        ids = range(b * trees_per_block, min(trees, (b + 1) * trees_per_block))
-        return fit_department(pdf, trees, max_samples, seed, tree_ids=ids)
+        return fit_trees(pdf, seed)
 
     return spread.groupBy("Department", "block").applyInPandas(fit, MODEL_SCHEMA)
 
@@ -236,10 +244,12 @@ def score_points(points: DataFrame, model: DataFrame,
     with the same partition count, so the cogroup needs no further exchange
     and AQE cannot merge the CPU-heavy groups into a few tasks.
     """
+    ship_package(points.sparkSession)
     parts = partitions or int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     per_dept = points.groupBy("Department").agg(F.count(F.lit(1)).alias("_p"))
     nb = per_dept.select("Department", F.greatest(
         F.lit(1), F.ceil(F.col("_p") / F.lit(points_per_bucket)).cast("int")).alias("_nb"))
+    nb = broadcast_if_small(nb)
     pts = (points.join(nb, "Department")
            .withColumn("bucket", F.pmod(F.xxhash64("x0", "x1"), F.col("_nb").cast("long"))
                        .cast("int"))

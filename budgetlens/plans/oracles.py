@@ -685,3 +685,34 @@ UNION ALL
 SELECT n.username, n.email, n.full_name, n.role, n.department, n.disabled, ins.reason
 FROM ins JOIN numbered n ON n.i = ins.i
 """).replace("WITH ", "WITH RECURSIVE ", 1)
+
+ORACLES["department_one"] = _q(f"""
+SELECT State, District,
+       CAST(SUM(Allocated_Budget_Cr) AS DOUBLE) AS total_allocated,
+       CAST(SUM(Actual_Spending_Cr) AS DOUBLE) AS total_spent,
+       {MEAN_UTIL} AS avg_utilization,
+       CAST(SUM(Remaining_Budget_Cr) AS DOUBLE) AS total_remaining,
+       {MEAN_DELAY} AS avg_delay,
+       CAST(COUNT(CASE WHEN {SQL_ANOMALY} THEN 1 END) AS BIGINT) AS anomaly_count
+FROM facts WHERE Department = (SELECT min(Department) FROM facts)
+GROUP BY State, District
+""")
+
+ORACLES["state_one"] = _q(f"""
+SELECT District, Department,
+       CAST(SUM(Allocated_Budget_Cr) AS DOUBLE) AS allocated,
+       CAST(SUM(Actual_Spending_Cr) AS DOUBLE) AS spent,
+       {MEAN_UTIL} AS utilization,
+       {MEAN_DELAY} AS avg_delay
+FROM facts WHERE State = (SELECT min(State) FROM facts)
+GROUP BY District, Department
+""")
+
+ORACLES["first_projects"] = ORACLES["budget_facts"] + "ORDER BY Project_ID LIMIT 5\n"
+
+ORACLES["ingest_many_csv"] = _q("""
+SELECT Year, State, CAST(COUNT(*) AS BIGINT) AS projects,
+       CAST(SUM(Allocated_Budget_Cr) AS DOUBLE) AS allocated,
+       CAST(COUNT(*) AS BIGINT) AS with_source
+FROM facts GROUP BY Year, State
+""")

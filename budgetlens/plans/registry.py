@@ -23,7 +23,7 @@ from budgetlens.operators import lists as L
 from budgetlens.operators import ranking as RK
 from budgetlens.operators import reallocate as R
 from budgetlens.operators import quality as Q
-from budgetlens.session import scratch_path
+from budgetlens.session import materialize, scratch_path
 from budgetlens.sources.csv import clean_columns, raw_name, read_budget, write_budget_csv
 from budgetlens.sources.sinks import to_records, write_facts
 from budgetlens.sources.star import budget_facts, facts, facts_path, read_facts
@@ -90,6 +90,24 @@ def _conditional_counts(spark, d):
     return A.conditional_counts(facts(spark, d))
 
 
+def _one(f, column):
+    """The smallest value of a column: a choice that the data makes."""
+    row = f.where(F.col(column).isNotNull()).agg(F.min(column).alias("v")).first()
+    return row["v"]
+
+
+@register("department_one")
+def _department_one(spark, d):
+    f = facts(spark, d)
+    return A.department_summary(f, _one(f, "Department"))
+
+
+@register("state_one")
+def _state_one(spark, d):
+    f = facts(spark, d)
+    return A.state_summary(f, _one(f, "State"))
+
+
 @register("spend_share")
 def _spend_share(spark, d):
     return A.spend_share(facts(spark, d))
@@ -189,19 +207,31 @@ def _anomaly_gate(spark, d):
     return AN.anomaly_gate(facts(spark, d))
 
 
+_SCORED: dict[str, DataFrame] = {}
+
+
+def _scored_points(spark, d):
+    """Points scored by one fit per stored fact table, shared by the anomaly
+    reports and written to the shared folder."""
+    path = facts_path(spark, d)
+    if path not in _SCORED:
+        _SCORED[path] = materialize(AN.scored_points(facts(spark, d)), "scored-points")
+    return _SCORED[path]
+
+
 @register("ml_anomalies")
 def _ml_anomalies(spark, d):
-    return AN.ml_anomalies(facts(spark, d))
+    return AN.ml_anomalies(facts(spark, d), _scored_points(spark, d))
 
 
 @register("anomaly_kpis")
 def _anomaly_kpis(spark, d):
-    return AN.anomaly_kpis(facts(spark, d))
+    return AN.anomaly_kpis(facts(spark, d), _scored_points(spark, d))
 
 
 @register("all_anomalies")
 def _all_anomalies(spark, d):
-    return AN.all_anomalies(facts(spark, d))
+    return AN.all_anomalies(facts(spark, d), scored=_scored_points(spark, d))
 
 
 def _scored(spark, d):
@@ -300,6 +330,28 @@ def _health(spark, d):
     return Q.health(spark, facts_path(spark, d))
 
 
+@register("first_projects")
+def _first_projects(spark, d):
+    return to_output(Q.head(facts(spark, d), 5))
+
+
+@register("ingest_many_csv")
+def _ingest_many_csv(spark, d):
+    # one file set per year with the columns in another order, read as one
+    # table; Year is checked against the folder a row came from
+    f = facts(spark, d)
+    years = [r[0] for r in f.select("Year").distinct().orderBy("Year").collect()]  # calendar years
+    paths = []
+    for i, y in enumerate(years):
+        paths.append(scratch_path(spark, f"csv-{y}"))
+        order = f.columns[i % 3:] + f.columns[: i % 3]
+        write_budget_csv(f.where(F.col("Year") == y).select(*order), paths[-1])
+    back = read_budget(spark, paths, with_source=True, multi_line=False)
+    return to_output(back.groupBy("Year", "State").agg(
+        F.count(F.lit(1)).alias("projects"), F.sum("Allocated_Budget_Cr").alias("allocated"),
+        F.count_if(F.col("Source_File").endswith(".csv")).alias("with_source")))
+
+
 @register("json_records")
 def _json_records(spark, d):
     # the JSON text read back with the declared schema

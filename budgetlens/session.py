@@ -7,10 +7,12 @@ settings that are unset. Tests and the bench build a local session through
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterable
 
 from pyspark.sql import SparkSession
 
@@ -111,9 +113,34 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: Scratch tables made and not yet removed, in order.
+_SCRATCH: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique path under the shared checkpoint folder."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession, keep: Iterable[str] = ()):
+    """Remove, at the end of the block, the scratch tables made inside it (but
+    those whose name starts with one of ``keep``). A report is lazy and reads
+    its scratch tables when it runs, so run or write it inside the block."""
+    before = len(_SCRATCH)
+    try:
+        yield
+    finally:
+        made = _SCRATCH[before:]
+        stay = [p for p in made if any(p.rsplit("/", 1)[1].startswith(k) for k in keep)]
+        _SCRATCH[before:] = stay
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for name in made:
+            if name not in stay:
+                path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+                path.getFileSystem(conf).delete(path, True)
 
 
 def materialize(df, name: str):

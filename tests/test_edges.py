@@ -210,3 +210,14 @@ def test_session_sizing_helpers(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert apply_defaults(spark).conf.get("spark.sql.adaptive.enabled") == "true"
+
+
+def test_scratch_tables_go_with_their_scope(spark):
+    import os
+
+    from budgetlens.session import materialize, scratch_scope
+    with scratch_scope(spark, keep=("facts-",)):
+        a, b = materialize(spark.range(3), "gone"), materialize(spark.range(3), "facts")
+        paths = [x.inputFiles()[0].removeprefix("file:").replace("///", "/").rsplit("/", 1)[0] for x in (a, b)]
+        assert all(map(os.path.isdir, paths))
+    assert not os.path.exists(paths[0]) and os.path.isdir(paths[1])

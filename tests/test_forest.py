@@ -104,3 +104,26 @@ def test_all_anomalies_ml_first_then_tagged(spark):
     sources = [r["source"] for r in got]
     assert sources == sorted(sources) and sources[-1] == 1
     assert got[-1]["Project_ID"] == "P0000"
+
+
+def test_each_tree_draws_its_own_rows_of_the_whole_department(spark):
+    rows = spark.range(6000).selectExpr("if(id < 5000, 'Large', 'Small') AS Department", "cast(id AS string) AS Project_ID",
+                                        "cast(id % 97 AS double) AS x0", "cast(id % 13 AS double) AS x1")
+    counts = rows.groupBy("Department").agg(F.count("*").alias("total"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20k")
+    try:
+        drawn = FO.drawn_rows(rows, counts, 100, 256, 42)
+        got = drawn.toPandas()
+        plan = drawn._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert (got.groupby(["Department", "tree"]).size() == 256).all() and len(got) == 2 * 100 * 256
+    assert got[got.Department == "Large"].Project_ID.nunique() > 4800   # no pool: nearly every row is in some tree
+    # what is dealt out by the department alone are counts, one row per task and department
+    alone = [x for x in plan.splitlines() if "Exchange hashpartitioning(Department" in x and "tree" not in x]
+    below = plan.splitlines()
+    assert all("partial_count" in below[below.index(x) + 1] for x in alone)
+    other = FO.drawn_rows(rows.repartition(7), counts, 100, 256, 42).toPandas()
+    key = ["Department", "tree", "Project_ID"]
+    assert got.sort_values(key)[key].values.tolist() == other.sort_values(key)[key].values.tolist()
