@@ -20,13 +20,16 @@ def bigint(col: str | Column) -> Column:
     return (F.col(col) if isinstance(col, str) else col).cast("bigint")
 
 
+def finite(col: str) -> Column:
+    """The column with NaN and infinities as NULL."""
+    c = F.col(f"`{col}`")
+    return F.when(F.abs(c) < float("inf"), c).alias(col)
+
+
 def nan_to_null(df: DataFrame) -> DataFrame:
     """NaN and infinities of double and float columns become NULL."""
     odd = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
-    if not odd:
-        return df
-    return df.select(*[F.when(F.abs(F.col(f"`{c}`")) < float("inf"), F.col(f"`{c}`")).alias(c) if c in odd
-                       else F.col(f"`{c}`") for c in df.columns])
+    return df.select(*[finite(c) if c in odd else F.col(f"`{c}`") for c in df.columns]) if odd else df
 
 
 def to_output(df: DataFrame) -> DataFrame:
@@ -36,6 +39,8 @@ def to_output(df: DataFrame) -> DataFrame:
     for field in df.schema.fields:
         if isinstance(field.dataType, T.DecimalType):
             cols.append(F.col(field.name).cast("double").alias(field.name))
+        elif isinstance(field.dataType, (T.DoubleType, T.FloatType)):
+            cols.append(finite(field.name))
         else:
             cols.append(F.col(field.name))
-    return nan_to_null(df.select(*cols))
+    return df.select(*cols)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from budgetlens.schema import FACT_COLUMNS, FACT_SCHEMA
-from budgetlens.session import broadcast_if_small, scratch_path
+from budgetlens.session import broadcast_if_small, scratch_path, size_shuffle_partitions
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,10 +47,10 @@ def facts_from_tables(lineitem: DataFrame, orders: DataFrame, customer: DataFram
     items = lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
                             "l_quantity", "l_extendedprice", "l_tax", "l_shipdate")
     # Line items to orders is the big-big join (orders is a quarter of the line
-    # items at any scale): a sort-merge join can spill, and AQE replaces it by a
-    # hash join where the measured partitions are small enough.
+    # items at any scale), so it is a sort-merge join, which can spill; after
+    # its shuffle the wide projection below runs in parallel.
     joined = (
-        items.join(order_dim, F.col("l_orderkey") == F.col("o_orderkey"))
+        items.join(order_dim.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(part.select("p_partkey", "p_brand", "p_type", "p_size"),
               F.col("l_partkey") == F.col("p_partkey"))
     )
@@ -105,6 +105,8 @@ def budget_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # One materialised copy of the facts per (application, input folder), the way
 # the reference loads its table once and then serves every report from it.
 _MATERIALISED: dict[tuple, str] = {}
+#: Bytes of joined rows for each byte of the compressed input files.
+WIDENING = 6
 _LOCK = threading.Lock()
 
 
@@ -131,7 +133,14 @@ def facts_path(spark: SparkSession, sf_dir: str) -> str:
         if path is None:
             from budgetlens.sources.sinks import write_facts
             path = scratch_path(spark, "facts")
-            write_facts(budget_facts(spark, sf_dir), path)
+            # partitions of about 128 MB after the join, if the session has fewer
+            n_bytes = sum(size for _, files in key[2] for _, size, _ in files)
+            partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+            size_shuffle_partitions(spark, WIDENING * n_bytes, minimum=partitions)
+            try:
+                write_facts(budget_facts(spark, sf_dir), path)
+            finally:
+                spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
             _MATERIALISED[key] = path
     return path
 
