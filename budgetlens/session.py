@@ -8,6 +8,7 @@ settings that are unset. Tests and the bench build a local session through
 from __future__ import annotations
 
 import contextlib
+import io
 import os
 import tempfile
 import uuid
@@ -79,15 +80,20 @@ def ship_package(spark: SparkSession) -> None:
     if getattr(sc, "_budgetlens_shipped", False):
         return
     root = os.path.dirname(os.path.abspath(__file__))
-    # the driver's file server hands the zip to each executor
-    path = os.path.join(tempfile.mkdtemp(prefix="budgetlens-src-"), "budgetlens-src.zip")
-    with zipfile.ZipFile(path, "w") as z:
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
         for folder, _, names in os.walk(root):
             for name in sorted(names):
                 if name.endswith(".py"):
                     full = os.path.join(folder, name)
                     z.write(full, os.path.relpath(full, os.path.dirname(root)))
-    sc.addPyFile(path)
+    # in the shared folder, written through its own file system
+    target = f"{checkpoint_dir(spark).rstrip('/')}/budgetlens-src-{uuid.uuid4().hex}.zip"
+    path = sc._jvm.org.apache.hadoop.fs.Path(target)
+    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path)
+    out.write(bytearray(data.getvalue()))
+    out.close()
+    sc.addPyFile(target)
     sc._budgetlens_shipped = True
 
 
