@@ -44,16 +44,22 @@ BIN, QUERY_BLOCK = 2048, 4096
 
 
 def valid_rows(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(vec_id long, v array<float>) of the rows that take part."""
+    """(vec_id long, v) of the rows that take part; v is array<float> where the
+    column is one, else array<double>."""
     v = F.col(embedding)
+    kind = "array<float>" if "float" in vectors.schema[embedding].dataType.simpleString() else "array<double>"
     fine = (F.col(vec_id).isNotNull() & v.isNotNull()
             & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
             & F.exists(v, lambda x: x != 0))
-    rows = vectors.where(fine).select(F.col(vec_id).cast("long").alias("vec_id"), v.cast("array<float>").alias("v"))
+    rows = vectors.where(fine).select(F.col(vec_id).cast("long").alias("vec_id"), v.cast(kind).alias("v"))
     widths = (rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect())
     return rows.where(F.size("v") == (widths[0]["d"] if widths else 0))
 
 
+def _kind(rows: DataFrame) -> str:
+    return rows.schema["v"].dataType.simpleString()
+
+
 class Tree:
     """Centres and children of the nodes; leaves are numbered in tree order."""
 
@@ -184,7 +190,7 @@ def index(rows: DataFrame, tree: Tree, d: int, top: float) -> DataFrame:
                 leaf = shared.value.assign(_augment(_matrix(b.column("v"), d), top))
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(leaf, pa.int64())], [*b.schema.names, "leaf"])
 
-    return rows.mapInArrow(run, "vec_id long, v array<float>, leaf long")
+    return rows.mapInArrow(run, f"vec_id long, v {_kind(rows)}, leaf long")
 
 
 def calibrate(indexed: DataFrame, queries: DataFrame, tree: Tree, d: int, k: int,
@@ -271,7 +277,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec
             kind = pa.list_(pa.struct([("bin", pa.int64()), ("leaves", pa.list_(pa.int64()))]))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(to, kind)], ["query_id", "v", "bins"])
 
-    asked = table(queries.mapInArrow(walk, "query_id long, v array<float>, "
+    asked = table(queries.mapInArrow(walk, f"query_id long, v {_kind(rows)}, "
                                            "bins array<struct<bin:long,leaves:array<long>>>"), "walks")
     asked = asked.select("query_id", "v", F.explode("bins").alias("b")).select("query_id", "v", "b.bin", "b.leaves")
     blocks = asked.groupBy("bin").agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("blocks"))

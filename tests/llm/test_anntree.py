@@ -64,3 +64,8 @@ def test_edge_rows(spark):
     assert A.search(df.where("vec_id = 3"), F.col("vec_id") % 20 == 0).collect() == []
     assert A.search(df.where("vec_id = 1"), F.col("vec_id") % 20 == 0).collect() == []
     assert A.search(df.where("vec_id = 0"), F.col("vec_id") % 20 == 0).collect() == []
+
+
+def test_double_vectors_keep_their_precision(spark):
+    df = spark.createDataFrame([(0, [0.1, 0.2], 0), (1, [0.3, 0.7], 0)], "vec_id long, embedding array<double>, label int")
+    assert A.search(df, F.col("vec_id") % 20 == 0).first().score == 0.1 * 0.3 + 0.2 * 0.7
