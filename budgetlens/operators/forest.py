@@ -16,7 +16,7 @@ Spark plan:
           so a row is tested for all trees where it is read, and only rows
           that are candidates of a tree are shuffled (about 2 psi per tree);
           the exact ``psi`` smallest are kept per (department, tree). Trees are
-          grown in blocks by ``applyInPandas`` (numpy). The model is a
+          grown in blocks by ``applyInPandas`` (numpy), splits drawn from md5 per node. The model is a
           DataFrame: one row per (department, tree) with node arrays.
   score - the score depends only on the (department, features) point, so the
           distinct points are scored, not the rows. Points are split into
@@ -27,8 +27,8 @@ Spark plan:
 
 from __future__ import annotations
 
+import hashlib
 import math
-import zlib
 
 import numpy as np
 import pandas as pd
@@ -39,6 +39,8 @@ from pyspark.sql import types as T
 from budgetlens.session import broadcast_if_small, ship_package
 
 EULER_GAMMA = 0.5772156649015329
+#: Decimals of mean path lengths and scores.
+DIGITS = 9
 
 MODEL_SCHEMA = T.StructType([
     T.StructField("Department", T.StringType()),
@@ -71,8 +73,19 @@ def c_factor(n):
     return out
 
 
-def grow_tree(X: np.ndarray, rng: np.random.Generator, max_depth: int):
-    """One isolation tree over the rows of X; returns node arrays."""
+def node_draws(seed: int, department, tree: int):
+    """The random draws of one tree: per node (root 1, children 2i and 2i + 1)
+    an integer that picks the feature and a fraction in [0, 1) that picks the
+    split point, both from one md5, so that any engine can repeat them."""
+    def draw(node: int) -> tuple[int, float]:
+        digest = hashlib.md5(f"{seed}-{department}-{tree}-{node}".encode()).hexdigest()
+        return int(digest[:8], 16), int(digest[8:21], 16) / 2**52
+    return draw
+
+
+def grow_tree(X: np.ndarray, draw, max_depth: int):
+    """One isolation tree over the rows of X; returns node arrays. ``draw``
+    gives the random numbers of a node (``node_draws``)."""
     feature, threshold, left, right, value = [], [], [], [], []
     c_of = c_factor(np.arange(X.shape[0] + 1)).tolist()   # leaf sizes <= rows
 
@@ -85,9 +98,9 @@ def grow_tree(X: np.ndarray, rng: np.random.Generator, max_depth: int):
         return len(feature) - 1
 
     root = new_node()
-    stack = [(root, np.arange(X.shape[0]), 0)]
+    stack = [(root, 1, np.arange(X.shape[0]), 0)]
     while stack:
-        node, idx, depth = stack.pop()
+        node, place, idx, depth = stack.pop()
         n = idx.shape[0]
         if depth >= max_depth or n <= 1:
             value[node] = depth + c_of[n]
@@ -98,8 +111,9 @@ def grow_tree(X: np.ndarray, rng: np.random.Generator, max_depth: int):
         if candidates.size == 0:
             value[node] = depth + c_of[n]
             continue
-        f = int(candidates[rng.integers(candidates.size)])
-        t = float(rng.uniform(lo[f], hi[f]))
+        pick, u = draw(place)
+        f = int(candidates[pick % candidates.size])
+        t = float(lo[f]) + u * (float(hi[f]) - float(lo[f]))
         if t >= hi[f]:
             t = float(lo[f])
         go_left = sub[:, f] <= t
@@ -107,20 +121,16 @@ def grow_tree(X: np.ndarray, rng: np.random.Generator, max_depth: int):
         threshold[node] = t
         li, ri = new_node(), new_node()
         left[node], right[node] = li, ri
-        stack.append((ri, idx[~go_left], depth + 1))
-        stack.append((li, idx[go_left], depth + 1))
+        stack.append((ri, 2 * place + 1, idx[~go_left], depth + 1))
+        stack.append((li, 2 * place, idx[go_left], depth + 1))
     return feature, threshold, left, right, value
 
 
-def _department_seed(seed: int, department) -> list[int]:
-    return [int(seed), zlib.crc32(str(department).encode("utf-8"))]
-
-
 def fit_trees(drawn: pd.DataFrame, seed: int) -> pd.DataFrame:
     """Grow the trees of one department whose drawn rows are in ``drawn``.
 
-    Tree ``t`` splits by an RNG seeded by (seed, department, t) over its rows in
-    key order, so the model does not depend on how trees are spread over tasks.
+    Tree ``t`` splits by draws that depend on (seed, department, t, node) only,
+    so the model does not depend on how trees are spread over tasks.
     """
     rows = []
     for t, own in drawn.groupby("tree"):
@@ -128,8 +138,8 @@ def fit_trees(drawn: pd.DataFrame, seed: int) -> pd.DataFrame:
         department = own["Department"].iloc[0]
         X = own[["x0", "x1"]].to_numpy(dtype=np.float64)
         psi = X.shape[0]
-        rng = np.random.default_rng(_department_seed(seed, department) + [int(t)])
-        rows.append((department, int(t), psi, *grow_tree(X, rng, int(math.ceil(math.log2(max(psi, 2)))))))
+        depth = int(math.ceil(math.log2(max(psi, 2))))
+        rows.append((department, int(t), psi, *grow_tree(X, node_draws(seed, department, int(t)), depth)))
     return pd.DataFrame(rows, columns=[f.name for f in MODEL_SCHEMA.fields])
 
 
@@ -157,6 +167,12 @@ def path_lengths(X: np.ndarray, model: pd.DataFrame) -> np.ndarray:
     return total / max(len(model), 1)
 
 
+def scores(mean_path: np.ndarray, psi: int) -> np.ndarray:
+    """Scores from mean path lengths; both rounded to DIGITS, so that the order
+    of summation does not show."""
+    return np.round(np.power(2.0, -np.round(mean_path, DIGITS) / float(c_factor(psi))), DIGITS)
+
+
 def score_bucket(points: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
     """cogroup side: score one bucket of a department's distinct points."""
     cols = [f.name for f in SCORE_SCHEMA.fields]
@@ -165,8 +181,7 @@ def score_bucket(points: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
     model = model.sort_values("tree")
     X = points[["x0", "x1"]].to_numpy(dtype=np.float64)
     psi = int(model["psi"].iloc[0])
-    mean_path = path_lengths(X, model)
-    score = np.power(2.0, -mean_path / float(c_factor(psi)))
+    score = scores(path_lengths(X, model), psi)
     return pd.DataFrame({
         "Department": points["Department"].to_numpy(),
         "x0": points["x0"].to_numpy(dtype=np.float64),

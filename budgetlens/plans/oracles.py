@@ -716,3 +716,90 @@ SELECT Year, State, CAST(COUNT(*) AS BIGINT) AS projects,
        CAST(COUNT(*) AS BIGINT) AS with_source
 FROM facts GROUP BY Year, State
 """)
+
+
+def _forest_sql(trees: int = 100, rows: int = 256, seed: int = 42, levels: int = 8) -> str:
+    """CTEs that fit and score the isolation forest: every tree's draw of rows,
+    eight levels of splits, and the walk of every distinct point."""
+    span = 2**52 - 47
+    sql = f"""
+, feats AS (
+  SELECT Department, Project_ID, coalesce(CAST(Utilization_Percentage AS DOUBLE), 0.0) AS x0,
+         coalesce(CAST(Delay_Days AS DOUBLE), 0.0) AS x1,
+         ('0x' || substr(md5('{seed}-' || Project_ID), 1, 13))::BIGINT AS a,
+         ('0x' || substr(md5('{seed}-' || Project_ID), 14, 13))::BIGINT AS b
+  FROM facts)
+, dept AS (
+  SELECT Department, least(COUNT(*), {rows}) AS psi, ceil(log2(least(COUNT(*), {rows})))::INT AS deepest
+  FROM feats GROUP BY Department HAVING COUNT(*) >= 10)
+, c AS (
+  SELECT n, CASE WHEN n <= 1 THEN 0.0 WHEN n = 2 THEN 1.0
+    ELSE 2.0 * (ln(n - 1.0) + 0.5772156649015329::DOUBLE) - 2.0 * (n - 1.0) / n END::DOUBLE AS c FROM range(1, {rows + 1}) t(n))
+, r0 AS (
+  SELECT Department, tree, 1 AS node, x0, x1 FROM (
+    SELECT f.*, t.tree, (f.a + t.tree * f.b) % {span} AS key FROM feats f JOIN dept USING (Department), range({trees}) t(tree))
+  QUALIFY row_number() OVER (PARTITION BY Department, tree ORDER BY key, Project_ID, x0, x1) <= {rows})
+, p0 AS (
+  SELECT q.*, t.tree, 1 AS node FROM (SELECT DISTINCT Department, x0, x1 FROM feats JOIN dept USING (Department)) q, range({trees}) t(tree))"""
+    for d in range(levels + 1):
+        sql += f"""
+, g{d} AS (
+  SELECT Department, tree, node, COUNT(*) AS n, min(x0) AS lo0, max(x0) AS hi0, min(x1) AS lo1, max(x1) AS hi1,
+         md5('{seed}-' || Department || '-' || tree || '-' || node) AS m
+  FROM r{d} GROUP BY ALL)
+, s{d} AS (
+  SELECT Department, tree, node, f, CASE WHEN lo + u * (hi - lo) >= hi THEN lo ELSE lo + u * (hi - lo) END AS t FROM (
+    SELECT *, CASE WHEN f = 0 THEN lo0 ELSE lo1 END AS lo, CASE WHEN f = 0 THEN hi0 ELSE hi1 END AS hi FROM (
+      SELECT *, CASE WHEN hi0 > lo0 AND hi1 > lo1 THEN ('0x' || substr(m, 1, 8))::BIGINT % 2 WHEN hi0 > lo0 THEN 0 ELSE 1 END AS f,
+             ('0x' || substr(m, 9, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
+      FROM g{d} JOIN dept USING (Department) WHERE {d} < deepest AND n > 1 AND (hi0 > lo0 OR hi1 > lo1))))
+, r{d + 1} AS (
+  SELECT r.Department, r.tree, r.node * 2 + (CASE WHEN s.f = 0 THEN x0 ELSE x1 END > s.t)::INT AS node, x0, x1
+  FROM r{d} r JOIN s{d} s USING (Department, tree, node))
+, v{d} AS (
+  SELECT p.Department, p.x0, p.x1, {d} + c.c AS value
+  FROM p{d} p JOIN g{d} g USING (Department, tree, node) JOIN c ON c.n = g.n
+       ANTI JOIN s{d} s ON s.Department = p.Department AND s.tree = p.tree AND s.node = p.node)
+, p{d + 1} AS (
+  SELECT p.Department, p.x0, p.x1, p.tree, p.node * 2 + (CASE WHEN s.f = 0 THEN x0 ELSE x1 END > s.t)::INT AS node
+  FROM p{d} p JOIN s{d} s USING (Department, tree, node))"""
+    values = " UNION ALL ".join(f"SELECT * FROM v{d}" for d in range(levels + 1))
+    return sql + f"""
+, scored AS (
+  SELECT Department, x0, x1, round(pow(2.0, -round(sum(value) / {trees}, 9) / any_value(c.c)), 9) AS anomaly_score
+  FROM ({values}) JOIN dept USING (Department) JOIN c ON c.n = psi GROUP BY Department, x0, x1)
+, rated AS (
+  SELECT f.Department, f.Project_ID, s.anomaly_score
+  FROM feats f JOIN scored s ON f.Department = s.Department AND f.x0 = s.x0 AND f.x1 = s.x1)
+, limits AS (SELECT Department, quantile_cont(anomaly_score, 0.9) AS threshold FROM rated GROUP BY Department)
+, ml AS (
+  SELECT r.Department, r.Project_ID, r.anomaly_score FROM rated r JOIN limits USING (Department)
+  WHERE r.anomaly_score > threshold)
+"""
+
+
+_FOREST = _forest_sql()
+
+ORACLES["ml_anomalies"] = _q(_FOREST + """
+SELECT ml.Department, ml.Project_ID, State, District,
+       CAST(Utilization_Percentage AS DOUBLE) AS Utilization_Percentage, Delay_Days, anomaly_score
+FROM ml JOIN facts USING (Project_ID)
+""")
+
+ORACLES["anomaly_kpis"] = _q(_FOREST + f"""
+, k AS (SELECT Department, COUNT(*) AS found FROM ml GROUP BY Department)
+SELECT f.Department, CAST(COUNT(*) AS BIGINT) AS total_records,
+       CAST(coalesce(any_value(found), 0) AS BIGINT) AS ml_anomalies_found,
+       CAST(COUNT(CASE WHEN {TAGGED} THEN 1 END) AS BIGINT) AS tagged_anomalies,
+       CAST(coalesce(any_value(found), 0) AS DOUBLE) / COUNT(*) AS anomaly_rate
+FROM facts f LEFT JOIN k USING (Department) GROUP BY f.Department
+""")
+
+ORACLES["all_anomalies"] = _q(_FOREST + f"""
+, both_lists AS (
+  SELECT Department, Project_ID, 0 AS source, anomaly_score FROM ml
+  UNION ALL SELECT Department, Project_ID, 1, NULL FROM facts WHERE {TAGGED})
+SELECT Department, Project_ID, source, anomaly_score,
+       CAST(row_number() OVER (PARTITION BY Department ORDER BY source, Project_ID) AS INT) AS position
+FROM both_lists QUALIFY position <= 20
+""")

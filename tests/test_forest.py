@@ -23,7 +23,7 @@ def test_c_factor_values():
 
 
 def test_grow_tree_isolates_and_respects_depth():
-    rng = np.random.default_rng(0)
+    rng = FO.node_draws(42, "d", 0)
     X = np.array([[0.0, 0.0], [1.0, 0.0], [0.0, 1.0], [5.0, 5.0]])
     feat, thr, left, right, val = FO.grow_tree(X, rng, max_depth=2)
     leaves = [i for i, f in enumerate(feat) if f < 0]
@@ -38,7 +38,7 @@ def test_grow_tree_isolates_and_respects_depth():
 
 def test_constant_features_make_one_leaf():
     X = np.ones((50, 2))
-    feat, thr, left, right, val = FO.grow_tree(X, np.random.default_rng(1), 6)
+    feat, thr, left, right, val = FO.grow_tree(X, FO.node_draws(42, "d", 1), 6)
     assert feat == [-1] and val == [float(FO.c_factor(50))]
 
 
@@ -70,8 +70,7 @@ def test_spark_scores_equal_brute_force(spark):
     model = FO.fit_forest(rows, counts).toPandas()
     pdf = rows.toPandas()
     X = pdf[["x0", "x1"]].to_numpy()
-    score = 2.0 ** (-FO.path_lengths(X, model.sort_values("tree")) /
-                    float(FO.c_factor(int(model["psi"].iloc[0]))))
+    score = FO.scores(FO.path_lengths(X, model.sort_values("tree")), int(model["psi"].iloc[0]))
     thr = np.percentile(score, 90)
     want = set(pdf["Project_ID"][score > thr])
     got = {r["Project_ID"] for r in AN.ml_anomalies(f).collect()}
