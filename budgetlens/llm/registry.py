@@ -9,11 +9,11 @@ from budgetlens.llm.bpe import op8_byte_bpe
 
 LLM_QUERIES = {
     "pipeline": corpus_pipeline.run,
-    "op5_chat_format": chat.op5_chat_format,
     "op1_kneser_ney": kneserney.op1_kneser_ney,
     "op2_ann_tree": anntree.op2_ann_tree,
     "op3_superminhash": superminhash.op3_superminhash,
     "op4_mixing": mixing.op4_mixing,
+    "op5_chat_format": chat.op5_chat_format,
     "op6_language_id": langid.op6_language_id,
     "op7_spotsigs": spotsigs.op7_spotsigs,
     "op8_byte_bpe": op8_byte_bpe,
@@ -21,10 +21,8 @@ LLM_QUERIES = {
     "op10_edit_counts": editcount.op10_edit_counts,
 }
 LLM_ORACLES: dict[str, str] = {
-    "op1_kneser_ney": kneserney.op1_kneser_ney,
-    "op2_ann_tree": anntree.op2_ann_tree,
-    "op3_superminhash": superminhash.op3_superminhash,
     "op4_mixing": mixing.ORACLE,
     "op5_chat_format": chat.ORACLE,
-    **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}),
 }
+if corpus_pipeline.ORACLE_SQL:
+    LLM_ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
