@@ -38,6 +38,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,8 +52,8 @@ PRIOR = 50
 HELD = 5
 #: Held-out documents that a bound of its own needs, and the sizes (characters) between the length classes.
 ENOUGH, LENGTHS = 40, (256, 1024, 4096)
-#: Bytes of text per block and characters worked on at once.
-BLOCK_BYTES, PIECE = 16 << 20, 1 << 20
+#: Bytes of text per block, packed at once by a task, and characters worked on at once.
+BLOCK_BYTES, PACK_BYTES, PIECE = 6 << 20, 16 << 20, 1 << 19
 _codec = pa.Codec("zstd", compression_level=6)
 
 
@@ -303,8 +304,8 @@ def packed_blocks(docs: DataFrame, blocks: int) -> DataFrame:
 
         for part in slices(batches, "text"):
             held.append(part)
-            size += part.get_total_buffer_size() if part.num_rows == 0 else sum(map(len, filter(None, part.column("text").to_pylist())))
-            if size > 2 * BLOCK_BYTES:
+            size += pc.sum(pc.binary_length(part.column("text"))).as_py() or 0
+            if size > PACK_BYTES:
                 yield flush()
                 held, size = [], 0
         if held:
@@ -350,25 +351,22 @@ def scores(docs: DataFrame, model: DataFrame, common: dict, blocks: int, shards:
         out = {"doc_id": [], "h": [], "lang": [], "chars": [], "bits": []}
         work, keys = [], []
         for rows in _rows(t):
-            kept = rows.drop_columns(["text"])
-            at = 0
+            for c in ("doc_id", "h", "lang"):
+                out[c] += rows.column(c).to_pylist()
             for texts in pieces([x or "" for x in rows.column("text").to_pylist()]):
                 k, first = ngrams(texts)
                 u, place = np.unique(k, return_inverse=True)
                 keys.append(u)
-                work.append((kept.slice(at, len(texts)), [len(x) for x in texts], u, place.astype(np.int32), first))
-                at += len(texts)
+                out["chars"] += [len(x) for x in texts]
+                work.append((u, place.astype(np.int32), first))
         u = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
         order, cut = _by_shard(u, shards)
         logp = np.zeros(len(u), np.float32)
         for s, found in zip(a.column("shard").to_pylist(), a.column("found").to_pylist()):
             logp[order[cut[s]:cut[s + 1]]] = _unpack(found, np.float32)
-        for kept, n, own, place, first in work:
+        for own, place, first in work:
             value = logp[np.searchsorted(u, own)].astype(np.float64)[place]
             run = np.concatenate(([0.0], np.cumsum(value)))
-            for c in ("doc_id", "h", "lang"):
-                out[c] += kept.column(c).to_pylist()
-            out["chars"] += n
             out["bits"] += (-(run[first[1:]] - run[first[:-1]])).tolist()
         return pa.table({"doc_id": pa.array(out["doc_id"], pa.int64()), "h": pa.array(out["h"], pa.int64()), "lang": pa.array(out["lang"], pa.string()),
                          "chars": pa.array(out["chars"], pa.int64()), "bits": pa.array(out["bits"], pa.float64())})
