@@ -28,8 +28,8 @@ from pyspark.sql import types as T
 
 from budgetlens.llm.common import read_table, with_made
 
-#: Entries of a task's pre-token cache; when full it starts anew.
-CACHE = 400_000
+#: Entries of a task's pre-token cache; when full, and at the end of the task, it starts anew.
+CACHE = 250_000
 #: First of the 256 characters that stand for bytes (a block without white space).
 FIRST_CHAR = 0x4E00
 
@@ -137,7 +137,9 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None,
         return [pa.array(packed, pa.binary()), pa.array([len(p) // 4 for p in packed], pa.int64())]
 
     return with_made(docs, text, [T.StructField("ids", T.BinaryType()),
-                                      T.StructField("n_tokens", T.LongType())], compute)
+                                      T.StructField("n_tokens", T.LongType())], compute,
+                     # a worker lives on after the task; the cache need not
+                     done=lambda: codec(where, split).cache.clear())
 
 
 def decode(encoded: DataFrame, ids: str = "ids", path: str | None = None,

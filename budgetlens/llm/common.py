@@ -25,9 +25,23 @@ _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _powers: dict[str, np.ndarray] = {}
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of ``sf_dir``; the package is made importable on the workers."""
+#: Rows and bytes of the Arrow batches that go to Python (texts can be long).
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+
+
+def prepare(spark: SparkSession) -> None:
+    """Make the package importable on the workers, and Arrow batches small
+    where the application does not set their size itself."""
     ship_package(spark)
+    given = spark.sparkContext.getConf()
+    for key, value in BATCHES.items():
+        if not given.contains(key):
+            spark.conf.set(key, value)
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of ``sf_dir``, after ``prepare``."""
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -70,16 +84,20 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def with_made(df: DataFrame, column: str, made: list[T.StructField], compute, max_bytes: int = SLICE_BYTES) -> DataFrame:
+def with_made(df: DataFrame, column: str, made: list[T.StructField], compute, max_bytes: int = SLICE_BYTES,
+              done=None) -> DataFrame:
     """``df`` with the columns ``made``, whose arrays ``compute(slice)`` returns
     for slices bounded by the bytes of ``column``; columns of ``df`` that have
-    the name of a made one are replaced. A narrow map."""
+    the name of a made one are replaced. A narrow map; ``done`` is called at
+    the end of a task."""
     names = [f.name for f in made]
     kept = [f for f in df.schema.fields if f.name.lower() not in {n.lower() for n in names}]
 
     def run(batches):
         for part in slices(batches, column, max_bytes):
             yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in kept], *compute(part)], [*[f.name for f in kept], *names])
+        if done is not None:
+            done()
 
     return df.mapInArrow(run, T.StructType([*kept, *made]))
 

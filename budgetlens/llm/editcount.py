@@ -53,7 +53,8 @@ class Counter:
                 self[token] = n = len(encoding.encode_ordinary(token))
                 return n
 
-        self.count = Cache().__getitem__
+        self.cache = Cache()
+        self.count = self.cache.__getitem__
 
 
 @lru_cache(maxsize=2)
@@ -182,7 +183,7 @@ def count_with_edits(docs: DataFrame, text: str = "text", edits: str = "edits",
             out[3].append(tree.encoded)
         return [pa.array(v, pa.string() if f.name == "edited_text" else pa.int64()) for f, v in zip(MADE, out)]
 
-    return with_made(docs, text, MADE, compute)
+    return with_made(docs, text, MADE, compute, done=lambda: counter(where, split).cache.clear())
 
 
 def edits_of(log: DataFrame) -> DataFrame:

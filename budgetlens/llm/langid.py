@@ -158,7 +158,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", sample: int =
                                     for m in (langs if k == "family" else (a, b))],
                                    "kind string, a string, b string, lang string")
 
-    def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fit(key, pdf):
         kind, a, b = key
         pdf = pdf.sort_values(["lang", "h"], kind="stable")
         y = np.where((pdf["lang"].map(family_of) == a) if kind == "family" else (pdf["lang"] == a), 1, -1)

@@ -13,8 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from budgetlens.llm import bpe, kneserney, mixing, passages, superminhash
-from budgetlens.llm.common import read_table, table
-from budgetlens.session import ship_package
+from budgetlens.llm.common import prepare, read_table, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,13 +24,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    ship_package(spark)
+    prepare(spark)
     return superminhash.deduplicated(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that an earlier document holds."""
-    ship_package(spark)
+    prepare(spark)
     return passages.remove_passages(docs, passages.repeated_passages(docs))
 
 
@@ -43,7 +42,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, lang, n_tokens, ids (little-endian unsigned 32-bit) and
     digests of the ids and of the text decoded from them."""
-    ship_package(spark)
+    prepare(spark)
     coded = bpe.decode(bpe.encode(docs.select("doc_id", "source", "lang", "text")).drop("text"))
     return coded.select("doc_id", "source", "lang", "n_tokens", "ids", bpe.sha256_hex("ids").alias("ids_sha256"),
                         bpe.sha256_hex("decoded").alias("decoded_sha256"))
