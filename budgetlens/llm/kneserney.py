@@ -325,10 +325,8 @@ def scores(docs: DataFrame, model: DataFrame, common: dict, blocks: int, shards:
     packed = packed_blocks(docs, blocks)
 
     def _asks(key, t):
-        u = np.zeros(0, np.int64)
-        for rows in _rows(t):
-            for texts in pieces([x or "" for x in rows.column("text").to_pylist()]):
-                u = np.union1d(u, ngrams(texts)[0])
+        texts = [x or "" for rows in _rows(t) for x in rows.column("text").to_pylist()]
+        u = np.unique(np.concatenate([np.unique(ngrams(part)[0]) for part in pieces(texts)]))
         order, cut = _by_shard(u, shards)
         some = np.flatnonzero(np.diff(cut))
         return pa.table({"shard": pa.array(some, pa.int64()), "block": pa.array([key[0].as_py()] * len(some), pa.int64()),
@@ -349,16 +347,18 @@ def scores(docs: DataFrame, model: DataFrame, common: dict, blocks: int, shards:
 
     def total(key, t, a):
         out = {"doc_id": [], "h": [], "lang": [], "chars": [], "bits": []}
-        work, keys = [], []
+        work, keys, texts = [], [], []
         for rows in _rows(t):
             for c in ("doc_id", "h", "lang"):
                 out[c] += rows.column(c).to_pylist()
-            for texts in pieces([x or "" for x in rows.column("text").to_pylist()]):
-                k, first = ngrams(texts)
-                u, place = np.unique(k, return_inverse=True)
-                keys.append(u)
-                out["chars"] += [len(x) for x in texts]
-                work.append((u, place.astype(np.int32), first))
+            texts += [x or "" for x in rows.column("text").to_pylist()]
+        for part in pieces(texts):
+            k, first = ngrams(part)
+            u, place = np.unique(k, return_inverse=True)
+            keys.append(u)
+            out["chars"] += [len(x) for x in part]
+            work.append((u, place.astype(np.int32), first))
+        del texts
         u = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
         order, cut = _by_shard(u, shards)
         logp = np.zeros(len(u), np.float32)
