@@ -114,7 +114,7 @@ class Codec:
 
 @lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> Codec:
-    """One codec per worker process; the file lies at ``path`` on each machine."""
+    """One codec per task; the file lies at ``path`` on each machine."""
     return Codec(path, pattern)
 
 
@@ -138,8 +138,7 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None,
 
     return with_made(docs, text, [T.StructField("ids", T.BinaryType()),
                                       T.StructField("n_tokens", T.LongType())], compute,
-                     # a worker lives on after the task; the cache need not
-                     done=lambda: codec(where, split).cache.clear())
+                     done=codec.cache_clear)
 
 
 def decode(encoded: DataFrame, ids: str = "ids", path: str | None = None,
@@ -151,7 +150,8 @@ def decode(encoded: DataFrame, ids: str = "ids", path: str | None = None,
         c = codec(where, split)
         return [pa.array([c.decode_packed(p or b"") for p in part.column(ids).to_pylist()], pa.binary())]
 
-    return with_made(encoded, ids, [T.StructField("decoded", T.BinaryType())], compute)
+    return with_made(encoded, ids, [T.StructField("decoded", T.BinaryType())], compute,
+                     done=codec.cache_clear)
 
 
 def sha256_hex(column: str):

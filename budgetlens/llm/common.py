@@ -3,6 +3,9 @@ size-bounded slices of Arrow batches, reading tables, union-find in Spark."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -50,6 +53,20 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return materialize(df, name)
 
 
+# buffers of a finished batch go back to the system at once
+pa.set_memory_pool(pa.system_memory_pool())
+
+
+def release() -> None:
+    """Give freed memory back to the system: a Python worker lives on after its
+    task, beside whatever runs next on the executor."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not the GNU library
+        pass
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser on an array of uint64."""
     x = x + _GOLDEN
@@ -98,6 +115,7 @@ def with_made(df: DataFrame, column: str, made: list[T.StructField], compute, ma
             yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in kept], *compute(part)], [*[f.name for f in kept], *names])
         if done is not None:
             done()
+        release()
 
     return df.mapInArrow(run, T.StructType([*kept, *made]))
 

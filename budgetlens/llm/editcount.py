@@ -183,7 +183,7 @@ def count_with_edits(docs: DataFrame, text: str = "text", edits: str = "edits",
             out[3].append(tree.encoded)
         return [pa.array(v, pa.string() if f.name == "edited_text" else pa.int64()) for f, v in zip(MADE, out)]
 
-    return with_made(docs, text, MADE, compute, done=lambda: counter(where, split).cache.clear())
+    return with_made(docs, text, MADE, compute, done=counter.cache_clear)
 
 
 def edits_of(log: DataFrame) -> DataFrame:

@@ -42,7 +42,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from budgetlens.llm.common import fresh, mix64, read_table, slices, table
+from budgetlens.llm.common import fresh, mix64, read_table, release, slices, table
 from budgetlens.session import broadcast_if_small
 
 ORDER, BITS = 5, 12
@@ -166,6 +166,8 @@ def count_ngrams(texts: DataFrame, shards: int) -> DataFrame:
                     keys, counts, held = [], [], 0
         if keys:
             yield flush()
+        keys, counts = [], []
+        release()
 
     return texts.select("text").mapInArrow(run, "shard long, keys binary, counts binary")
 
@@ -310,6 +312,8 @@ def packed_blocks(docs: DataFrame, blocks: int) -> DataFrame:
                 held, size = [], 0
         if held:
             yield flush()
+        held.clear()
+        release()
 
     return rows.mapInArrow(run, "block long, size long, data binary")
 
@@ -327,6 +331,8 @@ def scores(docs: DataFrame, model: DataFrame, common: dict, blocks: int, shards:
     def _asks(key, t):
         texts = [x or "" for rows in _rows(t) for x in rows.column("text").to_pylist()]
         u = np.unique(np.concatenate([np.unique(ngrams(part)[0]) for part in pieces(texts)]))
+        del texts
+        release()
         order, cut = _by_shard(u, shards)
         some = np.flatnonzero(np.diff(cut))
         return pa.table({"shard": pa.array(some, pa.int64()), "block": pa.array([key[0].as_py()] * len(some), pa.int64()),
@@ -368,6 +374,8 @@ def scores(docs: DataFrame, model: DataFrame, common: dict, blocks: int, shards:
             value = logp[np.searchsorted(u, own)].astype(np.float64)[place]
             run = np.concatenate(([0.0], np.cumsum(value)))
             out["bits"] += (-(run[first[1:]] - run[first[:-1]])).tolist()
+        del work, keys, u, order, logp
+        release()
         return pa.table({"doc_id": pa.array(out["doc_id"], pa.int64()), "h": pa.array(out["h"], pa.int64()), "lang": pa.array(out["lang"], pa.string()),
                          "chars": pa.array(out["chars"], pa.int64()), "bits": pa.array(out["bits"], pa.float64())})
 

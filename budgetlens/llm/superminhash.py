@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from budgetlens.llm.common import (components, distinct_per_text, fresh, mix64, one_per_id, read_table,
+from budgetlens.llm.common import (components, distinct_per_text, fresh, mix64, one_per_id, read_table, release,
                                    shingle_hashes, slices, table, texts_of, word_hashes)
 from budgetlens.session import broadcast_if_small
 
@@ -128,6 +128,7 @@ def sketch(docs: DataFrame, text: str = "text") -> DataFrame:
                 pa.array([k if c else None for k, c in zip(keys, n)], pa.list_(pa.int64())),
                 pa.array([s.tobytes() if c else None for s, c in zip(small, n)], pa.binary()),
             ], ["doc_id", "n_shingles", "digest", "bands", "sig"])
+        release()
 
     return docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string").alias(text)).mapInArrow(run, schema)
 
