@@ -332,7 +332,6 @@ def scores(docs: DataFrame, model: DataFrame, common: dict, blocks: int, shards:
         texts = [x or "" for rows in _rows(t) for x in rows.column("text").to_pylist()]
         u = np.unique(np.concatenate([np.unique(ngrams(part)[0]) for part in pieces(texts)]))
         del texts
-        release()
         order, cut = _by_shard(u, shards)
         some = np.flatnonzero(np.diff(cut))
         return pa.table({"shard": pa.array(some, pa.int64()), "block": pa.array([key[0].as_py()] * len(some), pa.int64()),
@@ -374,8 +373,6 @@ def scores(docs: DataFrame, model: DataFrame, common: dict, blocks: int, shards:
             value = logp[np.searchsorted(u, own)].astype(np.float64)[place]
             run = np.concatenate(([0.0], np.cumsum(value)))
             out["bits"] += (-(run[first[1:]] - run[first[:-1]])).tolist()
-        del work, keys, u, order, logp
-        release()
         return pa.table({"doc_id": pa.array(out["doc_id"], pa.int64()), "h": pa.array(out["h"], pa.int64()), "lang": pa.array(out["lang"], pa.string()),
                          "chars": pa.array(out["chars"], pa.int64()), "bits": pa.array(out["bits"], pa.float64())})
 
