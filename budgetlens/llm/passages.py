@@ -10,7 +10,8 @@
    on either side, found in one pass with a Fenwick tree of prefix maxima.
 4. Chains are aligned on the words: seeds are extended to both sides, words
    between seeds are aligned; a passage is kept with at least ``MIN_WORDS``
-   words and ``IDENTITY`` of them equal.
+   words and ``IDENTITY`` of them equal. A chain that is no passage as a whole
+   is cut into those parts of it that are, with the most equal words.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, in whole texts.
 
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from budgetlens.llm.common import fresh, mix64, one_per_id, read_table, shingle_hashes, slices, table, texts_of, with_made, word_hashes
+from budgetlens.llm.common import fresh, mix64, one_per_id, read_table, release, shingle_hashes, slices, table, texts_of, with_made, word_hashes
 from budgetlens.session import broadcast_if_small
 
 K, WINDOW = 8, 16
@@ -74,6 +75,7 @@ def seeds(docs: DataFrame) -> DataFrame:
             own, kmer, pos = seeds_of(texts_of(part.column("text")))
             yield pa.RecordBatch.from_arrays([pa.array(kmer, pa.int64()), part.column("doc").take(pa.array(own)),
                                               pa.array(pos, pa.int32())], ["kmer", "doc", "pos"])
+        release()
 
     return docs.mapInArrow(run, "kmer long, doc long, pos int")
 
@@ -155,6 +157,7 @@ def chains(matches: DataFrame) -> DataFrame:
         if left is not None:
             work(left, [0, len(left[0])])
             yield batch()
+        release()
 
     return (matches.select("doc", "anchor", "pos", "apos").repartition("doc")
             .sortWithinPartitions("doc", "anchor", "pos").mapInArrow(run, "doc long, anchor long, p array<int>, q array<int>"))
@@ -172,33 +175,132 @@ def common_words(a: np.ndarray, b: np.ndarray) -> int:
     return int(row[-1])
 
 
-def _extend(same: np.ndarray) -> tuple[int, int]:
+def _extend(same: np.ndarray, cost: int) -> tuple[int, int]:
     """How far (words, equal ones) to extend over ``same``: the best prefix
-    with 1 for an equal word and -2 for another."""
+    with 1 for an equal word and -``cost`` for another."""
     if not len(same):
         return 0, 0
-    total = np.cumsum(np.where(same, 1, -2))
+    total = np.cumsum(np.where(same, 1, -cost))
     best = int(np.argmax(total))
     return (best + 1, int(same[: best + 1].sum())) if total[best] > 0 else (0, 0)
 
 
-def align(a: np.ndarray, b: np.ndarray, p: np.ndarray, q: np.ndarray):
-    """(start, end, start in b, end in b, equal words) of the passage that a
-    chain of seeds (positions p in ``a``, q in ``b``) spans."""
-    equal, i, j = 0, int(p[0]), int(q[0])
-    start_a, start_b = i, j
+def _most_common(a: np.ndarray, b: np.ndarray) -> int:
+    """An upper bound of ``common_words``: words of both, whatever their order."""
+    (x, m), (y, n) = np.unique(a, return_counts=True), np.unique(b, return_counts=True)
+    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    return int(np.minimum(m[i], n[j]).sum())
+
+
+def _blocks(a: np.ndarray, b: np.ndarray, p: np.ndarray, q: np.ndarray) -> list[list[int]]:
+    """[start, end, start in b, end in b, equal words] of the seeds; seeds with
+    only equal words between them are one block, and the equal words at the
+    ends of what lies between two blocks belong to them."""
+    out: list[list[int]] = []
     for x, y in zip(p.tolist(), q.tolist()):
-        if x > i or y > j:  # words between the seeds
-            equal += common_words(a[i:max(i, x)], b[j:max(j, y)])
-        over = max(0, i - x, j - y)  # seeds may overlap
-        if over < K:
-            equal += K - over
-            i, j = max(i, x + K), max(j, y + K)
-    n = min(PAD, len(a) - i, len(b) - j)
-    right, r_equal = _extend(a[i:i + n] == b[j:j + n])
-    n = min(PAD, start_a, start_b)
-    left, l_equal = _extend((a[start_a - n:start_a] == b[start_b - n:start_b])[::-1])
-    return start_a - left, i + right, start_b - left, j + right, equal + r_equal + l_equal
+        if out:
+            last = out[-1]
+            over = max(0, last[1] - x, last[3] - y)  # seeds may overlap
+            if over >= K:
+                continue
+            s, t = x + over, y + over
+            n = min(s - last[1], t - last[3])
+            same = a[last[1]:last[1] + n] == b[last[3]:last[3] + n]
+            right = n if same.all() else int(np.argmin(same))
+            last[1], last[3], last[4] = last[1] + right, last[3] + right, last[4] + right
+            if last[1] == s and last[3] == t:
+                last[1], last[3], last[4] = x + K, y + K, last[4] + K - over
+                continue
+            n -= right
+            same = (a[s - n:s] == b[t - n:t])[::-1]
+            left = n if same.all() else int(np.argmin(same))
+            out.append([s - left, x + K, t - left, y + K, K - over + left])
+        else:
+            out.append([x, x + K, y, y + K, K])
+    return out
+
+
+def _ends(a, b, part: list[int], low: tuple[int, int], high: tuple[int, int]) -> list[int] | None:
+    """``part`` with its ends extended up to ``PAD`` words inside the bounds, if
+    that is a passage. The second try never lowers the share of equal words."""
+    s, e, t, f, equal = part
+    for cost in (2, 4):
+        n = min(PAD, high[0] - e, high[1] - f)
+        right, r_equal = _extend(a[e:e + n] == b[f:f + n], cost)
+        n = min(PAD, s - low[0], t - low[1])
+        left, l_equal = _extend((a[s - n:s] == b[t - n:t])[::-1], cost)
+        made = [s - left, e + right, t - left, f + right, equal + r_equal + l_equal]
+        if _is_passage(*made):
+            return made
+    return None
+
+
+def _is_passage(s, e, t, f, equal) -> bool:
+    return e - s >= MIN_WORDS and equal >= IDENTITY * max(e - s, f - t)
+
+
+def align(a: np.ndarray, b: np.ndarray, p: np.ndarray, q: np.ndarray) -> list[list[int]]:
+    """[start, end, start in b, end in b, equal words] of the passages that a
+    chain of seeds (positions p in ``a``, q in ``b``) holds: the whole chain if
+    it is one, else the parts of it with the most equal words."""
+    blocks = _blocks(a, b, p, q)
+    own = sum(x[4] for x in blocks)
+    gaps = [(a[x[1]:y[0]], b[x[3]:y[2]]) for x, y in zip(blocks, blocks[1:])]
+    most = [_most_common(g, h) for g, h in gaps]
+    # no passage spans a gap that lacks more words than all others can make up for
+    least = (1 - IDENTITY) / IDENTITY * (own + sum(most) + 2 * PAD)
+    cut = [i + 1 for i, ((g, h), n) in enumerate(zip(gaps, most)) if max(len(g), len(h)) - n > least]
+    out = []
+    for lo, hi in zip([0, *cut], [*cut, len(blocks)]):
+        within = [common_words(*gaps[i]) for i in range(lo, hi - 1)]
+        low = (blocks[lo - 1][1], blocks[lo - 1][3]) if lo else (0, 0)
+        high = (blocks[hi][0], blocks[hi][2]) if hi < len(blocks) else (len(a), len(b))
+        out += _parts(a, b, blocks[lo:hi], within, low, high)
+    return out
+
+
+def _parts(a, b, blocks, within, low, high) -> list[list[int]]:
+    """The passages of consecutive blocks with ``within`` equal words between
+    them, inside the bounds ``low`` and ``high``."""
+    whole = _ends(a, b, [blocks[0][0], blocks[-1][1], blocks[0][2], blocks[-1][3],
+                         sum(x[4] for x in blocks) + sum(within)], low, high)
+    if whole or len(blocks) == 1:
+        return [whole] if whole else []
+    n = len(blocks)
+    # each block with its ends as far as they never lower the share of equal words
+    wide = []
+    for i, (s, e, t, f, _) in enumerate(blocks):
+        x, y = (blocks[i - 1][1], blocks[i - 1][3]) if i else low
+        m = min(PAD, s - x, t - y)
+        left = _extend((a[s - m:s] == b[t - m:t])[::-1], 4)
+        x, y = (blocks[i + 1][0], blocks[i + 1][2]) if i + 1 < n else high
+        m = min(PAD, x - e, y - f)
+        wide.append((left, _extend(a[e:e + m] == b[f:f + m], 4)))
+    start, left = np.array([[x[0] - w[0][0], x[2] - w[0][0]] for x, w in zip(blocks, wide)]), np.array([w[0][1] for w in wide])
+    total = np.concatenate(([0], np.cumsum([x[4] + c for x, c in zip(blocks, [*within, 0])])))
+    best, came = np.zeros(n + 1, np.int64), [0] * (n + 1)
+    came[0] = -1
+    for j in range(n):  # most equal words in parts that end with block j at the latest
+        _, e, _, f, _ = blocks[j]
+        (more, r_equal), c = wide[j][1], (within[j] if j < n - 1 else 0)
+        equal = total[j + 1] - c - total[: j + 1] + left[: j + 1] + r_equal
+        long = np.maximum(e + more - start[: j + 1, 0], f + more - start[: j + 1, 1])
+        fine = (e + more - start[: j + 1, 0] >= MIN_WORDS) & (equal >= IDENTITY * long)
+        gain = np.where(fine, best[: j + 1] + equal, -1)
+        i = int(np.argmax(gain))
+        best[j + 1], came[j + 1] = (gain[i], i) if gain[i] > best[j] else (best[j], -1)
+    out, j = [], n
+    while j > 0:
+        i = came[j]
+        if i < 0:
+            j -= 1
+            continue
+        s, e = blocks[i], blocks[j - 1]
+        (l_n, l_eq), (r_n, r_eq) = wide[i][0], wide[j - 1][1]
+        inner = int(total[j] - total[i]) - (within[j - 1] if j < n else 0)
+        out.append([s[0] - l_n, e[1] + r_n, s[2] - l_n, e[3] + r_n, inner + l_eq + r_eq])
+        j = i
+    return out[::-1]
 
 
 def participants(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -228,6 +330,7 @@ def repeated_passages(docs: DataFrame, text: str = "text") -> DataFrame:
             low, cut = (words & np.uint64(0xFFFFFFFF)).astype("<u4"), first.tolist()
             yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("h"), pa.array(
                 [low[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())], ["doc", "h", "w"])
+        release()
 
     # the words of documents with chains: up to a million ids filter where the texts are read
     words = table(rows.join(broadcast_if_small(ids, 1_000_000), "doc", "left_semi")
@@ -248,13 +351,13 @@ def repeated_passages(docs: DataFrame, text: str = "text") -> DataFrame:
         for batch in batches:
             out = {k: [] for k in ("doc_id", "text_hash", "start_word", "end_word", "first_doc_id", "first_start", "first_end", "identity")}
             for doc, h, anchor, p, q, x, x0, y, y0 in zip(*(batch.column(c).to_pylist() for c in ("doc", "h", "anchor", "p", "q", "a", "a0", "b", "b0"))):
-                s, e, t, f, equal = align(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), np.array(p) - x0, np.array(q) - y0)
-                share = equal / max(e - s, f - t)
-                if e - s >= MIN_WORDS and share >= IDENTITY:
+                for s, e, t, f, equal in align(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), np.array(p) - x0, np.array(q) - y0):
+                    share = equal / max(e - s, f - t)
                     for k, v in zip(out, (doc, h, s + x0, e + x0, anchor, t + y0, f + y0, min(1.0, share))):
                         out[k].append(v)
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.float64() if k == "identity" else pa.int64())
                                               for k, v in out.items()], list(out))
+        release()
 
     return both.mapInArrow(aligned, "doc_id long, text_hash long, start_word long, end_word long, "
                                     "first_doc_id long, first_start long, first_end long, identity double")

@@ -85,3 +85,27 @@ def test_cut_words_keeps_white_space():
     assert P.cut_words("ä b c", [(0, 1), (2, 3)]) == "b "
     assert P.cut_words("a b", [(0, 2)]) == ""
     assert P.cut_words("a b c d", [(0, 2), (1, 3)]) == "d"
+
+
+def test_two_passages_of_a_pair_and_an_inserted_paragraph(make_docs):
+    rng = random.Random(7)
+    x, y, z = prose(rng, 60), prose(rng, 60), prose(rng, 200)
+    rows = [(1, " ".join([*prose(rng, 30), *x, *prose(rng, 100), *y, *prose(rng, 30)])),
+            (2, " ".join([*prose(rng, 20), *x, *prose(rng, 100), *y, *prose(rng, 50)])),
+            (3, " ".join([*prose(rng, 30), *z, *prose(rng, 20)])),
+            (4, " ".join([*prose(rng, 10), *z[:100], *prose(rng, 150), *z[100:], *prose(rng, 10)]))]
+    got = covered(P.repeated_passages(make_docs(rows)))
+    assert set(got) == {2, 4}
+    assert got[2] == {*range(20, 80), *range(180, 240)}
+    assert got[4] == {*range(10, 110), *range(260, 360)}
+
+
+def test_a_chain_is_cut_only_where_it_must_be():
+    a = np.arange(300)
+    seeds_at = np.array([0, 20, 40, 92, 200, 240, 292])
+    assert P.align(a, a, seeds_at, seeds_at) == [[0, 300, 0, 300, 300]]
+    b = a.copy()
+    b[60:75] += 1000  # 95 % are equal: one passage
+    assert P.align(a, b, seeds_at, seeds_at) == [[0, 300, 0, 300, 285]]
+    b[100:190] += 1000
+    assert P.align(a, b, seeds_at, seeds_at) == [[0, 100, 0, 100, 85], [190, 300, 190, 300, 110]]
