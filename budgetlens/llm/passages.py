@@ -2,6 +2,8 @@
 
 1. Seeds: of every ``WINDOW`` consecutive ``K``-word shingles the one with the
    smallest hash (a run of K + WINDOW - 1 equal words always shares a seed).
+   In text that repeats with a period of up to ``WINDOW`` words the number of
+   the repeat belongs to the key.
 2. A seed that several documents share is matched with its first occurrence in
    the smallest of them (the anchor document), so n occurrences make
    fewer than n matches.
@@ -39,7 +41,7 @@ from budgetlens.session import broadcast_if_small
 
 K, WINDOW = 8, 16
 GAP = 0.1
-#: Seeds inside a run of one repeated word lie this many words apart.
+#: Seeds inside a run of a repeated word or short line lie about this many words apart.
 STRIDE = 8
 MIN_WORDS, IDENTITY = 50, 0.8
 #: Words to both sides of a chain in which its ends are extended.
@@ -47,6 +49,28 @@ PAD = 64
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
+def _repeats(s: np.ndarray, owner: np.ndarray):
+    """For text with a period of up to ``WINDOW`` words (a line again and
+    again): how often the run held each shingle before, which belongs into its
+    key, and the places that can be seeds. Where a window holds more than one
+    period, only every so many periods can, about ``STRIDE`` words apart."""
+    place = np.arange(len(s))
+    times, kept, free = np.zeros(len(s), np.int64), np.ones(len(s), dtype=bool), np.ones(len(s), dtype=bool)
+    for d in range(1, WINDOW + 1):  # the smallest period counts
+        inner = np.zeros(len(s), dtype=bool)
+        inner[d:] = (s[d:] == s[:-d]) & (owner[d:] == owner[:-d])
+        if not inner.any():
+            continue
+        begin = np.maximum.accumulate(np.where(inner, 0, place + 1))
+        new = np.flatnonzero(inner & free)
+        free[new] = False
+        times[new] = (new - begin[new]) // d + 1
+        every = -(-STRIDE // d)
+        if (every + 1) * d - 1 <= WINDOW:  # any window holds all places of a period that can be seeds
+            kept[new] = times[new] % every == 0
+    return times, kept
+
+
 def seeds_of(texts: list[bytes]):
     """(owner, kmer hash, word position) of the seeds of each text."""
     words, first = word_hashes(texts)
@@ -55,16 +79,12 @@ def seeds_of(texts: list[bytes]):
     owner = np.repeat(np.arange(len(texts)), n)
     if len(s) < WINDOW:
         return (np.zeros(0, np.int64),) * 3
-    # places in a run of one repeated word: only every STRIDE-th counts, with its offset in the key
-    place = np.arange(len(s))
-    inner = np.zeros(len(s), dtype=bool)
-    inner[1:] = (s[1:] == s[:-1]) & (owner[1:] == owner[:-1])
-    offset = place - np.maximum.accumulate(np.where(inner, 0, place))
-    rank = np.where(offset % STRIDE != 0, np.uint64(0xFFFFFFFFFFFFFFFF), s)
+    times, kept = _repeats(s, owner)
+    rank = np.where(kept, s, np.uint64(0xFFFFFFFFFFFFFFFF))
     at = np.lib.stride_tricks.sliding_window_view(rank, WINDOW).argmin(axis=1) + np.arange(len(s) - WINDOW + 1)
     inside = (owner[: len(at)] == owner[WINDOW - 1:]) & (np.diff(first)[owner[: len(at)]] >= MIN_WORDS)
     at = np.unique(at[inside])
-    key = np.where(offset[at] > 0, mix64(s[at] + offset[at].astype(np.uint64)), s[at])
+    key = np.where(times[at] > 0, mix64(s[at] + times[at].astype(np.uint64)), s[at])
     return owner[at], key.astype(np.int64), (at - begin[owner[at]]).astype(np.int32)
 
 

@@ -109,3 +109,17 @@ def test_a_chain_is_cut_only_where_it_must_be():
     assert P.align(a, b, seeds_at, seeds_at) == [[0, 300, 0, 300, 285]]
     b[100:190] += 1000
     assert P.align(a, b, seeds_at, seeds_at) == [[0, 100, 0, 100, 85], [190, 300, 190, 300, 110]]
+
+
+def test_lines_that_repeat_over_and_over(make_docs):
+    rng = random.Random(9)
+    rows, n = [], {}
+    for d in range(2, 17):
+        line = prose(rng, d)
+        for k, (before, times) in enumerate(((17, 100), (4, 100), (31, 90))):
+            i = 10 * d + k
+            rows.append((i, " ".join([*prose(rng, before), *line * times, *prose(rng, 12)])))
+            n[i] = set(range(before, before + d * times))
+    got = covered(P.repeated_passages(make_docs(rows)))
+    assert set(got) == {i for i in n if i % 10}
+    assert all(n[i] <= got[i] and len(got[i] - n[i]) < 5 for i in got)
