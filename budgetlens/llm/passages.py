@@ -15,6 +15,12 @@
    words and ``IDENTITY`` of them equal. A chain that is no passage as a whole
    is cut into those parts of it that are, with the most equal words.
 
+5. What chains leave out (each seed has one partner) is looked up exactly: of
+   the seeds outside passages whose ``LONG`` words an earlier document holds,
+   all runs of ``MIN_WORDS`` words around them are matched with the first
+   document that holds them. So no exact repeat of ``MIN_WORDS`` words is left;
+   edited ones may be, where other documents hold their seeds first.
+
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, in whole texts.
 
 Defined cases: null, empty and short texts (under ``MIN_WORDS`` words) hold no
@@ -44,6 +50,8 @@ GAP = 0.1
 #: Seeds inside a run of a repeated word or short line lie about this many words apart.
 STRIDE = 8
 MIN_WORDS, IDENTITY = 50, 0.8
+#: Every run of MIN_WORDS words holds a seed with this many words from its start.
+LONG = MIN_WORDS - WINDOW + 1
 #: Words to both sides of a chain in which its ends are extended.
 PAD = 64
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -52,15 +60,18 @@ _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 def _repeats(s: np.ndarray, owner: np.ndarray):
     """For text with a period of up to ``WINDOW`` words (a line again and
     again): how often the run held each shingle before, which belongs into its
-    key, and the places that can be seeds. Where a window holds more than one
+    key, the places that can be seeds, and the places in runs. Where a window holds more than one
     period, only every so many periods can, about ``STRIDE`` words apart."""
     place = np.arange(len(s))
     times, kept, free = np.zeros(len(s), np.int64), np.ones(len(s), dtype=bool), np.ones(len(s), dtype=bool)
+    run = np.zeros(len(s), dtype=bool)
     for d in range(1, WINDOW + 1):  # the smallest period counts
         inner = np.zeros(len(s), dtype=bool)
         inner[d:] = (s[d:] == s[:-d]) & (owner[d:] == owner[:-d])
         if not inner.any():
             continue
+        run |= inner
+        run[:-d] |= inner[d:]
         begin = np.maximum.accumulate(np.where(inner, 0, place + 1))
         new = np.flatnonzero(inner & free)
         free[new] = False
@@ -68,36 +79,49 @@ def _repeats(s: np.ndarray, owner: np.ndarray):
         every = -(-STRIDE // d)
         if (every + 1) * d - 1 <= WINDOW:  # any window holds all places of a period that can be seeds
             kept[new] = times[new] % every == 0
-    return times, kept
+    return times, kept, run
 
 
 def seeds_of(texts: list[bytes]):
-    """(owner, kmer hash, word position) of the seeds of each text."""
+    """(owner, kmer hash, word position, hash of ``LONG`` words, words up to the
+    end or ``MIN_WORDS``, whether text repeats there) of the seeds of each text."""
     words, first = word_hashes(texts)
     s, begin = shingle_hashes(words, first, K)
     n = np.diff(begin)
     owner = np.repeat(np.arange(len(texts)), n)
     if len(s) < WINDOW:
-        return (np.zeros(0, np.int64),) * 3
-    times, kept = _repeats(s, owner)
+        return (*(np.zeros(0, np.int64),) * 5, np.zeros(0, bool))
+    times, kept, run = _repeats(s, owner)
     rank = np.where(kept, s, np.uint64(0xFFFFFFFFFFFFFFFF))
     at = np.lib.stride_tricks.sliding_window_view(rank, WINDOW).argmin(axis=1) + np.arange(len(s) - WINDOW + 1)
     inside = (owner[: len(at)] == owner[WINDOW - 1:]) & (np.diff(first)[owner[: len(at)]] >= MIN_WORDS)
     at = np.unique(at[inside])
     key = np.where(times[at] > 0, mix64(s[at] + times[at].astype(np.uint64)), s[at])
-    return owner[at], key.astype(np.int64), (at - begin[owner[at]]).astype(np.int32)
+    pos = at - begin[owner[at]]
+    room = np.minimum(np.diff(first)[owner[at]] - pos, MIN_WORDS)
+    long = _runs(words, first[owner[at]] + pos, LONG)
+    return owner[at], key.astype(np.int64), pos.astype(np.int32), long, room.astype(np.int32), run[at]
+
+
+def _runs(words: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the ``n`` words from each place (of fewer at the end)."""
+    h = np.zeros(len(at), np.uint64)
+    for i in range(n):
+        h = mix64(h * np.uint64(0x9FB21C651E98DF25) + words[np.minimum(at + i, len(words) - 1)])
+    return h.astype(np.int64)
 
 
 def seeds(docs: DataFrame) -> DataFrame:
-    """(kmer, doc, pos) of documents (doc, text)."""
+    """(kmer, doc, pos, long, room, run) of documents (doc, text)."""
     def run(batches):
         for part in slices(batches, "text", 2 << 20):
-            own, kmer, pos = seeds_of(texts_of(part.column("text")))
-            yield pa.RecordBatch.from_arrays([pa.array(kmer, pa.int64()), part.column("doc").take(pa.array(own)),
-                                              pa.array(pos, pa.int32())], ["kmer", "doc", "pos"])
+            own, kmer, pos, long, room, run_ = seeds_of(texts_of(part.column("text")))
+            yield pa.RecordBatch.from_arrays([pa.array(kmer, pa.int64()), part.column("doc").take(pa.array(own)), pa.array(pos, pa.int32()),
+                                              pa.array(long, pa.int64()), pa.array(room, pa.int32()), pa.array(run_, pa.bool_())],
+                                             ["kmer", "doc", "pos", "long", "room", "run"])
         release()
 
-    return docs.mapInArrow(run, "kmer long, doc long, pos int")
+    return docs.mapInArrow(run, "kmer long, doc long, pos int, long long, room int, run boolean")
 
 
 def chain(p: np.ndarray, q: np.ndarray, weight: float = K, gap: float = GAP) -> list[list[int]]:
@@ -379,8 +403,111 @@ def repeated_passages(docs: DataFrame, text: str = "text") -> DataFrame:
                                               for k, v in out.items()], list(out))
         release()
 
-    return both.mapInArrow(aligned, "doc_id long, text_hash long, start_word long, end_word long, "
-                                    "first_doc_id long, first_start long, first_end long, identity double")
+    chained = table(both.mapInArrow(aligned, PASSAGE), "passages")
+    longs = shared.select("long", "doc", "pos", "room").unionByName(made.where("run").select("long", "doc", "pos", "room"))
+    return chained.unionByName(exact_rest(rows, longs.where(F.col("room") >= LONG), chained))
+
+
+PASSAGE = ("doc_id long, text_hash long, start_word long, end_word long, "
+           "first_doc_id long, first_start long, first_end long, identity double")
+
+
+def _merged(spans) -> list[list[int]]:
+    """Sorted (start, end) without overlaps."""
+    out: list[list[int]] = []
+    for s, e in sorted(spans):
+        if out and s <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], e)
+        else:
+            out.append([s, e])
+    return out
+
+
+def exact_cover(pos: list[int], anchor: list[int], apos: list[int], spans: list[list[int]]) -> list[tuple]:
+    """(start, end, anchor, start there): few exact passages that hold all words
+    outside ``spans`` (merged) of the equal runs of ``MIN_WORDS`` words at
+    ``pos``, one match each."""
+    blocks: list[list[int]] = []
+    for p, a, q in sorted(zip(pos, anchor, apos)):
+        last = blocks[-1] if blocks else None
+        if last and last[2] == a and q - p == last[3] - last[0] and p <= last[1]:
+            last[1] = p + MIN_WORDS
+        else:
+            blocks.append([p, p + MIN_WORDS, a, q])
+    out, best, i, k, reach = [], None, 0, 0, 0
+    while True:
+        while k < len(spans) and spans[k][0] <= reach:
+            reach = max(reach, spans[k][1])
+            k += 1
+        while i < len(blocks) and blocks[i][0] <= reach:
+            best = blocks[i] if best is None or blocks[i][1] > best[1] else best
+            i += 1
+        if best is not None and best[1] > reach:
+            out.append(tuple(best))
+            reach = best[1]
+        elif i < len(blocks):
+            reach = blocks[i][0]
+        else:
+            return out
+
+
+def exact_rest(rows: DataFrame, longs: DataFrame, passages: DataFrame) -> DataFrame:
+    """Exact passages of the documents (doc, text) that earlier ones hold and
+    that are not inside ``passages``; ``longs`` (long, doc, pos, room) are seeds
+    with the hash of their ``LONG`` words."""
+    groups = table(longs.groupBy("long").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("long", "low"), "groups")
+    places = table(longs.join(groups, "long"), "places")
+    spans = table(passages.groupBy(F.col("doc_id").alias("doc")).agg(
+        F.collect_list(F.struct(F.col("start_word").alias("s"), F.col("end_word").alias("e"))).alias("spans")), "spans")
+    later = places.where("doc > low").groupBy("doc").agg(F.collect_list(F.struct("pos", "room", "long")).alias("seeds"))
+
+    def uncovered(batches):  # seeds in a run of MIN_WORDS words that is not inside a passage
+        for b in batches:
+            out = []
+            for found, held in zip(b.column("seeds").to_pylist(), b.column("spans").to_pylist()):
+                held = np.array(_merged((x["s"], x["e"]) for x in held or []), np.int64).reshape(-1, 2)
+                pos, room, long = (np.array([x[c] for x in found], np.int64) for c in ("pos", "room", "long"))
+                k = np.searchsorted(held[:, 0], np.maximum(pos - WINDOW + 1, 0), side="right") - 1
+                end = held[np.maximum(k, 0), 1] if len(held) else np.zeros(len(pos), np.int64)
+                out.append(np.unique(long[(k < 0) | (end < pos + room)]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out), pa.int64())], ["long"])
+        release()
+
+    asked = table(later.join(spans, "doc", "left").select("seeds", "spans").mapInArrow(uncovered, "long long").distinct(), "asked")
+    around = table(places.join(asked, "long", "left_semi").groupBy("doc").agg(F.collect_list("pos").alias("at")), "around")
+
+    def hashed(batches):
+        for part in slices(batches, "text", 2 << 20):
+            words, first = word_hashes(texts_of(part.column("text")))
+            for i, at in enumerate(part.column("at").to_pylist()):
+                start = np.unique(np.array(at, np.int64)[:, None] - np.arange(WINDOW))
+                start = start[(start >= 0) & (start <= first[i + 1] - first[i] - MIN_WORDS)]
+                n = len(start)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(_runs(words, first[i] + start, MIN_WORDS), pa.int64()), part.column("doc").take(pa.array(np.full(n, i))),
+                    part.column("h").take(pa.array(np.full(n, i))), pa.array(start, pa.int32())], ["key", "doc", "h", "pos"])
+        release()
+
+    runs = table(rows.join(broadcast_if_small(around.select("doc"), 1_000_000), "doc", "left_semi").join(around, "doc").withColumn("h", F.xxhash64("text"))
+                 .mapInArrow(hashed, "key long, doc long, h long, pos int"), "runs")
+    firsts = table(runs.groupBy("key").agg(F.min(F.struct("doc", "pos")).alias("a"), F.max("doc").alias("last"))
+                   .where("a.doc < last").select("key", F.col("a.doc").alias("anchor"), F.col("a.pos").alias("apos")), "firsts")
+    matches = (runs.join(firsts, "key").where("doc > anchor").groupBy("doc", "h")
+               .agg(F.collect_list("pos").alias("pos"), F.collect_list("anchor").alias("anchor"), F.collect_list("apos").alias("apos")))
+
+    def covering(batches):
+        for b in batches:
+            out = {k: [] for k in ("doc_id", "text_hash", "start_word", "end_word", "first_doc_id", "first_start", "first_end")}
+            for doc, h, pos, anchor, apos, held in zip(*(b.column(c).to_pylist() for c in ("doc", "h", "pos", "anchor", "apos", "spans"))):
+                for s, e, a, t in exact_cover(pos, anchor, apos, _merged((x["s"], x["e"]) for x in held or [])):
+                    for k, v in zip(out, (doc, h, s, e, a, t, t + e - s)):
+                        out[k].append(v)
+            made = [pa.array(v, pa.int64()) for v in out.values()]
+            yield pa.RecordBatch.from_arrays([*made, pa.array(np.ones(len(made[0])))], [*out, "identity"])
+        release()
+
+    return matches.join(spans, "doc", "left").select("doc", "h", "pos", "anchor", "apos", "spans").mapInArrow(covering, PASSAGE)
 
 
 def cut_words(text: str, spans: list[tuple[int, int]]) -> str:

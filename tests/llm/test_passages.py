@@ -123,3 +123,38 @@ def test_lines_that_repeat_over_and_over(make_docs):
     got = covered(P.repeated_passages(make_docs(rows)))
     assert set(got) == {i for i in n if i % 10}
     assert all(n[i] <= got[i] and len(got[i] - n[i]) < 5 for i in got)
+
+
+def test_frequent_lines_inside_a_shared_passage(make_docs):
+    rng = random.Random(11)
+    rows = []
+    for n in range(6):  # passage of 60 words, each half of it and its middle in other documents before
+        x, i = prose(rng, 60), 100 * n
+        for k, part in enumerate((x[:30], x[30:], x[10:52], x[:44], x[16:])):
+            rows.append((i + k, " ".join([*prose(rng, 40), *part, *prose(rng, 40)])))
+        rows.append((i + 10, " ".join([*prose(rng, 25), *x, *prose(rng, 40)])))
+        rows.append((i + 20, " ".join([*prose(rng, 35), *x, *prose(rng, 20)])))
+    found = P.repeated_passages(make_docs(rows))
+    got = covered(found)
+    assert set(got) == {100 * n + 20 for n in range(6)}
+    assert all(s == set(range(35, 95)) for s in got.values())
+
+
+def test_longer_runs_than_the_first_and_lines_in_another_place(make_docs):
+    rng = random.Random(12)
+    line, x = prose(rng, 11), prose(rng, 55)
+    rows = [(1, " ".join([*line * 20, *prose(rng, 30)])), (2, " ".join([*prose(rng, 30), *line * 70])),
+            (3, " ".join([*x[20:45], *prose(rng, 40), *x[:25], *prose(rng, 40), *x])), (4, " ".join([*prose(rng, 30), *x]))]
+    got = covered(P.repeated_passages(make_docs(rows)))
+    assert got == {2: set(range(30, 800)), 4: set(range(30, 85))}
+
+
+def test_query_covers_every_exact_repeat(spark):
+    got = covered(P.op9_chained_passages(spark, SF_SMALL))
+    seen, missed = set(), 0
+    for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").orderBy("doc_id").collect():
+        w = (r.text or "").encode().lower().split()
+        grams = [tuple(w[k:k + 50]) for k in range(len(w) - 49)]
+        missed += len({p for k, g in enumerate(grams) if g in seen for p in range(k, k + 50)} - got.get(r.doc_id, set()))
+        seen.update(grams)
+    assert not missed
