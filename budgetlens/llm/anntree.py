@@ -12,7 +12,7 @@ order in which they come out. How many leaves, is calibrated: for
 force, and visits widen until ``RECALL`` of them lie in visited leaves.
 
 Rows are dealt by leaf into bins of about ``BIN`` rows (neighbouring leaves
-share a bin, a large leaf is split by a hash of the id) and queries go to the
+share a bin, a large leaf is split by a hash of the row) and queries go to the
 bins of their leaves; a hot bin's queries are split into blocks. A task
 compares one block of queries with the leaves of one bin that they visit and
 returns the best; scores are sums in double precision in the order of the components.
@@ -53,7 +53,17 @@ def valid_rows(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
             & F.exists(v, lambda x: x != 0))
     rows = vectors.where(fine).select(F.col(vec_id).cast("long").alias("vec_id"), v.cast(kind).alias("v"))
     widths = (rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect())
-    return rows.where(F.size("v") == (widths[0]["d"] if widths else 0))
+    return _once(rows.where(F.size("v") == (widths[0]["d"] if widths else 0)))
+
+
+def _once(rows: DataFrame) -> DataFrame:
+    """``rows`` (vec_id, v) without repeats of a whole row. Vectors are shuffled
+    only where a vec_id repeats."""
+    twice = table(rows.groupBy("vec_id").count().where("count > 1").select("vec_id"), "twice")
+    if twice.isEmpty():
+        return rows
+    return (rows.join(twice, "vec_id", "left_anti").select("vec_id", "v")
+            .unionByName(rows.join(twice, "vec_id", "left_semi").select("vec_id", "v").distinct()))
 
 
 def _kind(rows: DataFrame) -> str:
@@ -145,14 +155,17 @@ def _augment(x: np.ndarray, top: float) -> np.ndarray:
 
 
 def _best(q_ids, q, x_ids, x, k: int, hidden=None):
-    """(query row, vec_id, score) of the ``k`` best per query, exact scores;
-    pairs that are ``hidden`` (queries x rows) do not count."""
+    """(query row, row, score) of the ``k`` best per query, exact scores, each
+    vec_id once; pairs that are ``hidden`` (queries x rows) do not count."""
     s = q @ x.T
     s[q_ids[:, None] == x_ids[None, :]] = -np.inf
     if hidden is not None:
         s[hidden] = -np.inf
-    if s.shape[1] > k:
-        edge = -np.partition(-s, k - 1, axis=1)[:, k - 1]
+    by_id = np.argsort(x_ids, kind="stable")
+    first = np.flatnonzero(np.diff(x_ids[by_id], prepend=x_ids[by_id[:1]] - 1))
+    top = s if len(first) == len(x_ids) else np.maximum.reduceat(s[:, by_id], first, axis=1)  # of each vec_id
+    if top.shape[1] > k:
+        edge = -np.partition(-top, k - 1, axis=1)[:, k - 1]
     else:
         edge = np.full(len(s), -np.inf)
     # a margin above the rounding of the matrix product keeps all ties
@@ -161,11 +174,17 @@ def _best(q_ids, q, x_ids, x, k: int, hidden=None):
     score = np.zeros(len(row))
     for i in range(q.shape[1]):
         score += q[row, i] * x[col, i]
+    if top is not s:
+        order = np.lexsort((-score, x_ids[col], row))
+        row, col, score = row[order], col[order], score[order]
+        once = np.ones(len(row), dtype=bool)
+        once[1:] = (row[1:] != row[:-1]) | (x_ids[col[1:]] != x_ids[col[:-1]])
+        row, col, score = row[once], col[once], score[once]
     order = np.lexsort((x_ids[col], -score, row))
     row, col, score = row[order], col[order], score[order]
     place = np.arange(len(row)) - np.searchsorted(row, np.arange(len(q)))[row]
     keep = place < k
-    return row[keep], x_ids[col[keep]], score[keep]
+    return row[keep], col[keep], score[keep]
 
 
 def fit(rows: DataFrame, sample: int = SAMPLE, leaf_rows: int = LEAF_ROWS):
@@ -210,16 +229,17 @@ def calibrate(indexed: DataFrame, queries: DataFrame, tree: Tree, d: int, k: int
             if not b.num_rows:
                 continue
             v = _matrix(b.column("v"), d)[:, :d]
-            row, vec, score = _best(ids, x, b.column("vec_id").to_numpy(), v, k)
-            leaf = pd.Series(b.column("leaf").to_numpy(), b.column("vec_id").to_numpy())
-            leaf = leaf[~leaf.index.duplicated()]
-            new = pd.DataFrame({"q": row, "vec_id": vec, "score": score, "leaf": leaf.reindex(vec).to_numpy()})
-            held = pd.concat([held, new]).sort_values(["q", "score", "vec_id"], ascending=[True, False, True]).groupby("q").head(k)
+            vec, leaf = b.column("vec_id").to_numpy(), b.column("leaf").to_numpy()
+            row, col, score = _best(ids, x, vec, v, k)
+            new = pd.DataFrame({"q": row, "vec_id": vec[col], "score": score, "leaf": leaf[col]})
+            held = (pd.concat([held, new]).sort_values(["q", "score", "vec_id", "leaf"], ascending=[True, False, True, True])
+                    .drop_duplicates(["q", "vec_id"]).groupby("q").head(k))
         if held is not None:
             yield pa.RecordBatch.from_pandas(held.astype({"q": "int64", "leaf": "int64"}), preserve_index=False)
 
     place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
     true = (indexed.mapInArrow(brute, "q long, vec_id long, score double, leaf long")
+            .groupBy("q", "vec_id").agg(F.max("score").alias("score"), F.max_by("leaf", F.struct("score", -F.col("leaf"))).alias("leaf"))
             .withColumn("r", place).where(F.col("r") <= k).select("q", "leaf").toPandas())  # at most n * k rows
     if not len(true):
         return 1
@@ -284,7 +304,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec
     left = (asked.join(blocks, "bin").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")))
             .select("bin", "block", "query_id", "v", "leaves"))
     right = (indexed.join(plan, "leaf")
-             .withColumn("bin", F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("n_bins")))
+             .withColumn("bin", F.col("first") + F.pmod(F.xxhash64("vec_id", "v"), F.col("n_bins")))
              .join(blocks, "bin").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
              .select("bin", "block", "vec_id", "leaf", "v"))
 
@@ -301,8 +321,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec
         here = np.isin(leaves, own)
         visits_here = np.zeros((len(q_ids), len(own)), dtype=bool)
         visits_here[owner[here], np.searchsorted(own, leaves[here])] = True
-        row, vec, score = _best(q_ids, qv, x_ids, xv, k, ~visits_here[:, of_row])
-        return _packed(*_pruned(q_ids[row], vec, score, k))
+        row, col, score = _best(q_ids, qv, x_ids, xv, k, ~visits_here[:, of_row])
+        return _packed(*_pruned(q_ids[row], x_ids[col], score, k))
 
     found = (left.groupBy("bin", "block").cogroup(right.groupBy("bin", "block"))
              .applyInArrow(compare, _PACKED))

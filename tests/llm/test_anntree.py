@@ -69,3 +69,46 @@ def test_edge_rows(spark):
 def test_double_vectors_keep_their_precision(spark):
     df = spark.createDataFrame([(0, [0.1, 0.2], 0), (1, [0.3, 0.7], 0)], "vec_id long, embedding array<double>, label int")
     assert A.search(df, F.col("vec_id") % 20 == 0).first().score == 0.1 * 0.3 + 0.2 * 0.7
+
+
+def brute_once(rows, k):
+    """Neighbours by vec_id, each once with its best score over all pairs of rows."""
+    ids = np.array([i for i, _ in rows])
+    x = np.array([v for _, v in rows], dtype=np.float32).astype(np.float64)
+    out = {}
+    for q in sorted({i for i, _ in rows if i % 20 == 0}):
+        best = {}
+        for r in np.flatnonzero(ids == q):
+            s = np.zeros(len(x))
+            for d in range(x.shape[1]):
+                s += x[r, d] * x[:, d]
+            for i, score in zip(ids.tolist(), s.tolist()):
+                if i != q:
+                    best[i] = max(best.get(i, score), score)
+        out[q] = sorted(best.items(), key=lambda e: (-e[1], e[0]))[:k]
+    return out
+
+
+def searched(spark, rows, k):
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA)
+    got = {}
+    for r in A.search(df, F.col("vec_id") % 20 == 0, k, recall=1.0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    return got
+
+
+def test_every_row_repeats(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(0, 1, 8).astype(np.float32).tolist()) for i in range(300)]
+    got, want = searched(spark, rows * 3, 20), brute_once(rows, 20)
+    assert np.mean([got[q] == want[q] for q in want]) > 0.95 and all(len(got[q]) == 20 for q in want)
+
+
+def test_one_vec_id_repeats_with_many_vectors(spark, monkeypatch):
+    monkeypatch.setattr(A, "BIN", 64)
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(1, 0.3, 8).astype(np.float32).tolist()) for i in range(300)]
+    rows += [(1001, rng.normal(2, 0.1, 8).astype(np.float32).tolist()) for _ in range(200)]  # near all queries
+    got, want = searched(spark, rows, 10), brute_once(rows, 10)
+    assert np.mean([got[q] == want[q] for q in want]) > 0.95
+    assert all(len(got[q]) == 10 for q in want)
