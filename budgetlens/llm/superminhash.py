@@ -262,11 +262,12 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def deduplicated(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with one document of each group of near-duplicates (the one
-    with the smallest doc_id) and one row of each doc_id."""
+    with the smallest doc_id) and one row of each doc_id, the one compared."""
+    docs = one_per_id(docs, text)
     found = near_duplicates(docs, text)
     gone, = fresh(docs, "__gone")
     out = table(found.where("not kept").select(F.col("doc_id").alias(gone)).distinct(), "gone")
-    return one_per_id(docs, text).join(broadcast_if_small(out, 1_000_000), F.col("doc_id") == F.col(gone), "left_anti")
+    return docs.join(broadcast_if_small(out, 1_000_000), F.col("doc_id") == F.col(gone), "left_anti")
 
 
 def op3_superminhash(spark, sf_dir):

@@ -97,3 +97,14 @@ def test_components_of_long_paths(spark):
 def test_short_texts(make_docs, n):
     r = S.near_duplicates(make_docs([(1, " ".join("abcdef"[:n]))])).first()
     assert r.n_shingles == {0: 0, 1: 1, 4: 1, 5: 1, 6: 2}[n] and r.kept
+
+
+def test_the_text_that_stays_is_the_one_compared(make_docs):
+    rng = random.Random(8)
+    rows, want = [], {}
+    for i in range(0, 40, 2):  # i + 1 has a text of its own and a copy of that of i
+        copy, own = (" ".join(rng.choice("abcdefgh") + str(rng.randrange(500)) for _ in range(40)) for _ in range(2))
+        rows += [(i, copy), (i + 1, copy), (i + 1, own)]
+        want |= {i: copy} | ({i + 1: own} if own < copy else {})
+    out = S.deduplicated(make_docs(rows)).collect()
+    assert len(out) == len(want) and {r.doc_id: r.text for r in out} == want
