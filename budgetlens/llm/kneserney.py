@@ -282,7 +282,8 @@ def probabilities(keys: np.ndarray, upper: dict[int, Level] | None, common: dict
 def packed_blocks(docs: DataFrame, blocks: int) -> DataFrame:
     """(block, size, data): rows (doc_id, h, lang, text) dealt by a hash of the
     id (without id: of the text), many to a compressed piece."""
-    rows = docs.select("doc_id", "h", "lang", "text", F.pmod(F.coalesce(F.xxhash64("doc_id"), F.col("h")), F.lit(blocks)).alias("block"))
+    by = F.when(F.col("doc_id").isNull(), F.col("h")).otherwise(F.xxhash64("doc_id"))  # xxhash64 of null is not null
+    rows = docs.select("doc_id", "h", "lang", "text", F.pmod(by, F.lit(blocks)).alias("block"))
     columns = ["doc_id", "h", "lang", "text"]
 
     def run(batches):

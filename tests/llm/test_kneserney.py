@@ -100,3 +100,11 @@ def test_query_keeps_clean_and_rejects_noise(spark):
     bad = [r.keep for r in rows if labels.get(r.doc_id, (1, 0))[0] == 0]
     assert len(rows) == spark.read.parquet(f"{SF_SMALL}/documents.parquet").count()
     assert np.mean(clean) > 0.95 and np.mean(bad) < 0.6
+
+
+def test_rows_without_id_are_dealt_to_many_blocks(make_docs):
+    from pyspark.sql import functions as F
+    docs = make_docs([(None, f"text {i}") for i in range(200)] + [(i, "text") for i in range(200)]).withColumn("h", F.xxhash64("text"))
+    blocks = {r.block for r in K.packed_blocks(docs.where("doc_id is null"), 8).collect()}
+    assert blocks == set(range(8))
+    assert {r.block for r in K.packed_blocks(docs.where("doc_id is not null"), 8).collect()} == set(range(8))
