@@ -4,7 +4,7 @@ DuckDB SQL where SQL expresses them."""
 from __future__ import annotations
 
 import corpus_pipeline
-from budgetlens.llm import anntree, chat, editcount, kneserney, langid, mixing, passages, spotsigs, superminhash
+from budgetlens.llm import anntree, chat, editcount, kneserney, langid, mixing, passages, spotsigs, superminhash, wumanber
 from budgetlens.llm.bpe import op8_byte_bpe
 
 LLM_QUERIES = {
@@ -19,10 +19,12 @@ LLM_QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_chained_passages": passages.op9_chained_passages,
     "op10_edit_counts": editcount.op10_edit_counts,
+    "op11_wu_manber": wumanber.op11_wu_manber,
 }
 LLM_ORACLES: dict[str, str] = {
     "op4_mixing": mixing.ORACLE,
     "op5_chat_format": chat.ORACLE,
+    "op11_wu_manber": wumanber.ORACLE,
 }
 if corpus_pipeline.ORACLE_SQL:
     LLM_ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
