@@ -157,7 +157,19 @@ def materialize(df, name: str):
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def drop_scratch(df) -> None:
+    """Delete the table that ``materialize`` returned as ``df``: for loops whose
+    next table is written from the last one. Nothing may read it afterwards."""
+    spark, path = df.sparkSession, df._scratch_path
+    if path in _SCRATCH:
+        _SCRATCH.remove(path)
+    name = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    name.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(name, True)
 
 
 def broadcast_if_small(df, max_rows: int = 100_000):
