@@ -4,7 +4,7 @@ DuckDB SQL where SQL expresses them."""
 from __future__ import annotations
 
 import corpus_pipeline
-from budgetlens.llm import activelloyd, anntree, chat, editcount, kneserney, langid, mixing, passages, spotsigs, superminhash, wumanber
+from budgetlens.llm import activelloyd, anntree, chat, editcount, kneserney, langid, mixing, passages, spotsigs, superminhash, triefrontier, wumanber
 from budgetlens.llm.bpe import op8_byte_bpe
 
 LLM_QUERIES = {
@@ -21,12 +21,14 @@ LLM_QUERIES = {
     "op10_edit_counts": editcount.op10_edit_counts,
     "op11_wu_manber": wumanber.op11_wu_manber,
     "op12_active_lloyd": activelloyd.op12_active_lloyd,
+    "op13_trie_frontier": triefrontier.op13_trie_frontier,
 }
 LLM_ORACLES: dict[str, str] = {
     "op4_mixing": mixing.ORACLE,
     "op5_chat_format": chat.ORACLE,
     "op11_wu_manber": wumanber.ORACLE,
     "op12_active_lloyd": activelloyd.ORACLE,
+    "op13_trie_frontier": triefrontier.ORACLE,
 }
 if corpus_pipeline.ORACLE_SQL:
     LLM_ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
