@@ -55,7 +55,7 @@ def check_columns(df: DataFrame, expected: list[str] | None = None) -> DataFrame
 MONEY_COLUMNS = ["Allocated_Budget_Cr", "Revised_Budget_Cr", "Actual_Spending_Cr"]
 
 
-def _checked(f: DataFrame, min_year: int = 1900, max_year: int = 2100) -> DataFrame:
+def checked_rows(f: DataFrame, min_year: int = 1900, max_year: int = 2100) -> DataFrame:
     """Facts with a ``reasons`` array (empty when the row is good)."""
     dups = (f.groupBy("Project_ID").agg(F.count(F.lit(1)).alias("_n"))
             .filter((F.col("_n") > 1) & F.col("Project_ID").isNotNull())
@@ -84,7 +84,7 @@ def validate_rows(f: DataFrame, min_year: int = 1900,
     The checked rows are written once to the shared folder; both outputs read
     them.
     """
-    checked = materialize(_checked(f, min_year, max_year), "checked-facts")
+    checked = materialize(checked_rows(f, min_year, max_year), "checked-facts")
     good = checked.filter(F.size("reasons") == 0).drop("reasons")
     bad = checked.filter(F.size("reasons") > 0)
     return good, bad
@@ -93,7 +93,7 @@ def validate_rows(f: DataFrame, min_year: int = 1900,
 def quarantine_summary(f: DataFrame) -> DataFrame:
     """Rows per reason, plus the 'ok' rows, in one pass over the checked
     rows (a good row counts once as 'ok')."""
-    checked = _checked(f)
+    checked = checked_rows(f)
     reason = F.explode(F.when(F.size("reasons") == 0, F.array(F.lit("ok")))
                        .otherwise(F.col("reasons")))
     return (checked.select(reason.alias("reason")).groupBy("reason")

@@ -803,3 +803,55 @@ SELECT Department, Project_ID, source, anomaly_score,
        CAST(row_number() OVER (PARTITION BY Department ORDER BY source, Project_ID) AS INT) AS position
 FROM both_lists QUALIFY position <= 20
 """)
+
+_LOOKUPS = {
+    "state and utilization": "State = (SELECT min(State) FROM facts) AND Utilization_Percentage <= 30",
+    "department and year": "Department = (SELECT min(Department) FROM facts) AND Year = (SELECT max(Year) FROM facts)",
+    "district and ministry": "District = (SELECT max(District) FROM facts) AND Ministry = (SELECT min(Ministry) FROM facts)",
+    "high utilization": "Utilization_Percentage >= 150",
+    "two states in a year": "State IN (SELECT min(State) FROM facts UNION ALL SELECT max(State) FROM facts) AND Year = (SELECT min(Year) FROM facts)",
+}
+ORACLES["zone_lookups"] = _q(" UNION ALL ".join(f"""
+SELECT '{name}' AS lookup, count(*) AS projects, count(DISTINCT Project_ID) AS project_ids,
+       CAST(sum(Allocated_Budget_Cr) AS DOUBLE) AS allocated,
+       CAST(min(Utilization_Percentage) AS DOUBLE) AS lowest, CAST(max(Utilization_Percentage) AS DOUBLE) AS highest
+FROM facts WHERE {where}""" for name, where in _LOOKUPS.items()))
+
+ORACLES["commit_loads"] = _q("""
+, every AS (SELECT count(*) AS n, sum(Actual_Spending_Cr) AS spent, max(Year) AS y FROM facts),
+bad_year AS (SELECT count(*) AS b FROM facts, every WHERE Year = y),
+few AS (SELECT count(*) AS b, sum(Actual_Spending_Cr) AS spent FROM facts, every
+        WHERE Year = y AND Quarter = 'Q1' AND State = (SELECT min(State) FROM facts)),
+l AS (
+  SELECT 'facts' AS load, 1 AS k, n AS records, CAST(0 AS BIGINT) AS bad, CAST(0 AS DECIMAL(38,4)) AS lost FROM every
+  UNION ALL SELECT 'a bad year', 2, n, b, NULL FROM every, bad_year
+  UNION ALL SELECT 'no column', 3, NULL, NULL, NULL
+  UNION ALL SELECT 'a few bad rows', 4, n, b, coalesce(few.spent, 0) FROM every, few),
+judged AS (SELECT l.*, coalesce(bad <= 0.02 * records, false) AS accepted FROM l),
+seen AS (SELECT a.load, a.accepted, a.records, a.bad, CAST(count(b.k) AS BIGINT) AS version, max(b.k) AS at
+         FROM judged a JOIN judged b ON b.k <= a.k AND b.accepted GROUP BY a.load, a.accepted, a.records, a.bad)
+SELECT seen.load, seen.accepted, seen.version, coalesce(seen.records, 0) AS records, coalesce(seen.bad, 0) AS bad,
+       of.records - of.bad AS rows_seen, CAST(every.spent - of.lost AS DOUBLE) AS spent_seen,
+       CASE WHEN of.bad < (SELECT b FROM bad_year) OR of.k = 1 THEN y ELSE y - 1 END AS last_year
+FROM seen JOIN judged of ON of.k = seen.at, every
+""")
+
+ORACLES["allocate_surplus"] = _q(_SCHEME_GROUPS + """
+, amounts AS (
+  SELECT State, District, Department, Scheme_Name, utilization,
+         CASE WHEN utilization < 40 THEN 'under' WHEN utilization > 130 THEN 'over' END AS side,
+         CAST(CASE WHEN utilization < 40 THEN surplus ELSE deficit END AS DECIMAL(38,4)) AS amount
+  FROM g),
+laid AS (
+  SELECT *, sum(amount) OVER (PARTITION BY Department, side
+              ORDER BY amount DESC, State NULLS FIRST, District NULLS FIRST, Scheme_Name NULLS FIRST ROWS UNBOUNDED PRECEDING) AS hi
+  FROM amounts WHERE side IS NOT NULL AND amount > 0)
+SELECT u.Department, u.District AS from_district, u.State AS from_state, u.Scheme_Name AS from_scheme,
+       o.District AS to_district, o.State AS to_state, o.Scheme_Name AS to_scheme,
+       u.utilization AS from_utilization, o.utilization AS to_utilization,
+       CAST(u.hi - u.amount AS DOUBLE) AS from_offset,
+       CAST(least(u.hi, o.hi) - greatest(u.hi - u.amount, o.hi - o.amount) AS DOUBLE) AS amount,
+       CAST(o.amount - (least(u.hi, o.hi) - greatest(u.hi - u.amount, o.hi - o.amount)) AS DOUBLE) AS other_need
+FROM laid u JOIN laid o ON u.Department IS NOT DISTINCT FROM o.Department AND u.side = 'under' AND o.side = 'over'
+  AND u.hi - u.amount < o.hi AND o.hi - o.amount < u.hi
+""")

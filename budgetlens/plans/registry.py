@@ -18,15 +18,18 @@ from budgetlens.functions.text import compact_amount, thousands_cr, truncate_lab
 from budgetlens.operators import anomalies as AN
 from budgetlens.operators import dims as DM
 from budgetlens.operators import aggregates as A
+from budgetlens.operators import allocation as AL
 from budgetlens.operators import filters as FL
 from budgetlens.operators import lists as L
 from budgetlens.operators import ranking as RK
 from budgetlens.operators import reallocate as R
 from budgetlens.operators import quality as Q
 from budgetlens.session import materialize, scratch_path
+from budgetlens.sources.commits import load_facts, read_version
 from budgetlens.sources.csv import clean_columns, raw_name, read_budget, write_budget_csv
 from budgetlens.sources.sinks import to_records, write_facts
 from budgetlens.sources.star import budget_facts, facts, facts_path, read_facts
+from budgetlens.sources.zones import ZONE_TABLE, Between, lookup, write_zones
 from budgetlens.streaming import alerts as ST
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -200,6 +203,11 @@ def _reallocate_within_department(spark, d):
     return R.reallocate_within_department(facts(spark, d))
 
 
+@register("allocate_surplus")
+def _allocate_surplus(spark, d):
+    return AL.allocate_surplus(facts(spark, d))
+
+
 # --- M anomalies (forest: rows-only check; gate, flag rule and risk score exact) --
 
 @register("anomaly_gate")
@@ -310,6 +318,64 @@ def _ingest_roundtrip(spark, d):
     return to_output(read_facts(spark, path))
 
 
+_ZONED: dict[str, str] = {}
+
+
+def _zones_path(spark, d):
+    """The facts in zones, written once per stored fact table."""
+    path = facts_path(spark, d)
+    if path not in _ZONED:
+        _ZONED[path] = write_zones(facts(spark, d), scratch_path(spark, "zones"))
+    return _ZONED[path]
+
+
+@register("zone_lookups")
+def _zone_lookups(spark, d):
+    path = _zones_path(spark, d)
+    ends = spark.read.parquet(f"{path}/{ZONE_TABLE}").agg(*[x for c in ("State", "District", "Ministry", "Department", "Year") for x in (
+        F.min(f"{c}_lo").alias(f"{c}_first"), F.max(f"{c}_hi").alias(f"{c}_last"))]).first()
+    asked = {
+        "state and utilization": {"State": ends["State_first"], "Utilization_Percentage": Between(None, 30)},
+        "department and year": {"Department": ends["Department_first"], "Year": ends["Year_last"]},
+        "district and ministry": {"District": ends["District_last"], "Ministry": ends["Ministry_first"]},
+        "high utilization": {"Utilization_Percentage": Between(150, None)},
+        "two states in a year": {"State": [ends["State_first"], ends["State_last"]], "Year": ends["Year_first"]},
+    }
+    out = None
+    for name, wanted in asked.items():
+        one = lookup(spark, path, **wanted).agg(
+            F.lit(name).alias("lookup"), F.count(F.lit(1)).alias("projects"), F.countDistinct("Project_ID").alias("project_ids"),
+            F.sum("Allocated_Budget_Cr").alias("allocated"), F.min("Utilization_Percentage").alias("lowest"), F.max("Utilization_Percentage").alias("highest"))
+        out = one if out is None else out.unionByName(one)
+    return to_output(out)
+
+
+@register("commit_loads")
+def _commit_loads(spark, d):
+    # four loads into one table, each allowed 2 % of bad rows: the facts; the
+    # facts with negative money in one year (too many bad rows: refused); an
+    # upload without a column (refused); the facts, negative in the largest
+    # department of one quarter of that year only if few (accepted or refused by its share)
+    f = facts(spark, d)
+    root = scratch_path(spark, "committed")
+    year = f.agg(F.max("Year")).first()[0]
+    broken = (F.col("Year") == year)
+    few = broken & (F.col("Quarter") == "Q1") & (F.col("State") == f.agg(F.min("State")).first()[0])
+    loads = {"facts": f, "a bad year": f.withColumn("Actual_Spending_Cr", F.when(broken, -F.lit(1)).otherwise(F.col("Actual_Spending_Cr")).cast("decimal(18,4)")),
+             "no column": f.drop("Utilization_Percentage"),
+             "a few bad rows": f.withColumn("Actual_Spending_Cr", F.when(few, -F.lit(1)).otherwise(F.col("Actual_Spending_Cr")).cast("decimal(18,4)"))}
+    out = None
+    for name, df in loads.items():
+        done = load_facts(df, root, max_bad_share=0.02)
+        # what a reader sees after the load
+        seen = read_version(spark, root).agg(
+            F.lit(name).alias("load"), F.lit(done.accepted).alias("accepted"), F.lit(done.version).cast("long").alias("version"),
+            F.lit(done.records).cast("long").alias("records"), F.lit(done.bad).cast("long").alias("bad"),
+            F.count(F.lit(1)).alias("rows_seen"), F.sum("Actual_Spending_Cr").alias("spent_seen"), F.max("Year").alias("last_year"))
+        out = seen if out is None else out.unionByName(seen)
+    return to_output(out)
+
+
 @register("ingest_stats")
 def _ingest_stats(spark, d):
     return Q.ingest_stats(facts(spark, d))
