@@ -855,3 +855,9 @@ SELECT u.Department, u.District AS from_district, u.State AS from_state, u.Schem
 FROM laid u JOIN laid o ON u.Department IS NOT DISTINCT FROM o.Department AND u.side = 'under' AND o.side = 'over'
   AND u.hi - u.amount < o.hi AND o.hi - o.amount < u.hi
 """)
+
+# kept up to date by deliveries, the reports equal the full ones
+ORACLES["incremental_summary"] = ORACLES["summary"]
+ORACLES["incremental_departments"] = ORACLES["department_summary"]
+ORACLES["incremental_states"] = ORACLES["state_summary"]
+ORACLES["incremental_context"] = ORACLES["context_stats"]

@@ -20,6 +20,7 @@ from budgetlens.operators import dims as DM
 from budgetlens.operators import aggregates as A
 from budgetlens.operators import allocation as AL
 from budgetlens.operators import filters as FL
+from budgetlens.operators import incremental as IN
 from budgetlens.operators import lists as L
 from budgetlens.operators import ranking as RK
 from budgetlens.operators import reallocate as R
@@ -203,6 +204,50 @@ def _reallocate_within_department(spark, d):
     return R.reallocate_within_department(facts(spark, d))
 
 
+_STATES: dict[str, str] = {}
+
+
+def _states(spark, d):
+    """Report states after five deliveries of the facts (by md5 of the
+    project), one of them twice: what it said first (twice the money, another
+    State) is taken back by what it says then; one is removed and comes again."""
+    path = facts_path(spark, d)
+    if path not in _STATES:
+        f = facts(spark, d)
+        states = scratch_path(spark, "report-states")
+        part = F.pmod(F.conv(F.substring(F.md5("Project_ID"), 1, 8), 16, 10).cast("bigint"), F.lit(5))
+        deliveries = {f"delivery {i}": f.where(part == i) for i in range(5)}
+        wrong = deliveries["delivery 2"].withColumns({
+            "State": F.lit("elsewhere"), "Allocated_Budget_Cr": (F.col("Allocated_Budget_Cr") * 2).cast("decimal(18,2)")})
+        IN.apply_delivery(wrong, states, "delivery 2")
+        for name, rows in deliveries.items():
+            IN.apply_delivery(rows, states, name)
+        IN.remove_delivery(spark, states, "delivery 4")
+        IN.apply_delivery(deliveries["delivery 4"], states, "delivery 4")
+        _STATES[path] = states
+    return IN.read_state(spark, _STATES[path])
+
+
+@register("incremental_summary")
+def _incremental_summary(spark, d):
+    return IN.summary(_states(spark, d))
+
+
+@register("incremental_departments")
+def _incremental_departments(spark, d):
+    return IN.department_summary(_states(spark, d))
+
+
+@register("incremental_states")
+def _incremental_states(spark, d):
+    return IN.state_summary(_states(spark, d))
+
+
+@register("incremental_context")
+def _incremental_context(spark, d):
+    return IN.context_stats(_states(spark, d))
+
+
 @register("allocate_surplus")
 def _allocate_surplus(spark, d):
     return AL.allocate_surplus(facts(spark, d))
