@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import math
-from decimal import Decimal
+from decimal import ROUND_FLOOR, Decimal, localcontext
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from budgetlens.operators.quantiles import exact_percentiles
+from budgetlens.operators.quantiles import KEY_DIGITS, column_quantiles, exact_percentiles
 from budgetlens.schema import EXPECTED_COLUMNS
 from budgetlens.session import materialize
 
@@ -106,19 +106,16 @@ def numeric_columns(df: DataFrame) -> list[str]:
                      T.DoubleType, T.FloatType))]
 
 
-def _exact(df: DataFrame, columns: list[str]) -> dict[str, str]:
-    """The decimal type that holds a column exactly; none for floating columns."""
-    out = {}
-    for f in df.schema.fields:
-        if f.name in columns and isinstance(f.dataType, T.DecimalType):
-            out[f.name] = f"decimal({max(f.dataType.precision, f.dataType.scale + 1)},{f.dataType.scale})"
-        elif f.name in columns and not isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            out[f.name] = "decimal(20,0)"
-    return out
+#: Units of a column's spread that deviations are counted in: their squares are
+#: summed exactly (38 digits hold 10**14 rows of them).
+SPREAD = 10**12
 
 
-#: Spread of a column up to which squares are summed as exact decimals.
-EXACT_SPREAD = 10**11
+def _scale(kind: T.DataType) -> int | None:
+    """Digits after the point of a column whose values are exact; None for floating ones."""
+    if isinstance(kind, T.DecimalType):
+        return kind.scale
+    return None if isinstance(kind, (T.DoubleType, T.FloatType)) else 0
 
 
 def profile_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -126,28 +123,40 @@ def profile_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFram
     quartiles (linear interpolation, as pandas ``describe``) and max.
 
     One aggregate over the columns gives count, sum, min and max; a second one
-    the squared deviations from the mean's integer part (exact decimals for
-    decimal and integer columns, so large means lose nothing and the order of
-    rows does not matter; ``stddev_samp`` for floating columns). Quartiles come
-    from ``exact_percentiles``. NaN counts as missing.
+    the squared deviations from the mean. For decimals and integers these are
+    exact decimals in the column's own last digit, or where its range has more
+    than ``SPREAD`` of those, in the smallest power of ten of them that leaves
+    at most ``SPREAD``: large means lose nothing and the order of rows does not
+    matter; ``stddev_samp`` for floating columns. Quartiles of all columns are
+    selected together (see ``quantiles``), in passes over the rows that read
+    only what a quartile can still be. NaN counts as missing.
     """
     columns = columns or numeric_columns(df)
-    exact = _exact(df, columns)
-    value = {c: F.col(f"`{c}`").cast(exact[c]) if c in exact else
-             F.when(~F.isnan(F.col(f"`{c}`")), F.col(f"`{c}`")).cast("double") for c in columns}
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    scale = {c: _scale(kinds[c]) for c in columns}
+    col = {c: F.col(f"`{c}`") for c in columns}
+    value = {c: F.when(~F.isnan(col[c]), col[c]).cast("double") if scale[c] is None else
+             col[c] if isinstance(kinds[c], T.DecimalType) else col[c].cast("decimal(20,0)") for c in columns}
     first = df.agg(*[x for i, c in enumerate(columns) for x in (
         F.count(value[c]).alias(f"n{i}"), F.sum(value[c]).alias(f"s{i}"), F.min(value[c]).alias(f"lo{i}"),
         F.max(value[c]).alias(f"hi{i}"))]).first()
-    base, second = {}, []
+    unit, second = {}, []
     for i, c in enumerate(columns):
         if not first[f"n{i}"]:
             continue
-        if c in exact and first[f"hi{i}"] - first[f"lo{i}"] < EXACT_SPREAD:
-            base[c] = math.floor(float(first[f"s{i}"]) / first[f"n{i}"])
-            away = (value[c] - F.lit(Decimal(base[c]))).cast("decimal(18,4)" if exact[c] != "decimal(20,0)" else "decimal(18,0)")
-            second += [F.sum(away).alias(f"a{i}"), F.sum(away * away).alias(f"b{i}")]
-        else:
+        if scale[c] is None:
             second.append(F.stddev_samp(value[c]).alias(f"d{i}"))
+            continue
+        with localcontext() as exact:
+            exact.prec = 80
+            spread = int((first[f"hi{i}"] - first[f"lo{i}"]).scaleb(scale[c]))
+            over = max(0, len(str(spread // SPREAD)) if spread >= SPREAD else 0)
+            unit[c] = Decimal(1).scaleb(over - scale[c])
+            whole = max(Decimal(1), unit[c]) if spread >= 10 ** scale[c] else unit[c]
+            base = (first[f"s{i}"] / first[f"n{i}"] / whole).to_integral_value(ROUND_FLOOR) * whole
+        away = F.round((value[c] - F.lit(base)).cast(f"decimal(38,{scale[c]})") * F.lit(Decimal(1).scaleb(scale[c])), 0).cast("decimal(38,0)")
+        away = F.floor(away / F.lit(Decimal(10) ** over)).cast("decimal(14,0)") if over else away.cast("decimal(14,0)")
+        second += [F.sum(away).alias(f"a{i}"), F.sum((away * away).cast("decimal(28,0)")).alias(f"b{i}")]
     more = df.agg(*second).first().asDict() if second else {}
     rows = []
     for i, c in enumerate(columns):
@@ -155,30 +164,23 @@ def profile_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFram
         if not n:
             rows.append((c, 0, None, None, None, None))
             continue
-        if c in base:
-            a, b = float(more[f"a{i}"]), float(more[f"b{i}"])
-            std = math.sqrt((b - a * a / n) / (n - 1)) if n > 1 else None
+        if c in unit:
+            with localcontext() as exact:
+                exact.prec = 80
+                a, b = float(more[f"a{i}"] * unit[c]), float(more[f"b{i}"] * unit[c] * unit[c])
+            std = math.sqrt(max(0.0, (b - a * a / n) / (n - 1))) if n > 1 else None
         else:
             std = more[f"d{i}"]
         rows.append((c, n, float(first[f"s{i}"]) / n, std, float(first[f"lo{i}"]), float(first[f"hi{i}"])))
-    spark = df.sparkSession
-    # one row per column
-    moments = spark.createDataFrame(rows, "column string, count long, mean double, std double, min double, max double")
-    quartiles = None
-    for kind in ("decimal", "double"):
-        own = [c for c in columns if (c in exact) == (kind == "decimal")]
-        if not own:
-            continue
-        scale = max((int(exact[c].rstrip(")").split(",")[1]) for c in own), default=0) if kind == "decimal" else 0
-        to = f"decimal(38,{scale})" if kind == "decimal" else "double"
-        long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), value[c].cast(to).alias("value"))
-                                             for c in own])).alias("x")).select("x.*")
-        q = exact_percentiles(long, ["column"], "value", [0.25, 0.5, 0.75])
-        quartiles = q if quartiles is None else quartiles.unionByName(q)
-    q = quartiles.select("column", F.col("p_0").alias("p25"), F.col("p_1").alias("p50"), F.col("p_2").alias("p75"))
-    return (moments.join(q, "column", "left")
-            .select("column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
-            .orderBy("column"))
+    shares = [0.25, 0.5, 0.75]
+    keyed = [c for c in columns if scale[c] is None or not isinstance(kinds[c], T.DecimalType) or kinds[c].precision <= KEY_DIGITS]
+    quartiles = column_quantiles(df, keyed, shares)
+    for c in (c for c in columns if c not in quartiles):
+        q = exact_percentiles(df.select(col[c].alias("value")), [], "value", shares).first()
+        quartiles[c] = [None] * 3 if q is None else [q.p_0, q.p_1, q.p_2]
+    rows = [(*r[:5], *quartiles[r[0]], r[5]) for r in rows]  # one row per column
+    return df.sparkSession.createDataFrame(
+        rows, "column string, count long, mean double, std double, min double, p25 double, p50 double, p75 double, max double").orderBy("column")
 
 
 def profile_schema(df: DataFrame) -> DataFrame:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import types as T
 
 from budgetlens.operators import quantiles as QQ
 from budgetlens.operators.quantiles import exact_percentiles
@@ -17,9 +19,9 @@ def _numpy(values, weights, q):
     return float(np.percentile(np.repeat(values, weights), q * 100))
 
 
-@pytest.mark.parametrize("steps", [2, 16, 1024])
-def test_matches_numpy_weighted(spark, monkeypatch, steps):
-    monkeypatch.setattr(QQ, "STEPS", steps)
+@pytest.mark.parametrize("digit", [3, 11])
+def test_matches_numpy_weighted(spark, monkeypatch, digit):
+    monkeypatch.setattr(QQ, "DIGIT", digit)
     rng = np.random.default_rng(3)
     rows = []
     for g in ("a", "b", "c"):
@@ -68,3 +70,64 @@ def test_decimals_null_groups_and_nothing(spark):
     got = {r["g"]: r["p_0"] for r in exact_percentiles(df, ["g"], "v", [0.5]).collect()}
     assert got == {None: 1.875, "b": 7.0}
     assert exact_percentiles(df.where("g = 'a'"), ["g"], "v", [0.5]).collect() == []
+
+
+def _passes(monkeypatch):
+    made = []
+    plain = QQ.materialize
+    monkeypatch.setattr(QQ, "materialize", lambda df, name: made.append(name) or plain(df, name))
+    return made
+
+
+def test_any_doubles_end_in_a_few_passes(spark, monkeypatch):
+    """Infinities, the largest and the smallest doubles, both zeros."""
+    made = _passes(monkeypatch)
+    inf, big, tiny = float("inf"), 1.7e308, 5e-324
+    rng = np.random.default_rng(2)
+    values = [-inf, inf, -big, big, tiny, -tiny, 0.0, -0.0, 2 * tiny, 1e-300, -1e-310, float("nan"), None] + np.exp(rng.normal(size=60) * 300).clip(1e-300, 1e300).tolist()
+    df = spark.createDataFrame([("g", v) for v in values] + [("low", -inf)] * 30 + [("low", float(i)) for i in range(31)], "g string, v double")
+    real = np.sort([v for v in values if v is not None and v == v])
+    n = len(real)
+    qs = [i / (n - 1) for i in range(n)]
+    got = {r.g: r for r in exact_percentiles(df, ["g"], "v", qs).collect()}
+    for i in range(n):
+        k = qs[i] * (n - 1)
+        if k == int(k):
+            assert got["g"][f"p_{i}"] == real[int(k)]
+    assert made.count("quantile-brackets") <= 1 + -(-64 // QQ.DIGIT)
+    assert QQ.column_quantiles(df.where("g = 'g'"), ["v"], qs)["v"] == [got["g"][f"p_{i}"] for i in range(n)]
+    assert exact_percentiles(df.where("g = 'low'"), ["g"], "v", [0.0, 0.49, 0.5, 1.0]).first()[1:5] == (-inf, -inf, 0.0, 30.0)
+    pair = spark.createDataFrame([(-inf,), (inf,)], "v double")
+    assert exact_percentiles(pair, [], "v", [0.0, 0.5, 1.0]).first()[:3] == (-inf, None, inf)
+    far = spark.createDataFrame([(-big,), (big,)], "v double")
+    assert exact_percentiles(far, [], "v", [0.5]).first()[0] == 0.0
+
+
+def test_integers_floats_and_wide_decimals(spark):
+    df = spark.createDataFrame([(2**62 + i, float(i), f"{10**25 + i}.5") for i in range(5)], "a long, b float, c string").selectExpr("a", "b", "cast(c as decimal(38,2)) AS c", "cast(a as int) AS d")
+    assert exact_percentiles(df, [], "a", [0.5]).first()[0] == float(2**62 + 2)
+    assert exact_percentiles(df, [], "b", [0.5, 0.125]).first()[:2] == (2.0, 0.5)
+    assert exact_percentiles(df, [], "c", [0.5]).first()[0] == 1e25 + 2.5
+
+
+def test_profile_of_odd_columns(spark):
+    """Small decimals keep their digits; wide spreads, infinities and integers."""
+    from budgetlens.operators.quality import profile_numeric
+    rows = [("0.000012", 10**18, float("-inf"), "1"), ("0.000049", -10**18, 1.0, "99999999999999999999.99"), ("0.000031", 7, 2.0, None)]
+    df = spark.createDataFrame(rows, "a string, b long, c double, d string").selectExpr("cast(a as decimal(18,8)) AS a", "b", "c", "cast(d as decimal(30,2)) AS d", "cast(null as int) AS e")
+    p = {r.column: r for r in profile_numeric(df).collect()}
+    assert p["a"].std == pytest.approx(np.std([12e-6, 49e-6, 31e-6], ddof=1), rel=1e-12) and p["a"].p50 == 0.000031 and p["a"].p25 == 0.0000215
+    assert p["b"].std == pytest.approx(np.std([1e18, -1e18, 7], ddof=1), rel=1e-11) and p["b"].p50 == 7.0
+    assert (p["c"].min, p["c"].p25, p["c"].p50, p["c"].max) == (float("-inf"), float("-inf"), 1.0, 2.0)
+    assert p["d"]["count"] == 2 and p["d"].p50 == pytest.approx(5e19, rel=1e-15) and p["d"].std == pytest.approx(1e20 / 2**0.5, rel=1e-11)
+    assert p["e"]["count"] == 0 and p["e"].p50 is None
+
+
+def test_keys_are_the_order_of_doubles():
+    rng = np.random.default_rng(7)
+    x = np.concatenate((rng.integers(-(1 << 63), (1 << 63) - 1, 4000).view(np.float64), 2.0 ** np.arange(-1074, 1024), [0.0, -0.0, np.inf, -np.inf, 1.7976931348623157e308]))
+    x = x[~np.isnan(x)]
+    keys = QQ._arrow_keys(pa.array(x))
+    order = np.argsort(keys, kind="stable")
+    assert np.all(np.diff(x[order]) >= 0) and len(np.unique(keys)) == len(np.unique(x))
+    assert [QQ._value(int(k), T.DoubleType()) for k in keys] == x.tolist()
