@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from budgetlens import schema as S
 from budgetlens.functions.numeric import bigint, mean, to_output
@@ -298,22 +299,52 @@ def anomaly_tag_kpis(f: DataFrame) -> DataFrame:
         .orderBy("Department"))
 
 
-def development_trend(f: DataFrame) -> DataFrame:
+def _quarters(f: DataFrame) -> DataFrame:
+    """One row per (State, District, Year, Quarter) with ``at``, the number of
+    the quarter on the calendar (NULL where Year or Quarter cannot be read)."""
+    g = f.groupBy("State", "District", "Year", "Quarter").agg(
+        mean(F.sum("District_Development_Index"),
+             F.count("District_Development_Index")).alias("avg_index"),
+        _mean_util().alias("avg_utilization"),
+        F.count(F.lit(1)).alias("records"))
+    q = F.regexp_extract("Quarter", "^Q([1-4])$", 1).try_cast("int")
+    return g.withColumn("at", F.col("Year") * 4 + q - 1)
+
+
+def development_trend(f: DataFrame, after_gap: str = "null") -> DataFrame:
     """Mean development index and utilization per (State, District, Year,
     Quarter), with the change against the previous quarter of that district.
+    Where the district has no rows in the previous quarter the change is NULL,
+    or with ``after_gap="as_of"`` the one against its last quarter that has.
 
     The window runs over the grouped result (one row per quarter), never over
     raw facts.
     """
-    from pyspark.sql.window import Window
-
-    g = f.groupBy("State", "District", "Year", "Quarter").agg(
-        mean(F.sum("District_Development_Index"),
-             F.count("District_Development_Index")).alias("avg_index"),
-        _mean_util().alias("avg_utilization"),
-        F.count(F.lit(1)).alias("records"))
-    w = Window.partitionBy("State", "District").orderBy("Year", "Quarter")
-    return (g.withColumn("utilization_change",
-                         F.col("avg_utilization") - F.lag("avg_utilization").over(w))
-            .withColumn("index_change", F.col("avg_index") - F.lag("avg_index").over(w))
-            .orderBy("State", "District", "Year", "Quarter"))
+    if after_gap not in ("null", "as_of"):
+        raise ValueError("after_gap is 'null' or 'as_of'")
+    g = _quarters(f)
+    w = Window.partitionBy("State", "District").orderBy("at", "Year", "Quarter")
+    follows = F.col("at") - F.lag("at").over(w) == 1 if after_gap == "null" else F.col("at").isNotNull()
+    out = g.withColumns({f"{c}_change": F.when(follows, F.col(f"avg_{c}") - F.lag(f"avg_{c}").over(w)) for c in ("utilization", "index")})
+    return out.drop("at").orderBy("State", "District", "Year", "Quarter")
+
+
+def development_axis(f: DataFrame) -> DataFrame:
+    """W3 on a dense axis: every quarter from the first to the last one of a
+    district, ``records`` 0 where it has none, with the value as of that
+    quarter (its own, or the last known one) and how many quarters old it is.
+    Rows whose Year or Quarter cannot be read have no place on the axis."""
+    g = _quarters(f).where("at is not null")
+    spine = (g.groupBy(F.col("State").alias("s"), F.col("District").alias("d")).agg(F.min("at").alias("a"), F.max("at").alias("b"))
+             .select("s", "d", F.explode(F.sequence("a", "b")).alias("place")))
+    on = F.col("s").eqNullSafe(F.col("State")) & F.col("d").eqNullSafe(F.col("District")) & (F.col("place") == F.col("at"))
+    w = Window.partitionBy("s", "d").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    known_at = F.last("at", ignorenulls=True).over(w)
+    known = F.last(F.when(F.col("records").isNotNull(), F.struct("avg_index", "avg_utilization")), ignorenulls=True).over(w)
+    out = spine.join(g, on, "left").select("s", "d", "place", "records", known_at.alias("known_at"), known.alias("known"))
+    return out.select(
+        F.col("s").alias("State"), F.col("d").alias("District"), F.floor(F.col("place") / 4).cast("int").alias("Year"),
+        F.concat(F.lit("Q"), (F.col("place") % 4 + 1).cast("string")).alias("Quarter"),
+        F.coalesce("records", F.lit(0)).cast("bigint").alias("records"), F.col("known.avg_index").alias("index_as_of"),
+        F.col("known.avg_utilization").alias("utilization_as_of"), (F.col("place") - F.col("known_at")).cast("int").alias("quarters_old"),
+    ).orderBy("State", "District", "Year", "Quarter")

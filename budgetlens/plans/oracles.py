@@ -296,7 +296,8 @@ SELECT CAST(COUNT(*) AS BIGINT) AS records,
 FROM facts
 """)
 
-ORACLES["development_trend"] = _q(f"""
+# a calendar of its own: all quarters of the facts' years for every district
+_TREND = f"""
 , g AS (
   SELECT State, District, Year, Quarter,
          CAST(SUM(District_Development_Index) AS DOUBLE) / COUNT(District_Development_Index)
@@ -304,12 +305,31 @@ ORACLES["development_trend"] = _q(f"""
          {MEAN_UTIL} AS avg_utilization,
          CAST(COUNT(*) AS BIGINT) AS records
   FROM facts GROUP BY State, District, Year, Quarter
+), calendar AS (
+  SELECT y AS Year, 'Q' || CAST(q AS VARCHAR) AS Quarter, row_number() OVER (ORDER BY y, q) AS k
+  FROM (SELECT unnest(generate_series((SELECT min(Year) FROM facts), (SELECT max(Year) FROM facts))) AS y),
+       (SELECT unnest([1, 2, 3, 4]) AS q)
+), axis AS (
+  SELECT p.State, p.District, c.Year, c.Quarter, c.k, g.avg_index, g.avg_utilization, g.records
+  FROM (SELECT DISTINCT State, District FROM g) p CROSS JOIN calendar c
+  LEFT JOIN g ON g.State = p.State AND g.District = p.District AND g.Year = c.Year AND g.Quarter = c.Quarter
 )
-SELECT State, District, Year, Quarter, avg_index, avg_utilization, records,
-       avg_utilization - lag(avg_utilization) OVER w AS utilization_change,
-       avg_index - lag(avg_index) OVER w AS index_change
-FROM g
-WINDOW w AS (PARTITION BY State, District ORDER BY Year, Quarter)
+"""
+ORACLES["development_trend"] = _q(_TREND + """
+SELECT a.State, a.District, CAST(a.Year AS INTEGER) AS Year, a.Quarter, a.avg_index, a.avg_utilization, a.records,
+       a.avg_utilization - b.avg_utilization AS utilization_change, a.avg_index - b.avg_index AS index_change
+FROM axis a LEFT JOIN axis b ON b.State = a.State AND b.District = a.District AND b.k = a.k - 1
+WHERE a.records > 0
+""")
+ORACLES["development_axis"] = _q(_TREND + """
+, ends AS (SELECT State, District, min(k) AS lo, max(k) AS hi FROM axis WHERE records > 0 GROUP BY State, District),
+known AS (SELECT a.State, a.District, a.Year, a.Quarter, a.k, a.records, max(b.k) AS at
+          FROM axis a JOIN ends e ON e.State = a.State AND e.District = a.District AND a.k BETWEEN lo AND hi
+          JOIN axis b ON b.State = a.State AND b.District = a.District AND b.k <= a.k AND b.records > 0
+          GROUP BY a.State, a.District, a.Year, a.Quarter, a.k, a.records)
+SELECT x.State, x.District, CAST(x.Year AS INTEGER) AS Year, x.Quarter, CAST(coalesce(x.records, 0) AS BIGINT) AS records,
+       v.avg_index AS index_as_of, v.avg_utilization AS utilization_as_of, CAST(x.k - x.at AS INTEGER) AS quarters_old
+FROM known x JOIN axis v ON v.State = x.State AND v.District = x.District AND v.k = x.at
 """)
 
 ORACLES["list_states"] = _q("SELECT DISTINCT State FROM facts")

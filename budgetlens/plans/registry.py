@@ -147,6 +147,11 @@ def _development_trend(spark, d):
     return A.development_trend(facts(spark, d))
 
 
+@register("development_axis")
+def _development_axis(spark, d):
+    return A.development_axis(facts(spark, d))
+
+
 # --- D lists, L paging ----------------------------------------------------------
 
 @register("list_states")

@@ -9,7 +9,10 @@ a failed job. S7 then decides which rows are good.
 from __future__ import annotations
 
 import csv
+import io
+import re
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,8 +22,8 @@ from budgetlens.schema import FACT_SCHEMA, NA_TOKENS
 
 
 def clean_name(name: str) -> str:
-    """S3: trim, spaces to '_', drop '(' and ')'."""
-    return name.strip().replace(" ", "_").replace("(", "").replace(")", "")
+    """S3: trim, spaces (line breaks too) to '_', drop '(' and ')'."""
+    return re.sub(r"\r\n|[\r\n ]", "_", name.strip()).replace("(", "").replace(")", "")
 
 
 def clean_columns(df: DataFrame) -> DataFrame:
@@ -71,27 +74,55 @@ def first_existing(spark: SparkSession, candidates: Iterable[str]) -> str | None
     return None
 
 
+#: Files whose headers are read at a time, and the longest header (lines).
+HEADER_THREADS, HEADER_LINES = 32, 1000
+
+
+def _header_text(lines) -> str:
+    """The first record of a reader: lines until all quotes are closed (the
+    first line, if they never are)."""
+    first = lines.readLine() or ""
+    text = first
+    for _ in range(HEADER_LINES):
+        if text.count('"') % 2 == 0:
+            return text
+        more = lines.readLine()
+        if more is None:
+            break
+        text += "\n" + more
+    return first
+
+
 def csv_headers(spark: SparkSession, paths: Iterable[str]) -> dict[tuple[str, ...], list[str]]:
-    """Files (``*.csv`` of folders, globs) by their header. The first line of
-    each file is read through the Hadoop file system of its path; a file
-    without a line has no rows and is left out."""
+    """Files (``*.csv`` of folders, globs) by their header, which may hold line
+    breaks in quoted names. Headers are read through the Hadoop file system of
+    the path, many files at a time; a file without a line has no rows and is
+    left out."""
     sc = spark.sparkContext
     jvm, conf = sc._jvm, sc._jsc.hadoopConfiguration()
-    out: dict[tuple[str, ...], list[str]] = {}
+    files = []
     for name in paths:
         path = jvm.org.apache.hadoop.fs.Path(name)
         fs = path.getFileSystem(conf)
         for found in fs.globStatus(path) or []:
-            files = fs.listStatus(found.getPath()) if found.isDirectory() else [found]
-            for f in files:
-                at = f.getPath()
-                if f.isDirectory() or not at.getName().endswith(".csv"):
-                    continue
-                lines = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(at), "UTF-8"))
-                first = lines.readLine()
-                lines.close()
-                if first:
-                    out.setdefault(tuple(next(csv.reader([first.removeprefix("\ufeff")]))), []).append(at.toString())
+            for f in fs.listStatus(found.getPath()) if found.isDirectory() else [found]:
+                if not f.isDirectory() and f.getPath().getName().endswith(".csv"):
+                    files.append((fs, f.getPath()))
+
+    def header(file) -> str:
+        fs, at = file
+        lines = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(at), "UTF-8"))
+        try:
+            return _header_text(lines)
+        finally:
+            lines.close()
+
+    out: dict[tuple[str, ...], list[str]] = {}
+    with ThreadPoolExecutor(HEADER_THREADS) as pool:
+        for (_, at), first in zip(files, pool.map(header, files)):
+            if first:
+                names = next(csv.reader(io.StringIO(first.removeprefix("\ufeff"), newline="")))
+                out.setdefault(tuple(names), []).append(at.toString())
     return out
 
 
@@ -107,13 +138,18 @@ def read_budget(spark: SparkSession, paths: str | list[str], *,
     ``with_source`` adds the file name each row came from (``Source_File``).
     Quotes are doubled inside quoted cells; with ``multi_line`` (the default)
     a quoted cell may hold line breaks, and a file is then read by one task:
-    large inputs should be many files, or ``multi_line=False``.
+    large inputs should be many files, or ``multi_line=False`` (files whose
+    header holds a line break are read that way all the same). A file whose
+    header names no declared column is an error, not a table of NULLs.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     parts = []
+    declared = {f.name for f in FACT_SCHEMA.fields}
     for header, files in csv_headers(spark, paths).items():
+        if declared.isdisjoint(clean_name(c) for c in header):
+            raise ValueError(f"no column of the facts in the header {list(header)[:5]} of {files[0]}")
         raw = (spark.read.option("header", True).option("inferSchema", False).option("escape", '"')
-               .option("multiLine", multi_line).option("mode", "PERMISSIVE").option("nullValue", "")
+               .option("multiLine", multi_line or any("\n" in c for c in header)).option("mode", "PERMISSIVE").option("nullValue", "")
                .schema(T.StructType([T.StructField(c, T.StringType()) for c in header])).csv(files))
         if with_source:
             raw = raw.withColumn("_source_file", F.col("_metadata.file_name"))
