@@ -9,7 +9,8 @@ row is indexed at the leaf it falls into. A query walks the tree with a
 priority queue of nodes by distance to their centre and visits leaves in the
 order in which they come out. How many leaves, is calibrated: for
 ``CALIBRATION`` queries the exact neighbours among all rows are found by brute
-force, and visits widen until ``RECALL`` of them lie in visited leaves.
+force, and visits widen until ``RECALL`` of them lie in visited leaves; a walk
+goes on beyond that while its leaves hold fewer than ``k`` other ids.
 
 Rows are dealt by leaf into bins of about ``BIN`` rows (neighbouring leaves
 share a bin, a large leaf is split by a hash of the row) and queries go to the
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from budgetlens.llm.common import read_table, table
+from budgetlens.llm.common import prepare, read_table, table
 
 SAMPLE, BRANCH, ITERATIONS, DEPTH = 16384, 8, 8, 12
 LEAF_ROWS = 96
@@ -91,16 +92,18 @@ class Tree:
             todo += [(kid, rows[near == i]) for i, kid in enumerate(kids) if (near == i).any()]
         return out
 
-    def best_bins(self, q: np.ndarray, visits: int) -> list[list[int]]:
-        """The first ``visits`` leaves of a best-bin-first walk per query."""
+    def best_bins(self, q: np.ndarray, visits: int, held: dict[int, int] | None = None, need: int = 0) -> list[list[int]]:
+        """The first ``visits`` leaves of a best-bin-first walk per query, and
+        more until the leaves hold ``need`` rows by ``held`` (leaf: rows)."""
         to = _distances(q, self.centres)
         out = []
         for d in to:
-            heap, leaves = [(0.0, 0)], []
-            while heap and len(leaves) < visits:
+            heap, leaves, got = [(0.0, 0)], [], 0
+            while heap and (len(leaves) < visits or got < need):
                 _, node = heapq.heappop(heap)
                 if not self.children[node]:
                     leaves.append(self.leaf_of[node])
+                    got += held.get(leaves[-1], 0) if held else 0
                 for kid in self.children[node]:
                     heapq.heappush(heap, (float(d[kid]), kid))
             out.append(leaves)
@@ -255,6 +258,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec
     ``is_query`` (a condition on vec_id), among all other rows."""
     out = "query_id long, rank int, vec_id long, score double"
     spark = vectors.sparkSession
+    prepare(spark)
     rows = valid_rows(vectors, vec_id, embedding)
     tree, d, top, n = fit(rows)
     if tree is None:
@@ -279,15 +283,17 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec
         bins[leaf] = (nxt, 1)
         held += size
     plan = F.broadcast(spark.createDataFrame([(a, *b) for a, b in bins.items()], "leaf long, first long, n_bins long"))
-    shared = spark.sparkContext.broadcast((tree, bins))
+    # each vec_id at the first of its leaves: what visited leaves hold of distinct ids, at least
+    homes = {r[0]: r[1] for r in indexed.groupBy("vec_id").agg(F.min("leaf").alias("leaf")).groupBy("leaf").count().collect()}
+    shared = spark.sparkContext.broadcast((tree, bins, homes))
 
     def walk(batches):
-        tree, bins = shared.value
+        tree, bins, homes = shared.value
         for b in batches:
             if not b.num_rows:
                 continue
             to = []
-            for leaves in tree.best_bins(_matrix(b.column("v"), d), visits):
+            for leaves in tree.best_bins(_matrix(b.column("v"), d), visits, homes, k + 1):
                 of_bin: dict[int, list[int]] = {}
                 for leaf in leaves:
                     first, m = bins.get(leaf, (0, 0))

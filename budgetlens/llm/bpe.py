@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from budgetlens.llm.common import read_table, with_made
+from budgetlens.llm.common import fresh, prepare, read_table, release, slices, with_made
 
 #: Entries of a task's pre-token cache; when full, and at the end of the task, it starts anew.
 CACHE = 250_000
@@ -158,11 +158,34 @@ def sha256_hex(column: str):
     return F.sha2(F.col(column), 256)
 
 
+def encode_decode(docs: DataFrame, text: str = "text", path: str | None = None,
+                  pattern: str | None = None) -> DataFrame:
+    """``docs`` without the text, with ``ids``, ``n_tokens`` and ``decoded`` as
+    of ``encode`` and ``decode``, in one map: a task has one codec."""
+    where, split = (path, pattern) if path and pattern else default_vocabulary()
+    made = [T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType()), T.StructField("decoded", T.BinaryType())]
+    source, = fresh(docs, "__text")
+    kept = [f for f in docs.schema.fields if f.name != text and f.name.lower() not in {m.name for m in made}]
+    names = [f.name for f in kept]
+
+    def run(batches):
+        for part in slices(batches, source):
+            c = codec(where, split)
+            packed = [c.encode_packed(t) if t else b"" for t in part.column(source).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [*[part.column(n) for n in names], pa.array(packed, pa.binary()), pa.array([len(p) // 4 for p in packed], pa.int64()),
+                 pa.array([c.decode_packed(p) for p in packed], pa.binary())], [*names, "ids", "n_tokens", "decoded"])
+        codec.cache_clear()
+        release()
+
+    prepare(docs.sparkSession)
+    return docs.select(*names, F.col(text).alias(source)).mapInArrow(run, T.StructType([*kept, *made]))
+
+
 def bpe_digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens and digests of the ids and of the decoded bytes."""
-    return (decode(encode(docs.select("doc_id", "text")).drop("text"))
-            .select("doc_id", "n_tokens", sha256_hex("ids").alias("ids_sha256"),
-                    sha256_hex("decoded").alias("decoded_sha256")))
+    return encode_decode(docs.select("doc_id", "text")).select(
+        "doc_id", "n_tokens", sha256_hex("ids").alias("ids_sha256"), sha256_hex("decoded").alias("decoded_sha256"))
 
 
 def op8_byte_bpe(spark, sf_dir):

@@ -57,6 +57,19 @@ def table(df: DataFrame, name: str) -> DataFrame:
 pa.set_memory_pool(pa.system_memory_pool())
 
 
+def steady() -> None:
+    """Have the C library give arrays of a megabyte and more back as soon as
+    they are freed (its limit otherwise grows with what is freed), and trim
+    what lies free. For tasks that make large arrays group after group."""
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+        libc.malloc_trim(0)
+    except AttributeError:  # not the GNU library
+        pass
+
+
 def release() -> None:
     """Give freed memory back to the system: a Python worker lives on after its
     task, beside whatever runs next on the executor."""
@@ -228,18 +241,27 @@ def distinct_per_text(values: np.ndarray, first: np.ndarray):
     return v, np.searchsorted(o, np.arange(len(first)))
 
 
-def one_per_id(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` without the rows that repeat a doc_id (the one with the smallest
-    text stays, null last); rows without doc_id stay. Texts are shuffled only
-    where a doc_id repeats."""
+#: Ids that stand for further texts of a doc_id begin here.
+FURTHER = 1 << 62
+
+
+def one_per_text(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """``docs`` without the rows that repeat a doc_id and its text (the smallest
+    row stays), and with a long column ``key`` that tells rows apart: the
+    doc_id, or for the second and further texts of a doc_id a number from
+    ``FURTHER`` on. Rows without doc_id stay, with a null key. Texts are shuffled
+    only where a doc_id repeats."""
     twice = table(docs.where("doc_id is not null").groupBy(F.col("doc_id")).count().where("count > 1").select("doc_id"), "twice")
     if twice.isEmpty():
-        return docs
-    row, = fresh(docs, "__row")
-    again = docs.join(twice, "doc_id", "left_semi")
-    first = F.min_by(F.struct(*again.columns), F.struct(F.col(text).isNull(), F.col(text))).alias(row)
-    return (docs.join(twice, "doc_id", "left_anti").select(*docs.columns)
-            .unionByName(again.groupBy(F.col("doc_id").alias("__of")).agg(first).select(f"{row}.*")))
+        return docs.withColumn(key, F.col("doc_id").cast("long"))
+    row, digest = fresh(docs, "__row", "__digest")
+    again = docs.join(twice, "doc_id", "left_semi").withColumn(digest, F.concat(F.col(text).isNull().cast("string"), F.sha2(F.coalesce(text, F.lit("")), 256)))
+    rows = again.groupBy(F.col("doc_id").alias("of"), digest).agg(F.min(F.struct(*docs.columns)).alias(row))
+    low = rows.groupBy("of").agg(F.min(digest).alias("low"))
+    # numbered once and written, so that the numbers stay
+    numbered = table(rows.join(low, "of").select(
+        f"{row}.*", F.when(F.col(digest) == F.col("low"), F.col("of").cast("long")).otherwise(F.lit(FURTHER) + F.monotonically_increasing_id()).alias(key)), "texts")
+    return docs.join(twice, "doc_id", "left_anti").select(*docs.columns, F.col("doc_id").cast("long").alias(key)).unionByName(numbered)
 
 
 def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:

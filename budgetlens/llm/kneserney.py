@@ -42,7 +42,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from budgetlens.llm.common import fresh, mix64, read_table, release, slices, table
+from budgetlens.llm.common import fresh, mix64, prepare, read_table, release, slices, steady, table
 from budgetlens.session import broadcast_if_small
 
 ORDER, BITS = 5, 12
@@ -330,6 +330,7 @@ def scores(docs: DataFrame, model: DataFrame, common: dict, blocks: int, shards:
     packed = packed_blocks(docs, blocks)
 
     def _asks(key, t):
+        steady()
         texts = [x or "" for rows in _rows(t) for x in rows.column("text").to_pylist()]
         u = np.unique(np.concatenate([np.unique(ngrams(part)[0]) for part in pieces(texts)]))
         del texts
@@ -341,6 +342,7 @@ def scores(docs: DataFrame, model: DataFrame, common: dict, blocks: int, shards:
     asked = table(packed.groupBy("block").applyInArrow(_asks, "shard long, block long, asked binary"), "asked")
 
     def answer(key, m, t):
+        steady()
         upper = None
         if m.num_rows:
             upper = upper_levels(_unpack_keys(m.column("keys")[0].as_py()), _unpack(m.column("counts")[0].as_py(), np.int64))
@@ -352,6 +354,7 @@ def scores(docs: DataFrame, model: DataFrame, common: dict, blocks: int, shards:
                     .applyInArrow(answer, "block long, shard long, found binary"), "answers")
 
     def total(key, t, a):
+        steady()
         out = {"doc_id": [], "h": [], "lang": [], "chars": [], "bits": []}
         work, keys, texts = [], [], []
         for rows in _rows(t):
@@ -384,6 +387,7 @@ def scores(docs: DataFrame, model: DataFrame, common: dict, blocks: int, shards:
 def classify(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """doc_id, h (hash of the text), lang, perplexity, bits_per_char, bound and ``keep`` of every row of
     ``docs`` (doc_id, text, lang); ``trusted`` has the doc_ids of trusted text."""
+    prepare(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
                        F.col("lang").cast("string").alias("lang")).withColumn("h", F.xxhash64("text"))
     good = table(trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct(), "trusted")

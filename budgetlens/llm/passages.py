@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from budgetlens.llm.common import fresh, mix64, one_per_id, read_table, release, shingle_hashes, slices, table, texts_of, with_made, word_hashes
+from budgetlens.llm.common import FURTHER, fresh, mix64, one_per_text, read_table, release, shingle_hashes, slices, table, texts_of, with_made, word_hashes
 from budgetlens.session import broadcast_if_small
 
 K, WINDOW = 8, 16
@@ -348,17 +348,32 @@ def _parts(a, b, blocks, within, low, high) -> list[list[int]]:
 
 
 def participants(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc, text): rows with a doc_id and a text, one per doc_id."""
+    """(doc, text, doc_id): rows with a doc_id and a text, one per doc_id and
+    text; ``doc`` is the doc_id, or stands for its second and further texts."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where(
         "doc_id is not null and text is not null")
-    return one_per_id(rows).withColumnRenamed("doc_id", "doc")
+    return one_per_text(rows, "doc").select("doc", "text", "doc_id")
 
 
 def repeated_passages(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row per passage of a document that an earlier one holds: doc_id,
     text_hash, start_word, end_word (exclusive), first_doc_id, first_start,
-    first_end, identity."""
+    first_end, identity. Different texts of one doc_id are documents of their
+    own, behind all others."""
     rows = participants(docs, text)
+    found = _passages(rows.select("doc", "text"))
+    names = table(rows.where(F.col("doc") >= FURTHER).select("doc", "doc_id"), "further")
+    if names.isEmpty():
+        return found
+    columns = found.columns
+    for column in ("doc_id", "first_doc_id"):  # back from the numbers that stand for further texts
+        found = (found.join(names.toDF("__doc", "__id"), F.col(column) == F.col("__doc"), "left")
+                 .withColumn(column, F.coalesce("__id", column)).drop("__doc", "__id"))
+    return found.select(*columns)
+
+
+def _passages(rows: DataFrame) -> DataFrame:
+    """``repeated_passages`` of rows (doc, text) with distinct docs."""
     made = table(seeds(rows), "seeds")
     anchors = table(made.groupBy("kmer").agg(F.min("doc").alias("anchor"), F.max("doc").alias("last"))
                     .where("anchor < last").select("kmer", "anchor"), "anchors")

@@ -1,14 +1,12 @@
-"""Queries of the operators (``op<N>_<name>``) and of the corpus pipeline, with
-DuckDB SQL where SQL expresses them."""
+"""Queries of the operators (``op<N>_<name>``), with DuckDB SQL where SQL
+expresses them."""
 
 from __future__ import annotations
 
-import corpus_pipeline
 from budgetlens.llm import activelloyd, anntree, chat, editcount, kneserney, langid, mixing, passages, spotsigs, superminhash, triefrontier, wumanber
 from budgetlens.llm.bpe import op8_byte_bpe
 
 LLM_QUERIES = {
-    "pipeline": corpus_pipeline.run,
     "op1_kneser_ney": kneserney.op1_kneser_ney,
     "op2_ann_tree": anntree.op2_ann_tree,
     "op3_superminhash": superminhash.op3_superminhash,
@@ -30,5 +28,3 @@ LLM_ORACLES: dict[str, str] = {
     "op12_active_lloyd": activelloyd.ORACLE,
     "op13_trie_frontier": triefrontier.ORACLE,
 }
-if corpus_pipeline.ORACLE_SQL:
-    LLM_ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

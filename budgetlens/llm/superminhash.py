@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from budgetlens.llm.common import (components, distinct_per_text, fresh, mix64, one_per_id, read_table, release,
+from budgetlens.llm.common import (components, distinct_per_text, fresh, mix64, one_per_text, read_table, release,
                                    shingle_hashes, slices, table, texts_of, word_hashes)
 from budgetlens.session import broadcast_if_small
 
@@ -262,12 +262,14 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def deduplicated(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with one document of each group of near-duplicates (the one
-    with the smallest doc_id) and one row of each doc_id, the one compared."""
-    docs = one_per_id(docs, text)
-    found = near_duplicates(docs, text)
-    gone, = fresh(docs, "__gone")
+    with the smallest doc_id). Different texts of one doc_id are documents of
+    their own, behind all others in that order; of rows that repeat a doc_id
+    and its text one stays."""
+    key, gone = fresh(docs, "__key", "__gone")
+    rows = one_per_text(docs, key, text)
+    found = near_duplicates(rows.select(F.col(key).alias("doc_id"), F.col(text).alias("text")))
     out = table(found.where("not kept").select(F.col("doc_id").alias(gone)).distinct(), "gone")
-    return docs.join(broadcast_if_small(out, 1_000_000), F.col("doc_id") == F.col(gone), "left_anti")
+    return rows.join(broadcast_if_small(out, 1_000_000), F.col(key) == F.col(gone), "left_anti").select(*docs.columns)
 
 
 def op3_superminhash(spark, sf_dir):

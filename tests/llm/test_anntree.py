@@ -112,3 +112,22 @@ def test_one_vec_id_repeats_with_many_vectors(spark, monkeypatch):
     got, want = searched(spark, rows, 10), brute_once(rows, 10)
     assert np.mean([got[q] == want[q] for q in want]) > 0.95
     assert all(len(got[q]) == 10 for q in want)
+
+
+def test_small_clusters_give_all_queries_k_rows(spark):
+    """70 clusters of 90 rows and 10 of 6: the first leaves of a query in a small
+    cluster hold fewer than k others."""
+    rng = np.random.default_rng(3)
+    rows, i = [], 0
+    for c in range(80):
+        centre = rng.normal(0, 10, 8)
+        for _ in range(90 if c < 70 else 6):
+            rows.append((i * 7919 % 6361, (centre + rng.normal(0, 0.01, 8)).astype(np.float32).tolist(), 0))
+            i += 1
+    df = spark.createDataFrame(rows, SCHEMA)
+    n = {r.query_id: r["count"] for r in A.search(df, F.col("vec_id") % 20 == 0, 20).groupBy("query_id").count().collect()}
+    queries = {r[0] for r in rows if r[0] % 20 == 0}
+    assert set(n) == queries and set(n.values()) == {20}
+    got, want = searched(spark, [r[:2] for r in rows], 20), brute_once([r[:2] for r in rows], 20)
+    found = sum(len({v for v, _ in got[q]} & {v for v, _ in want[q]}) for q in want)
+    assert found >= 0.9 * sum(len(w) for w in want.values())

@@ -158,3 +158,15 @@ def test_query_covers_every_exact_repeat(spark):
         missed += len({p for k, g in enumerate(grams) if g in seen for p in range(k, k + 50)} - got.get(r.doc_id, set()))
         seen.update(grams)
     assert not missed
+
+
+def test_a_further_text_of_a_doc_id_is_searched(make_docs):
+    shared = " ".join(f"s{i}" for i in range(120))
+    other = " ".join(f"o{i}" for i in range(150))
+    docs = make_docs([(1, shared), (2, other), (2, "zz first " + shared), (2, "zz first " + shared), (3, "after " + other)])
+    found = [(r.doc_id, r.start_word, r.end_word, r.first_doc_id) for r in P.repeated_passages(docs).collect()]
+    # one of doc 2's texts is behind all others: the copy is found in it, or in doc 3
+    assert len(found) == 2 and (2, 2, 122, 1) in found and {(3, 1, 151, 2), (2, 0, 150, 3)} & set(found)
+    out = P.remove_passages(docs, P.repeated_passages(docs))
+    left = [r.text for r in out.collect()]
+    assert len(left) == 5 and left.count("zz first ") == 2 and sum("o149" in t for t in left) == 1

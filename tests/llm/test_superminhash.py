@@ -105,6 +105,17 @@ def test_the_text_that_stays_is_the_one_compared(make_docs):
     for i in range(0, 40, 2):  # i + 1 has a text of its own and a copy of that of i
         copy, own = (" ".join(rng.choice("abcdefgh") + str(rng.randrange(500)) for _ in range(40)) for _ in range(2))
         rows += [(i, copy), (i + 1, copy), (i + 1, own)]
-        want |= {i: copy} | ({i + 1: own} if own < copy else {})
+        want |= {i: copy, i + 1: own}  # the copy goes, the text of its own stays
     out = S.deduplicated(make_docs(rows)).collect()
     assert len(out) == len(want) and {r.doc_id: r.text for r in out} == want
+
+
+def test_different_texts_of_one_doc_id_are_documents(make_docs):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (1, b), (1, b), (2, c), (3, b), (3, c), (5, a + " x"), (None, a), (None, a), (4, None), (4, "")]
+    out = sorted(((r.doc_id, r.text) for r in S.deduplicated(make_docs(rows, extra=True)).collect()), key=str)
+    kept = [t for i, t in out if i is not None]
+    # each text once (of near ones the earliest), nothing else is lost
+    assert sorted(t[0] for t in kept if t) == ["a", "b", "c"] and kept.count(None) == 1 and kept.count("") == 1
+    assert [t for i, t in out if i is None] == [a, a]
+    assert (2, c) in out and len({i for i, _ in out}) == 5
