@@ -43,7 +43,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, lang, n_tokens, ids (little-endian unsigned 32-bit) and
     digests of the ids and of the text decoded from them."""
     prepare(spark)
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "source", "lang", "text")).drop("text"))
+    coded = bpe.encode_decode(docs.select("doc_id", "source", "lang", "text"))
     return coded.select("doc_id", "source", "lang", "n_tokens", "ids", bpe.sha256_hex("ids").alias("ids_sha256"),
                         bpe.sha256_hex("decoded").alias("decoded_sha256"))
 
