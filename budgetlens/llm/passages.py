@@ -495,20 +495,25 @@ def exact_rest(rows: DataFrame, longs: DataFrame, passages: DataFrame) -> DataFr
     def hashed(batches):
         for part in slices(batches, "text", 2 << 20):
             words, first = word_hashes(texts_of(part.column("text")))
-            for i, at in enumerate(part.column("at").to_pylist()):
+            for i, (at, held) in enumerate(zip(part.column("at").to_pylist(), part.column("spans").to_pylist())):
                 start = np.unique(np.array(at, np.int64)[:, None] - np.arange(WINDOW))
                 start = start[(start >= 0) & (start <= first[i + 1] - first[i] - MIN_WORDS)]
                 n = len(start)
+                held = np.array(_merged((x["s"], x["e"]) for x in held or []), np.int64).reshape(-1, 2)
+                k = np.searchsorted(held[:, 0], start, side="right") - 1
+                end = held[np.maximum(k, 0), 1] if len(held) else np.zeros(n, np.int64)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(_runs(words, first[i] + start, MIN_WORDS), pa.int64()), part.column("doc").take(pa.array(np.full(n, i))),
-                    part.column("h").take(pa.array(np.full(n, i))), pa.array(start, pa.int32())], ["key", "doc", "h", "pos"])
+                    part.column("h").take(pa.array(np.full(n, i))), pa.array(start, pa.int32()), pa.array((k < 0) | (end < start + MIN_WORDS))],
+                    ["key", "doc", "h", "pos", "open"])
         release()
 
-    runs = table(rows.join(broadcast_if_small(around.select("doc"), 1_000_000), "doc", "left_semi").join(around, "doc").withColumn("h", F.xxhash64("text"))
-                 .mapInArrow(hashed, "key long, doc long, h long, pos int"), "runs")
+    runs = table(rows.join(broadcast_if_small(around.select("doc"), 1_000_000), "doc", "left_semi").join(around, "doc").join(spans, "doc", "left").withColumn("h", F.xxhash64("text"))
+                 .mapInArrow(hashed, "key long, doc long, h long, pos int, open boolean"), "runs")
     firsts = table(runs.groupBy("key").agg(F.min(F.struct("doc", "pos")).alias("a"), F.max("doc").alias("last"))
                    .where("a.doc < last").select("key", F.col("a.doc").alias("anchor"), F.col("a.pos").alias("apos")), "firsts")
-    matches = (runs.join(firsts, "key").where("doc > anchor").groupBy("doc", "h")
+    # runs inside a passage found before can be the first of others, but ask for nothing themselves
+    matches = (runs.where("open").join(firsts, "key").where("doc > anchor").groupBy("doc", "h")
                .agg(F.collect_list("pos").alias("pos"), F.collect_list("anchor").alias("anchor"), F.collect_list("apos").alias("apos")))
 
     def covering(batches):
