@@ -54,6 +54,6 @@ def test_duplicate_hot_key_is_flagged_whole(spark):
     f = make_facts(spark, rows)
     good, bad = Q.validate_rows(f)
     assert good.count() == 600 and bad.count() == 300
-    text = plan_text(Q._checked(f))            # the duplicate check is grouped
+    text = plan_text(Q.checked_rows(f))            # the duplicate check is grouped
     assert "HashAggregate" in text and "partial_count" in text
     assert "Window" not in text
