@@ -881,3 +881,44 @@ ORACLES["incremental_summary"] = ORACLES["summary"]
 ORACLES["incremental_departments"] = ORACLES["department_summary"]
 ORACLES["incremental_states"] = ORACLES["state_summary"]
 ORACLES["incremental_context"] = ORACLES["context_stats"]
+
+# the same reports stated as SQL with bound parameters
+ORACLES["sql_leakage"] = ORACLES["leakage"]
+ORACLES["sql_high_risk"] = ORACLES["high_risk"]
+ORACLES["sql_department"] = ORACLES["department_one"]
+
+ORACLES["sketch_distincts"] = FACTS_CTE + " UNION ALL ".join(
+    f"""
+SELECT Department, '{c}' AS counted, CAST(COUNT(DISTINCT {c}) AS BIGINT) AS exact, true AS within
+FROM facts GROUP BY Department""" for c in ("Project_ID", "State", "District", "Ministry", "Scheme_Name"))
+
+# readings of a key with less than 150 days between them make a session; inside it
+# only readings under 30 or from 40 on decide, and a change of side is an event.
+# What is open at the end of a session expires once the time is known to be over
+# (the newest reading less a day).
+ORACLES["alert_lifecycle"] = _q(f"""
+, r AS (SELECT State, District, Scheme_Name, {MEAN_UTIL} AS utilization,
+               make_date(Year, CAST(substr(Quarter, 2, 1) AS INTEGER) * 3 - 2, 1) AS moment
+        FROM facts GROUP BY State, District, Scheme_Name, Year, Quarter)
+, ended AS (SELECT max(moment) - 1 AS known FROM r WHERE utilization IS NOT NULL)
+, gaps AS (SELECT *, CASE WHEN moment - lag(moment) OVER k >= 150 THEN 1 ELSE 0 END AS starts FROM r WHERE utilization IS NOT NULL
+           WINDOW k AS (PARTITION BY State, District, Scheme_Name ORDER BY moment))
+, sessions AS (SELECT *, sum(starts) OVER (PARTITION BY State, District, Scheme_Name ORDER BY moment) AS session FROM gaps)
+, lasts AS (SELECT State, District, Scheme_Name, session, max(moment) AS last_at FROM sessions GROUP BY ALL)
+, sides AS (SELECT *, lag(utilization < 30) OVER (PARTITION BY State, District, Scheme_Name, session ORDER BY moment) AS before
+            FROM sessions WHERE utilization < 30 OR utilization >= 40)
+, turns AS (SELECT * FROM sides WHERE (utilization < 30) != coalesce(before, false))
+, told AS (SELECT *, lag(moment) OVER w AS opened_at, lead(moment) OVER w AS closed_at FROM turns
+           WINDOW w AS (PARTITION BY State, District, Scheme_Name, session ORDER BY moment))
+, events AS (
+  SELECT State, District, Scheme_Name, 'opened' AS kind, moment, moment AS since, utilization FROM told WHERE utilization < 30
+  UNION ALL
+  SELECT State, District, Scheme_Name, 'recovered', moment, opened_at, utilization FROM told WHERE utilization >= 40
+  UNION ALL
+  SELECT t.State, t.District, t.Scheme_Name, 'expired', l.last_at + 150, t.moment, NULL
+  FROM told t JOIN lasts l ON l.State IS NOT DISTINCT FROM t.State AND l.District IS NOT DISTINCT FROM t.District
+       AND l.Scheme_Name IS NOT DISTINCT FROM t.Scheme_Name AND l.session = t.session, ended
+  WHERE t.utilization < 30 AND t.closed_at IS NULL AND l.last_at + 150 <= ended.known)
+SELECT State, District, Scheme_Name, kind, strftime(moment, '%Y-%m-%d') AS "at", strftime(since, '%Y-%m-%d') AS since, utilization
+FROM events
+""")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from budgetlens.functions.bands import (delay_band, risk_level, risk_score,
                                         risk_score_band, utilization_band)
-from budgetlens.functions.numeric import to_output
+from budgetlens.functions.numeric import mean, to_output
 from budgetlens.functions.text import compact_amount, thousands_cr, truncate_label
 from budgetlens.operators import anomalies as AN
 from budgetlens.operators import dims as DM
@@ -25,6 +25,8 @@ from budgetlens.operators import lists as L
 from budgetlens.operators import ranking as RK
 from budgetlens.operators import reallocate as R
 from budgetlens.operators import quality as Q
+from budgetlens.operators import sketches as SK
+from budgetlens.plans.sql_reports import name_views, sql_report
 from budgetlens.session import materialize, scratch_path
 from budgetlens.sources.commits import load_facts, read_version
 from budgetlens.sources.csv import clean_columns, raw_name, read_budget, write_budget_csv
@@ -32,6 +34,7 @@ from budgetlens.sources.sinks import to_records, write_facts
 from budgetlens.sources.star import budget_facts, facts, facts_path, read_facts
 from budgetlens.sources.zones import ZONE_TABLE, Between, lookup, write_zones
 from budgetlens.streaming import alerts as ST
+from budgetlens.streaming import lifecycle as LC
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -253,6 +256,37 @@ def _incremental_context(spark, d):
     return IN.context_stats(_states(spark, d))
 
 
+@register("sketch_distincts")
+def _sketch_distincts(spark, d):
+    # exact counts per department beside the estimates from stored sketches: is
+    # each within five standard errors?
+    f = facts(spark, d)
+    sketches = materialize(SK.distinct_sketches(f), "distinct-sketches")
+    return SK.measured_distincts(f, sketches, ["Department"]).select(
+        "Department", "counted", "exact", (F.col("error") <= 5 * SK.relative_error()).alias("within"))
+
+
+# --- S11 reports as SQL with bound parameters ---------------------------------
+
+@register("sql_leakage")
+def _sql_leakage(spark, d):
+    name_views(facts=facts(spark, d))
+    return sql_report(spark, "leakage")
+
+
+@register("sql_high_risk")
+def _sql_high_risk(spark, d):
+    name_views(facts=facts(spark, d))
+    return sql_report(spark, "high_risk")
+
+
+@register("sql_department")
+def _sql_department(spark, d):
+    f = facts(spark, d)
+    name_views(facts=f)
+    return sql_report(spark, "department", department=f.agg(F.min("Department")).first()[0])
+
+
 @register("allocate_surplus")
 def _allocate_surplus(spark, d):
     return AL.allocate_surplus(facts(spark, d))
@@ -518,6 +552,30 @@ def _alert_stream(spark, d):
     return ST.read_alerts(spark, sink).drop("timestamp")
 
 
+#: What the alert lifecycle follows: the mean utilization of a scheme in a district.
+READING_KEYS = ["State", "District", "Scheme_Name"]
+
+
+@register("alert_lifecycle")
+def _alert_lifecycle(spark, d):
+    # a reading per scheme, district and quarter; two years make a delivery, and
+    # the job runs to the end of what is there after each
+    f = facts(spark, d)
+    month = F.substring("Quarter", 2, 1).cast("int") * 3 - 2
+    readings = materialize(f.groupBy(*READING_KEYS, "Year", "Quarter").agg(
+        mean(F.sum("Utilization_Percentage"), F.count("Utilization_Percentage")).alias("utilization")).select(
+        *READING_KEYS, F.make_date("Year", month, F.lit(1)).cast("timestamp").alias("at"), "utilization",
+        F.floor(F.col("Year") / 2).alias("_part")), "readings")
+    src, sink, ckpt = (scratch_path(spark, n) for n in ("alert-readings", "alert-events", "alerts-ckpt"))
+    for part in [r[0] for r in readings.select("_part").distinct().orderBy("_part").collect()]:
+        readings.where(F.col("_part").eqNullSafe(part)).drop("_part").write.mode("append").parquet(src)
+        stream = spark.readStream.schema(readings.drop("_part").schema).parquet(src)
+        LC.start_lifecycle(stream, READING_KEYS, sink, ckpt, available_now=True, recovered=40.0).awaitTermination()
+    events = LC.read_events(spark, sink, [readings.schema[k] for k in READING_KEYS])
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
+    return events.select(*READING_KEYS, "kind", stamp("at"), stamp("since"), "utilization")
+
+
 # --- F5 scope, D4-D6 user dimension (derived from the facts' departments) ----------
 
 def _first_department_user(f):

@@ -47,10 +47,10 @@ def facts_from_tables(lineitem: DataFrame, orders: DataFrame, customer: DataFram
     items = lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
                             "l_quantity", "l_extendedprice", "l_tax", "l_shipdate")
     # Line items to orders is the big-big join (orders is a quarter of the line
-    # items at any scale), so it is a sort-merge join, which can spill; after
-    # its shuffle the wide projection below runs in parallel.
+    # items at any scale): the planner sorts and merges, and broadcasts only a
+    # side that is measured to be small.
     joined = (
-        items.join(order_dim.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
+        items.join(order_dim, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(part.select("p_partkey", "p_brand", "p_type", "p_size"),
               F.col("l_partkey") == F.col("p_partkey"))
     )
