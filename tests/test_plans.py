@@ -61,7 +61,13 @@ def test_summary_distinct_counts_run_on_groups(small_facts):
 
 
 def test_fact_build_shuffles_the_big_join(spark):
-    text = plan_text(budget_facts(spark, SF_SMALL))
+    # line items and orders of this folder are over this bound, nation is under it
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20k")
+    try:
+        text = plan_text(budget_facts(spark, SF_SMALL))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert "SortMergeJoin" in text and "ShuffledHashJoin" not in text
     assert "BroadcastExchange" in text  # nation (and small sides) broadcast
 
