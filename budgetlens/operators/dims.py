@@ -7,10 +7,12 @@ writing it back is the caller's ``write_facts``-style overwrite.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from budgetlens.session import materialize
+from budgetlens.session import drop_scratch, materialize, ship_package
 
 USER_DDL = ("username string, email string, full_name string, role string, "
             "department string, disabled boolean")
@@ -98,8 +100,88 @@ def update_where_in(df: DataFrame, key: str, keys: DataFrame | list, column: str
             .drop("_hit").select(*df.columns))
 
 
+#: Most rows of a clash component that one task settles in order.
+COMPONENT_ROWS = 100_000
+
+
+def _components(edges: DataFrame) -> DataFrame:
+    """(node, root) of the graph of ``edges`` (a, b: bigint, a > b), root being the
+    smallest node of its component.
+
+    Alternating stars: each node hands its larger neighbours to the smallest one it
+    knows, then its smaller ones, until nothing changes; about log(nodes) times,
+    one written table each. Grouped minima joined back, so a node with very many
+    neighbours is no hot task (map-side minimum, AQE splits the join)."""
+    def digest(df):
+        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+    edges = materialize(edges.distinct(), "clash-edges")
+    before = digest(edges)
+    while True:
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        after = materialize(small.unionByName(low.withColumnRenamed("m", "b")).distinct(), "clash-edges")
+        drop_scratch(edges)
+        edges, now = after, digest(after)
+        if now == before:
+            break
+        before = now
+    return edges.select(F.col("a").alias("_node"), F.col("b").alias("_root"))
+
+
+def _settle(unique: list[str]):
+    """Settles one component in order: rows that are in, then the others one
+    after another."""
+    def settle(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_seq", kind="stable")
+        taken: list[set] = [set() for _ in unique]
+        values = [rows[f"_u{i}"].tolist() for i in range(len(unique))]
+        inside, why = rows["_in"].tolist(), []
+        for r, accepted in enumerate(inside):
+            mine = [v[r] for v in values]
+            clash = None if accepted else next(
+                (unique[i] for i, v in enumerate(mine) if v is not None and v in taken[i]), None)
+            why.append(None if clash is None else f"{clash} repeated in batch")
+            if clash is None:
+                for i, v in enumerate(mine):
+                    if v is not None:
+                        taken[i].add(v)
+        return pd.DataFrame({"_id": rows["_id"], "_told": why}).astype({"_told": object})
+    return settle
+
+
+def _settle_components(work: DataFrame, unique: list[str], largest: int) -> DataFrame:
+    """Decide the open rows of all clash components of at most ``largest`` rows.
+
+    Two rows clash where they share a value; of the rows that are in, at most one
+    holds a value, and it comes before every open row that does. A component is
+    settled in order by one task; those that are larger stay open."""
+    live = work.where("_why is null").select(
+        "_id", "_place", "_in", *[F.col(c).cast("string").alias(f"_u{i}") for i, c in enumerate(unique)])
+    edges = None
+    for i in range(len(unique)):
+        held = live.where(F.col(f"_u{i}").isNotNull()).select("_id", "_in", F.col(f"_u{i}").alias("_v"))
+        first = held.groupBy("_v").agg(F.min("_id").alias("b"), F.count(F.lit(1)).alias("n"), F.min("_in").alias("settled"))
+        one = held.join(first.where("n > 1 and not settled"), "_v").where(F.col("_id") > F.col("b")).select(F.col("_id").alias("a"), "b")
+        edges = one if edges is None else edges.unionByName(one)
+    roots = _components(edges)
+    named = live.join(roots, live["_id"] == roots["_node"], "left").withColumn("_root", F.coalesce("_root", "_id")).drop("_node")
+    # rows that are in and clash with nothing open are components of their own
+    sizes = named.groupBy("_root").agg(F.count(F.lit(1)).alias("n"), F.min("_in").alias("settled")).where(
+        (F.col("n") <= largest) & ~F.col("settled")).select("_root")
+    chosen = named.join(sizes, "_root", "left_semi").withColumn(
+        "_seq", F.row_number().over(Window.partitionBy("_root").orderBy(F.col("_in").desc(), "_place")))
+    told = chosen.drop("_place").groupBy("_root").applyInPandas(_settle(unique), "_id bigint, _told string").withColumn("_done", F.lit(True))
+    joined = work.join(told, "_id", "left")
+    return joined.select(*[c for c in work.columns if c not in ("_why", "_in")], F.coalesce("_why", "_told").alias("_why"),
+                         (F.col("_in") | (F.coalesce("_done", F.lit(False)) & F.col("_told").isNull())).alias("_in"))
+
+
 def append_new(target: DataFrame, new: DataFrame, unique: list[str] | None = None,
-               order: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+               order: list[str] | None = None, largest: int = COMPONENT_ROWS) -> tuple[DataFrame, DataFrame]:
     """Insert rows whose unique columns are not taken; return
     (snapshot, rejected-with-reason).
 
@@ -108,38 +190,55 @@ def append_new(target: DataFrame, new: DataFrame, unique: list[str] | None = Non
     unique column (in the order given) whose value is in ``target`` or was
     taken by an earlier row that was itself accepted; NULL never clashes.
 
-    Round by round over the open rows: a row whose value is taken by an
+    First two rounds over the open rows: a row whose value is taken by an
     accepted row is rejected, a row that is the first open one for each of its
-    values is accepted. Every round decides the first open row at least, and
-    chains of clashes are as long as the rounds. Each check is a grouped
-    minimum joined back on one column (AQE splits a hot value); each round is
-    written once to the shared folder.
+    values is accepted. That settles all but chains of clashes, a value repeated on
+    very many rows included. What is still open falls into components of rows that
+    share values: each of at most ``largest`` rows is settled in order by one task,
+    all of them at once, however long the chain. Larger ones go on by rounds, and
+    what they fall into is settled the same way every eight rounds. Each check is a
+    grouped minimum joined back on one column (AQE splits a hot value); each round
+    is written once to the shared folder.
     """
     unique = unique or ["username", "email"]
     order = order or [c for c in new.columns]
+    ship_package(target.sparkSession)
     # equal rows get places of their own; the written table fixes them
-    work = materialize(new.select(*target.columns, F.struct(*order, F.monotonically_increasing_id()).alias("_place"))
+    work = materialize(new.select(*target.columns, F.monotonically_increasing_id().alias("_id"), F.struct(*order).alias("_place"))
+                       .withColumn("_place", F.struct(F.col("_place").alias("o"), F.col("_id").alias("i")))
                        .withColumn("_why", F.lit(None).cast("string")).withColumn("_in", F.lit(False)), "append")
     for col in unique:  # values that the target holds
         taken = target.select(F.col(col)).where(F.col(col).isNotNull()).distinct().withColumn("_t", F.lit(True))
         work = work.join(taken, col, "left").withColumn(
             "_why", F.coalesce("_why", F.when(F.col("_t"), F.lit(f"{col} already registered")))).drop("_t")
     work = materialize(work, "append")
+    rounds = 0
     while not work.where("_why is null and not _in").isEmpty():
-        is_first = F.lit(True)
-        for col in unique:
-            by_value = work.where((F.col("_why").isNull()) & F.col(col).isNotNull()).groupBy(F.col(col).alias("_v")).agg(
-                F.max("_in").alias(f"_got_{col}"), F.min(F.when(~F.col("_in"), F.col("_place"))).alias(f"_next_{col}"))
-            work = work.join(by_value, F.col(col) == F.col("_v"), "left").drop("_v")
-            is_first = is_first & (F.col(col).isNull() | (F.col(f"_next_{col}") == F.col("_place")))
-        open_ = F.col("_why").isNull() & ~F.col("_in")
-        # a column counts once the earlier ones are settled: the row is the first open one there
-        why, settled = F.lit(None).cast("string"), F.lit(True)
-        for c in unique:
-            why = F.coalesce(why, F.when(settled & F.col(f"_got_{c}"), F.lit(f"{c} repeated in batch")))
-            settled = settled & (F.col(c).isNull() | (F.col(f"_next_{c}") == F.col("_place")))
-        work = materialize(work.select(*target.columns, "_place", F.when(open_, why).otherwise(F.col("_why")).alias("_why"),
-                                       (F.col("_in") | (open_ & why.isNull() & is_first)).alias("_in")), "append")
+        if rounds % 8 == 2:
+            settled = _settle_components(work, unique, largest)
+        else:
+            settled = _round(work, unique)
+        done, work, rounds = work, materialize(settled, "append"), rounds + 1
+        drop_scratch(done)
     accepted = work.where("_in").select(*target.columns)
     rejected = work.where("not _in").select(*target.columns, F.col("_why").alias("reason"))
     return target.unionByName(accepted), rejected
+
+
+def _round(work: DataFrame, unique: list[str]) -> DataFrame:
+    """Reject what accepted rows clash with, accept what is first everywhere."""
+    columns = [c for c in work.columns if c not in ("_why", "_in")]
+    is_first = F.lit(True)
+    for col in unique:
+        by_value = work.where((F.col("_why").isNull()) & F.col(col).isNotNull()).groupBy(F.col(col).alias("_v")).agg(
+            F.max("_in").alias(f"_got_{col}"), F.min(F.when(~F.col("_in"), F.col("_place"))).alias(f"_next_{col}"))
+        work = work.join(by_value, F.col(col) == F.col("_v"), "left").drop("_v")
+        is_first = is_first & (F.col(col).isNull() | (F.col(f"_next_{col}") == F.col("_place")))
+    open_ = F.col("_why").isNull() & ~F.col("_in")
+    # a column counts once the earlier ones are settled: the row is the first open one there
+    why, settled = F.lit(None).cast("string"), F.lit(True)
+    for c in unique:
+        why = F.coalesce(why, F.when(settled & F.col(f"_got_{c}"), F.lit(f"{c} repeated in batch")))
+        settled = settled & (F.col(c).isNull() | (F.col(f"_next_{c}") == F.col("_place")))
+    return work.select(*columns, F.when(open_, why).otherwise(F.col("_why")).alias("_why"),
+                       (F.col("_in") | (open_ & why.isNull() & is_first)).alias("_in"))
