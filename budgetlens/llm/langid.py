@@ -20,6 +20,7 @@ smaller name; equal texts get equal predictions.
 
 from __future__ import annotations
 
+import uuid
 from functools import lru_cache
 
 import numpy as np
@@ -29,11 +30,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from budgetlens.llm.common import mix64, read_table, table, with_made
+from budgetlens.llm.common import mix64, prepare, read_table, table, with_made
 from budgetlens.session import broadcast_if_small
 
 SAMPLE = 1000
 DIM = 1 << 14
+#: Bits of the hash prefixes that are counted to find the sample.
+PREFIX = 16
 #: Characters whose features are made at once (bounds a task's memory).
 PIECE = 1 << 18
 ORDERS = (1, 2, 3)
@@ -76,6 +79,7 @@ def _grams(texts: list[str]):
     letters = np.bincount(owner, weights=mapped != 32, minlength=len(texts)) > 0
     keep = np.ones(len(mapped), dtype=bool)
     keep[1:] = (mapped[1:] != 32) | (mapped[:-1] != 32)
+    keep[:1] = mapped[:1] != 32  # as behind the end of another text: separators before the first letter count nowhere
     mapped, owner = mapped[keep].astype(np.uint64), owner[keep]
     features, owners = [], []
     key = np.zeros(len(mapped), np.uint64)
@@ -139,10 +143,15 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", sample: int =
     language. The model (not the sample) comes to the driver."""
     labelled = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where(
         "text is not null and lang is not null")
-    # equal texts count once; the ranking keeps `sample` rows per task and language
-    order = Window.partitionBy("lang").orderBy("h")
-    top = (labelled.select("lang", F.xxhash64("text").alias("h")).distinct()
-           .withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample)
+    # equal texts count once; a histogram of hash prefixes (at most 2**PREFIX rows per
+    # language) finds the bucket of the last one taken, and only hashes up to it are ranked
+    hashes = labelled.select("lang", F.xxhash64("text").alias("h")).distinct().withColumn("b", F.shiftright("h", 64 - PREFIX))
+    upto = Window.partitionBy("lang").orderBy("b")
+    last = (hashes.groupBy("lang", "b").agg(F.count(F.lit(1)).alias("n"))
+            .withColumn("before", F.sum("n").over(upto) - F.col("n")).where(F.col("before") < sample)
+            .groupBy("lang").agg(F.max("b").alias("last")))
+    top = (hashes.join(broadcast_if_small(last, 10_000), "lang").where("b <= last")
+           .withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= sample)
            .groupBy("lang").agg(F.max("h").alias("top")))
     chosen = table(labelled.withColumn("h", F.xxhash64("text")).join(broadcast_if_small(top, 10_000), "lang").where("h <= top")
                    .dropDuplicates(["lang", "h"]).select("lang", "text", "h"), "sample")
@@ -236,12 +245,13 @@ _predictors: dict = {}
 
 def predict(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``; the model travels as a broadcast."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    prepare(docs.sparkSession)
+    shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def compute(part):
-        if not (p := _predictors.get(id(shared))):
+        if not (p := _predictors.get(name)):  # a worker lives on: the last model's predictor may be there
             _predictors.clear()
-            p = _predictors[id(shared)] = Predictor(shared.value)
+            p = _predictors[name] = Predictor(shared.value)
         langs, scores = p.predict([t or "" for t in part.column(text).to_pylist()])
         return [pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
 

@@ -22,6 +22,7 @@ LLM_QUERIES = {
     "op13_trie_frontier": triefrontier.op13_trie_frontier,
 }
 LLM_ORACLES: dict[str, str] = {
+    "op3_superminhash": superminhash.ORACLE,
     "op4_mixing": mixing.ORACLE,
     "op5_chat_format": chat.ORACLE,
     "op11_wu_manber": wumanber.ORACLE,

@@ -274,3 +274,44 @@ def deduplicated(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def op3_superminhash(spark, sf_dir):
     return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+#: Equal sets are one class; classes that share one of their rarest shingles (as many
+#: as a pair of similarity 0.75 cannot miss) are compared in full, then joined up.
+ORACLE = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, CAST(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS VARCHAR[]) AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN w IS NULL OR len(w) = 0 THEN []
+                      WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                      ELSE list_sort(list_distinct(list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i+4], ' ')))) END AS s
+  FROM words
+), classes AS (
+  SELECT s, min(doc_id) AS a, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s
+), held AS (
+  SELECT a, n, unnest(s) AS x FROM classes
+), rare AS (
+  SELECT a, n, x, row_number() OVER (PARTITION BY a ORDER BY df, x) AS r
+  FROM (SELECT *, count(*) OVER (PARTITION BY x) AS df FROM held)
+), firsts AS (
+  SELECT a, n, x FROM rare WHERE r <= n - ceil(n * 0.75) + 1
+), cand AS (
+  SELECT DISTINCT p.a, q.a AS b FROM firsts p JOIN firsts q ON p.x = q.x AND p.a < q.a
+  WHERE 4 * least(p.n, q.n) >= 3 * greatest(p.n, q.n)
+), links AS (
+  SELECT c.a, c.b FROM cand c JOIN classes p ON p.a = c.a JOIN classes q ON q.a = c.b
+  WHERE 100 * len(list_intersect(p.s, q.s)) >= 75 * (p.n + q.n - len(list_intersect(p.s, q.s)))
+), both_ways AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT a, a AS b FROM classes
+  UNION
+  SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a
+), roots AS (
+  SELECT a, min(b) AS root FROM reach GROUP BY a
+)
+SELECT d.doc_id, CAST(len(d.s) AS BIGINT) AS n_shingles,
+       CAST(coalesce(r.root, d.doc_id) AS BIGINT) AS component_id, d.doc_id = coalesce(r.root, d.doc_id) AS kept
+FROM sets d LEFT JOIN classes c ON d.s = c.s LEFT JOIN roots r ON r.a = c.a
+"""
