@@ -114,6 +114,7 @@ def test_sample_is_the_smallest_hashes_and_a_long_text_is_read(spark, make_docs,
     got = kept["sample"].collect()
     assert sorted(r.h for r in got if r.lang == "en") == hashes[:37]
     assert {r.lang for r in got} == {"en", "fr", "es"}
+    monkeypatch.undo()
     # a text far above the size of a piece whose letters come last
     model = L.train(make_docs([(i, "the cat and the dog", "en") for i in range(5)] + [(9 + i, "le chat et le chien", "fr") for i in range(5)]))
     long = make_docs([(1, "1 " * 400_000 + "le chien et le chat"), (2, "the dog and the cat " * 40_000)])
