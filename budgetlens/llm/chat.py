@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from budgetlens.llm.common import read_table
+from budgetlens.llm.common import prepare, read_table
 
 ESCAPED = "\\<["
 #: A turn: role, [INST], text, [/INST] between <s> and </s>; the text of an
@@ -449,6 +449,7 @@ def format_conversations(conversations: DataFrame, template: str = TEMPLATE) ->
         if out:
             yield batch(out)
 
+    prepare(rows.sparkSession)
     return rows.mapInArrow(run, "conv_id long, formatted string, spans array<struct<start:int,end:int>>")
 
 

@@ -130,6 +130,7 @@ def with_made(df: DataFrame, column: str, made: list[T.StructField], compute, ma
             done()
         release()
 
+    prepare(df.sparkSession)
     return df.mapInArrow(run, T.StructType([*kept, *made]))
 
 

@@ -163,6 +163,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", sample: int =
     if not machines:
         return model
     spark = docs.sparkSession
+    prepare(spark)
     wanted = spark.createDataFrame([(k, a, b, m) for k, a, b in machines
                                     for m in (langs if k == "family" else (a, b))],
                                    "kind string, a string, b string, lang string")

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from budgetlens.llm.common import FURTHER, fresh, mix64, one_per_text, read_table, release, shingle_hashes, slices, table, texts_of, with_made, word_hashes
+from budgetlens.llm.common import FURTHER, fresh, mix64, one_per_text, prepare, read_table, release, shingle_hashes, slices, table, texts_of, with_made, word_hashes
 from budgetlens.session import broadcast_if_small
 
 K, WINDOW = 8, 16
@@ -121,6 +121,7 @@ def seeds(docs: DataFrame) -> DataFrame:
                                              ["kmer", "doc", "pos", "long", "room", "run"])
         release()
 
+    prepare(docs.sparkSession)
     return docs.mapInArrow(run, "kmer long, doc long, pos int, long long, room int, run boolean")
 
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from budgetlens.llm.common import distinct_per_text, mix64, read_table, word_hashes
+from budgetlens.llm.common import distinct_per_text, mix64, prepare, read_table, word_hashes
 
 CHAIN = 3
 #: Common words that anchor the signatures (fixed values, by language).
@@ -202,6 +202,7 @@ def fingerprints(docs: DataFrame, text: str = "text", slice_bytes: int = 2 << 20
         if held:
             yield flush("")
 
+    prepare(docs.sparkSession)
     return with_next(docs, text).mapInArrow(run, SCHEMA)
 
 

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from budgetlens.llm.common import (components, distinct_per_text, fresh, mix64, one_per_text, read_table, release,
+from budgetlens.llm.common import (components, distinct_per_text, fresh, mix64, one_per_text, prepare, read_table, release,
                                    shingle_hashes, slices, table, texts_of, word_hashes)
 from budgetlens.session import broadcast_if_small
 
@@ -130,6 +130,7 @@ def sketch(docs: DataFrame, text: str = "text") -> DataFrame:
             ], ["doc_id", "n_shingles", "digest", "bands", "sig"])
         release()
 
+    prepare(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string").alias(text)).mapInArrow(run, schema)
 
 

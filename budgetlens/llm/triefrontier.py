@@ -74,6 +74,7 @@ def word_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         release()
 
     rows = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).alias("text"))
+    prepare(rows.sparkSession)
     return rows.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
 
 
