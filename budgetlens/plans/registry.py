@@ -30,8 +30,8 @@ from budgetlens.plans.sql_reports import name_views, sql_report
 from budgetlens.session import materialize, scratch_path
 from budgetlens.sources.commits import load_facts, read_version
 from budgetlens.sources.csv import clean_columns, raw_name, read_budget, write_budget_csv
-from budgetlens.sources.sinks import to_records, write_facts
-from budgetlens.sources.star import budget_facts, facts, facts_path, read_facts
+from budgetlens.sources.sinks import to_records
+from budgetlens.sources.star import budget_facts, facts, facts_path, read_facts, write_built
 from budgetlens.sources.zones import ZONE_TABLE, Between, lookup, write_zones
 from budgetlens.streaming import alerts as ST
 from budgetlens.streaming import lifecycle as LC
@@ -397,8 +397,7 @@ def _clean_columns(spark, d):
 
 @register("ingest_roundtrip")
 def _ingest_roundtrip(spark, d):
-    path = scratch_path(spark, "facts-copy")
-    write_facts(budget_facts(spark, d), path)
+    path = write_built(spark, d, scratch_path(spark, "facts-copy"))
     return to_output(read_facts(spark, path))
 
 

@@ -72,6 +72,30 @@ def size_shuffle_partitions(spark: SparkSession, input_bytes: int,
     return n
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Session settings for the jobs of the block, as they were after it."""
+    before = {key: spark.conf.get(key, None) for key in values}
+    try:
+        for key, value in values.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
+#: For jobs that sort wide rows: a task gets about 16 MB of compressed rows at any
+#: size of the input (its sorts hold some twenty times as much).
+SMALL_TASKS = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m", "spark.sql.files.maxPartitionBytes": "16m"}
+#: For long expressions: the JVM does not compile methods beyond this size, so
+#: such plans run as smaller methods instead of one per stage.
+SMALL_METHODS = {"spark.sql.codegen.hugeMethodLimit": "8000"}
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the Python workers once per application (a zip
     through ``addPyFile``), so that functions that run there can import it

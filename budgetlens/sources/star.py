@@ -15,13 +15,14 @@ plans a sort-merge join (AQE splits skewed partitions).
 
 from __future__ import annotations
 
+import contextlib
 import threading
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from budgetlens.schema import FACT_COLUMNS, FACT_SCHEMA
-from budgetlens.session import broadcast_if_small, scratch_path, size_shuffle_partitions
+from budgetlens.session import SMALL_TASKS, broadcast_if_small, scratch_path, settings, size_shuffle_partitions
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -105,8 +106,9 @@ def budget_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # One materialised copy of the facts per (application, input folder), the way
 # the reference loads its table once and then serves every report from it.
 _MATERIALISED: dict[tuple, str] = {}
-#: Bytes of joined rows for each byte of the compressed input files.
-WIDENING = 6
+#: Bytes of joined rows for each byte of the compressed input files, and how many
+#: of them a task of the build takes.
+WIDENING, TASK_BYTES = 6, 32 << 20
 _LOCK = threading.Lock()
 
 
@@ -124,6 +126,24 @@ def _input_signature(spark: SparkSession, sf_dir: str) -> tuple:
     return tuple(sig)
 
 
+@contextlib.contextmanager
+def build_settings(spark: SparkSession, n_bytes: int):
+    """Settings for jobs that join ``n_bytes`` of input files to facts and sort
+    them: the rows of a task are bounded, not a share of the input."""
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with settings(spark, SMALL_TASKS | {"spark.sql.shuffle.partitions": str(partitions)}):
+        size_shuffle_partitions(spark, WIDENING * n_bytes, TASK_BYTES, minimum=partitions)
+        yield
+
+
+def write_built(spark: SparkSession, sf_dir: str, path: str) -> str:
+    """Join the driver tables to facts and write them to ``path`` with the S5 layout."""
+    from budgetlens.sources.sinks import write_facts
+    n_bytes = sum(size for _, files in _input_signature(spark, sf_dir) for _, size, _ in files)
+    with build_settings(spark, n_bytes):
+        return write_facts(budget_facts(spark, sf_dir), path)
+
+
 def facts_path(spark: SparkSession, sf_dir: str) -> str:
     """Where the facts of ``sf_dir`` are written (once per application and
     state of the input) in the shared checkpoint folder, with the S5 layout."""
@@ -131,16 +151,7 @@ def facts_path(spark: SparkSession, sf_dir: str) -> str:
     with _LOCK:
         path = _MATERIALISED.get(key)
         if path is None:
-            from budgetlens.sources.sinks import write_facts
-            path = scratch_path(spark, "facts")
-            # partitions of about 128 MB after the join, if the session has fewer
-            n_bytes = sum(size for _, files in key[2] for _, size, _ in files)
-            partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-            size_shuffle_partitions(spark, WIDENING * n_bytes, minimum=partitions)
-            try:
-                write_facts(budget_facts(spark, sf_dir), path)
-            finally:
-                spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+            path = write_built(spark, sf_dir, scratch_path(spark, "facts"))
             _MATERIALISED[key] = path
     return path
 
