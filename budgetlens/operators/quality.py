@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from budgetlens.operators.quantiles import KEY_DIGITS, column_quantiles, exact_percentiles
 from budgetlens.schema import EXPECTED_COLUMNS
-from budgetlens.session import materialize
+from budgetlens.session import broadcast_if_small, materialize
 
 
 def ingest_stats(f: DataFrame) -> DataFrame:
@@ -55,12 +55,21 @@ def check_columns(df: DataFrame, expected: list[str] | None = None) -> DataFrame
 MONEY_COLUMNS = ["Allocated_Budget_Cr", "Revised_Budget_Cr", "Actual_Spending_Cr"]
 
 
+def _repeated(f: DataFrame) -> DataFrame:
+    """(Project_ID, _dup) of the projects with several rows. All rows are counted
+    by a hash; only those of a hash that comes again are counted by Project_ID,
+    and the facts themselves are dealt out only where many repeat."""
+    ids = f.where(F.col("Project_ID").isNotNull()).select("Project_ID")
+    again = materialize(ids.groupBy(F.xxhash64("Project_ID").alias("_h")).agg(F.count(F.lit(1)).alias("_n"))
+                        .filter(F.col("_n") > 1).select("_h"), "repeated-hashes")
+    return (ids.join(broadcast_if_small(again), F.xxhash64("Project_ID") == F.col("_h"), "left_semi")
+            .groupBy("Project_ID").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1)
+            .select("Project_ID", F.lit(True).alias("_dup")))
+
+
 def checked_rows(f: DataFrame, min_year: int = 1900, max_year: int = 2100) -> DataFrame:
     """Facts with a ``reasons`` array (empty when the row is good)."""
-    dups = (f.groupBy("Project_ID").agg(F.count(F.lit(1)).alias("_n"))
-            .filter((F.col("_n") > 1) & F.col("Project_ID").isNotNull())
-            .select("Project_ID", F.lit(True).alias("_dup")))
-    checked = f.join(dups, "Project_ID", "left")
+    checked = f.join(broadcast_if_small(_repeated(f)), "Project_ID", "left")
     rules = [
         (F.col("Project_ID").isNull(), "missing Project_ID"),
         *[(F.col(c) < 0, f"negative {c}") for c in MONEY_COLUMNS],

@@ -17,20 +17,20 @@ SORT_COLUMNS = ["State", "Utilization_Percentage"]
 
 def write_facts(df: DataFrame, path: str, mode: str = "overwrite",
                 partition_by: list[str] | None = None,
-                sort_by: list[str] | None = None) -> str:
+                sort_by: list[str] | None = None, compression: str | None = None) -> str:
     """S4 + S5: replace the stored fact table at ``path``.
 
     No extra shuffle: each task sorts its own rows by (partition columns, sort
     columns) and writes one file per partition value it holds, one writer open
     at a time. A hot department is spread over all tasks rather than landing
-    in one.
+    in one. ``compression`` is the session's unless given.
     """
     partition_by = PARTITION_COLUMNS if partition_by is None else partition_by
     sort_by = SORT_COLUMNS if sort_by is None else sort_by
     (df.sortWithinPartitions(*partition_by, *sort_by)
        .write.mode(mode)
        .partitionBy(*partition_by)
-       .parquet(path))
+       .parquet(path, compression=compression))
     return path
 
 

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
 
-from budgetlens.session import SMALL_METHODS, SMALL_TASKS, settings
+from budgetlens.operators import quality as Q
+from budgetlens.plans.inspect import plan_text
+from budgetlens.session import SMALL_METHODS, SMALL_TASKS, scratch_path, settings
+from budgetlens.sources import commits as C
 from budgetlens.sources import star
+from tests.conftest import make_facts
 
 ADVISORY = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
 
@@ -25,3 +30,28 @@ def test_settings_return_after_an_error(spark):
     except KeyError:
         pass
     assert spark.conf.get(*SMALL_METHODS, None) is None
+
+
+def test_the_duplicate_check_does_not_deal_out_the_facts(spark):
+    f = make_facts(spark, [{"Project_ID": p} for p in ("", "", "A", "A", "B")]).withColumn("Project_ID", F.nullif("Project_ID", F.lit("")))
+    with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        checked = Q.checked_rows(f)
+        assert "SortMergeJoin" not in plan_text(checked)
+        got = sorted((r.Project_ID or "", r.reasons) for r in checked.collect())
+    assert got == [("", ["missing Project_ID"])] * 2 + [("A", ["duplicate Project_ID"])] * 2 + [("B", [])]
+
+
+def test_a_load_writes_its_rows_once(spark, monkeypatch):
+    root, written = scratch_path(spark, "t"), []
+    real = C.write_facts
+    monkeypatch.setattr(C, "write_facts", lambda df, path, **kw: written.append((df.count(), path)) or real(df, path, **kw))
+    rows = [{"Project_ID": f"P{i}", "Department": d, "Year": y} for i, (d, y) in enumerate(
+        [("Health", 2020), (None, 2020), ("Roads", 2021), ("", 1500), (None, 1500), ("Roads", 1500)])]
+    load = C.load_facts(make_facts(spark, rows), root)
+    assert (load.good, load.bad) == (3, 3) and [n for n, _ in written] == [6]   # good and bad rows in one write
+    bad = {r.Project_ID: r.Department for r in spark.read.parquet(f"{root}/{load.rejects}").collect()}
+    assert bad == {"P3": "", "P4": None, "P5": "Roads"}
+    good = {r.Project_ID: r.Department for r in C.read_version(spark, root).collect()}
+    assert good == {"P0": "Health", "P1": None, "P2": "Roads"}
+    fs, folder = C._fs(spark, f"{root}/staging")
+    assert list(fs.listStatus(folder)) == []
