@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from budgetlens.schema import FACT_COLUMNS, FACT_SCHEMA
+from budgetlens.session import SMALL_METHODS, settings
 
 #: Bits of each look-up column in the key, the columns asked most first.
 LOOKUP_BITS = {"Utilization_Percentage": 5, "State": 5, "Department": 4, "Year": 3, "District": 3, "Ministry": 3}
@@ -115,9 +116,10 @@ def write_zones(df: DataFrame, path: str, bits: dict[str, int] | None = None, zo
     # ranges of equal size; the hash splits rows with the very same key
     ranges = min(MOST_FILES, max(zones, -(-size_bytes // file_bytes)))
     zone = F.floor(F.spark_partition_id() * F.lit(zones) / F.lit(ranges)).cast("int")
-    (keyed.repartitionByRange(ranges, "_key", F.xxhash64("Project_ID"))
-     .sortWithinPartitions(*list(bits)[:2]).withColumn("zone", zone).select(*df.columns, "zone")
-     .write.mode("overwrite").partitionBy("zone").parquet(path))
+    with settings(df.sparkSession, SMALL_METHODS):
+        (keyed.repartitionByRange(ranges, "_key", F.xxhash64("Project_ID"))
+         .sortWithinPartitions(*list(bits)[:2]).withColumn("zone", zone).select(*df.columns, "zone")
+         .write.mode("overwrite").partitionBy("zone").parquet(path))
     written = df.sparkSession.read.schema(_stored(df.schema)).parquet(path)
     (written.groupBy("zone").agg(F.count("*").alias("rows"), *[x for c in bits for x in (
         F.min(c).alias(f"{c}_lo"), F.max(c).alias(f"{c}_hi"), F.sum(F.col(c).isNull().cast("long")).alias(f"{c}_nulls"))])

@@ -9,6 +9,7 @@ from budgetlens.plans.inspect import plan_text
 from budgetlens.session import SMALL_METHODS, SMALL_TASKS, scratch_path, settings
 from budgetlens.sources import commits as C
 from budgetlens.sources import star
+from budgetlens.sources import zones as Z
 from tests.conftest import make_facts
 
 ADVISORY = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
@@ -55,3 +56,11 @@ def test_a_load_writes_its_rows_once(spark, monkeypatch):
     assert good == {"P0": "Health", "P1": None, "P2": "Roads"}
     fs, folder = C._fs(spark, f"{root}/staging")
     assert list(fs.listStatus(folder)) == []
+
+
+def test_zones_are_written_with_small_methods(spark, monkeypatch):
+    used, real = [], Z.settings
+    monkeypatch.setattr(Z, "settings", lambda s, values: used.append(values) or real(s, values))
+    f = make_facts(spark, [{"Project_ID": f"P{i}", "Year": 2000 + i % 7} for i in range(50)])
+    path = Z.write_zones(f, scratch_path(spark, "zones"))
+    assert used == [SMALL_METHODS] and Z.lookup(spark, path, Year=2003).count() == 7
