@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from budgetlens import schema as S
 from budgetlens.functions.numeric import bigint, mean, to_output
+from budgetlens.session import materialize
 
 UTIL = "Utilization_Percentage"
 ALLOC = "Allocated_Budget_Cr"
@@ -334,7 +335,7 @@ def development_axis(f: DataFrame) -> DataFrame:
     district, ``records`` 0 where it has none, with the value as of that
     quarter (its own, or the last known one) and how many quarters old it is.
     Rows whose Year or Quarter cannot be read have no place on the axis."""
-    g = _quarters(f).where("at is not null")
+    g = materialize(_quarters(f).where("at is not null"), "quarters")  # read twice, a row per quarter
     spine = (g.groupBy(F.col("State").alias("s"), F.col("District").alias("d")).agg(F.min("at").alias("a"), F.max("at").alias("b"))
              .select("s", "d", F.explode(F.sequence("a", "b")).alias("place")))
     on = F.col("s").eqNullSafe(F.col("State")) & F.col("d").eqNullSafe(F.col("District")) & (F.col("place") == F.col("at"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from budgetlens.operators import aggregates as A
 from budgetlens.operators import quality as Q
 from budgetlens.plans.inspect import plan_text
 from budgetlens.session import SMALL_METHODS, SMALL_TASKS, scratch_path, settings
@@ -58,6 +59,13 @@ def test_a_load_writes_its_rows_once(spark, monkeypatch):
     assert list(fs.listStatus(folder)) == []
 
 
+def test_the_dense_axis_reads_the_facts_once(spark):
+    f = make_facts(spark, [{"Project_ID": "A", "Year": 2020, "Quarter": "Q1"}, {"Project_ID": "B", "Year": 2020, "Quarter": "Q3"}])
+    axis = A.development_axis(f)
+    assert "Utilization_Percentage" not in plan_text(axis)
+    assert [(r.Quarter, r.records, r.quarters_old) for r in axis.collect()] == [("Q1", 1, 0), ("Q2", 0, 1), ("Q3", 1, 0)]
+
+
 def test_zones_are_written_with_small_methods(spark, monkeypatch):
     used, real = [], Z.settings
     monkeypatch.setattr(Z, "settings", lambda s, values: used.append(values) or real(s, values))
