@@ -15,7 +15,7 @@ from budgetlens.functions.bands import tagged
 from budgetlens.functions.numeric import to_output
 from budgetlens.operators.forest import feature_rows, fit_forest, score_points
 from budgetlens.operators.quantiles import exact_percentiles
-from budgetlens.session import broadcast_if_small, materialize
+from budgetlens.session import SMALL_METHODS, broadcast_if_small, materialize, settings
 
 GATE_MESSAGE = "Not enough data for ML detection"
 
@@ -60,11 +60,13 @@ def scored_points(f: DataFrame, contamination: float = S.FOREST_CONTAMINATION,
     percentile and the flag both read them, and the Python scoring runs once.
     """
     rows = feature_rows(f)
-    counts = department_counts(f).filter(F.col("total") >= min_rows)
+    # counts and points are read several times each
+    counts = materialize(department_counts(f).filter(F.col("total") >= min_rows), "forest-counts")
     model = fit_forest(rows, counts, trees=trees, max_samples=max_samples, seed=seed)
-    points = (rows.groupBy("Department", "x0", "x1").agg(F.count(F.lit(1)).alias("n"))
-              .join(counts.select("Department"), "Department", "left_semi"))
-    scored = materialize(score_points(points, model), "forest-scores")
+    points = materialize(rows.groupBy("Department", "x0", "x1").agg(F.count(F.lit(1)).alias("n"))
+                         .join(counts.select("Department"), "Department", "left_semi"), "forest-points")
+    with settings(f.sparkSession, SMALL_METHODS):
+        scored = materialize(score_points(points, model), "forest-scores")
     return flag_by_contamination(scored, ["Department"], "anomaly_score",
                                  contamination, weight_col="n")
 

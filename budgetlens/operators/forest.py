@@ -32,6 +32,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -218,11 +219,25 @@ def drawn_rows(rows: DataFrame, counts: DataFrame, trees: int, max_samples: int,
     small = broadcast_if_small(counts.select("Department", "total"))
     tested = rows.join(small, "Department").select(
         "Department", "Project_ID", "x0", "x1", bound.cast("bigint").alias("bound"), lane[0].alias("a"), lane[1].alias("b"))
-    key = lambda t: F.pmod(F.col("a") + t * F.col("b"), F.lit(SPAN))
-    # plain expressions, one per tree: they stay in generated code
-    mine = F.array_compact(F.array(*[F.when(key(F.lit(t)) < F.col("bound"), F.lit(t)) for t in range(trees)]))
-    cand = (tested.withColumn("tree", F.explode(mine))
-            .select("Department", "tree", key(F.col("tree")).alias("key"), "Project_ID", "x0", "x1"))
+
+    def candidates(batches):  # all rows of a batch are tested for a tree together
+        for batch in batches:
+            a, b, bound = (batch.column(c).to_numpy() for c in ("a", "b", "bound"))
+            key, step, found, keys = a % SPAN, b % SPAN, [], []
+            for _ in range(trees):  # the key of tree t is (a + t * b) mod SPAN
+                found.append(np.flatnonzero(key < bound))
+                keys.append(key[found[-1]])
+                key = key + step
+                key -= SPAN * (key >= SPAN)
+            at = pa.array(np.concatenate(found))
+            department, project, x0, x1 = (batch.column(c).take(at) for c in ("Department", "Project_ID", "x0", "x1"))
+            tree = pa.array(np.repeat(np.arange(trees, dtype=np.int32), [len(x) for x in found]))
+            yield pa.RecordBatch.from_arrays([department, tree, pa.array(np.concatenate(keys), pa.int64()), project, x0, x1],
+                                             ["Department", "tree", "key", "Project_ID", "x0", "x1"])
+
+    # rows without a Project_ID have no keys
+    cand = tested.where("a is not null").mapInArrow(
+        candidates, "Department string, tree int, key long, Project_ID string, x0 double, x1 double")
     from pyspark.sql.window import Window
     w = Window.partitionBy("Department", "tree").orderBy("key", "Project_ID", "x0", "x1")
     return cand.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= max_samples).drop("_r")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from budgetlens.operators import aggregates as A
+from budgetlens.operators import forest as FO
 from budgetlens.operators import quality as Q
 from budgetlens.plans.inspect import plan_text
 from budgetlens.session import SMALL_METHODS, SMALL_TASKS, scratch_path, settings
@@ -66,6 +69,20 @@ def test_the_dense_axis_reads_the_facts_once(spark):
     assert [(r.Quarter, r.records, r.quarters_old) for r in axis.collect()] == [("Q1", 1, 0), ("Q2", 0, 1), ("Q3", 1, 0)]
 
 
+def test_draws_are_tested_in_batches(spark):
+    ids = [f"P{i}" for i in range(700)] + [None]
+    rows = spark.createDataFrame([("D", p, 1.0, 2.0) for p in ids], "Department string, Project_ID string, x0 double, x1 double")
+    drawn = FO.drawn_rows(rows, rows.groupBy("Department").agg(F.count("*").alias("total")), 3, 16, 42)
+    assert "MapInArrow" in plan_text(drawn)
+
+    def key(p, t):
+        digest = hashlib.md5(f"42-{p}".encode()).hexdigest()
+        return (int(digest[:13], 16) + t * int(digest[13:26], 16)) % FO.SPAN
+
+    want = {(t, k, p) for t in range(3) for k, p in sorted((key(p, t), p) for p in ids if p)[:16]}
+    assert {(r.tree, r.key, r.Project_ID) for r in drawn.collect()} == want
+
+
 def test_zones_are_written_with_small_methods(spark, monkeypatch):
     used, real = [], Z.settings
     monkeypatch.setattr(Z, "settings", lambda s, values: used.append(values) or real(s, values))
