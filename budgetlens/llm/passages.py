@@ -35,6 +35,7 @@ its row with an empty text.
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -439,7 +440,7 @@ def _merged(spans) -> list[list[int]]:
     return out
 
 
-def exact_cover(pos: list[int], anchor: list[int], apos: list[int], spans: list[list[int]]) -> list[tuple]:
+def exact_cover(pos: Sequence[int], anchor: Sequence[int], apos: Sequence[int], spans: list[list[int]]) -> list[tuple]:
     """(start, end, anchor, start there): few exact passages that hold all words
     outside ``spans`` (merged) of the equal runs of ``MIN_WORDS`` words at
     ``pos``, one match each."""
@@ -493,34 +494,38 @@ def exact_rest(rows: DataFrame, longs: DataFrame, passages: DataFrame) -> DataFr
     asked = table(later.join(spans, "doc", "left").select("seeds", "spans").mapInArrow(uncovered, "long long").distinct(), "asked")
     around = table(places.join(asked, "long", "left_semi").groupBy("doc").agg(F.collect_list("pos").alias("at")), "around")
 
-    def hashed(batches):
+    def hashed(batches):  # one row per different run of a document: its first place, and the places outside passages
         for part in slices(batches, "text", 2 << 20):
             words, first = word_hashes(texts_of(part.column("text")))
             for i, (at, held) in enumerate(zip(part.column("at").to_pylist(), part.column("spans").to_pylist())):
                 start = np.unique(np.array(at, np.int64)[:, None] - np.arange(WINDOW))
                 start = start[(start >= 0) & (start <= first[i + 1] - first[i] - MIN_WORDS)]
-                n = len(start)
                 held = np.array(_merged((x["s"], x["e"]) for x in held or []), np.int64).reshape(-1, 2)
                 k = np.searchsorted(held[:, 0], start, side="right") - 1
-                end = held[np.maximum(k, 0), 1] if len(held) else np.zeros(n, np.int64)
+                end = held[np.maximum(k, 0), 1] if len(held) else np.zeros(len(start), np.int64)
+                key, at_first, of = np.unique(_runs(words, first[i] + start, MIN_WORDS), return_index=True, return_inverse=True)
+                free = np.flatnonzero((k < 0) | (end < start + MIN_WORDS))
+                free = free[np.argsort(of[free], kind="stable")]
+                own = pa.array(np.full(len(key), i))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(_runs(words, first[i] + start, MIN_WORDS), pa.int64()), part.column("doc").take(pa.array(np.full(n, i))),
-                    part.column("h").take(pa.array(np.full(n, i))), pa.array(start, pa.int32()), pa.array((k < 0) | (end < start + MIN_WORDS))],
+                    pa.array(key, pa.int64()), part.column("doc").take(own), part.column("h").take(own), pa.array(start[at_first], pa.int32()),
+                    pa.ListArray.from_arrays(pa.array(np.searchsorted(of[free], np.arange(len(key) + 1)), pa.int32()), pa.array(start[free], pa.int32()))],
                     ["key", "doc", "h", "pos", "open"])
         release()
 
     runs = table(rows.join(broadcast_if_small(around.select("doc"), 1_000_000), "doc", "left_semi").join(around, "doc").join(spans, "doc", "left").withColumn("h", F.xxhash64("text"))
-                 .mapInArrow(hashed, "key long, doc long, h long, pos int, open boolean"), "runs")
+                 .mapInArrow(hashed, "key long, doc long, h long, pos int, open array<int>"), "runs")
     firsts = table(runs.groupBy("key").agg(F.min(F.struct("doc", "pos")).alias("a"), F.max("doc").alias("last"))
                    .where("a.doc < last").select("key", F.col("a.doc").alias("anchor"), F.col("a.pos").alias("apos")), "firsts")
     # runs inside a passage found before can be the first of others, but ask for nothing themselves
-    matches = (runs.where("open").join(firsts, "key").where("doc > anchor").groupBy("doc", "h")
-               .agg(F.collect_list("pos").alias("pos"), F.collect_list("anchor").alias("anchor"), F.collect_list("apos").alias("apos")))
+    matches = (runs.where("size(open) > 0").join(firsts, "key").where("doc > anchor").groupBy("doc", "h")
+               .agg(F.collect_list(F.struct("open", "anchor", "apos")).alias("runs")))
 
     def covering(batches):
         for b in batches:
             out = {k: [] for k in ("doc_id", "text_hash", "start_word", "end_word", "first_doc_id", "first_start", "first_end")}
-            for doc, h, pos, anchor, apos, held in zip(*(b.column(c).to_pylist() for c in ("doc", "h", "pos", "anchor", "apos", "spans"))):
+            for doc, h, found, held in zip(*(b.column(c).to_pylist() for c in ("doc", "h", "runs", "spans"))):
+                pos, anchor, apos = zip(*((p, x["anchor"], x["apos"]) for x in found for p in x["open"]))
                 for s, e, a, t in exact_cover(pos, anchor, apos, _merged((x["s"], x["e"]) for x in held or [])):
                     for k, v in zip(out, (doc, h, s, e, a, t, t + e - s)):
                         out[k].append(v)
@@ -528,7 +533,7 @@ def exact_rest(rows: DataFrame, longs: DataFrame, passages: DataFrame) -> DataFr
             yield pa.RecordBatch.from_arrays([*made, pa.array(np.ones(len(made[0])))], [*out, "identity"])
         release()
 
-    return matches.join(spans, "doc", "left").select("doc", "h", "pos", "anchor", "apos", "spans").mapInArrow(covering, PASSAGE)
+    return matches.join(spans, "doc", "left").select("doc", "h", "runs", "spans").mapInArrow(covering, PASSAGE)
 
 
 def cut_words(text: str, spans: list[tuple[int, int]]) -> str:

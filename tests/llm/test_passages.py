@@ -149,6 +149,27 @@ def test_longer_runs_than_the_first_and_lines_in_another_place(make_docs):
     assert got == {2: set(range(30, 800)), 4: set(range(30, 85))}
 
 
+def test_a_pair_of_words_again_and_again_is_looked_up_once_a_document(make_docs, monkeypatch):
+    written, kept = P.table, {}
+
+    def table(df, name):
+        kept[name] = written(df, name)
+        return kept[name]
+
+    monkeypatch.setattr(P, "table", table)
+    rng = random.Random(13)
+    pair, n = prose(rng, 2), 12
+    made = [(prose(rng, 30), prose(rng, 30)) for _ in range(n)]
+    sizes = []
+    for times in (100, 400):
+        rows = [(i, " ".join([*a, *pair * (times // 2 if i == 0 else times), *b])) for i, (a, b) in enumerate(made)]
+        got = covered(P.repeated_passages(make_docs(rows)))
+        assert set(got) == set(range(1, n))
+        assert all(set(range(30, 30 + 2 * times)) <= s and len(s) < 2 * times + 5 for s in got.values())
+        sizes.append(kept["runs"].count())
+    assert sizes[0] > 0 and sizes[1] <= sizes[0] + 2 * n  # not with the times a document repeats it
+
+
 def test_query_covers_every_exact_repeat(spark):
     got = covered(P.op9_chained_passages(spark, SF_SMALL))
     seen, missed = set(), 0
